@@ -3,7 +3,7 @@
 from .paths import base_name, detect_language, extension, is_ignored_path
 from .scrub import mask_code, strip_comments
 from .text import blank_filter, code_point_column, count_code_lines, java_regex, snippet, split_lines, strip
-from .values import clamp_score, grade_columns, human_size, impact_columns, location
+from .values import clamp_score, exact_round, grade_columns, human_size, impact_columns, location
 
 __all__ = [
     "base_name", "blank_filter", "clamp_score", "code_point_column", "count_code_lines", "detect_language",

@@ -14,19 +14,42 @@ KWH_PER_POINT = 0.05
 KG_CO2_PER_KWH = 0.30
 
 
+def exact_round(value: Column, digits: int = 1) -> Column:
+    """Rounds a non-negative double by its exact binary value, true ties to the even digit.
+
+    ``round`` and ``bround`` look at the shortest decimal form, so 92.45, whose double lies above it, or 0.25, a
+    true tie, can come out a digit off. Here the fraction is split into two parts that multiply without error, which
+    makes the comparison with the midpoint exact.
+    """
+    scale = 10**digits
+    whole = F.floor(value).cast("double")
+    fraction = value - whole
+    high = F.floor(fraction * 2.0**26) / 2.0**26
+    low = fraction - high
+    step = F.floor(fraction * scale).cast("double")
+    below, above = step * 2 + 1 - high * (2 * scale), low * (2 * scale)
+    up = (above > below) | ((above == below) & (step % 2 == 1))
+    return (whole * scale + step + F.when(up, 1.0).otherwise(0.0)) / scale
+
+
 def human_size(size: Column) -> Column:
     """``512 B``, ``1.5 KB``, ``3.0 MB``, ``2.0 GB``."""
     amount = size.cast("double")
+
+    def in_unit(power: int, unit: str) -> Column:
+        # Sizes divided by a power of two are exact, so banker's rounding of the decimal form is exact too.
+        return F.concat(F.format_string("%.1f", F.bround(amount / 1024**power, 1)), F.lit(unit))
+
     return (
         F.when(amount < 1024, F.concat(F.format_string("%.0f", amount), F.lit(" B")))
-        .when(amount < 1024**2, F.concat(F.format_string("%.1f", amount / 1024), F.lit(" KB")))
-        .when(amount < 1024**3, F.concat(F.format_string("%.1f", amount / 1024**2), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.1f", amount / 1024**3), F.lit(" GB")))
+        .when(amount < 1024**2, in_unit(1, " KB"))
+        .when(amount < 1024**3, in_unit(2, " MB"))
+        .otherwise(in_unit(3, " GB"))
     )
 
 
 def clamp_score(density: Column, k: float = DEFAULT_K) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - F.lit(float(k)) * density)), 1)
+    return exact_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - F.lit(float(k)) * density)), 1)
 
 
 def grade_columns(score: Column) -> dict[str, Column]:

@@ -98,12 +98,9 @@ def _describe(node, functions):
 
 def node_rows(source: str) -> list[dict]:
     """Facts of all reported nodes in tree order; raises what the parser raises."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        tree = ast.parse(source)
     rows, number = [], 0
     # Entries: a node to enter with its surroundings, or a row whose subtree is done.
-    todo = [(tree, None, None, 0, None, ())]
+    todo = [(ast.parse(source), None, None, 0, None, ())]
     while todo:
         item = todo.pop()
         if isinstance(item, dict):
@@ -128,27 +125,34 @@ def node_rows(source: str) -> list[dict]:
         below = []
         for name in node._fields:
             value = getattr(node, name, None)
-            for child in value if isinstance(value, list) else (value,):
-                if isinstance(child, ast.AST) and child._fields:
-                    below.append((child, name, pre, depth, in_async, functions))
-        todo.extend(reversed(below))
+            if isinstance(value, ast.AST):
+                if value._fields:
+                    below.append((value, name, pre, depth, in_async, functions))
+            elif isinstance(value, list):
+                below += [
+                    (child, name, pre, depth, in_async, functions)
+                    for child in value if isinstance(child, ast.AST) and child._fields
+                ]
+        below.reverse()
+        todo += below
     return rows
 
 
-@F.arrow_udf(FACTS)
-def syntax_facts(texts: pa.Array) -> pa.Array:
+def _facts(texts: pa.Array) -> pa.Array:
     offsets, rows, errors = [0], [], []
-    for text in texts:
-        error = None
-        if text.is_valid:
-            try:
-                rows += node_rows(text.as_py())
-            except SyntaxError as exc:
-                error = exc.msg
-            except (ValueError, RecursionError, MemoryError) as exc:
-                error = type(exc).__name__
-        offsets.append(len(rows))
-        errors.append(error)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for text in texts.to_pylist():
+            error = None
+            if text is not None:
+                try:
+                    rows += node_rows(text)
+                except SyntaxError as exc:
+                    error = exc.msg
+                except (ValueError, RecursionError, MemoryError) as exc:
+                    error = type(exc).__name__
+            offsets.append(len(rows))
+            errors.append(error)
     columns = [pa.array([row.get(name) for row in rows], kind) for name, _, kind in _FIELDS]
     nodes = pa.StructArray.from_arrays(columns, [name for name, _, _ in _FIELDS])
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
@@ -157,4 +161,5 @@ def syntax_facts(texts: pa.Array) -> pa.Array:
 
 def with_syntax_facts(df: DataFrame) -> DataFrame:
     """Adds ``_facts`` to rows with ``language`` and ``_text``; only Python texts cross to the parser."""
+    syntax_facts = F.arrow_udf(_facts, FACTS)
     return df.withColumn("_facts", syntax_facts(F.when(F.col("language") == "python", F.col("_text"))))

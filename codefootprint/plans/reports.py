@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..catalog.dimensions import CATEGORIES, SEVERITIES, categories_df, fix_guides_df, rules_df, severities_df
 from ..catalog.rules import DEFAULT_RULES, Rule
-from ..functions.values import location
+from ..functions.values import exact_round, location
+from .scan import write_bucketed
 from .scoring import category_scores, finish_scores, language_breakdown, repo_stats, rule_scores, with_severity
 
 TOP_FINDINGS = 15
@@ -135,7 +136,7 @@ def report_documents(
     categories = category_scores(found, rules).groupBy("repo_id").agg(
         F.array_sort(F.collect_list(F.struct(
             "rank", "category", "label", "color", "count", "penalty",
-            F.round("percent_of_penalty", 1).alias("percent_of_penalty"),
+            exact_round(F.col("percent_of_penalty"), 1).alias("percent_of_penalty"),
         ))).alias("categories"),
         F.sum("penalty").alias("penalty"),
     )
@@ -166,11 +167,11 @@ def report_documents(
         F.col("repo_id").cast("string").alias("repository"),
         F.struct(
             "score", "grade", "grade_color", "grade_label", "penalty",
-            F.round("density", 2).alias("density"),
+            exact_round(F.col("density"), 2).alias("density"),
             F.col("total_code_lines").alias("code_lines"),
             "total_violations",
-            F.round("kwh", 2).alias("illustrative_kwh"),
-            F.round("kg_co2", 2).alias("illustrative_kg_co2"),
+            exact_round(F.col("kwh"), 2).alias("illustrative_kwh"),
+            exact_round(F.col("kg_co2"), 2).alias("illustrative_kg_co2"),
             listed("categories", ("category", "label", "color", "count", "penalty", "percent_of_penalty")),
             listed("rules", ("rule_id", "name", "category", "severity", "count", "penalty")),
         ).alias("index"),
@@ -195,17 +196,15 @@ def write_report(
     stats: DataFrame, found: DataFrame, errors: DataFrame, path: str, rules: Iterable[Rule] = DEFAULT_RULES,
     k: float = 1.0, buckets: int = 64,
 ) -> None:
-    """Writes ``repositories``, ``findings`` and ``errors`` below ``path`` as JSON lines, in folders by repository
-    bucket, so a reader of one repository opens one folder."""
+    """Writes ``repositories``, ``findings`` and ``errors`` below ``path`` as JSON lines."""
     rules = tuple(rules)
-    bucket = F.pmod(F.xxhash64(F.col("repo_id").cast("string")), F.lit(buckets)).alias("bucket")
     outputs = {
         "repositories": report_documents(stats, found, rules, k),
         "findings": report_findings(found, rules),
         "errors": errors.select("repo_id", F.to_json(F.struct("path", "message")).alias("error")),
     }
     for name, rows in outputs.items():
-        rows.select("*", bucket).write.mode("overwrite").partitionBy("bucket").json(f"{path}/{name}")
+        write_bucketed(rows, f"{path}/{name}", buckets, "json")
 
 
 def severity_label(severity: int) -> str:

@@ -40,27 +40,22 @@ def _code_lines():
 
 
 def scan_files(
-    files: DataFrame,
-    rules: Iterable[Rule] = DEFAULT_RULES,
-    ignored_dirs: Iterable[str] | None = None,
-    manifests_only: str | None = None,
+    files: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, ignored_dirs: Iterable[str] | None = None
 ) -> DataFrame:
     """``repo_id, path, language, code_lines, bytes, findings, error`` per file of a ``files`` table.
 
-    ``manifests_only`` names a boolean column; rows where it is false are read for dependency rules only and
-    are not listed as files (single-file mode).
+    Rows whose optional column ``scanned`` is false (see ``requested_files``) are read by the dependency rules only.
+    A ``folder`` column is passed through.
     """
     rules = tuple(rules)
     df = with_text(prune_ignored_dirs(files, ignored_dirs))
-    if manifests_only is not None:
-        df = df.withColumn("_text", F.when(F.col(manifests_only), F.col("_text")))
-    df = with_manifest_findings(_with_text_findings(df, rules), rules)
     assets = asset_findings(F.col("path"), F.col("length"), rules)
-    if manifests_only is not None:
-        assets = F.when(F.col(manifests_only), assets).otherwise(no_findings())
-    kept = ["repo_id", "path", "language"] + ([manifests_only] if manifests_only else [])
+    if "scanned" in files.columns:
+        df = df.withColumn("_text", F.when(F.col("scanned"), F.col("_text")))
+        assets = F.when(F.col("scanned"), assets).otherwise(no_findings())
+    df = with_manifest_findings(_with_text_findings(df, rules), rules)
     return df.select(
-        *kept,
+        *(name for name in ("repo_id", "folder", "path", "scanned", "language") if name in df.columns),
         _code_lines().alias("code_lines"),
         F.col("length").cast("bigint").alias("bytes"),
         F.concat(assets, "_docker", "_regex", "_loops", "_python", "_manifest").alias("findings"),
@@ -101,6 +96,8 @@ def violations(scanned: DataFrame) -> DataFrame:
 
 
 def file_stats(scanned: DataFrame) -> DataFrame:
+    if "scanned" in scanned.columns:
+        scanned = scanned.filter("scanned")
     return scanned.select("repo_id", "path", "language", "code_lines", "bytes")
 
 
@@ -112,3 +109,24 @@ def python_nodes(files: DataFrame, ignored_dirs: Iterable[str] | None = None) ->
     """The syntax facts as a table, one row per node."""
     df = with_syntax_facts(with_text(prune_ignored_dirs(files, ignored_dirs)).filter(F.col("language") == "python"))
     return df.select("repo_id", "path", F.explode("_facts.nodes").alias("n")).select("repo_id", "path", "n.*")
+
+
+def write_bucketed(rows: DataFrame, path: str, buckets: int = 64, fmt: str = "parquet") -> None:
+    """Writes rows in folders by repository bucket, so a reader of one repository opens one folder.
+
+    The rebalance hint gathers each bucket into few files; a bucket with a hot repository is split again.
+    """
+    bucket = F.pmod(F.xxhash64(F.col("repo_id").cast("string")), F.lit(buckets)).cast("int")
+    rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy(
+        "bucket"
+    ).format(fmt).save(path)
+
+
+def write_tables(scanned: DataFrame, path: str, buckets: int = 64) -> None:
+    """Writes ``file_stats``, ``violations`` and ``errors`` as Parquet below ``path``. The scan is written once
+    first and the tables are taken from it, so the sources are read once."""
+    scanned.write.mode("overwrite").parquet(f"{path}/scanned")
+    stored = scanned.sparkSession.read.parquet(f"{path}/scanned")
+    write_bucketed(file_stats(stored), f"{path}/file_stats", buckets)
+    write_bucketed(violations(stored), f"{path}/violations", buckets)
+    write_bucketed(errors(stored), f"{path}/errors", buckets)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.dimensions import categories_df, rules_df
 from ..catalog.rules import CODE_LANGUAGES, DEFAULT_RULES, Rule
-from ..functions.values import DEFAULT_K, MIN_KLOC, clamp_score, grade_columns, impact_columns
+from ..functions.values import DEFAULT_K, MIN_KLOC, clamp_score, exact_round, grade_columns, impact_columns
 
 
 def _spark(df: DataFrame) -> SparkSession:
@@ -142,7 +142,7 @@ def grade_scores(scores: DataFrame, column: str = "score") -> DataFrame:
 def impact_estimate(penalties: DataFrame) -> DataFrame:
     """Illustrative kWh and kg CO2 of a ``penalty`` column, rounded for display."""
     return penalties.withColumns({
-        name: F.round(value, 2) for name, value in impact_columns(F.col("penalty")).items()
+        name: exact_round(value, 2) for name, value in impact_columns(F.col("penalty")).items()
     })
 
 

@@ -8,12 +8,14 @@ from .corpus import (
     files_from_binary,
     prune_ignored_dirs,
     read_corpus,
-    single_file,
+    requested_files,
+    spread,
     with_text,
 )
 from .targets import normalize_targets
 
 __all__ = [
     "FILES_SCHEMA", "MAX_TEXT_BYTES", "admit_repos", "admit_snippets", "decode_text", "files_from_binary",
-    "missing_repo_errors", "normalize_targets", "prune_ignored_dirs", "read_corpus", "single_file", "with_text",
+    "missing_repo_errors", "normalize_targets", "prune_ignored_dirs", "read_corpus", "requested_files", "spread",
+    "with_text",
 ]

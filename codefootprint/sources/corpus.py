@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import detect_language, is_ignored_path
+from ..functions.paths import base_name, detect_language, is_ignored_path
 from ..functions.text import universal_newlines
 from ..operators.asset_rules import is_asset
+from ..operators.manifest_rules import is_package_json, is_requirements
 
 # Fixed value: larger texts are listed but not scanned.
 MAX_TEXT_BYTES = 2 * 1024 * 1024
@@ -45,21 +46,37 @@ def prune_ignored_dirs(files: DataFrame, ignored_dirs: Iterable[str] | None = No
     return files.filter(~is_ignored_path(F.col("path"), ignored_dirs))
 
 
-def single_file(files: DataFrame, repo_id, path: str) -> DataFrame:
-    """One file, named relative to its folder, with the other files of that folder marked for manifest rules.
+def requested_files(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """Single-file mode for any number of requests ``(repo_id, path)``.
 
-    Only the file itself is scanned (``scanned``); its folder's manifests come along for the dependency rules.
+    Each requested file comes with its path relative to its folder (``scanned``), and the folder's manifests come
+    along once for the dependency rules. Requests only filter the files (semi joins), so many requests in one folder
+    do not multiply its manifests.
     """
-    folder = path.rpartition("/")[0]
-    prefix = f"{folder}/" if folder else ""
-    direct = F.col("path").startswith(prefix) & ~F.substring(F.col("path"), len(prefix) + 1, 1 << 30).contains("/")
-    name = F.substring(F.col("path"), len(prefix) + 1, 1 << 30)
-    scanned = F.col("path") == path
-    lower = F.lower(name)
-    manifest = (lower.startswith("requirements") & lower.endswith(".txt")) | (lower == "package.json")
-    return files.filter((F.col("repo_id") == repo_id) & direct & (scanned | manifest)).select(
-        "repo_id", name.alias("path"), "length", "content", scanned.alias("scanned")
+    folder = F.regexp_extract("path", r"(?s)\A(.*/)?", 0)
+    name = base_name(F.col("path"))
+    wanted = requests.select("repo_id", "path").distinct()
+    folders = wanted.select("repo_id", folder.alias("folder")).distinct()
+    placed = files.withColumns({"folder": folder, "name": name})
+    scanned = placed.join(wanted, ["repo_id", "path"], "left_semi").withColumn("scanned", F.lit(True))
+    manifests = (
+        placed.filter(is_requirements(F.col("name")) | is_package_json(F.col("name")))
+        .join(folders, ["repo_id", "folder"], "left_semi")
+        .join(wanted, ["repo_id", "path"], "left_anti")
+        .withColumn("scanned", F.lit(False))
     )
+    return scanned.unionByName(manifests).select(
+        "repo_id", "folder", F.col("name").alias("path"), "length", "content", "scanned"
+    )
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Spreads a table that has fewer splits than there are cores, for rows that grow in the next step.
+
+    A table of normal size has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def decode_text(content: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefootprint.catalog import DEFAULT_RULES
+from codefootprint.sources import spread
 
 from .templates import TEMPLATES
 
@@ -75,7 +76,7 @@ def code_of(events: DataFrame) -> DataFrame:
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_of(table(spark, sf_dir, "events"))
+    return code_of(spread(table(spark, sf_dir, "events").select("event_id", "user_id")))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

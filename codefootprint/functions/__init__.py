@@ -1,12 +1,11 @@
-"""Scalar column functions: paths, text, scrubbing and report values."""
+"""Scalar functions: paths, text, scrubbing and report values."""
 
-from .paths import base_name, detect_language, extension, is_ignored_path
+from .paths import detect_language, extension, is_ignored_path
 from .scrub import mask_code, strip_comments
-from .text import blank_filter, code_point_column, count_code_lines, java_regex, snippet, split_lines, strip
+from .text import count_code_lines, split_lines, strip
 from .values import clamp_score, exact_round, grade_columns, human_size, impact_columns, location
 
 __all__ = [
-    "base_name", "blank_filter", "clamp_score", "code_point_column", "count_code_lines", "detect_language",
-    "extension", "grade_columns", "human_size", "impact_columns", "is_ignored_path", "java_regex", "location",
-    "mask_code", "snippet", "split_lines", "strip", "strip_comments",
+    "clamp_score", "count_code_lines", "detect_language", "exact_round", "extension", "grade_columns", "human_size",
+    "impact_columns", "is_ignored_path", "location", "mask_code", "split_lines", "strip", "strip_comments",
 ]

@@ -1,13 +1,17 @@
-"""File names: extension, language, ignored folders."""
+"""File names: extension, language, ignored folders.
+
+Functions named ``*_sql`` write an expression over a column name or expression; the others wrap it in a Column.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sqltext import in_list, map_of, quote
+
 # Extensions by language and the folders no scan enters.
 EXTENSION_LANGUAGE = {
     ".py": "python", ".pyw": "python",
@@ -30,27 +34,40 @@ IGNORED_DIRS = (
 )
 
 
-def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"[^/]*\z", 0)
+def base_name_sql(path: str) -> str:
+    return f"regexp_extract({path}, {quote(r'[^/]*\z')}, 0)"
 
 
-def extension(path: Column) -> Column:
+def extension_sql(path: str) -> str:
     """Lower-cased last extension with its dot; leading dots of a name do not start an extension."""
-    name = F.ltrim(base_name(path), F.lit("."))
-    return F.lower(F.regexp_extract(name, r"\.[^.]*\z", 0))
+    return f"lower(regexp_extract(trim(LEADING '.' FROM {base_name_sql(path)}), {quote(r'\.[^.]*\z')}, 0))"
 
 
-def detect_language(path: Column) -> Column:
+def detect_language_sql(path: str) -> str:
     """Language of a path, null when unknown. The three Dockerfile name forms win over the extension."""
-    name = F.lower(base_name(path))
-    docker = (name == "dockerfile") | name.endswith(".dockerfile") | name.startswith("dockerfile.")
-    table = F.create_map(*(F.lit(v) for v in chain.from_iterable(EXTENSION_LANGUAGE.items())))
-    return F.when(docker, F.lit("dockerfile")).otherwise(F.try_element_at(table, extension(path)))
+    name = f"lower({base_name_sql(path)})"
+    return (
+        f"CASE WHEN {name} = 'dockerfile' OR endswith({name}, '.dockerfile') OR startswith({name}, 'dockerfile.') "
+        f"THEN 'dockerfile' ELSE try_element_at({map_of(EXTENSION_LANGUAGE.items())}, {extension_sql(path)}) END"
+    )
 
 
-def is_ignored_path(path: Column, ignored_dirs: Iterable[str] | None = None) -> Column:
+def is_ignored_path_sql(path: str, ignored_dirs: Iterable[str] | None = None) -> str:
     """True when any parent folder is hidden or in the ignore set. An empty set means the default one."""
     ignored = sorted(set(ignored_dirs or ()) or set(IGNORED_DIRS))
-    parts = F.split(path, "/")
-    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return F.exists(folders, lambda d: d.startswith(".") | d.isin(ignored))
+    parts = f"split({path}, '/')"
+    return (
+        f"exists(slice({parts}, 1, size({parts}) - 1), dir -> startswith(dir, '.') OR {in_list('dir', ignored)})"
+    )
+
+
+def extension(path: str) -> Column:
+    return F.expr(extension_sql(path))
+
+
+def detect_language(path: str) -> Column:
+    return F.expr(detect_language_sql(path))
+
+
+def is_ignored_path(path: str, ignored_dirs: Iterable[str] | None = None) -> Column:
+    return F.expr(is_ignored_path_sql(path, ignored_dirs))

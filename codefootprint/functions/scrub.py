@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog.rules import C_LIKE
+from .sqltext import any_of, contains_any, in_list, quote
 
 
 def _string(quote: str) -> str:
@@ -53,54 +54,40 @@ FAMILIES = (
 )
 
 
-def _blank(token: Column) -> Column:
-    return F.regexp_replace(token, r"[^\n]", " ")
+def _hide(text: str, token: str, openers: tuple[str, ...]) -> str:
+    """Blanks the tokens that begin with an opener. A text without any opener is returned as it is, which skips the
+    tokenizer for many files."""
+    opened = any_of(f"startswith(token, {quote(o)})" for o in openers)
+    blank = f"regexp_replace(token, {quote('[^' + chr(92) + 'n]')}, ' ')"
+    pieces = f"transform(regexp_extract_all({text}, {quote(token)}, 0), token -> IF({opened}, {blank}, token))"
+    return f"IF({contains_any(text, openers)}, array_join({pieces}, ''), {text})"
 
 
-def _starts_with_any(token: Column, openers: tuple[str, ...]) -> Column:
-    test = F.lit(False)
-    for opener in openers:
-        test = test | token.startswith(opener)
-    return test
-
-
-def _contains_any(text: Column, needles: tuple[str, ...]) -> Column:
-    test = F.lit(False)
-    for needle in needles:
-        test = test | text.contains(needle)
-    return test
-
-
-def _member(language: Column, family: Family) -> Column:
-    named = [name for name in family.languages if name is not None]
-    test = language.isin(named)
-    return F.coalesce(test, F.lit(None in family.languages))
-
-
-def _hide(text: Column, token: str, openers: tuple[str, ...]) -> Column:
-    tokens = F.regexp_extract_all(text, F.lit(token), F.lit(0))
-    hidden = F.transform(tokens, lambda t: F.when(_starts_with_any(t, openers), _blank(t)).otherwise(t))
-    # A text without any opener is returned as it is, which skips the tokenizer for many files.
-    return F.when(_contains_any(text, openers), F.array_join(hidden, "")).otherwise(text)
-
-
-def _scrub(text: Column, language: Column, hide_strings: bool) -> Column:
-    result = None
+def _scrub(text: str, language: str, hide_strings: bool) -> str:
+    cases = []
     for family in FAMILIES:
         hidden = family.openers + (family.quotes if hide_strings else ())
-        if not hidden:
-            continue
-        scrubbed = _hide(text, family.token, hidden)
-        condition = _member(language, family)
-        result = F.when(condition, scrubbed) if result is None else result.when(condition, scrubbed)
-    return result.otherwise(text)
+        if hidden:
+            member = in_list(language, [name for name in family.languages if name])
+            if None in family.languages:
+                member = f"({language} IS NULL OR {member})"
+            cases.append(f"WHEN {member} THEN {_hide(text, family.token, hidden)}")
+    return f"CASE {' '.join(cases)} ELSE {text} END"
 
 
-def strip_comments(text: Column, language: Column) -> Column:
+def strip_comments_sql(text: str, language: str) -> str:
     """Comments become spaces; strings, line ends and the length stay."""
     return _scrub(text, language, hide_strings=False)
 
 
-def mask_code(text: Column, language: Column) -> Column:
+def mask_code_sql(text: str, language: str) -> str:
     """Comments and strings, quotes included, become spaces; line ends and the length stay."""
     return _scrub(text, language, hide_strings=True)
+
+
+def strip_comments(text: str, language: str) -> Column:
+    return F.expr(strip_comments_sql(text, language))
+
+
+def mask_code(text: str, language: str) -> Column:
+    return F.expr(mask_code_sql(text, language))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sqltext import quote
+
 # Line boundaries and whitespace of the scanned text.
 LINE_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 WHITESPACE = (
@@ -21,41 +23,49 @@ SNIPPET_CHARS = 200
 _LINE = rf"(?!\z)([^{LINE_BREAKS}]*+)(?:\r\n|[{LINE_BREAKS}]|\z)"
 
 
-def split_lines(text: Column) -> Column:
+def split_lines_sql(text: str) -> str:
     """The lines of a text without their ends; no empty line after a final line end, none for an empty text."""
-    return F.regexp_extract_all(text, F.lit(_LINE), F.lit(1))
-
-
-def strip(value: Column) -> Column:
-    return F.btrim(value, F.lit(WHITESPACE))
+    return f"regexp_extract_all({text}, {quote(_LINE)}, 1)"
 
 
-def blank_filter(line: Column) -> Column:
-    """True for lines with something other than whitespace."""
-    return F.ltrim(line, F.lit(WHITESPACE)) != ""
+def strip_sql(value: str) -> str:
+    return f"trim(BOTH {quote(WHITESPACE)} FROM {value})"
 
 
-def count_code_lines(text: Column) -> Column:
-    """Number of non-blank lines, comments included."""
-    return F.size(F.filter(split_lines(text), blank_filter))
+def count_nonblank_sql(lines: str) -> str:
+    return f"size(filter({lines}, l -> trim(LEADING {quote(WHITESPACE)} FROM l) <> ''))"
 
 
-def snippet(line: Column) -> Column:
-    return F.substring(strip(line), 1, SNIPPET_CHARS)
+def snippet_sql(line: str) -> str:
+    return f"substring({strip_sql(line)}, 1, {SNIPPET_CHARS})"
 
 
-def universal_newlines(text: Column) -> Column:
+def universal_newlines_sql(text: str) -> str:
     r"""``\r\n`` and lone ``\r`` become ``\n``, as when a file is opened in text mode."""
-    return F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    return (
+        f"CASE WHEN contains({text}, '\\r') THEN regexp_replace({text}, {quote(r'\r\n?')}, '\\n') ELSE {text} END"
+    )
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    r"""A rule pattern for ``rlike``: Unicode classes as in the rule's dialect, ``\s`` with the unit separator."""
+    r"""A rule pattern for ``RLIKE``: Unicode classes as in the rule's dialect, ``\s`` with the unit separator."""
     return ("(?iU)" if ignore_case else "(?U)") + pattern.replace(r"\s", r"[\s\x1f]")
 
 
-def code_point_column(line: Column, pattern: str, ignore_case: bool = False) -> Column:
+def code_point_column_sql(line: str, pattern: str, ignore_case: bool = False) -> str:
     """1-based column of the first match in code points (``regexp_instr`` counts UTF-16 units)."""
-    flags = "(?isU)" if ignore_case else "(?sU)"
-    body = java_regex(pattern, ignore_case).split(")", 1)[1]
-    return F.length(F.regexp_extract(line, rf"{flags}\A(.*?)(?:{body})", 1)) + 1
+    flags, body = java_regex(pattern, ignore_case).split(")", 1)
+    return f"length(regexp_extract({line}, {quote(rf'{flags}s)\A(.*?)(?:{body})')}, 1)) + 1"
+
+
+def split_lines(text: str) -> Column:
+    return F.expr(split_lines_sql(text))
+
+
+def strip(value: str) -> Column:
+    return F.expr(strip_sql(value))
+
+
+def count_code_lines(text: str) -> Column:
+    """Number of non-blank lines, comments included."""
+    return F.expr(count_nonblank_sql(split_lines_sql(text)))

@@ -32,22 +32,23 @@ def exact_round(value: Column, digits: int = 1) -> Column:
     return (whole * scale + step + F.when(up, 1.0).otherwise(0.0)) / scale
 
 
-def human_size(size: Column) -> Column:
+def human_size_sql(size: str) -> str:
     """``512 B``, ``1.5 KB``, ``3.0 MB``, ``2.0 GB``."""
-    amount = size.cast("double")
 
-    def in_unit(power: int, unit: str) -> Column:
+    def in_unit(power: int, unit: str) -> str:
         # Sizes divided by a power of two are exact, so banker's rounding of the decimal form is exact too.
-        return F.concat(F.format_string("%.1f", F.bround(amount / 1024**power, 1)), F.lit(unit))
+        return f"format_string('%.1f {unit}', bround(CAST({size} AS DOUBLE) / {1024**power}, 1))"
 
     return (
-        F.when(amount < 1024, F.concat(F.format_string("%.0f", amount), F.lit(" B")))
-        .when(amount < 1024**2, in_unit(1, " KB"))
-        .when(amount < 1024**3, in_unit(2, " MB"))
-        .otherwise(in_unit(3, " GB"))
+        f"CASE WHEN {size} < 1024 THEN format_string('%d B', {size}) WHEN {size} < {1024**2} THEN {in_unit(1, 'KB')} "
+        f"WHEN {size} < {1024**3} THEN {in_unit(2, 'MB')} ELSE {in_unit(3, 'GB')} END"
     )
 
 
+def human_size(size: str) -> Column:
+    return F.expr(human_size_sql(size))
+
+
 def clamp_score(density: Column, k: float = DEFAULT_K) -> Column:
     return exact_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - F.lit(float(k)) * density)), 1)
 
@@ -70,5 +71,5 @@ def impact_columns(penalty: Column) -> dict[str, Column]:
     return {"kwh": kwh, "kg_co2": kwh * F.lit(KG_CO2_PER_KWH)}
 
 
-def location(path: Column, line: Column) -> Column:
-    return F.when(line > 0, F.concat_ws(":", path, line.cast("string"))).otherwise(path)
+def location(path: str, line: str) -> Column:
+    return F.expr(f"IF({line} > 0, concat({path}, ':', {line}), {path})")

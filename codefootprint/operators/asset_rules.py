@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..catalog.rules import Rule
-from ..functions.paths import base_name, extension
-from ..functions.values import human_size
-from .finding import finding, keep_hits, no_findings
+from ..functions.paths import base_name_sql, extension_sql
+from ..functions.sqltext import in_list
+from ..functions.values import human_size_sql
+from .finding import NO_FINDINGS, finding_sql, keep_hits_sql
 
 # Extensions and size limits in bytes.
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".ico", ".psd")
@@ -21,27 +19,24 @@ MEDIA_LIMIT = 2 * 1024 * 1024
 BUNDLE_LIMIT = 150 * 1024
 
 
-def is_asset(path: Column) -> Column:
-    return extension(path).isin(*IMAGE_EXTENSIONS, *MEDIA_EXTENSIONS)
+def is_asset_sql(path: str) -> str:
+    return in_list(extension_sql(path), IMAGE_EXTENSIONS + MEDIA_EXTENSIONS)
 
 
-def asset_findings(path: Column, length: Column, rules: Sequence[Rule]) -> Column:
+def asset_findings_sql(path: str, length: str, rules: Sequence[Rule]) -> str:
     enabled = {r.id for r in rules}
-    ext = extension(path)
-    image = ext.isin(*IMAGE_EXTENSIONS)
-    limit = F.when(image, F.lit(IMAGE_LIMIT)).otherwise(F.lit(MEDIA_LIMIT))
-    label = F.concat(ext, F.lit(" • "), human_size(length))
-    extra = F.create_map(F.lit("bytes"), length.cast("string"))
+    ext, size = extension_sql(path), human_size_sql(length)
+    limit = f"CAST(IF({in_list(ext, IMAGE_EXTENSIONS)}, {IMAGE_LIMIT}, {MEDIA_LIMIT}) AS BIGINT)"
+    label = f"concat({ext}, ' \u2022 ', {size})"
+    extra = f"map('bytes', CAST({length} AS STRING))"
+    large = finding_sql(
+        "'GC070'", "0", "0", label, f"concat('Asset of ', {size}, ', limit ', {human_size_sql(limit)})", extra
+    )
+    bundle = finding_sql("'GC072'", "0", "0", label, f"concat('Bundle not minified, ', {size})", extra)
     hits = {
-        "GC070": F.when(
-            ext.isin(*IMAGE_EXTENSIONS, *MEDIA_EXTENSIONS) & (length > limit),
-            finding("GC070", 0, 0, label,
-                    F.concat(F.lit("Asset of "), human_size(length), F.lit(", limit "), human_size(limit)), extra),
-        ),
-        "GC072": F.when(
-            ext.isin(*BUNDLE_EXTENSIONS) & ~F.lower(base_name(path)).contains(".min.") & (length > BUNDLE_LIMIT),
-            finding("GC072", 0, 0, label, F.concat(F.lit("Bundle not minified, "), human_size(length)), extra),
-        ),
+        "GC072": f"IF({in_list(ext, BUNDLE_EXTENSIONS)} AND NOT contains(lower({base_name_sql(path)}), '.min.') "
+                 f"AND {length} > {BUNDLE_LIMIT}, {bundle}, NULL)",
+        "GC070": f"IF({is_asset_sql(path)} AND {length} > {limit}, {large}, NULL)",
     }
     active = [value for rule_id, value in hits.items() if rule_id in enabled]
-    return keep_hits(F.array(*active)) if active else no_findings()
+    return keep_hits_sql(f"array({', '.join(active)})") if active else NO_FINDINGS

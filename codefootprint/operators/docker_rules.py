@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.rules import Rule
-from ..functions.text import SNIPPET_CHARS, strip
-from .finding import finding, keep_hits, no_findings
+from ..functions.sqltext import in_list, quote, regex
+from ..functions.text import SNIPPET_CHARS, strip_sql
+from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql, no_findings
 
 # Image names and patterns of the Dockerfile rules.
 FULL_IMAGES = (
@@ -24,54 +25,47 @@ ARCHIVE = r"(?iU)\.(tar|tgz|gz|bz2|xz|zip)\b"
 DOCKER_RULE_IDS = ("GC080", "GC081", "GC082", "GC083", "GC084")
 
 
-def _instruction(line: Column, word: str) -> Column:
-    return F.upper(F.left(line, F.lit(len(word) + 1))) == word + " "
-
-
-def _line_findings(line: Column, index: Column, enabled: set[str]) -> Column:
-    """Findings of one stripped line."""
-    image = F.regexp_extract(line, r"(?U)^\S+[\s\x1f]+(\S+)", 1)
-    base = F.regexp_extract(image, r"[^/]*\z", 0)
-    parts = F.split(base, ":")
-    name, tag = F.lower(F.get(parts, F.lit(0))), F.lower(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
-    is_from, is_run, is_add = (_instruction(line, word) for word in ("FROM", "RUN", "ADD"))
-    pip, apt = line.rlike(PIP_INSTALL), line.rlike(APT_INSTALL)
-    pip_cached, apt_full = ~line.contains("--no-cache-dir"), ~line.contains("--no-install-recommends")
-
-    def hit(rule_id: str, condition: Column, message: str) -> Column:
-        return F.when(
-            condition, finding(rule_id, index + 1, 0, F.substring(line, 1, SNIPPET_CHARS), message)
-        )
-
-    hits = {
-        "GC080": hit("GC080", is_from & (image.contains(":latest") | ~base.contains(":")),
-                     "Base image without a fixed tag"),
-        "GC083": hit("GC083", is_from & name.isin(*FULL_IMAGES) & ~tag.contains("slim") & ~tag.contains("alpine"),
-                     "Full base image"),
-        "GC082": F.coalesce(
-            hit("GC082", is_run & pip & pip_cached, "pip install without --no-cache-dir"),
-            hit("GC082", is_run & apt & apt_full, "apt install without --no-install-recommends"),
-        ),
-        "GC084": hit("GC084", is_add & ~F.lower(line).contains("http") & ~line.rlike(ARCHIVE),
-                     "ADD used for local files"),
+def _instruction(line: str, word: str) -> str:
+    return f"upper(left({line}, {len(word) + 1})) = '{word} '"
+
+
+def _hit(rule_id: str, condition: str, message: str) -> str:
+    found = finding_sql(quote(rule_id), "i + 1", "0", f"substring(l, 1, {SNIPPET_CHARS})", quote(message))
+    return f"IF({condition}, {found}, NULL)"
+
+
+def _line_rules() -> dict[str, str]:
+    """Finding or null of each rule for a stripped line ``l`` with index ``i``."""
+    image = rf"regexp_extract(l, {quote(r'(?U)^\S+[\s\x1f]+(\S+)')}, 1)"
+    base = rf"regexp_extract({image}, {quote(r'[^/]*\z')}, 0)"
+    name, tag = f"lower(split({base}, ':')[0])", f"lower(coalesce(get(split({base}, ':'), 1), ''))"
+    is_from, is_run, is_add = (_instruction("l", word) for word in ("FROM", "RUN", "ADD"))
+    pip = _hit("GC082", f"{is_run} AND {regex('l', PIP_INSTALL)} AND NOT contains(l, '--no-cache-dir')",
+               "pip install without --no-cache-dir")
+    apt = _hit("GC082", f"{is_run} AND {regex('l', APT_INSTALL)} AND NOT contains(l, '--no-install-recommends')",
+               "apt install without --no-install-recommends")
+    return {
+        "GC080": _hit("GC080", f"{is_from} AND (contains({image}, ':latest') OR NOT contains({base}, ':'))",
+                      "Base image without a fixed tag"),
+        "GC083": _hit("GC083", f"{is_from} AND {in_list(name, FULL_IMAGES)} AND NOT contains({tag}, 'slim') "
+                               f"AND NOT contains({tag}, 'alpine')", "Full base image"),
+        "GC082": f"coalesce({pip}, {apt})",
+        "GC084": _hit("GC084", f"{is_add} AND NOT contains(lower(l), 'http') AND NOT {regex('l', ARCHIVE)}",
+                      "ADD used for local files"),
     }
-    return F.array(*(value for rule_id, value in hits.items() if rule_id in enabled))
 
 
-def _single_stage(stripped: Column) -> Column:
+def _single_stage() -> str:
     """One finding on the first FROM when no stage is named and some FROM mentions a tool chain image."""
-    froms = keep_hits(F.transform(
-        stripped,
-        lambda line, i: F.when(_instruction(line, "FROM"), F.struct((i + 1).alias("line"), line.alias("text"))),
-    ))
-    first = F.get(froms, F.lit(0))
-    alias = F.exists(froms, lambda f: f["text"].rlike(STAGE_ALIAS))
-    toolchain = F.exists(froms, lambda f: f["text"].rlike(TOOLCHAIN_IMAGE))
-    found = finding(
-        "GC081", first["line"], 0, F.substring(first["text"], 1, SNIPPET_CHARS),
-        "Single stage build on a tool chain image",
+    found = finding_sql(
+        "'GC081'", "_froms[0].line", "0", f"substring(_froms[0].text, 1, {SNIPPET_CHARS})",
+        "'Single stage build on a tool chain image'",
     )
-    return F.when(~alias & toolchain, F.array(found)).otherwise(no_findings())
+    condition = (
+        f"NOT exists(_froms, f -> {regex('f.text', STAGE_ALIAS)}) AND "
+        f"exists(_froms, f -> {regex('f.text', TOOLCHAIN_IMAGE)})"
+    )
+    return f"IF({condition}, array({found}), {NO_FINDINGS})"
 
 
 def with_docker_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -79,12 +73,17 @@ def with_docker_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     enabled = {r.id for r in rules} & set(DOCKER_RULE_IDS)
     if not enabled:
         return df.withColumn("_docker", no_findings())
-    is_docker = F.col("language") == "dockerfile"
-    df = df.withColumn("_instructions", F.when(is_docker, F.transform(F.col("_lines"), strip)))
-    lines = F.col("_instructions")
+    froms = keep_hits_sql(
+        f"transform(_steps, (l, i) -> IF({_instruction('l', 'FROM')}, named_struct('line', i + 1, 'text', l), NULL))"
+    )
     parts = []
-    if enabled - {"GC081"}:
-        parts.append(keep_hits(F.flatten(F.transform(lines, lambda line, i: _line_findings(line, i, enabled)))))
+    by_line = [hit for rule_id, hit in _line_rules().items() if rule_id in enabled]
+    if by_line:
+        parts.append(keep_hits_sql(f"flatten(transform(_steps, (l, i) -> array({', '.join(by_line)})))"))
     if "GC081" in enabled:
-        parts.append(_single_stage(lines))
-    return df.withColumn("_docker", F.when(lines.isNotNull(), F.concat(*parts)).otherwise(no_findings()))
+        parts.append(_single_stage())
+    return (
+        df.withColumn("_steps", F.expr(f"IF(language = 'dockerfile', transform(_lines, l -> {strip_sql('l')}), NULL)"))
+        .withColumn("_froms", F.expr(froms))
+        .withColumn("_docker", F.expr(f"IF(_steps IS NOT NULL, {concat_sql(parts)}, {NO_FINDINGS})"))
+    )

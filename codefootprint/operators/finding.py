@@ -1,41 +1,36 @@
-"""The finding struct every detector returns."""
+"""The finding struct every detector returns, as SQL text."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FINDING = (
-    "struct<rule_id:string,line:int,column:int,snippet:string,message:string,extra:map<string,string>>"
+    "STRUCT<rule_id: STRING, line: INT, column: INT, snippet: STRING, message: STRING, extra: MAP<STRING, STRING>>"
 )
-FINDINGS = f"array<{FINDING}>"
+NO_FINDINGS = f"CAST(array() AS ARRAY<{FINDING}>)"
+_NO_EXTRA = "CAST(map() AS MAP<STRING, STRING>)"
 
 
-def no_findings() -> Column:
-    return F.array().cast(FINDINGS)
-
-
-def finding(
-    rule_id: Column | str,
-    line: Column | int,
-    column: Column | int,
-    snippet: Column,
-    message: Column | str,
-    extra: Column | None = None,
-) -> Column:
-    def value(item):
-        return item if isinstance(item, Column) else F.lit(item)
-
-    empty = F.create_map().cast("map<string,string>")
-    return F.struct(
-        value(rule_id).alias("rule_id"),
-        value(line).cast("int").alias("line"),
-        value(column).cast("int").alias("column"),
-        snippet.alias("snippet"),
-        value(message).alias("message"),
-        (empty if extra is None else extra).alias("extra"),
+def finding_sql(
+    rule_id: str, line: str, column: str, snippet: str, message: str, extra: str = _NO_EXTRA
+) -> str:
+    """A finding from SQL expressions."""
+    return (
+        f"named_struct('rule_id', {rule_id}, 'line', CAST({line} AS INT), 'column', CAST({column} AS INT), "
+        f"'snippet', {snippet}, 'message', {message}, 'extra', {extra})"
     )
 
 
-def keep_hits(candidates: Column) -> Column:
-    return F.filter(candidates, lambda hit: hit.isNotNull())
+def keep_hits_sql(candidates: str) -> str:
+    return f"filter({candidates}, hit -> hit IS NOT NULL)"
+
+
+def no_findings() -> Column:
+    return F.expr(NO_FINDINGS)
+
+
+def concat_sql(arrays: Sequence[str]) -> str:
+    return f"concat({', '.join(arrays)})" if arrays else NO_FINDINGS

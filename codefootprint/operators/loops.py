@@ -2,57 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.rules import C_LIKE
-from ..functions.scrub import mask_code
-from ..functions.text import snippet
-from .finding import finding, no_findings
+from ..functions.scrub import mask_code_sql
+from ..functions.sqltext import in_list, quote, regex
+from ..functions.text import snippet_sql
+from .finding import NO_FINDINGS, finding_sql, no_findings
 
 _TOKENS = r"(?U)\b(?:for|while|foreach)\b|[(){};]|\n+"
 _TWO_LOOPS = r"(?s)(?:for|while).*?(?:for|while)"
 
 
-def nested_loop_lines(masked: Column) -> Column:
+def nested_loop_lines_sql(masked: str) -> str:
     """Lines (1-based) of every ``{`` that opens a loop body while a loop body is open.
 
     The open blocks are a string of ``1`` (loop body) and ``0``. A loop keyword waits for its ``{``; it is
     forgotten at a ``;`` outside parentheses, and a block inside open parentheses is never a loop body.
     """
-    start = F.struct(
-        F.lit("").alias("blocks"),
-        F.lit(False).alias("waiting"),
-        F.lit(0).alias("depth"),
-        F.lit(1).alias("line"),
-        F.array().cast("array<int>").alias("found"),
+    body = "(s.waiting AND s.depth = 0)"
+    start = "named_struct('blocks', '', 'waiting', false, 'depth', 0, 'line', 1, 'found', CAST(array() AS ARRAY<INT>))"
+    step = (
+        "named_struct("
+        f"'blocks', CASE t WHEN '{{' THEN concat(s.blocks, IF({body}, '1', '0')) "
+        "WHEN '}' THEN left(s.blocks, length(s.blocks) - 1) ELSE s.blocks END, "
+        "'waiting', CASE WHEN startswith(t, 'f') OR startswith(t, 'w') THEN true "
+        "WHEN t = '{' OR (t = ';' AND s.depth = 0) THEN false ELSE s.waiting END, "
+        "'depth', CASE t WHEN '(' THEN s.depth + 1 WHEN ')' THEN greatest(s.depth - 1, 0) ELSE s.depth END, "
+        "'line', IF(startswith(t, '\\n'), s.line + length(t), s.line), "
+        f"'found', IF(t = '{{' AND {body} AND contains(s.blocks, '1'), concat(s.found, array(s.line)), s.found))"
     )
-
-    def step(state: Column, token: Column) -> Column:
-        blocks, waiting, depth = state["blocks"], state["waiting"], state["depth"]
-        body = waiting & (depth == 0)
-        opens, closes = token == "{", token == "}"
-        return F.struct(
-            F.when(opens, F.concat(blocks, F.when(body, "1").otherwise("0")))
-            .when(closes, F.left(blocks, F.length(blocks) - 1))
-            .otherwise(blocks)
-            .alias("blocks"),
-            F.when(token.startswith("f") | token.startswith("w"), True)
-            .when(opens | ((token == ";") & (depth == 0)), False)
-            .otherwise(waiting)
-            .alias("waiting"),
-            F.when(token == "(", depth + 1)
-            .when(token == ")", F.greatest(depth - 1, F.lit(0)))
-            .otherwise(depth)
-            .alias("depth"),
-            F.when(token.startswith("\n"), state["line"] + F.length(token)).otherwise(state["line"]).alias("line"),
-            F.when(opens & body & blocks.contains("1"), F.concat(state["found"], F.array(state["line"])))
-            .otherwise(state["found"])
-            .alias("found"),
-        )
-
-    tokens = F.regexp_extract_all(masked, F.lit(_TOKENS), F.lit(0))
-    return F.aggregate(tokens, start, step, lambda state: state["found"])
+    tokens = f"regexp_extract_all({masked}, {quote(_TOKENS)}, 0)"
+    return f"aggregate({tokens}, {start}, (s, t) -> {step}, s -> s.found)"
 
 
 def with_loop_findings(df: DataFrame, enabled: bool = True) -> DataFrame:
@@ -60,13 +42,10 @@ def with_loop_findings(df: DataFrame, enabled: bool = True) -> DataFrame:
     keywords cannot nest loops and are passed by."""
     if not enabled:
         return df.withColumn("_loops", no_findings())
-    text, language = F.col("_text"), F.col("language")
-    worth = language.isin(list(C_LIKE)) & text.rlike(_TWO_LOOPS)
-    df = df.withColumn("_nested", F.when(worth, nested_loop_lines(mask_code(text, language))))
-    hits = F.transform(
-        F.col("_nested"),
-        lambda line: finding(
-            "GC001", line, 0, snippet(F.coalesce(F.get(F.col("_lines"), line - 1), F.lit(""))), "Nested loops"
-        ),
+    worth = f"{in_list('language', C_LIKE)} AND {regex('_text', _TWO_LOOPS)}"
+    found = finding_sql(
+        "'GC001'", "at", "0", snippet_sql("coalesce(get(_lines, at - 1), '')"), "'Nested loops'"
     )
-    return df.withColumn("_loops", F.coalesce(hits, no_findings()))
+    return df.withColumn(
+        "_nested", F.expr(f"IF({worth}, {nested_loop_lines_sql(mask_code_sql('_text', 'language'))}, NULL)")
+    ).withColumn("_loops", F.expr(f"coalesce(transform(_nested, at -> {found}), {NO_FINDINGS})"))

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.dimensions import HEAVY_DEPENDENCIES
 from ..catalog.rules import Rule
-from ..functions.text import SNIPPET_CHARS, split_lines, strip
-from .finding import finding, keep_hits, no_findings
+from ..functions.sqltext import in_list, map_of, quote, regex
+from ..functions.text import SNIPPET_CHARS, split_lines_sql, strip_sql, universal_newlines_sql
+from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql, no_findings
 
 # Manifest sections, version marks and open versions.
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
@@ -22,127 +23,108 @@ NAME_END = r"[=<>!~\[ ;#]"
 VERSION_MARK = r"==|~=|>=|<=|>|<"
 OPEN_VERSIONS = ("*", "x", "latest")
 
-_MANIFEST = ", ".join(f"{name} map<string,string>" for name in SECTIONS)
-_JSON_OPTIONS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+_MANIFEST = "array<struct<" + ",".join(f"{name}:map<string,string>" for name in SECTIONS) + ">>"
+_ENTRY = "STRUCT<section: STRING, key: STRING, name: STRING, version: STRING, line: INT>"
 
 
-def is_requirements(path: Column) -> Column:
-    name = F.lower(path)
-    return ~path.contains("/") & name.startswith("requirements") & name.endswith(".txt")
+def is_requirements_sql(path: str) -> str:
+    return f"(startswith(lower({path}), 'requirements') AND endswith(lower({path}), '.txt') AND NOT contains({path}, '/'))"
 
 
-def is_package_json(path: Column) -> Column:
-    return F.lower(path) == "package.json"
+def is_package_json_sql(path: str) -> str:
+    return f"(lower({path}) = 'package.json')"
 
 
-def manifest_text(content: Column) -> Column:
+def manifest_text_sql(content: str) -> str:
     """Text of a manifest with undecodable bytes left out.
 
     ``make_valid_utf8`` marks such bytes with U+FFFD; marks already in the text are set aside first.
     """
-    text = content.cast("string")
-    aside = F.replace(F.replace(text, F.lit("\0"), F.lit("\0a")), F.lit("\ufffd"), F.lit("\0b"))
-    kept = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
-    restored = F.replace(F.replace(kept, F.lit("\0b"), F.lit("\ufffd")), F.lit("\0a"), F.lit("\0"))
-    decoded = F.when(F.is_valid_utf8(text), text).otherwise(restored)
-    return F.regexp_replace(decoded, r"\r\n?", "\n")
-
-
-def requirements_array(text: Column) -> Column:
-    """``array<struct<line, text, name>>``: one element per line of a requirements file."""
-    return F.transform(
-        F.transform(split_lines(text), strip),
-        lambda line, i: F.struct(
-            (i + 1).alias("line"),
-            line.alias("text"),
-            F.lower(strip(F.get(F.split(line, NAME_END, 2), F.lit(0)))).alias("name"),
-        ),
-    )
+    text = f"CAST({content} AS STRING)"
+    null, mark = "decode(unhex('00'), 'utf-8')", r"'�'"
+    aside = f"replace(replace({text}, {null}, concat({null}, 'a')), {mark}, concat({null}, 'b'))"
+    kept = f"replace(make_valid_utf8({aside}), {mark}, '')"
+    restored = f"replace(replace({kept}, concat({null}, 'b'), {mark}), concat({null}, 'a'), {null})"
+    return f"IF(is_valid_utf8({text}), {text}, {restored})"
 
 
-def _sections(text: Column) -> Column:
-    """The section maps of a manifest; null for anything but a single JSON object. Wrapping the text into an
-    array makes trailing text an error."""
-    wrapped = F.from_json(
-        F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{_MANIFEST.replace(' map', ':map')}>>", _JSON_OPTIONS
-    )
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+def _requirements_sql(lines: str) -> str:
+    """One struct per stripped line of a requirements file."""
+    name = f"lower({strip_sql(f'split(l, {quote(NAME_END)}, 2)[0]')})"
+    return f"transform({lines}, (l, i) -> named_struct('line', i + 1, 'text', l, 'name', {name}))"
 
 
-def _last_of_each(entries: Column) -> Column:
+def _last_of_each_sql(entries: str) -> str:
     """Entries of a section, the last one of a repeated key, as JSON readers keep it."""
-    keys = F.transform(entries, lambda e: e["key"])
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    return F.when(unique, entries).otherwise(
-        F.filter(entries, lambda e, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), e["key"]) == 0)
+    keys = f"transform({entries}, e -> e.key)"
+    later = f"array_position(slice({keys}, i + 2, size({entries})), e.key)"
+    return (
+        f"IF(size(array_distinct({keys})) = size({entries}), {entries}, filter({entries}, (e, i) -> {later} = 0))"
     )
 
 
-def package_array(text: Column, lines: Column) -> Column:
-    """``array<struct<section, key, name, version, line, text>>`` of a package manifest.
-
-    ``line`` is the first line that starts with the quoted key and a colon, anywhere in the file, else 0 with
-    the key as text.
-    """
-    stripped = F.transform(lines, strip)
-    line_keys = F.transform(
-        stripped,
-        lambda s: F.when(s.rlike(r'(?U)\A"[^"]*"[\s\x1f]*:'), F.regexp_extract(s, r'\A"([^"]*)"', 1)),
+def _section_sql(section: str) -> str:
+    """Entries of one section. ``line`` is the first line that starts with the quoted key and a colon, anywhere in
+    the file, else 0. Keys with a quote inside cannot be told from the line alone, so they are compared in full."""
+    quoted = "concat('\"', e.key, '\"')"
+    in_full = (
+        f"array_position(transform(_stripped, s -> startswith(s, {quoted}) AND "
+        f"{regex(f'substring(s, length({quoted}) + 1)', r'(?U)^[\s\x1f]*:')}), true)"
     )
-
-    def first_line(key: Column) -> Column:
-        quoted = F.concat(F.lit('"'), key, F.lit('"'))
-        # Keys with a quote inside are rare and cannot be told from the line alone, so they are compared in full.
-        by_text = F.array_position(
-            F.transform(
-                stripped,
-                lambda s: F.startswith(s, quoted)
-                & F.substring(s, F.length(quoted) + 1, F.length(s)).rlike(r"(?U)\A[\s\x1f]*:"),
-            ),
-            True,
-        )
-        return F.when(key.contains('"'), by_text).otherwise(F.array_position(line_keys, key)).cast("int")
-
-    parsed = _sections(text)
-
-    def section_entries(section: str) -> Column:
-        entries = F.transform(
-            _last_of_each(F.map_entries(parsed[section])),
-            lambda e: F.struct(
-                F.lit(section).alias("section"),
-                e["key"].alias("key"),
-                F.lower(e["key"]).alias("name"),
-                F.lower(strip(F.coalesce(e["value"], F.lit("none")))).alias("version"),
-                first_line(e["key"]).alias("line"),
-            ),
-        )
-        return F.coalesce(entries, F.array().cast(
-            "array<struct<section:string,key:string,name:string,version:string,line:int>>"
-        ))
-
-    parts = [section_entries(section) for section in SECTIONS]
-    return F.transform(
-        F.concat(*parts),
-        lambda e: e.withField("text", F.when(e["line"] > 0, F.get(stripped, e["line"] - 1)).otherwise(e["key"])),
+    line = f"IF(contains(e.key, '\"'), {in_full}, array_position(_line_keys, e.key))"
+    entry = (
+        f"named_struct('section', {quote(section)}, 'key', e.key, 'name', lower(e.key), "
+        f"'version', lower({strip_sql("coalesce(e.value, 'none')")}), 'line', CAST({line} AS INT))"
     )
+    entries = _last_of_each_sql(f"map_entries(_parsed.{section})")
+    return f"coalesce(transform({entries}, e -> {entry}), CAST(array() AS ARRAY<{_ENTRY}>))"
 
 
-def _note(name: Column) -> Column:
-    notes = F.create_map(*(F.lit(v) for pair in HEAVY_DEPENDENCIES for v in pair))
-    return F.concat(F.lit("Heavy dependency '"), name, F.lit("': "), F.try_element_at(notes, name))
+def with_manifest_entries(df: DataFrame) -> DataFrame:
+    """Adds ``_requirements`` and ``_packages`` to rows with ``path`` and ``content`` (null for other files).
+
+    A package manifest has to be one JSON object. Wrapping the text into an array makes text after the object an
+    error.
+    """
+    requirements, package = is_requirements_sql("path"), is_package_json_sql("path")
+    parsed = (
+        f"from_json(concat('[', _manifest_text, ']'), '{_MANIFEST}', "
+        "map('allowSingleQuotes', 'false', 'mode', 'PERMISSIVE'))"
+    )
+    key = (
+        f"IF({regex('s', r'(?U)^"[^"]*"[\s\x1f]*:')}, regexp_extract(s, {quote(r'^"([^"]*)"')}, 1), NULL)"
+    )
+    text = "IF(e.line > 0, get(_stripped, e.line - 1), e.key)"
+    entries = f"concat({', '.join(map(_section_sql, SECTIONS))})"
+    with_line = (
+        f"transform({entries}, e -> named_struct('section', e.section, 'key', e.key, 'name', e.name, "
+        f"'version', e.version, 'line', e.line, 'text', {text}))"
+    )
+    return (
+        df.withColumn("_manifest_text", F.expr(f"IF({requirements} OR {package}, {manifest_text_sql('content')}, NULL)"))
+        .withColumn("_manifest_text", F.expr(universal_newlines_sql("_manifest_text")))
+        .withColumn("_stripped", F.expr(f"transform({split_lines_sql('_manifest_text')}, l -> {strip_sql('l')})"))
+        .withColumns({
+            "_requirements": F.expr(f"IF({requirements}, {_requirements_sql('_stripped')}, NULL)"),
+            "_sections": F.expr(f"IF({package}, {parsed}, NULL)"),
+            "_line_keys": F.expr(f"IF({package}, transform(_stripped, s -> {key}), NULL)"),
+        })
+        .withColumn("_parsed", F.expr("IF(size(_sections) = 1, _sections[0], NULL)"))
+        .withColumn("_packages", F.expr(f"IF(_parsed IS NOT NULL, {with_line}, NULL)"))
+    )
 
 
-def _entry_findings(entry: Column, heavy: bool, open_condition: Column | None, open_message: Column) -> Column:
-    names = [name for name, _ in HEAVY_DEPENDENCIES]
-    text = F.substring(entry["text"], 1, SNIPPET_CHARS)
+def _entry_hits(condition: str | None, message: str, heavy: bool) -> str:
+    """Findings of one entry ``e``: heavy by name, open by the given condition."""
+    text = f"substring(e.text, 1, {SNIPPET_CHARS})"
+    note = f"concat('Heavy dependency \\'', e.name, '\\': ', element_at({map_of(HEAVY_DEPENDENCIES)}, e.name))"
     hits = []
     if heavy:
-        hits.append(F.when(
-            entry["name"].isin(names), finding("GC051", entry["line"], 0, text, _note(entry["name"]))
-        ))
-    if open_condition is not None:
-        hits.append(F.when(open_condition, finding("GC052", entry["line"], 0, text, open_message)))
-    return F.array(*hits)
+        found = finding_sql("'GC051'", "e.line", "0", text, note)
+        hits.append(f"IF({in_list('e.name', [name for name, _ in HEAVY_DEPENDENCIES])}, {found}, NULL)")
+    if condition:
+        hits.append(f"IF({condition}, {finding_sql("'GC052'", 'e.line', '0', text, message)}, NULL)")
+    return f"array({', '.join(hits)})"
 
 
 def with_manifest_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -151,55 +133,36 @@ def with_manifest_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     if not enabled:
         return df.withColumn("_manifest", no_findings())
     heavy, loose = "GC051" in enabled, "GC052" in enabled
-    df = with_manifest_entries(df)
-
-    def requirement(e: Column) -> Column:
-        unpinned = (
-            (e["text"] != "") & ~e["text"].startswith("#") & (e["name"] != "") & ~e["text"].rlike(VERSION_MARK)
-        )
-        message = F.concat(F.lit("Dependency '"), e["name"], F.lit("' without a version"))
-        return _entry_findings(e, heavy, unpinned if loose else None, message)
-
-    def package(e: Column) -> Column:
-        version = e["version"]
-        message = F.concat(F.lit("Dependency '"), e["name"], F.lit("' with open version "), version)
-        return _entry_findings(
-            e, heavy, (version.isin(*OPEN_VERSIONS) | version.endswith(".x")) if loose else None, message
-        )
-
-    def hits(entries: str, rule) -> Column:
-        found = keep_hits(F.flatten(F.transform(F.col(entries), rule)))
-        return F.coalesce(found, no_findings())
-
-    return df.withColumn("_manifest", F.concat(hits("_requirements", requirement), hits("_packages", package)))
-
-
-def with_manifest_entries(df: DataFrame) -> DataFrame:
-    """Adds ``_requirements`` and ``_packages`` (null for other files)."""
-    path = F.col("path")
-    df = df.withColumn(
-        "_manifest_text",
-        F.when(is_requirements(path) | is_package_json(path), manifest_text(F.col("content"))),
+    unpinned = (
+        f"e.text <> '' AND NOT startswith(e.text, '#') AND e.name <> '' AND NOT ({regex('e.text', VERSION_MARK)})"
+    )
+    opened = f"({in_list('e.version', OPEN_VERSIONS)} OR endswith(e.version, '.x'))"
+    requirement = _entry_hits(
+        unpinned if loose else None, "concat('Dependency \\'', e.name, '\\' without a version')", heavy
     )
-    text = F.col("_manifest_text")
-    return df.withColumns({
-        "_requirements": F.when(is_requirements(path), requirements_array(text)),
-        "_packages": F.when(is_package_json(path), package_array(text, split_lines(text))),
-    })
+    package = _entry_hits(
+        opened if loose else None, "concat('Dependency \\'', e.name, '\\' with open version ', e.version)", heavy
+    )
+    parts = [
+        f"coalesce({keep_hits_sql(f'flatten(transform({column}, e -> {hits}))')}, {NO_FINDINGS})"
+        for column, hits in (("_requirements", requirement), ("_packages", package))
+    ]
+    return with_manifest_entries(df).withColumn("_manifest", F.expr(concat_sql(parts)))
 
 
 def requirement_entries(files: DataFrame) -> DataFrame:
     """One row per line of every root ``requirements*.txt``."""
-    rows = files.filter(is_requirements(F.col("path"))).select(
-        "repo_id", "path", F.explode(requirements_array(manifest_text(F.col("content")))).alias("e")
+    rows = with_manifest_entries(files.filter(is_requirements_sql("path"))).select(
+        "repo_id", "path", F.explode_outer("_requirements").alias("e")
     )
-    return rows.select("repo_id", "path", "e.line", "e.name", "e.text")
+    return rows.filter("e IS NOT NULL").select("repo_id", "path", "e.line", "e.name", "e.text")
 
 
 def package_entries(files: DataFrame) -> DataFrame:
     """One row per dependency of every root ``package.json``, with the line it is declared on."""
-    texts = files.filter(is_package_json(F.col("path"))).withColumn("_text", manifest_text(F.col("content")))
-    rows = texts.select(
-        "repo_id", "path", F.explode(package_array(F.col("_text"), split_lines(F.col("_text")))).alias("e")
+    rows = with_manifest_entries(files.filter(is_package_json_sql("path"))).select(
+        "repo_id", "path", F.explode_outer("_packages").alias("e")
+    )
+    return rows.filter("e IS NOT NULL").select(
+        "repo_id", "path", "e.section", "e.key", "e.name", "e.version", "e.line", "e.text"
     )
-    return rows.select("repo_id", "path", "e.section", "e.key", "e.name", "e.version", "e.line", "e.text")

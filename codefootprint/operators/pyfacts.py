@@ -161,5 +161,6 @@ def _facts(texts: pa.Array) -> pa.Array:
 
 def with_syntax_facts(df: DataFrame) -> DataFrame:
     """Adds ``_facts`` to rows with ``language`` and ``_text``; only Python texts cross to the parser."""
-    syntax_facts = F.arrow_udf(_facts, FACTS)
+    # Declared nondeterministic so that the optimizer neither repeats the parse nor moves a filter onto it.
+    syntax_facts = F.arrow_udf(_facts, FACTS).asNondeterministic()
     return df.withColumn("_facts", syntax_facts(F.when(F.col("language") == "python", F.col("_text"))))

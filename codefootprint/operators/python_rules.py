@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.rules import Rule
-from ..functions.text import snippet
-from .finding import finding, no_findings
+from ..functions.sqltext import in_list, map_of, quote
+from ..functions.text import snippet_sql
+from .finding import NO_FINDINGS, finding_sql
 from .pyfacts import with_syntax_facts
 
 # Names the rules look for.
@@ -27,90 +28,80 @@ REDUCERS = ("sum", "any", "all", "min", "max")
 LOOP_KINDS = ("For", "AsyncFor", "While")
 FUNCTION_KINDS = ("FunctionDef", "AsyncFunctionDef")
 
-PYTHON_RULE_IDS = (
-    "GC001", "GC002", "GC003", "GC004", "GC005", "GC007", "GC008", "GC009", "GC011", "GC012", "GC013", "GC020",
-    "GC021",
-)
 
+_IN_LOOP = "n.loop_depth > 0"
+_NETWORK = (
+    f"(({in_list('n.call_root', NETWORK_MODULES)} AND {in_list('n.call_attr', NETWORK_METHODS)}) "
+    "OR n.call_attr = 'urlopen')"
+)
+_QUERY = (
+    f"({in_list('n.call_attr', QUERY_METHODS)} AND ({in_list('n.call_root', QUERY_OWNERS)} "
+    f"OR (n.call_root = '' AND {in_list('n.call_attr', DRIVER_METHODS)})))"
+)
+_CACHED = f"arrays_overlap(n.decorators, array({', '.join(map(quote, CACHE_DECORATORS))}))"
+_CALL = ("Call",)
 
-def _conditions(node: Column, sleeps: Column, self_calls: Column) -> dict[str, tuple[tuple[str, ...], Column]]:
-    """Rule id -> (node kinds, condition)."""
-    in_loop = node["loop_depth"] > 0
-    root, attr, bare = node["call_root"], node["call_attr"], node["func_is_name"]
-    call = ("Call",)
-    network = (root.isin(*NETWORK_MODULES) & attr.isin(*NETWORK_METHODS)) | (attr == "urlopen")
-    query = attr.isin(*QUERY_METHODS) & (root.isin(*QUERY_OWNERS) | ((root == "") & attr.isin(*DRIVER_METHODS)))
-    sleeps_below = F.exists(sleeps, lambda at: (at > node["pre"]) & (at <= node["post"]))
-    calls_itself = F.size(F.filter(self_calls, lambda at: at == node["pre"]))
-    cached = F.arrays_overlap(node["decorators"], F.array(*map(F.lit, CACHE_DECORATORS)))
-    return {
-        "GC001": (LOOP_KINDS, in_loop),
-        "GC002": (("AugAssign",), in_loop & node["is_add"] & node["string_like"]),
-        "GC003": (("While",), node["const_true"] & sleeps_below),
-        "GC004": (call, in_loop & (root == "re") & attr.isin(*RE_METHODS)),
-        "GC005": (call, (root == "time") & (attr == "sleep") & node["async_scope"]),
-        "GC007": (call, in_loop & ((bare & (attr == "sorted")) | (attr == "sort"))),
-        "GC008": (("Compare",), in_loop & node["in_literal_seq"]),
-        "GC009": (FUNCTION_KINDS, ~cached & (calls_itself >= 2)),
-        "GC011": (call, bare & (attr == "open") & (node["field"] != "context_expr")),
-        "GC012": (call, (node["arg0_kind"] == "ListComp") & ((bare & attr.isin(*REDUCERS)) | (attr == "join"))),
-        "GC013": (call, in_loop & (attr == "deepcopy")),
-        "GC020": (call, in_loop & network),
-        "GC021": (call, in_loop & ~network & query),
-    }
+# Rule id -> node kinds it looks at and its condition on a node ``n``. ``_sleeps`` and ``_self_calls`` hold node
+# numbers of the same file: attribute calls of sleep, and functions named by calls inside them.
+CONDITIONS: dict[str, tuple[tuple[str, ...], str]] = {
+    "GC001": (LOOP_KINDS, _IN_LOOP),
+    "GC002": (("AugAssign",), f"{_IN_LOOP} AND n.is_add AND n.string_like"),
+    "GC003": (("While",), "n.const_true AND exists(_sleeps, at -> at > n.pre AND at <= n.post)"),
+    "GC004": (_CALL, f"{_IN_LOOP} AND n.call_root = 're' AND {in_list('n.call_attr', RE_METHODS)}"),
+    "GC005": (_CALL, "n.call_root = 'time' AND n.call_attr = 'sleep' AND n.async_scope"),
+    "GC007": (_CALL, f"{_IN_LOOP} AND ((n.func_is_name AND n.call_attr = 'sorted') OR n.call_attr = 'sort')"),
+    "GC008": (("Compare",), f"{_IN_LOOP} AND n.in_literal_seq"),
+    "GC009": (FUNCTION_KINDS, f"NOT {_CACHED} AND size(filter(_self_calls, at -> at = n.pre)) >= 2"),
+    "GC011": (_CALL, "n.func_is_name AND n.call_attr = 'open' AND n.field <> 'context_expr'"),
+    "GC012": (_CALL, "n.arg0_kind = 'ListComp' AND ((n.func_is_name AND "
+                     f"{in_list('n.call_attr', REDUCERS)}) OR n.call_attr = 'join')"),
+    "GC013": (_CALL, f"{_IN_LOOP} AND n.call_attr = 'deepcopy'"),
+    "GC020": (_CALL, f"{_IN_LOOP} AND {_NETWORK}"),
+    "GC021": (_CALL, f"{_IN_LOOP} AND NOT {_NETWORK} AND {_QUERY}"),
+}
+PYTHON_RULE_IDS = tuple(CONDITIONS)
 
 
-def _fired(node: Column, enabled: set[str], sleeps: Column, self_calls: Column) -> Column:
-    """Ids of the rules a node breaks. The conditions are grouped by node kind so each node meets only its own."""
-    groups: dict[tuple[str, ...], list[Column]] = {}
-    for rule_id, (kinds, condition) in _conditions(node, sleeps, self_calls).items():
+def _fired_sql(enabled: set[str]) -> str:
+    """Ids of the rules a node ``n`` breaks. Conditions are grouped by node kind so each node meets only its own."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for rule_id, (kinds, condition) in CONDITIONS.items():
         if rule_id in enabled:
-            groups.setdefault(kinds, []).append(F.when(condition, F.lit(rule_id)))
-    none = F.array().cast("array<string>")
+            groups.setdefault(kinds, []).append(f"IF({condition}, {quote(rule_id)}, NULL)")
+    none = "CAST(array() AS ARRAY<STRING>)"
     parts = [
-        F.when(node["kind"].isin(*kinds), F.array_compact(F.array(*ids))).otherwise(none)
+        f"IF({in_list('n.kind', kinds)}, array_compact(array({', '.join(ids)})), {none})"
         for kinds, ids in groups.items()
     ]
-    return F.flatten(F.array(*parts))
+    return f"concat({', '.join(parts)})"
 
 
-def with_python_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds ``_python`` and ``_error`` to rows with ``language``, ``_text`` and ``_lines``."""
-    names = {r.id: r.name for r in rules if r.id in PYTHON_RULE_IDS}
-    df = with_syntax_facts(df)
-    nodes = F.col("_facts.nodes")
-    df = df.withColumns({
-        "_sleeps": F.transform(
-            F.filter(nodes, lambda n: (n["call_attr"] == "sleep") & ~n["func_is_name"]), lambda n: n["pre"]
-        ),
-        "_self_calls": F.flatten(F.transform(
-            F.filter(nodes, lambda n: n["calls_enclosing"].isNotNull()), lambda n: n["calls_enclosing"]
-        )),
-    })
-    if not names:
-        findings = no_findings()
-    else:
-        title = F.create_map(*(F.lit(v) for pair in names.items() for v in pair))
+def _report_sql(names: dict[str, str]) -> str:
+    subject = (
+        "CASE WHEN n.kind = 'Call' THEN concat(': ', IF(n.call_root <> '', concat(n.call_root, '.'), ''), n.call_attr) "
+        "WHEN n.name IS NOT NULL THEN concat(': ', n.name) ELSE '' END"
+    )
+    message = f"concat(element_at({map_of(names.items())}, rule_id), {subject})"
+    found = finding_sql("rule_id", "n.line", "n.col", snippet_sql("coalesce(get(_lines, n.line - 1), '')"), message)
+    return f"flatten(transform(_facts.nodes, n -> transform({_fired_sql(set(names))}, rule_id -> {found})))"
 
-        def report(node: Column) -> Column:
-            subject = F.when(
-                node["kind"] == "Call",
-                F.concat(F.lit(": "), F.when(node["call_root"] != "", F.concat(node["call_root"], F.lit(".")))
-                         .otherwise(""), node["call_attr"]),
-            ).when(node["name"].isNotNull(), F.concat(F.lit(": "), node["name"])).otherwise("")
-            text = snippet(F.coalesce(F.get(F.col("_lines"), node["line"] - 1), F.lit("")))
-            return F.transform(
-                _fired(node, set(names), F.col("_sleeps"), F.col("_self_calls")),
-                lambda rule_id: finding(
-                    rule_id, node["line"], node["col"], text, F.concat(F.try_element_at(title, rule_id), subject)
-                ),
-            )
 
-        findings = F.when(F.size(nodes) > 0, F.flatten(F.transform(nodes, report))).otherwise(no_findings())
-    return df.withColumns({
-        "_python": findings,
-        "_error": F.when(
-            F.col("_facts.error").isNotNull(),
-            F.concat(F.lit("Python syntax error ("), F.col("_facts.error"), F.lit(")")),
-        ),
-    })
+def with_python_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Adds ``_python`` and ``_error`` to rows with ``language``, ``_text`` and ``_lines``."""
+    names = {r.id: r.name for r in rules if r.id in CONDITIONS}
+    found = f"IF(size(_facts.nodes) > 0, {_report_sql(names)}, {NO_FINDINGS})" if names else NO_FINDINGS
+    return (
+        with_syntax_facts(df)
+        .withColumns({
+            "_sleeps": F.expr(
+                "transform(filter(_facts.nodes, n -> n.call_attr = 'sleep' AND NOT n.func_is_name), n -> n.pre)"
+            ),
+            "_self_calls": F.expr(
+                "flatten(transform(filter(_facts.nodes, n -> n.calls_enclosing IS NOT NULL), n -> n.calls_enclosing))"
+            ),
+        })
+        .withColumns({
+            "_python": F.expr(found),
+            "_error": F.expr("concat('Python syntax error (', _facts.error, ')')"),
+        })
+    )

@@ -9,52 +9,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.rules import Rule
-from ..functions.scrub import strip_comments
-from ..functions.text import code_point_column, java_regex, snippet, split_lines
-from .finding import finding, keep_hits, no_findings
+from ..functions.scrub import strip_comments_sql
+from ..functions.sqltext import any_of, contains_any, in_list, quote, regex
+from ..functions.text import code_point_column_sql, java_regex, snippet_sql, split_lines_sql
+from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql, no_findings
 
 
 def regex_rules(rules: Sequence[Rule]) -> list[Rule]:
     return [r for r in rules if r.detector == "regex" and r.pattern]
 
 
-def _admits(rule: Rule, text: Column, lowered: Column, ascii_only: Column, language: Column) -> Column:
-    covered = language.isin(list(rule.languages)) if rule.languages else language.isNotNull()
+def _admits(rule: Rule) -> str:
+    covered = in_list("language", rule.languages) if rule.languages else "language IS NOT NULL"
     if not rule.hints:
         return covered
-    searched = lowered if rule.ignore_case else text
-    hinted = F.lit(False)
-    for hint in rule.hints:
-        hinted = hinted | searched.contains(hint)
-    if rule.ignore_case:
-        # Beyond ASCII, letters fold in ways a lower-cased substring search does not see.
-        hinted = hinted | ~ascii_only
-    return covered & hinted
+    if not rule.ignore_case:
+        return f"{covered} AND {contains_any('_text', rule.hints)}"
+    # Beyond ASCII, letters fold in ways a search in the lower-cased text does not see.
+    return f"{covered} AND (NOT _ascii OR {contains_any('_lower', rule.hints)})"
 
 
-def _line_hits(rule: Rule, lines: Column, scrubbed: Column) -> Column:
-    pattern = java_regex(rule.pattern, rule.ignore_case)
-
-    def test(line: Column, index: Column) -> Column:
-        hit = line.rlike(pattern)
-        if rule.require_absent:
-            hit = hit & ~line.rlike(java_regex(rule.require_absent, rule.ignore_case))
-        return F.when(
-            hit,
-            finding(
-                rule.id,
-                index + 1,
-                code_point_column(line, rule.pattern, rule.ignore_case),
-                snippet(F.coalesce(F.get(lines, index), line)),
-                rule.name,
-            ),
-        )
-
-    return keep_hits(F.transform(scrubbed, test))
+def _line_hits(rule: Rule) -> str:
+    hit = regex("line", java_regex(rule.pattern, rule.ignore_case))
+    if rule.require_absent:
+        hit += f" AND NOT {regex('line', java_regex(rule.require_absent, rule.ignore_case))}"
+    found = finding_sql(
+        quote(rule.id), "i + 1", code_point_column_sql("line", rule.pattern, rule.ignore_case),
+        snippet_sql("coalesce(get(_lines, i), line)"), quote(rule.name),
+    )
+    return keep_hits_sql(f"transform(_scrubbed, (line, i) -> IF({hit}, {found}, NULL))")
 
 
 def with_regex_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -62,25 +49,16 @@ def with_regex_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     active = regex_rules(rules)
     if not active:
         return df.withColumn("_regex", no_findings())
-    text, language = F.col("_text"), F.col("language")
-    df = df.withColumns({
-        "_lower": F.when(language.isNotNull(), F.lower(text)),
-        "_ascii": F.octet_length(text) == F.length(text),
-    })
-    df = df.withColumn(
-        "_admit",
-        F.struct(*(
-            F.coalesce(_admits(r, text, F.col("_lower"), F.col("_ascii"), language), F.lit(False)).alias(f"r{i}")
-            for i, r in enumerate(active)
-        )),
+    flags = [f"r{i}" for i in range(len(active))]
+    fields = ", ".join(f"'{flag}', coalesce({_admits(rule)}, false)" for flag, rule in zip(flags, active))
+    some = any_of(f"_admit.{flag}" for flag in flags)
+    hits = [f"IF(_admit.{flag}, {_line_hits(rule)}, {NO_FINDINGS})" for flag, rule in zip(flags, active)]
+    return (
+        df.withColumns({
+            "_lower": F.expr("IF(language IS NOT NULL, lower(_text), NULL)"),
+            "_ascii": F.expr("octet_length(_text) = char_length(_text)"),
+        })
+        .withColumn("_admit", F.expr(f"named_struct({fields})"))
+        .withColumn("_scrubbed", F.expr(f"IF({some}, {split_lines_sql(strip_comments_sql('_text', 'language'))}, NULL)"))
+        .withColumn("_regex", F.expr(f"IF({some}, {concat_sql(hits)}, {NO_FINDINGS})"))
     )
-    admitted = [F.col(f"_admit.r{i}") for i in range(len(active))]
-    some = F.lit(False)
-    for flag in admitted:
-        some = some | flag
-    df = df.withColumn("_scrubbed", F.when(some, split_lines(strip_comments(text, language))))
-    hits = [
-        F.when(flag, _line_hits(rule, F.col("_lines"), F.col("_scrubbed"))).otherwise(no_findings())
-        for rule, flag in zip(active, admitted)
-    ]
-    return df.withColumn("_regex", F.when(some, F.flatten(F.array(*hits))).otherwise(no_findings()))

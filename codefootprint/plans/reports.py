@@ -64,7 +64,7 @@ def top_violations(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, k: i
         ranked.withColumn("rank", F.row_number().over(window))
         .filter(F.col("rank") <= k)
         .select(
-            "repo_id", "rank", "rule_id", "severity", location(F.col("path"), F.col("line")).alias("location"),
+            "repo_id", "rank", "rule_id", "severity", location("path", "line").alias("location"),
             F.substring("snippet", 1, 90).alias("snippet"),
         )
     )
@@ -87,7 +87,7 @@ def top_per_rule(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, k: int
     shown = known.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
     counts = found.groupBy("repo_id", "rule_id").agg(F.count(F.lit(1)).alias("count"))
     return shown.join(counts, ["repo_id", "rule_id"]).select(
-        "repo_id", "rule_id", "rank", location(F.col("path"), F.col("line")).alias("location"), "snippet", "count",
+        "repo_id", "rule_id", "rank", location("path", "line").alias("location"), "snippet", "count",
         F.greatest(F.col("count") - k, F.lit(0)).alias("others"),
     )
 

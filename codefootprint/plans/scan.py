@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..catalog.rules import DEFAULT_RULES, Rule
 from ..functions.paths import detect_language
-from ..functions.text import blank_filter, split_lines
-from ..operators.asset_rules import asset_findings
+from ..functions.text import count_nonblank_sql, split_lines
+from ..operators.asset_rules import asset_findings_sql
 from ..operators.docker_rules import with_docker_findings
-from ..operators.finding import no_findings
+from ..operators.finding import NO_FINDINGS
 from ..operators.loops import with_loop_findings
 from ..operators.manifest_rules import with_manifest_findings
 from ..operators.pyfacts import with_syntax_facts
@@ -28,7 +28,7 @@ from ..sources.corpus import prune_ignored_dirs, with_text
 
 def _with_text_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """All detectors that read the text: needs ``language`` and ``_text``."""
-    df = df.withColumn("_lines", split_lines(F.col("_text")))
+    df = df.withColumn("_lines", split_lines("_text"))
     df = with_docker_findings(df, rules)
     df = with_regex_findings(df, rules)
     df = with_loop_findings(df, any(r.id == "GC001" for r in rules))
@@ -36,7 +36,7 @@ def _with_text_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def _code_lines():
-    return F.when(F.col("_lines").isNotNull(), F.size(F.filter("_lines", blank_filter))).otherwise(0).cast("int")
+    return F.expr(f"IF(_lines IS NULL, 0, {count_nonblank_sql('_lines')})")
 
 
 def scan_files(
@@ -49,16 +49,16 @@ def scan_files(
     """
     rules = tuple(rules)
     df = with_text(prune_ignored_dirs(files, ignored_dirs))
-    assets = asset_findings(F.col("path"), F.col("length"), rules)
+    assets = asset_findings_sql("path", "length", rules)
     if "scanned" in files.columns:
         df = df.withColumn("_text", F.when(F.col("scanned"), F.col("_text")))
-        assets = F.when(F.col("scanned"), assets).otherwise(no_findings())
+        assets = f"IF(scanned, {assets}, {NO_FINDINGS})"
     df = with_manifest_findings(_with_text_findings(df, rules), rules)
     return df.select(
         *(name for name in ("repo_id", "folder", "path", "scanned", "language") if name in df.columns),
         _code_lines().alias("code_lines"),
         F.col("length").cast("bigint").alias("bytes"),
-        F.concat(assets, "_docker", "_regex", "_loops", "_python", "_manifest").alias("findings"),
+        F.concat(F.expr(assets), "_docker", "_regex", "_loops", "_python", "_manifest").alias("findings"),
         F.col("_error").alias("error"),
     )
 
@@ -72,7 +72,7 @@ def scan_sources(sources: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> D
     df = sources.select(
         "repo_id",
         F.col("name").alias("path"),
-        F.coalesce(F.col("language"), detect_language(F.col("name")), F.lit("python")).alias("language"),
+        F.coalesce(F.col("language"), detect_language("name"), F.lit("python")).alias("language"),
         F.col("source").alias("_text"),
     )
     df = _with_text_findings(df, tuple(rules))
@@ -89,7 +89,9 @@ def scan_sources(sources: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> D
 
 def violations(scanned: DataFrame) -> DataFrame:
     """One row per finding: ``repo_id, rule_id, path, line, column, snippet, message, extra``."""
-    rows = scanned.select("repo_id", "path", F.explode("findings").alias("f"))
+    # The outer form keeps the optimizer from pushing a size filter, and with it a second copy of every detector,
+    # below the projections.
+    rows = scanned.select("repo_id", "path", F.explode_outer("findings").alias("f")).filter(F.col("f").isNotNull())
     return rows.select(
         "repo_id", "f.rule_id", "path", "f.line", "f.column", "f.snippet", "f.message", "f.extra"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import WHITESPACE
 
 # Limits of the admission checks.
 MAX_SNIPPET_BYTES = 200_000
@@ -19,8 +19,8 @@ SNIPPET_LANGUAGES = (
 
 def admit_snippets(snippets: DataFrame) -> DataFrame:
     """``(name, source, language)`` rows that may be scanned: not blank, not too large, a known language."""
-    source, language = F.col("source"), strip(F.coalesce(F.col("language"), F.lit("python")))
-    return snippets.filter((strip(source) != "") & (F.octet_length(source) <= MAX_SNIPPET_BYTES)).withColumn(
+    source, language = F.col("source"), F.btrim(F.coalesce("language", F.lit("python")), F.lit(WHITESPACE))
+    return snippets.filter((F.btrim(source, F.lit(WHITESPACE)) != "") & (F.octet_length(source) <= MAX_SNIPPET_BYTES)).withColumn(
         "language", F.when(language.isin(*SNIPPET_LANGUAGES), language).otherwise("python")
     )
 

@@ -7,10 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import base_name, detect_language, is_ignored_path
-from ..functions.text import universal_newlines
-from ..operators.asset_rules import is_asset
-from ..operators.manifest_rules import is_package_json, is_requirements
+from ..functions.paths import base_name_sql, detect_language_sql, is_ignored_path
+from ..functions.text import universal_newlines_sql
+from ..operators.asset_rules import is_asset_sql
+from ..operators.manifest_rules import is_package_json_sql, is_requirements_sql
 
 # Fixed value: larger texts are listed but not scanned.
 MAX_TEXT_BYTES = 2 * 1024 * 1024
@@ -43,7 +43,7 @@ def files_from_binary(spark: SparkSession, paths: list[str], root: str) -> DataF
 
 
 def prune_ignored_dirs(files: DataFrame, ignored_dirs: Iterable[str] | None = None) -> DataFrame:
-    return files.filter(~is_ignored_path(F.col("path"), ignored_dirs))
+    return files.filter(~is_ignored_path("path", ignored_dirs))
 
 
 def requested_files(files: DataFrame, requests: DataFrame) -> DataFrame:
@@ -54,13 +54,13 @@ def requested_files(files: DataFrame, requests: DataFrame) -> DataFrame:
     do not multiply its manifests.
     """
     folder = F.regexp_extract("path", r"(?s)\A(.*/)?", 0)
-    name = base_name(F.col("path"))
+    name = F.expr(base_name_sql("path"))
     wanted = requests.select("repo_id", "path").distinct()
     folders = wanted.select("repo_id", folder.alias("folder")).distinct()
     placed = files.withColumns({"folder": folder, "name": name})
     scanned = placed.join(wanted, ["repo_id", "path"], "left_semi").withColumn("scanned", F.lit(True))
     manifests = (
-        placed.filter(is_requirements(F.col("name")) | is_package_json(F.col("name")))
+        placed.filter(f"{is_requirements_sql('name')} OR {is_package_json_sql('name')}")
         .join(folders, ["repo_id", "folder"], "left_semi")
         .join(wanted, ["repo_id", "path"], "left_anti")
         .withColumn("scanned", F.lit(False))
@@ -79,17 +79,22 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def decode_text(content: Column) -> Column:
+def decode_text_sql(content: str) -> str:
+    raw = f"CAST({content} AS STRING)"
+    return f"IF(is_valid_utf8({raw}), {universal_newlines_sql(raw)}, NULL)"
+
+
+def decode_text(content: str) -> Column:
     r"""Text of a file, null when it is not UTF-8. Line ends become ``\n``."""
-    raw = content.cast("string")
-    return F.when(F.is_valid_utf8(raw), universal_newlines(raw))
+    return F.expr(decode_text_sql(content))
 
 
 def with_text(files: DataFrame) -> DataFrame:
     """Adds ``language`` and ``_text``. Assets and oversized files keep a null text; assets have no language."""
-    asset = is_asset(F.col("path"))
-    readable = ~asset & (F.col("length") <= MAX_TEXT_BYTES)
+    asset = is_asset_sql("path")
     return files.withColumns({
-        "language": F.when(~asset, detect_language(F.col("path"))),
-        "_text": F.when(readable, decode_text(F.col("content"))),
+        "language": F.expr(f"IF({asset}, NULL, {detect_language_sql('path')})"),
+        "_text": F.expr(
+            f"IF({asset} OR length > {MAX_TEXT_BYTES}, NULL, {decode_text_sql('content')})"
+        ),
     })

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import WHITESPACE
 
 # Hosts, name characters and URL schemes that have ``;`` parameters.
 ALLOWED_HOSTS = ("github.com", "www.github.com")
@@ -19,7 +19,7 @@ PARAMETER_SCHEMES = (
 
 def normalize_targets(targets: DataFrame, column: str = "target", hosts: Sequence[str] = ALLOWED_HOSTS) -> DataFrame:
     """Adds ``owner`` and ``repo``, both null when the target is not accepted."""
-    target = strip(F.coalesce(F.col(column), F.lit("")))
+    target = F.btrim(F.coalesce(column, F.lit("")), F.lit(WHITESPACE))
     df = targets.withColumn("_target", target)
     t = F.col("_target")
     short = ~t.contains("://") & ~t.contains("@") & (F.length(t) - F.length(F.replace(t, F.lit("/"))) == 1)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefootprint.catalog import DEFAULT_RULES
+from codefootprint.functions.sqltext import quote
 from codefootprint.sources import spread
 
 from .templates import TEMPLATES
@@ -33,8 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(values, index: Column) -> Column:
-    """The ``index``-th (from 0) of some literal values."""
-    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+    """The ``index``-th (from 0) of some literal strings."""
+    literals = ", ".join("NULL" if v is None else quote(v) for v in values)
+    return F.element_at(F.expr(f"array({literals})"), (index + 1).cast("int"))
 
 
 def text(value: Column) -> Column:

@@ -131,7 +131,7 @@ def decode_text(spark, sf_dir):
         .when(F.col("doc_id") % 3 == 2, F.encode(windows, "utf-8"))
         .otherwise(F.encode("text", "utf-8"))
     )
-    decoded = docs.select("doc_id", cf.decode_text(content).alias("text"))
+    decoded = docs.withColumn("content", content).select("doc_id", cf.decode_text("content").alias("text"))
     return decoded.select("doc_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
@@ -151,31 +151,31 @@ def normalize_targets(spark, sf_dir):
 # ------------------------------------------------------------------ scalar functions
 def detect_language_query(spark, sf_dir):
     path = F.concat(F.lit("d/"), C.text(F.col("l_orderkey")), F.lit("/"), C.pick(PATHS, F.col("l_partkey") % len(PATHS)))
-    return C.table(spark, sf_dir, "lineitem").select(path.alias("path")).withColumn("language", detect_language(F.col("path")))
+    return C.table(spark, sf_dir, "lineitem").select(path.alias("path")).withColumn("language", detect_language("path"))
 
 
 def count_code_lines_query(spark, sf_dir):
     files = C.text_volume(spark, sf_dir)
-    return files.select("repo_id", "path", count_code_lines(F.col("content")).alias("code_lines"))
+    return files.select("repo_id", "path", count_code_lines("content").alias("code_lines"))
 
 
 def explode_lines(spark, sf_dir):
     files = C.text_volume(spark, sf_dir)
-    lines = files.select("repo_id", "path", F.posexplode(split_lines(F.col("content"))).alias("pos", "text"))
+    lines = files.select("repo_id", "path", F.posexplode(split_lines("content")).alias("pos", "text"))
     return lines.select("repo_id", "path", (F.col("pos") + 1).alias("line"), "text")
 
 
 def strip_comments_query(spark, sf_dir):
-    return C.code(spark, sf_dir).select("path", strip_comments(F.col("content"), detect_language(F.col("path"))).alias("text"))
+    return C.code(spark, sf_dir).withColumn("language", detect_language("path")).select("path", strip_comments("content", "language").alias("text"))
 
 
 def mask_code_query(spark, sf_dir):
-    return C.code(spark, sf_dir).select("path", mask_code(F.col("content"), detect_language(F.col("path"))).alias("text"))
+    return C.code(spark, sf_dir).withColumn("language", detect_language("path")).select("path", mask_code("content", "language").alias("text"))
 
 
 def human_size_query(spark, sf_dir):
     length = F.pow(F.col("l_extendedprice") / 100, F.col("l_linenumber") % 4 + 1).cast("bigint")
-    return C.table(spark, sf_dir, "lineitem").select(length.alias("length")).withColumn("label", human_size(F.col("length")))
+    return C.table(spark, sf_dir, "lineitem").select(length.alias("length")).withColumn("label", human_size("length"))
 
 
 def label_violations(spark, sf_dir):
@@ -220,7 +220,7 @@ def py_syntax_errors(spark, sf_dir):
 
 def gc001(clike: bool, spark, sf_dir):
     found = cf.violations(cf.scan_files(C.code(spark, sf_dir), select_rules(("GC001",))))
-    return places(found.filter((detect_language(F.col("path")) != "python") == F.lit(clike)))
+    return places(found.filter((detect_language("path") != "python") == F.lit(clike)))
 
 
 # ------------------------------------------------------------------ manifests

@@ -12,10 +12,11 @@ from .corpus import (
     spread,
     with_text,
 )
+from .listing import files_from_listing
 from .targets import normalize_targets
 
 __all__ = [
-    "FILES_SCHEMA", "MAX_TEXT_BYTES", "admit_repos", "admit_snippets", "decode_text", "files_from_binary",
+    "FILES_SCHEMA", "MAX_TEXT_BYTES", "admit_repos", "admit_snippets", "decode_text", "files_from_binary", "files_from_listing",
     "missing_repo_errors", "normalize_targets", "prune_ignored_dirs", "read_corpus", "requested_files", "spread",
     "with_text",
 ]

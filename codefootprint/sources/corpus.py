@@ -25,8 +25,8 @@ def read_corpus(spark: SparkSession, table: str) -> DataFrame:
 def files_from_binary(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
     """Files read directly. ``root`` is the folder that holds one folder per repository.
 
-    A recursive listing hides names that start with a dot or an underscore, so pass the paths (or globs such as
-    ``root/*/.*``) of such files explicitly.
+    Spark's recursive listing hides names that start with a dot or an underscore; ``files_from_listing`` reads those
+    too.
     """
     loaded = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)

@@ -43,15 +43,19 @@ def extension_sql(path: str) -> str:
     return f"lower(regexp_extract(trim(LEADING '.' FROM {base_name_sql(path)}), {quote(r'\.[^.]*\z')}, 0))"
 
 
-def detect_language_sql(path: str) -> str:
-    """Language of a path, null when unknown. The three Dockerfile name forms win over the extension."""
-    name = f"lower({base_name_sql(path)})"
+def language_of_name_sql(name: str, ext: str) -> str:
+    """Language from a lower-cased base name and its extension, null when unknown. The three Dockerfile name forms
+    win over the extension."""
     return (
         f"CASE WHEN {name} = 'dockerfile' OR endswith({name}, '.dockerfile') OR startswith({name}, 'dockerfile.') "
-        f"THEN 'dockerfile' ELSE try_element_at({map_of(EXTENSION_LANGUAGE.items())}, {extension_sql(path)}) END"
+        f"THEN 'dockerfile' ELSE try_element_at({map_of(EXTENSION_LANGUAGE.items())}, {ext}) END"
     )
 
 
+def detect_language_sql(path: str) -> str:
+    return language_of_name_sql(f"lower({base_name_sql(path)})", extension_sql(path))
+
+
 def is_ignored_path_sql(path: str, ignored_dirs: Iterable[str] | None = None) -> str:
     """True when any parent folder is hidden or in the ignore set. An empty set means the default one."""
     ignored = sorted(set(ignored_dirs or ()) or set(IGNORED_DIRS))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from ..catalog.rules import Rule
-from ..functions.paths import base_name_sql, extension_sql
 from ..functions.sqltext import in_list
 from ..functions.values import human_size_sql
 from .finding import NO_FINDINGS, finding_sql, keep_hits_sql
@@ -19,24 +18,24 @@ MEDIA_LIMIT = 2 * 1024 * 1024
 BUNDLE_LIMIT = 150 * 1024
 
 
-def is_asset_sql(path: str) -> str:
-    return in_list(extension_sql(path), IMAGE_EXTENSIONS + MEDIA_EXTENSIONS)
+IS_ASSET = in_list("_ext", IMAGE_EXTENSIONS + MEDIA_EXTENSIONS)
 
 
-def asset_findings_sql(path: str, length: str, rules: Sequence[Rule]) -> str:
+def asset_columns(rules: Sequence[Rule]) -> dict[str, str]:
+    """``_assets`` from ``_name``, ``_ext`` and ``length``."""
     enabled = {r.id for r in rules}
-    ext, size = extension_sql(path), human_size_sql(length)
-    limit = f"CAST(IF({in_list(ext, IMAGE_EXTENSIONS)}, {IMAGE_LIMIT}, {MEDIA_LIMIT}) AS BIGINT)"
-    label = f"concat({ext}, ' \u2022 ', {size})"
-    extra = f"map('bytes', CAST({length} AS STRING))"
+    size = human_size_sql("length")
+    limit = f"CAST(IF({in_list('_ext', IMAGE_EXTENSIONS)}, {IMAGE_LIMIT}, {MEDIA_LIMIT}) AS BIGINT)"
+    label = f"concat(_ext, ' \u2022 ', {size})"
+    extra = "map('bytes', CAST(length AS STRING))"
     large = finding_sql(
         "'GC070'", "0", "0", label, f"concat('Asset of ', {size}, ', limit ', {human_size_sql(limit)})", extra
     )
     bundle = finding_sql("'GC072'", "0", "0", label, f"concat('Bundle not minified, ', {size})", extra)
     hits = {
-        "GC072": f"IF({in_list(ext, BUNDLE_EXTENSIONS)} AND NOT contains(lower({base_name_sql(path)}), '.min.') "
-                 f"AND {length} > {BUNDLE_LIMIT}, {bundle}, NULL)",
-        "GC070": f"IF({is_asset_sql(path)} AND {length} > {limit}, {large}, NULL)",
+        "GC072": f"IF({in_list('_ext', BUNDLE_EXTENSIONS)} AND NOT contains(_name, '.min.') AND length > {BUNDLE_LIMIT}, "
+                 f"{bundle}, NULL)",
+        "GC070": f"IF({IS_ASSET} AND length > {limit}, {large}, NULL)",
     }
     active = [value for rule_id, value in hits.items() if rule_id in enabled]
-    return keep_hits_sql(f"array({', '.join(active)})") if active else NO_FINDINGS
+    return {"_assets": keep_hits_sql(f"array({', '.join(active)})") if active else NO_FINDINGS}

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..catalog.rules import Rule
+from ..functions.paths import base_name_sql
 from ..functions.sqltext import in_list, quote, regex
 from ..functions.text import SNIPPET_CHARS, strip_sql
-from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql, no_findings
+from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql
 
 # Image names and patterns of the Dockerfile rules.
 FULL_IMAGES = (
@@ -20,6 +18,7 @@ TOOLCHAIN_IMAGE = r"(?iU)\b(node|python|golang|maven|gradle|openjdk|rust|ruby)\b
 STAGE_ALIAS = r"(?iU)\bAS\b"
 PIP_INSTALL = r"(?U)\bpip3?[\s\x1f]+install\b"
 APT_INSTALL = r"(?U)\bapt(-get)?[\s\x1f]+install\b"
+FROM_IMAGE = r"(?U)^\S+[\s\x1f]+(\S+)"
 ARCHIVE = r"(?iU)\.(tar|tgz|gz|bz2|xz|zip)\b"
 
 DOCKER_RULE_IDS = ("GC080", "GC081", "GC082", "GC083", "GC084")
@@ -29,38 +28,40 @@ def _instruction(line: str, word: str) -> str:
     return f"upper(left({line}, {len(word) + 1})) = '{word} '"
 
 
-def _hit(rule_id: str, condition: str, message: str) -> str:
-    found = finding_sql(quote(rule_id), "i + 1", "0", f"substring(l, 1, {SNIPPET_CHARS})", quote(message))
-    return f"IF({condition}, {found}, NULL)"
+def _found(rule_id: str, line: str, text: str, message: str) -> str:
+    return finding_sql(quote(rule_id), line, "0", f"substring({text}, 1, {SNIPPET_CHARS})", quote(message))
+
+
+def _from_rules() -> dict[str, str]:
+    """Findings on the FROM lines: ``f`` has the line, its text, the image and the image's last path part."""
+    name, tag = "lower(split(f.base, ':')[0])", "lower(coalesce(get(split(f.base, ':'), 1), ''))"
+    floating = "contains(f.image, ':latest') OR NOT contains(f.base, ':')"
+    full = f"{in_list(name, FULL_IMAGES)} AND NOT contains({tag}, 'slim') AND NOT contains({tag}, 'alpine')"
+    return {
+        rule_id: f"transform(filter(_froms, f -> {condition}), f -> {_found(rule_id, 'f.line', 'f.text', message)})"
+        for rule_id, condition, message in (
+            ("GC080", floating, "Base image without a fixed tag"), ("GC083", full, "Full base image"),
+        )
+    }
 
 
 def _line_rules() -> dict[str, str]:
-    """Finding or null of each rule for a stripped line ``l`` with index ``i``."""
-    image = rf"regexp_extract(l, {quote(r'(?U)^\S+[\s\x1f]+(\S+)')}, 1)"
-    base = rf"regexp_extract({image}, {quote(r'[^/]*\z')}, 0)"
-    name, tag = f"lower(split({base}, ':')[0])", f"lower(coalesce(get(split({base}, ':'), 1), ''))"
-    is_from, is_run, is_add = (_instruction("l", word) for word in ("FROM", "RUN", "ADD"))
-    pip = _hit("GC082", f"{is_run} AND {regex('l', PIP_INSTALL)} AND NOT contains(l, '--no-cache-dir')",
-               "pip install without --no-cache-dir")
-    apt = _hit("GC082", f"{is_run} AND {regex('l', APT_INSTALL)} AND NOT contains(l, '--no-install-recommends')",
-               "apt install without --no-install-recommends")
+    """Finding or null for a stripped line ``l`` with index ``i``. The cheap test comes first."""
+    run, add = (_instruction("l", word) for word in ("RUN", "ADD"))
+    pip = f"{regex('l', PIP_INSTALL)} AND NOT contains(l, '--no-cache-dir')"
+    apt = f"{regex('l', APT_INSTALL)} AND NOT contains(l, '--no-install-recommends')"
+    cached = _found("GC082", "i + 1", "l", "pip install without --no-cache-dir")
+    extra = _found("GC082", "i + 1", "l", "apt install without --no-install-recommends")
+    copied = _found("GC084", "i + 1", "l", "ADD used for local files")
     return {
-        "GC080": _hit("GC080", f"{is_from} AND (contains({image}, ':latest') OR NOT contains({base}, ':'))",
-                      "Base image without a fixed tag"),
-        "GC083": _hit("GC083", f"{is_from} AND {in_list(name, FULL_IMAGES)} AND NOT contains({tag}, 'slim') "
-                               f"AND NOT contains({tag}, 'alpine')", "Full base image"),
-        "GC082": f"coalesce({pip}, {apt})",
-        "GC084": _hit("GC084", f"{is_add} AND NOT contains(lower(l), 'http') AND NOT {regex('l', ARCHIVE)}",
-                      "ADD used for local files"),
+        "GC082": f"WHEN contains(l, 'install') AND {run} THEN IF({pip}, {cached}, IF({apt}, {extra}, NULL))",
+        "GC084": f"WHEN {add} AND NOT contains(lower(l), 'http') AND NOT {regex('l', ARCHIVE)} THEN {copied}",
     }
 
 
 def _single_stage() -> str:
     """One finding on the first FROM when no stage is named and some FROM mentions a tool chain image."""
-    found = finding_sql(
-        "'GC081'", "_froms[0].line", "0", f"substring(_froms[0].text, 1, {SNIPPET_CHARS})",
-        "'Single stage build on a tool chain image'",
-    )
+    found = _found("GC081", "_froms[0].line", "_froms[0].text", "Single stage build on a tool chain image")
     condition = (
         f"NOT exists(_froms, f -> {regex('f.text', STAGE_ALIAS)}) AND "
         f"exists(_froms, f -> {regex('f.text', TOOLCHAIN_IMAGE)})"
@@ -68,22 +69,25 @@ def _single_stage() -> str:
     return f"IF({condition}, array({found}), {NO_FINDINGS})"
 
 
-def with_docker_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds ``_docker`` to rows with ``language`` and ``_lines``."""
+def docker_columns(rules: Sequence[Rule]) -> dict[str, str]:
+    """``_docker`` and what it needs, from ``language`` and ``_lines``."""
     enabled = {r.id for r in rules} & set(DOCKER_RULE_IDS)
     if not enabled:
-        return df.withColumn("_docker", no_findings())
+        return {"_docker": NO_FINDINGS}
+    image = f"regexp_extract(l, {quote(FROM_IMAGE)}, 1)"
     froms = keep_hits_sql(
-        f"transform(_steps, (l, i) -> IF({_instruction('l', 'FROM')}, named_struct('line', i + 1, 'text', l), NULL))"
+        f"transform(_steps, (l, i) -> IF({_instruction('l', 'FROM')}, "
+        f"named_struct('line', i + 1, 'text', l, 'image', {image}), NULL))"
     )
-    parts = []
-    by_line = [hit for rule_id, hit in _line_rules().items() if rule_id in enabled]
-    if by_line:
-        parts.append(keep_hits_sql(f"flatten(transform(_steps, (l, i) -> array({', '.join(by_line)})))"))
+    with_base = f"transform({froms}, f -> named_struct('line', f.line, 'text', f.text, 'image', f.image, 'base', {base_name_sql('f.image')}))"
+    parts = [found for rule_id, found in _from_rules().items() if rule_id in enabled]
+    cases = [case for rule_id, case in _line_rules().items() if rule_id in enabled]
+    if cases:
+        parts.append(keep_hits_sql(f"transform(_steps, (l, i) -> CASE {' '.join(cases)} END)"))
     if "GC081" in enabled:
         parts.append(_single_stage())
-    return (
-        df.withColumn("_steps", F.expr(f"IF(language = 'dockerfile', transform(_lines, l -> {strip_sql('l')}), NULL)"))
-        .withColumn("_froms", F.expr(froms))
-        .withColumn("_docker", F.expr(f"IF(_steps IS NOT NULL, {concat_sql(parts)}, {NO_FINDINGS})"))
-    )
+    return {
+        "_steps": f"IF(language = 'dockerfile', transform(_lines, l -> {strip_sql('l')}), NULL)",
+        "_froms": with_base,
+        "_docker": f"IF(_steps IS NOT NULL, {concat_sql(parts)}, {NO_FINDINGS})",
+    }

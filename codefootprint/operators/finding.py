@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 FINDING = (
     "STRUCT<rule_id: STRING, line: INT, column: INT, snippet: STRING, message: STRING, extra: MAP<STRING, STRING>>"
 )
@@ -28,9 +25,5 @@ def keep_hits_sql(candidates: str) -> str:
     return f"filter({candidates}, hit -> hit IS NOT NULL)"
 
 
-def no_findings() -> Column:
-    return F.expr(NO_FINDINGS)
-
-
 def concat_sql(arrays: Sequence[str]) -> str:
     return f"concat({', '.join(arrays)})" if arrays else NO_FINDINGS

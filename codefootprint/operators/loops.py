@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..catalog.rules import C_LIKE
 from ..functions.scrub import mask_code_sql
 from ..functions.sqltext import in_list, quote, regex
 from ..functions.text import snippet_sql
-from .finding import NO_FINDINGS, finding_sql, no_findings
+from .finding import NO_FINDINGS, finding_sql
 
 _TOKENS = r"(?U)\b(?:for|while|foreach)\b|[(){};]|\n+"
 _TWO_LOOPS = r"(?s)(?:for|while).*?(?:for|while)"
@@ -37,15 +34,16 @@ def nested_loop_lines_sql(masked: str) -> str:
     return f"aggregate({tokens}, {start}, (s, t) -> {step}, s -> s.found)"
 
 
-def with_loop_findings(df: DataFrame, enabled: bool = True) -> DataFrame:
-    """Adds ``_loops`` to rows with ``language``, ``_text`` and ``_lines``. Texts with fewer than two loop
+def loop_columns(enabled: bool = True) -> dict[str, str]:
+    """``_loops`` and what it needs, from ``language``, ``_text`` and ``_lines``. Texts with fewer than two loop
     keywords cannot nest loops and are passed by."""
     if not enabled:
-        return df.withColumn("_loops", no_findings())
+        return {"_loops": NO_FINDINGS}
     worth = f"{in_list('language', C_LIKE)} AND {regex('_text', _TWO_LOOPS)}"
     found = finding_sql(
         "'GC001'", "at", "0", snippet_sql("coalesce(get(_lines, at - 1), '')"), "'Nested loops'"
     )
-    return df.withColumn(
-        "_nested", F.expr(f"IF({worth}, {nested_loop_lines_sql(mask_code_sql('_text', 'language'))}, NULL)")
-    ).withColumn("_loops", F.expr(f"coalesce(transform(_nested, at -> {found}), {NO_FINDINGS})"))
+    return {
+        "_nested": f"IF({worth}, {nested_loop_lines_sql(mask_code_sql('_text', 'language'))}, NULL)",
+        "_loops": f"coalesce(transform(_nested, at -> {found}), {NO_FINDINGS})",
+    }

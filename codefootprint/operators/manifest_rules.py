@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..catalog.dimensions import HEAVY_DEPENDENCIES
 from ..catalog.rules import Rule
+from ..functions.layers import with_layers
 from ..functions.sqltext import in_list, map_of, quote, regex
 from ..functions.text import SNIPPET_CHARS, split_lines_sql, strip_sql, universal_newlines_sql
-from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql, no_findings
+from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql
 
 # Manifest sections, version marks and open versions.
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
@@ -80,8 +81,8 @@ def _section_sql(section: str) -> str:
     return f"coalesce(transform({entries}, e -> {entry}), CAST(array() AS ARRAY<{_ENTRY}>))"
 
 
-def with_manifest_entries(df: DataFrame) -> DataFrame:
-    """Adds ``_requirements`` and ``_packages`` to rows with ``path`` and ``content`` (null for other files).
+def entry_columns() -> dict[str, str]:
+    """``_requirements`` and ``_packages`` and what they need, from ``path`` and ``content`` (null for other files).
 
     A package manifest has to be one JSON object. Wrapping the text into an array makes text after the object an
     error.
@@ -100,18 +101,17 @@ def with_manifest_entries(df: DataFrame) -> DataFrame:
         f"transform({entries}, e -> named_struct('section', e.section, 'key', e.key, 'name', e.name, "
         f"'version', e.version, 'line', e.line, 'text', {text}))"
     )
-    return (
-        df.withColumn("_manifest_text", F.expr(f"IF({requirements} OR {package}, {manifest_text_sql('content')}, NULL)"))
-        .withColumn("_manifest_text", F.expr(universal_newlines_sql("_manifest_text")))
-        .withColumn("_stripped", F.expr(f"transform({split_lines_sql('_manifest_text')}, l -> {strip_sql('l')})"))
-        .withColumns({
-            "_requirements": F.expr(f"IF({requirements}, {_requirements_sql('_stripped')}, NULL)"),
-            "_sections": F.expr(f"IF({package}, {parsed}, NULL)"),
-            "_line_keys": F.expr(f"IF({package}, transform(_stripped, s -> {key}), NULL)"),
-        })
-        .withColumn("_parsed", F.expr("IF(size(_sections) = 1, _sections[0], NULL)"))
-        .withColumn("_packages", F.expr(f"IF(_parsed IS NOT NULL, {with_line}, NULL)"))
-    )
+    text_of_manifest = f"IF({requirements} OR {package}, {manifest_text_sql('content')}, NULL)"
+    return {
+        "_manifest_raw": text_of_manifest,
+        "_manifest_text": universal_newlines_sql("_manifest_raw"),
+        "_stripped": f"transform({split_lines_sql('_manifest_text')}, l -> {strip_sql('l')})",
+        "_requirements": f"IF({requirements}, {_requirements_sql('_stripped')}, NULL)",
+        "_sections": f"IF({package}, {parsed}, NULL)",
+        "_line_keys": f"IF({package}, transform(_stripped, s -> {key}), NULL)",
+        "_parsed": "IF(size(_sections) = 1, _sections[0], NULL)",
+        "_packages": f"IF(_parsed IS NOT NULL, {with_line}, NULL)",
+    }
 
 
 def _entry_hits(condition: str | None, message: str, heavy: bool) -> str:
@@ -127,11 +127,11 @@ def _entry_hits(condition: str | None, message: str, heavy: bool) -> str:
     return f"array({', '.join(hits)})"
 
 
-def with_manifest_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds ``_manifest`` to rows with ``path`` and ``content``."""
+def manifest_columns(rules: Sequence[Rule]) -> dict[str, str]:
+    """``_manifest`` and what it needs, from ``path`` and ``content``."""
     enabled = {r.id for r in rules} & {"GC051", "GC052"}
     if not enabled:
-        return df.withColumn("_manifest", no_findings())
+        return {"_manifest": NO_FINDINGS}
     heavy, loose = "GC051" in enabled, "GC052" in enabled
     unpinned = (
         f"e.text <> '' AND NOT startswith(e.text, '#') AND e.name <> '' AND NOT ({regex('e.text', VERSION_MARK)})"
@@ -147,12 +147,12 @@ def with_manifest_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         f"coalesce({keep_hits_sql(f'flatten(transform({column}, e -> {hits}))')}, {NO_FINDINGS})"
         for column, hits in (("_requirements", requirement), ("_packages", package))
     ]
-    return with_manifest_entries(df).withColumn("_manifest", F.expr(concat_sql(parts)))
+    return {**entry_columns(), "_manifest": concat_sql(parts)}
 
 
 def requirement_entries(files: DataFrame) -> DataFrame:
     """One row per line of every root ``requirements*.txt``."""
-    rows = with_manifest_entries(files.filter(is_requirements_sql("path"))).select(
+    rows = with_layers(files.filter(is_requirements_sql("path")), entry_columns()).select(
         "repo_id", "path", F.explode_outer("_requirements").alias("e")
     )
     return rows.filter("e IS NOT NULL").select("repo_id", "path", "e.line", "e.name", "e.text")
@@ -160,7 +160,7 @@ def requirement_entries(files: DataFrame) -> DataFrame:
 
 def package_entries(files: DataFrame) -> DataFrame:
     """One row per dependency of every root ``package.json``, with the line it is declared on."""
-    rows = with_manifest_entries(files.filter(is_package_json_sql("path"))).select(
+    rows = with_layers(files.filter(is_package_json_sql("path")), entry_columns()).select(
         "repo_id", "path", F.explode_outer("_packages").alias("e")
     )
     return rows.filter("e IS NOT NULL").select(

@@ -16,7 +16,7 @@ import warnings
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The few functions below travel with the task, so executors need no installed copy of this package.
@@ -138,7 +138,7 @@ def node_rows(source: str) -> list[dict]:
     return rows
 
 
-def _facts(texts: pa.Array) -> pa.Array:
+def parse_batch(texts: pa.Array) -> pa.Array:
     offsets, rows, errors = [0], [], []
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
@@ -159,8 +159,10 @@ def _facts(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([lists, pa.array(errors, pa.string())], ["nodes", "error"])
 
 
-def with_syntax_facts(df: DataFrame) -> DataFrame:
-    """Adds ``_facts`` to rows with ``language`` and ``_text``; only Python texts cross to the parser."""
-    # Declared nondeterministic so that the optimizer neither repeats the parse nor moves a filter onto it.
-    syntax_facts = F.arrow_udf(_facts, FACTS).asNondeterministic()
-    return df.withColumn("_facts", syntax_facts(F.when(F.col("language") == "python", F.col("_text"))))
+def syntax_facts() -> Column:
+    """The facts of a row's ``_text``; only Python texts cross to the parser.
+
+    Declared nondeterministic so that the optimizer neither repeats the parse nor moves a filter onto it.
+    """
+    parse = F.arrow_udf(parse_batch, FACTS).asNondeterministic()
+    return parse(F.expr("IF(language = 'python', _text, NULL)"))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column
 
 from ..catalog.rules import Rule
 from ..functions.sqltext import in_list, map_of, quote
 from ..functions.text import snippet_sql
 from .finding import NO_FINDINGS, finding_sql
-from .pyfacts import with_syntax_facts
+from .pyfacts import syntax_facts
 
 # Names the rules look for.
 NETWORK_MODULES = ("requests", "httpx", "urllib", "urllib2", "aiohttp", "http")
@@ -86,22 +85,14 @@ def _report_sql(names: dict[str, str]) -> str:
     return f"flatten(transform(_facts.nodes, n -> transform({_fired_sql(set(names))}, rule_id -> {found})))"
 
 
-def with_python_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds ``_python`` and ``_error`` to rows with ``language``, ``_text`` and ``_lines``."""
+def python_columns(rules: Sequence[Rule]) -> dict[str, str | Column]:
+    """``_python``, ``_error`` and what they need, from ``language``, ``_text`` and ``_lines``."""
     names = {r.id: r.name for r in rules if r.id in CONDITIONS}
-    found = f"IF(size(_facts.nodes) > 0, {_report_sql(names)}, {NO_FINDINGS})" if names else NO_FINDINGS
-    return (
-        with_syntax_facts(df)
-        .withColumns({
-            "_sleeps": F.expr(
-                "transform(filter(_facts.nodes, n -> n.call_attr = 'sleep' AND NOT n.func_is_name), n -> n.pre)"
-            ),
-            "_self_calls": F.expr(
-                "flatten(transform(filter(_facts.nodes, n -> n.calls_enclosing IS NOT NULL), n -> n.calls_enclosing))"
-            ),
-        })
-        .withColumns({
-            "_python": F.expr(found),
-            "_error": F.expr("concat('Python syntax error (', _facts.error, ')')"),
-        })
-    )
+    return {
+        "_facts": syntax_facts(),
+        "_sleeps": "transform(filter(_facts.nodes, n -> n.call_attr = 'sleep' AND NOT n.func_is_name), n -> n.pre)",
+        "_self_calls": "flatten(transform("
+                       "filter(_facts.nodes, n -> n.calls_enclosing IS NOT NULL), n -> n.calls_enclosing))",
+        "_python": f"IF(size(_facts.nodes) > 0, {_report_sql(names)}, {NO_FINDINGS})" if names else NO_FINDINGS,
+        "_error": "concat('Python syntax error (', _facts.error, ')')",
+    }

@@ -9,14 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..catalog.rules import Rule
 from ..functions.scrub import strip_comments_sql
 from ..functions.sqltext import any_of, contains_any, in_list, quote, regex
 from ..functions.text import code_point_column_sql, java_regex, snippet_sql, split_lines_sql
-from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql, no_findings
+from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql
 
 
 def regex_rules(rules: Sequence[Rule]) -> list[Rule]:
@@ -44,21 +41,19 @@ def _line_hits(rule: Rule) -> str:
     return keep_hits_sql(f"transform(_scrubbed, (line, i) -> IF({hit}, {found}, NULL))")
 
 
-def with_regex_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds ``_regex`` to rows with ``language``, ``_text`` and ``_lines``."""
+def regex_columns(rules: Sequence[Rule]) -> dict[str, str]:
+    """``_regex`` and what it needs, from ``language``, ``_text`` and ``_lines``."""
     active = regex_rules(rules)
     if not active:
-        return df.withColumn("_regex", no_findings())
+        return {"_regex": NO_FINDINGS}
     flags = [f"r{i}" for i in range(len(active))]
     fields = ", ".join(f"'{flag}', coalesce({_admits(rule)}, false)" for flag, rule in zip(flags, active))
     some = any_of(f"_admit.{flag}" for flag in flags)
     hits = [f"IF(_admit.{flag}, {_line_hits(rule)}, {NO_FINDINGS})" for flag, rule in zip(flags, active)]
-    return (
-        df.withColumns({
-            "_lower": F.expr("IF(language IS NOT NULL, lower(_text), NULL)"),
-            "_ascii": F.expr("octet_length(_text) = char_length(_text)"),
-        })
-        .withColumn("_admit", F.expr(f"named_struct({fields})"))
-        .withColumn("_scrubbed", F.expr(f"IF({some}, {split_lines_sql(strip_comments_sql('_text', 'language'))}, NULL)"))
-        .withColumn("_regex", F.expr(f"IF({some}, {concat_sql(hits)}, {NO_FINDINGS})"))
-    )
+    return {
+        "_lower": "IF(language IS NOT NULL, lower(_text), NULL)",
+        "_ascii": "octet_length(_text) = char_length(_text)",
+        "_admit": f"named_struct({fields})",
+        "_scrubbed": f"IF({some}, {split_lines_sql(strip_comments_sql('_text', 'language'))}, NULL)",
+        "_regex": f"IF({some}, {concat_sql(hits)}, {NO_FINDINGS})",
+    }

@@ -13,26 +13,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.rules import DEFAULT_RULES, Rule
+from ..functions.layers import with_layers
 from ..functions.paths import detect_language
-from ..functions.text import count_nonblank_sql, split_lines
-from ..operators.asset_rules import asset_findings_sql
-from ..operators.docker_rules import with_docker_findings
+from ..functions.text import count_nonblank_sql, split_lines_sql
+from ..operators.asset_rules import asset_columns
+from ..operators.docker_rules import docker_columns
 from ..operators.finding import NO_FINDINGS
-from ..operators.loops import with_loop_findings
-from ..operators.manifest_rules import with_manifest_findings
-from ..operators.pyfacts import with_syntax_facts
-from ..operators.python_rules import with_python_findings
-from ..operators.regex_rules import with_regex_findings
+from ..operators.loops import loop_columns
+from ..operators.manifest_rules import manifest_columns
+from ..operators.pyfacts import syntax_facts
+from ..operators.python_rules import python_columns
+from ..operators.regex_rules import regex_columns
 from ..sources.corpus import prune_ignored_dirs, with_text
 
 
-def _with_text_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """All detectors that read the text: needs ``language`` and ``_text``."""
-    df = df.withColumn("_lines", split_lines("_text"))
-    df = with_docker_findings(df, rules)
-    df = with_regex_findings(df, rules)
-    df = with_loop_findings(df, any(r.id == "GC001" for r in rules))
-    return with_python_findings(df, rules)
+def _text_columns(rules: Sequence[Rule]) -> dict:
+    """The columns of all detectors that read the text: they need ``language`` and ``_text``."""
+    return {
+        "_lines": split_lines_sql("_text"),
+        **docker_columns(rules),
+        **regex_columns(rules),
+        **loop_columns(any(r.id == "GC001" for r in rules)),
+        **python_columns(rules),
+    }
 
 
 def _code_lines():
@@ -49,16 +52,16 @@ def scan_files(
     """
     rules = tuple(rules)
     df = with_text(prune_ignored_dirs(files, ignored_dirs))
-    assets = asset_findings_sql("path", "length", rules)
+    assets = asset_columns(rules)
     if "scanned" in files.columns:
-        df = df.withColumn("_text", F.when(F.col("scanned"), F.col("_text")))
-        assets = f"IF(scanned, {assets}, {NO_FINDINGS})"
-    df = with_manifest_findings(_with_text_findings(df, rules), rules)
+        df = df.withColumn("_text", F.expr("IF(scanned, _text, NULL)"))
+        assets = {"_assets": f"IF(scanned, {assets['_assets']}, {NO_FINDINGS})"}
+    df = with_layers(df, {**assets, **manifest_columns(rules), **_text_columns(rules)})
     return df.select(
         *(name for name in ("repo_id", "folder", "path", "scanned", "language") if name in df.columns),
         _code_lines().alias("code_lines"),
         F.col("length").cast("bigint").alias("bytes"),
-        F.concat(F.expr(assets), "_docker", "_regex", "_loops", "_python", "_manifest").alias("findings"),
+        F.concat("_assets", "_docker", "_regex", "_loops", "_python", "_manifest").alias("findings"),
         F.col("_error").alias("error"),
     )
 
@@ -75,7 +78,7 @@ def scan_sources(sources: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> D
         F.coalesce(F.col("language"), detect_language("name"), F.lit("python")).alias("language"),
         F.col("source").alias("_text"),
     )
-    df = _with_text_findings(df, tuple(rules))
+    df = with_layers(df, _text_columns(tuple(rules)))
     return df.select(
         "repo_id",
         "path",
@@ -109,8 +112,11 @@ def errors(scanned: DataFrame) -> DataFrame:
 
 def python_nodes(files: DataFrame, ignored_dirs: Iterable[str] | None = None) -> DataFrame:
     """The syntax facts as a table, one row per node."""
-    df = with_syntax_facts(with_text(prune_ignored_dirs(files, ignored_dirs)).filter(F.col("language") == "python"))
-    return df.select("repo_id", "path", F.explode("_facts.nodes").alias("n")).select("repo_id", "path", "n.*")
+    df = with_text(prune_ignored_dirs(files, ignored_dirs)).filter("language = 'python'")
+    rows = df.select("repo_id", "path", syntax_facts().alias("_facts"))
+    return rows.select("repo_id", "path", F.explode_outer("_facts.nodes").alias("n")).filter("n IS NOT NULL").select(
+        "repo_id", "path", "n.*"
+    )
 
 
 def write_bucketed(rows: DataFrame, path: str, buckets: int = 64, fmt: str = "parquet") -> None:

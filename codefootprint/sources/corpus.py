@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import base_name_sql, detect_language_sql, is_ignored_path
+from ..functions.layers import with_layers
+from ..functions.paths import base_name_sql, extension_sql, is_ignored_path, language_of_name_sql
 from ..functions.text import universal_newlines_sql
-from ..operators.asset_rules import is_asset_sql
+from ..operators.asset_rules import IS_ASSET
 from ..operators.manifest_rules import is_package_json_sql, is_requirements_sql
 
 # Fixed value: larger texts are listed but not scanned.
@@ -89,12 +90,17 @@ def decode_text(content: str) -> Column:
     return F.expr(decode_text_sql(content))
 
 
+def text_columns() -> dict[str, str]:
+    """``_text`` and what it needs. Assets and oversized files keep a null text; assets have no language."""
+    return {
+        "_name": f"lower({base_name_sql('path')})",
+        "_ext": extension_sql("path"),
+        "_is_asset": IS_ASSET,
+        "_language": f"IF(_is_asset, NULL, {language_of_name_sql('_name', '_ext')})",
+        "_text": f"IF(_is_asset OR length > {MAX_TEXT_BYTES}, NULL, {decode_text_sql('content')})",
+    }
+
+
 def with_text(files: DataFrame) -> DataFrame:
-    """Adds ``language`` and ``_text``. Assets and oversized files keep a null text; assets have no language."""
-    asset = is_asset_sql("path")
-    return files.withColumns({
-        "language": F.expr(f"IF({asset}, NULL, {detect_language_sql('path')})"),
-        "_text": F.expr(
-            f"IF({asset} OR length > {MAX_TEXT_BYTES}, NULL, {decode_text_sql('content')})"
-        ),
-    })
+    """Adds ``language`` and ``_text``."""
+    return with_layers(files, text_columns()).withColumnRenamed("_language", "language")

@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The named columns of the line items, for corpora whose rows grow from a few keys into files."""
+    return spread(table(spark, sf_dir, "lineitem").select(*columns))
+
+
 def pick(values, index: Column) -> Column:
     """The ``index``-th (from 0) of some literal strings."""
     literals = ", ".join("NULL" if v is None else quote(v) for v in values)
@@ -116,7 +121,8 @@ def finding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with a size and no content worth reading."""
-    return table(spark, sf_dir, "lineitem").select(
+    columns = ("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    return items(spark, sf_dir, *columns).select(
         F.col("l_suppkey").alias("repo_id"),
         F.concat(F.lit("a/"), text(F.col("l_orderkey")), F.lit("-"), text(F.col("l_linenumber")),
                  pick(ASSET_EXTENSIONS, F.col("l_partkey") % 12)).alias("path"),
@@ -192,7 +198,7 @@ def dockerfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = (F.col("l_partkey") % 12, F.col("l_partkey").cast("bigint") % 7 + F.col("l_linenumber") % 6,
              F.col("l_suppkey") % 12, F.col("l_orderkey") % 12)
     content = F.concat_ws("\n", *(pick(DOCKER_LINES, p) for p in picks))
-    return table(spark, sf_dir, "lineitem").select(
+    return items(spark, sf_dir, "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").select(
         F.col("l_suppkey").alias("repo_id"),
         F.concat(F.lit("svc"), text(F.col("l_orderkey")), F.lit("/"), text(F.col("l_linenumber")),
                  F.lit(".Dockerfile")).alias("path"),

@@ -370,20 +370,22 @@ def report_json(spark, sf_dir):
 
 
 def report_findings(spark, sf_dir):
-    def at(path: str):
-        return F.get_json_object("finding", path)
-
-    return cf.report_findings(C.findings(spark, sf_dir)).select(
-        "repo_id", at("$.rule_id").alias("rule_id"), at("$.category").alias("category"),
-        at("$.severity").cast("int").alias("severity"), at("$.path").alias("path"), at("$.line").cast("int").alias("line"),
-        at("$.column").cast("int").alias("col"), at("$.message").alias("message"), at("$.snippet").alias("snippet"),
+    """The finding lines, parsed back."""
+    schema = (
+        "rule_id string, category string, severity int, path string, line int, `column` int, message string, "
+        "snippet string"
+    )
+    parsed = cf.report_findings(C.findings(spark, sf_dir)).select("repo_id", F.from_json("finding", schema).alias("f"))
+    return parsed.select(
+        "repo_id", "f.rule_id", "f.category", "f.severity", "f.path", "f.line", F.col("f.column").alias("col"),
+        "f.message", "f.snippet",
     )
 
 
 def tabular_sink(spark, sf_dir):
     """Writes the scan of the code corpus in repository buckets and reads the scores back from the tables."""
     folder = work_folder(spark, "tables")
-    cf.write_tables(cf.scan_files(C.code(spark, sf_dir)), folder)
+    cf.write_tables(cf.scan_files(C.code(spark, sf_dir)), folder, buckets=8)
     stats, found = (spark.read.parquet(f"{folder}/{name}") for name in ("file_stats", "violations"))
     return cf.repo_scores(stats, found).select("repo_id", "total_files", "total_violations", "penalty", "score", "grade")
 

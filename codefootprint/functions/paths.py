@@ -5,12 +5,13 @@ Functions named ``*_sql`` write an expression over a column name or expression;
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sqltext import in_list, map_of, quote
+from .sqltext import map_of, regex
 
 # Extensions by language and the folders no scan enters.
 EXTENSION_LANGUAGE = {
@@ -35,12 +36,13 @@ IGNORED_DIRS = (
 
 
 def base_name_sql(path: str) -> str:
-    return f"regexp_extract({path}, {quote(r'[^/]*\z')}, 0)"
+    return f"substring_index({path}, '/', -1)"
 
 
 def extension_sql(path: str) -> str:
     """Lower-cased last extension with its dot; leading dots of a name do not start an extension."""
-    return f"lower(regexp_extract(trim(LEADING '.' FROM {base_name_sql(path)}), {quote(r'\.[^.]*\z')}, 0))"
+    name = f"trim(LEADING '.' FROM {base_name_sql(path)})"
+    return f"lower(IF(contains({name}, '.'), concat('.', substring_index({name}, '.', -1)), ''))"
 
 
 def language_of_name_sql(name: str, ext: str) -> str:
@@ -59,10 +61,8 @@ def detect_language_sql(path: str) -> str:
 def is_ignored_path_sql(path: str, ignored_dirs: Iterable[str] | None = None) -> str:
     """True when any parent folder is hidden or in the ignore set. An empty set means the default one."""
     ignored = sorted(set(ignored_dirs or ()) or set(IGNORED_DIRS))
-    parts = f"split({path}, '/')"
-    return (
-        f"exists(slice({parts}, 1, size({parts}) - 1), dir -> startswith(dir, '.') OR {in_list('dir', ignored)})"
-    )
+    names = "|".join(re.escape(name) for name in ignored)
+    return f"(contains({path}, '/') AND {regex(path, rf'(?:^|/)(?:[.][^/]*|{names})/')})"
 
 
 def extension(path: str) -> Column:

@@ -20,12 +20,16 @@ WHITESPACE = (
 )
 SNIPPET_CHARS = 200
 
-_LINE = rf"(?!\z)([^{LINE_BREAKS}]*+)(?:\r\n|[{LINE_BREAKS}]|\z)"
+_LINE_END = rf"\r\n|[{LINE_BREAKS}]"
 
 
 def split_lines_sql(text: str) -> str:
     """The lines of a text without their ends; no empty line after a final line end, none for an empty text."""
-    return f"regexp_extract_all({text}, {quote(_LINE)}, 1)"
+    # The outer transform only gives the array a name.
+    return (
+        f"transform(array(split({text}, {quote(_LINE_END)})), "
+        "cut -> IF(element_at(cut, -1) = '', slice(cut, 1, size(cut) - 1), cut))[0]"
+    )
 
 
 def strip_sql(value: str) -> str:

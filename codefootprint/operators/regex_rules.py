@@ -32,6 +32,10 @@ def _admits(rule: Rule) -> str:
 
 def _line_hits(rule: Rule) -> str:
     hit = regex("line", java_regex(rule.pattern, rule.ignore_case))
+    if rule.hints:
+        # Most lines of an admitted file lack the hint too, and a substring search is cheaper than the pattern.
+        hinted = contains_any("lower(line)" if rule.ignore_case else "line", rule.hints)
+        hit = f"(NOT _ascii OR {hinted}) AND {hit}" if rule.ignore_case else f"{hinted} AND {hit}"
     if rule.require_absent:
         hit += f" AND NOT {regex('line', java_regex(rule.require_absent, rule.ignore_case))}"
     found = finding_sql(
@@ -42,7 +46,7 @@ def _line_hits(rule: Rule) -> str:
 
 
 def regex_columns(rules: Sequence[Rule]) -> dict[str, str]:
-    """``_regex`` and what it needs, from ``language``, ``_text`` and ``_lines``."""
+    """``_regex`` and what it needs, from ``language``, ``_text``, ``_plain`` and ``_lines``."""
     active = regex_rules(rules)
     if not active:
         return {"_regex": NO_FINDINGS}
@@ -54,6 +58,7 @@ def regex_columns(rules: Sequence[Rule]) -> dict[str, str]:
         "_lower": "IF(language IS NOT NULL, lower(_text), NULL)",
         "_ascii": "octet_length(_text) = char_length(_text)",
         "_admit": f"named_struct({fields})",
-        "_scrubbed": f"IF({some}, {split_lines_sql(strip_comments_sql('_text', 'language'))}, NULL)",
+        "_clean": f"IF({some}, {strip_comments_sql('_text', 'language')}, NULL)",
+        "_scrubbed": f"IF({some}, {split_lines_sql('_clean', '_plain')}, NULL)",
         "_regex": f"IF({some}, {concat_sql(hits)}, {NO_FINDINGS})",
     }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..catalog.rules import DEFAULT_RULES, Rule
 from ..functions.layers import with_layers
 from ..functions.paths import detect_language
-from ..functions.text import count_nonblank_sql, split_lines_sql
+from ..functions.text import count_nonblank_sql, plain_line_ends_sql, split_lines_sql
 from ..operators.asset_rules import asset_columns
 from ..operators.docker_rules import docker_columns
 from ..operators.finding import NO_FINDINGS
@@ -30,7 +30,8 @@ from ..sources.corpus import prune_ignored_dirs, with_text
 def _text_columns(rules: Sequence[Rule]) -> dict:
     """The columns of all detectors that read the text: they need ``language`` and ``_text``."""
     return {
-        "_lines": split_lines_sql("_text"),
+        "_plain": plain_line_ends_sql("_text"),
+        "_lines": split_lines_sql("_text", "_plain"),
         **docker_columns(rules),
         **regex_columns(rules),
         **loop_columns(any(r.id == "GC001" for r in rules)),

@@ -17,7 +17,7 @@ from ..catalog.dimensions import CATEGORIES, SEVERITIES, categories_df, fix_guid
 from ..catalog.rules import DEFAULT_RULES, Rule
 from ..functions.values import exact_round, location
 from .scan import write_bucketed
-from .scoring import category_scores, finish_scores, language_breakdown, repo_stats, rule_scores, with_severity
+from .scoring import category_scores, finish_scores, language_breakdown, repo_stats, rule_counts, rule_scores, with_severity
 
 TOP_FINDINGS = 15
 TOP_RULES = 8
@@ -85,8 +85,7 @@ def top_per_rule(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, k: int
         F.asc("path"), F.asc("line"), F.asc("column"), F.asc("snippet")
     )
     shown = known.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-    counts = found.groupBy("repo_id", "rule_id").agg(F.count(F.lit(1)).alias("count"))
-    return shown.join(counts, ["repo_id", "rule_id"]).select(
+    return shown.join(rule_counts(found), ["repo_id", "rule_id"]).select(
         "repo_id", "rule_id", "rank", location("path", "line").alias("location"), "snippet", "count",
         F.greatest(F.col("count") - k, F.lit(0)).alias("others"),
     )
@@ -132,7 +131,8 @@ def report_documents(
     Every nested list is bounded by the catalogue (categories, rules) or by the language list.
     """
     rules = tuple(rules)
-    totals = found.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_violations"))
+    # All three start from the same counts, whose shuffle Spark runs once.
+    totals = rule_counts(found).groupBy("repo_id").agg(F.sum("count").alias("total_violations"))
     categories = category_scores(found, rules).groupBy("repo_id").agg(
         F.array_sort(F.collect_list(F.struct(
             "rank", "category", "label", "color", "count", "penalty",

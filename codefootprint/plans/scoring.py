@@ -106,10 +106,15 @@ def scan_scores(
     return finish_scores(totals, k)
 
 
+def rule_counts(found: DataFrame) -> DataFrame:
+    """Findings per repository and rule: the one aggregate over all findings that rankings start from."""
+    return found.groupBy("repo_id", "rule_id").agg(F.count(F.lit(1)).alias("count"))
+
+
 def category_scores(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
     """Count, penalty and share per category. ``rank`` orders by penalty, ties in catalogue order."""
-    per_category = with_severity(found, rules).groupBy("repo_id", "category").agg(
-        F.count(F.lit(1)).alias("count"), F.sum(F.col("severity").cast("bigint")).alias("penalty")
+    per_category = with_severity(rule_counts(found), rules).groupBy("repo_id", "category").agg(
+        F.sum("count").alias("count"), F.sum(F.col("count") * F.col("severity")).alias("penalty")
     )
     # At most ten rows per repository reach the windows.
     repo = Window.partitionBy("repo_id")
@@ -125,8 +130,7 @@ def category_scores(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) ->
 def rule_scores(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
     """Count and penalty per rule. ``rank`` orders by penalty, then count, ties by rule id."""
     rules = tuple(rules)
-    counts = found.groupBy("repo_id", "rule_id").agg(F.count(F.lit(1)).alias("count"))
-    scored = with_severity(counts, rules).withColumn("penalty", F.col("count") * F.col("severity"))
+    scored = with_severity(rule_counts(found), rules).withColumn("penalty", F.col("count") * F.col("severity"))
     # At most one row per rule and repository reaches the window.
     order = Window.partitionBy("repo_id").orderBy(F.desc("penalty"), F.desc("count"), "rule_id")
     return scored.select(

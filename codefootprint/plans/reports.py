@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog.dimensions import CATEGORIES, SEVERITIES, categories_df, fix_guides_df, rules_df, severities_df
+from ..catalog.dimensions import categories_df, fix_guides_df, rules_df, severities_df
 from ..catalog.rules import DEFAULT_RULES, Rule
 from ..functions.values import exact_round, location
 from .scan import write_bucketed
@@ -21,7 +21,6 @@ from .scoring import category_scores, finish_scores, language_breakdown, repo_st
 
 TOP_FINDINGS = 15
 TOP_RULES = 8
-TOP_RULES_PAGE = 10
 FINDINGS_PER_RULE = 25
 
 
@@ -205,11 +204,3 @@ def write_report(
     }
     for name, rows in outputs.items():
         write_bucketed(rows, f"{path}/{name}", buckets, "json")
-
-
-def severity_label(severity: int) -> str:
-    return dict(SEVERITIES).get(severity, str(severity))
-
-
-def category_label(category: str) -> str:
-    return {key: label for key, label, _ in CATEGORIES}.get(category, category)

@@ -41,11 +41,10 @@ SNIPPET_LANGUAGES = ("python", "sql", "cobol", " go ", None)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder, which the cluster shares. Where none is configured, as in
-    tests, a folder in the working directory is configured first."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "spark-warehouse/checkpoints")
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/codefootprint/{name}-{uuid.uuid4().hex}"
+    """A new folder below the session's checkpoint folder, which the cluster shares. Only where none is configured, as
+    in tests, it lies in the working directory."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/checkpoints"
+    return f"{shared.rstrip('/')}/codefootprint/{name}-{uuid.uuid4().hex}"
 
 
 # ------------------------------------------------------------------ building blocks

@@ -115,8 +115,8 @@ class ToxicityModel:
             return np.zeros(6)
         top = np.append(np.sort(sums[np.unique(names, return_index=True)[1]])[::-1][:3], np.zeros(3))
         return np.array([
-            np.tanh(sums.mean()), np.tanh((sums / lengths).mean() * 10), *np.clip(top[:3], 0, 10) / 10,
-            np.log1p((sums > 2.5).sum()) - 0.3 * np.log1p(len(sums)),
+            np.tanh(sums.mean()), np.tanh((sums / lengths).mean() * 10), np.clip(top[0], 0, 12) / 10,
+            np.clip(top[2], 0, 12) / 10, np.log1p((sums > 4).sum()), np.log1p(len(sums)) / 5,
         ])
 
     def score(self, text: str | None) -> float:
@@ -128,7 +128,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights with a bias last, by Newton steps on a lightly penalised loss."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    penalty = np.eye(x.shape[1]) * 0.05
+    penalty = np.eye(x.shape[1]) * 0.3
     penalty[-1, -1] = 1e-3
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

@@ -162,7 +162,6 @@ def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    predict.func.__annotations__ = {}
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.withColumn("found_", predict("text")).select(*(F.col(f"`{c}`") for c in kept), "found_.lang_pred", "found_.score")
 

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 12
 DIMENSIONS = 16
-#: Bounds of the training sample: rows of one language, and languages (the most frequent ones).
-ROWS_PER_LANGUAGE = 1024
+#: Bounds of the training sample: rows of one language (a limit that Spark applies before it shuffles), and languages (the
+#: most frequent ones).
+ROWS_PER_LANGUAGE = 1000
 MAX_LANGUAGES = 256
 EPOCHS = 12
 #: Of held-back training rows, at most this share may score below the rejection threshold.

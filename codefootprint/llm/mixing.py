@@ -122,6 +122,18 @@ def mix_sources(
     )
 
 
+def mix_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs that a mix takes, all columns, with size, source_size, target, copies, part_words and taken.
+
+    settings as for ``mix_sources``; columns of these names in docs are replaced.
+    """
+    rows = Store(docs.sparkSession, "mixdocs").put(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    mixed = mix_sources(rows.select(F.col("row_").alias("doc_id"), "text", "source"), **settings).where("taken > 0")
+    mixed = mixed.drop("source").withColumnRenamed("doc_id", "row_")
+    kept = [c for c in docs.columns if c not in mixed.columns]
+    return rows.select("row_", *(F.col(f"`{c}`") for c in kept)).join(mixed, "row_").drop("row_")
+
+
 #: DuckDB statement for the rows of the query; the closed form of the water level replaces the rounds.
 MIX_SQL = r"""
 WITH sized AS (

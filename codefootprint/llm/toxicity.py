@@ -28,8 +28,10 @@ DISCOUNT = 0.75
 BUCKET_BITS = 21
 #: The models: ordinary, toxic, and both together.
 KINDS = (0, 1, 2)
-#: Bound of the training sample: rows of each class.
-ROWS_PER_CLASS = 4000
+#: Bound of the training sample: slices of each class by digest, and rows of a slice (a limit that Spark applies before it
+#: shuffles).
+SLICES = 16
+ROWS_PER_SLICE = 250
 PREDICT_AT = 0.7
 
 _BYTES = np.full(256, ord(" "), dtype=np.uint8)
@@ -142,15 +144,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 42) -> ToxicityModel | None:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic 0 or 1); None if a class has no text.
 
-    A seeded sample of at most ROWS_PER_CLASS labelled rows of each class is used, with whole texts: three quarters give
+    A seeded sample of at most SLICES times ROWS_PER_SLICE labelled rows of each class is used, with whole texts: three quarters give
     the counts, a quarter the logistic layer. Several labels of one id count as toxic if one of them is. Run counts are
     summed by Spark; the driver gets at most one row per bucket, order and class.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     digest = F.xxhash64("doc_id", F.lit(seed))
     chosen = (
-        known.withColumn("n", F.row_number().over(W.partitionBy("toxic").orderBy(digest, "doc_id")))
-        .where(F.col("n") <= ROWS_PER_CLASS)
+        known.withColumn("slice", F.pmod(digest, F.lit(SLICES)))
+        .withColumn("n", F.row_number().over(W.partitionBy("toxic", "slice").orderBy(digest, "doc_id")))
+        .where(F.col("n") <= ROWS_PER_SLICE)
         .select("doc_id", "toxic", (F.col("n") % 4 == 0).alias("fits_layer"))
     )
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -120,7 +120,7 @@ def choose_cutoffs(passed: dict[tuple[str, str, int], int], good: dict[str, int]
     for stratum, n in good.items():
         for rule in MEASURES:
             for i, cutoff in enumerate(GRID):
-                rejected = sum(passed.get((stratum, rule, k), 0) for k in range(i + 1, len(GRID) + 1))
+                rejected = sum(passed.get((stratum, rule, k), 0) for k in range(len(GRID) - i, len(GRID) + 1))
                 # most failures show at the plain share already
                 if rejected > share * n or upper_bound(rejected, n, level) > share:
                     break

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefootprint.llm.store import Store, numbered
+from codefootprint.llm.store import Store, numbered, with_row
 from codefootprint.llm.words import WORD_PATTERN
 
 MIN_WORDS = 5
@@ -151,7 +151,8 @@ def _marked(docs: DataFrame, store: Store, min_words: int) -> DataFrame:
     """docs (with row_) and spans, an array of (start, n) or null."""
     copies = later_copies(store, docs, min_words)
     spans = copies.groupBy("row_").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return docs.join(spans, "row_", "left")
+    # a merge join at every size: the plan, and what it moves, follows the input evenly
+    return docs.join(spans.hint("merge"), "row_", "left")
 
 
 def split_lines(text: str | None, spans) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -167,19 +168,14 @@ def split_lines(text: str | None, spans) -> tuple[list[str], np.ndarray, np.ndar
     return lines, wordy, gone
 
 
-def with_row(docs: DataFrame, store: Store) -> DataFrame:
-    """docs with row_, a number of the row that stays the same however often the table is read."""
-    return store.put(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
-
-
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_deleted, n_runs: lines with a word, those that are later copies, and the runs they form.
 
-    docs: doc_id, text and any other columns. Null and blank texts have no lines. Rows with the same doc_id are ordered by
+    docs: doc_id, text and any other columns, in a stored table. Null and blank texts have no lines. Rows with the same doc_id are ordered by
     their place in the table, so a repeated row is a later copy. Lines are compared as they are; an empty table gives no rows.
     """
     store = Store(docs.sparkSession, "linededup")
-    marked = _marked(with_row(docs.select("doc_id", "text"), store), store, min_words)
+    marked = _marked(with_row(docs.select("doc_id", "text")), store, min_words)
 
     @F.pandas_udf("n_lines long, n_deleted long, n_runs long")
     def count(texts, spans):
@@ -202,7 +198,7 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     the new text.
     """
     store = Store(docs.sparkSession, "linededup")
-    marked = _marked(with_row(docs, store), store, min_words)
+    marked = _marked(with_row(docs), store, min_words)
 
     @F.pandas_udf("string")
     def kept(texts, spans):

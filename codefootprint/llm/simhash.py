@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefootprint.llm.components import connected_components
-from codefootprint.llm.store import Store
+from codefootprint.llm.store import Store, with_row
 
 BITS = 64
 SHINGLE = 4
@@ -142,13 +142,13 @@ def near_duplicates(docs: DataFrame, reach: int = REACH, n_segments: int = SEGME
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but the first document (smallest doc_id) of each group of near-duplicates; all columns stay.
+    """docs (a stored table) with only the first document (smallest doc_id) of each group of near-duplicates; all columns stay.
 
     Texts without words are no copies of each other and stay. Of rows with the same id and text one stays; of rows with the
     same id and different texts those stay whose id is the smallest of their group.
     """
     store = Store(docs.sparkSession, "keepone")
-    rows = store.put(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    rows = with_row(docs)
     ids = rows.select(F.col("row_").alias("doc_id"), "text", F.col("doc_id").alias("id_"))
     keys = store.put(with_fingerprint(ids).select("doc_id", "id_", "fp"), "fingerprints")
     unique = store.put(keys.groupBy("fp").agg(F.min(F.struct(F.col("id_").isNull(), "id_", "doc_id")).alias("first")), "unique")
@@ -157,4 +157,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     joined = unique.join(roots, "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
     stay = joined.where("root != 0").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("row_"))
     stay = store.put(stay.union(keys.where("fp = 0").select(F.col("doc_id").alias("row_"))), "stay")
-    return rows.join(stay, "row_", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # a merge join at every size: the plan, and what it moves, follows the input evenly
+    return rows.join(stay.hint("merge"), "row_", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

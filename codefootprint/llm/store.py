@@ -45,6 +45,14 @@ class Store:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with row_, a number that tells repeated rows apart.
+
+    docs must be a stored table, which reads the same each time: the number is made of a row's split and place in it.
+    """
+    return docs.withColumn("row_", F.monotonically_increasing_id())
+
+
 def numbered(store: Store, df: DataFrame, name: str, *order: str) -> DataFrame:
     """Adds the row number from 0 in a total order, with no task that sees all rows.
 

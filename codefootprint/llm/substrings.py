@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefootprint.llm.store import Store
+from codefootprint.llm.store import Store, with_row
 from codefootprint.llm.words import Rolling, mixed
 
 LENGTH = 100
@@ -122,7 +122,7 @@ def _first_of_each(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...])
     return mask
 
 
-def hot_anchors(rows: DataFrame) -> list[int]:
+def hot_anchors(store: Store, rows: DataFrame) -> list[int]:
     """Hashes of the anchors of more than one in HOT_SHARE of all contexts; at most HOT_SHARE of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,15 +133,10 @@ def hot_anchors(rows: DataFrame) -> list[int]:
             keys, n = keys[often].view(np.int64), n[often]
             yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, 0)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(n), np.int64), len(h)))], names=["h", "n", "total"])
 
-    counted = rows.select("doc_id", "row_", "text").mapInArrow(count, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    total = F.sum("total").over(_everything())
-    return sorted(r.h for r in counted.where("n > 0 or total > 0").withColumn("all", total).where(f"n > 1000 and n * {HOT_SHARE} > all").collect())
-
-
-def _everything():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy()
+    counted = rows.select("doc_id", "row_", "text").mapInArrow(count, "h long, n long, total long")
+    counted = store.put(counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "often")
+    least = max(1000, (counted.agg(F.sum("total")).first()[0] or 0) // HOT_SHARE)
+    return sorted(r.h for r in counted.where(F.col("n") > least).collect())
 
 
 def find_contexts(rows: DataFrame, hot: list[int]) -> DataFrame:
@@ -368,7 +363,7 @@ def merge_windows(store: Store, windows: DataFrame) -> DataFrame:
 
 def repeated_spans(store: Store, rows: DataFrame) -> DataFrame:
     """row_, p, q: byte spans that are covered by strings of LENGTH bytes that also start earlier (spans may overlap)."""
-    hot = hot_anchors(rows)
+    hot = hot_anchors(store, rows)
     found = store.put(find_contexts(rows, hot), "contexts")
     sorted_ = store.put(sort_contexts(found.where(F.col("kind") == CONTEXT)), "kinds")
     compared = store.put(compare_contexts(rows, sorted_.where(F.col("kind") == CONTEXT)).select("row_", "p", "q"), "compared")
@@ -402,7 +397,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     The rest of a text may be no valid UTF-8 and so is binary.
     """
     store = Store(docs.sparkSession, "substrings")
-    rows = docs.select("doc_id", "text").withColumn("row_", F.monotonically_increasing_id())
+    rows = with_row(docs.select("doc_id", "text"))
     spans = repeated_spans(store, rows).groupBy("row_").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
     marked = rows.join(spans, "row_", "left")
 

@@ -30,7 +30,7 @@ POWER_ROUNDS = 2
 BLOCK_ITEMS = 4096
 #: Cosine from which a passage is a candidate; shares of the benchmark text that the common subsequence must cover, alone
 #: or together with a found answer; words of the answer.
-COSINE = 0.35
+COSINE = 0.45
 COVERED = 0.8
 COVERED_WITH_ANSWER = 0.6
 ANSWER_WORDS = 6
@@ -127,20 +127,16 @@ class Searcher:
         ends = np.minimum(starts + WINDOW, n)
         energy = sums[ends] - sums[starts]
         # a passage can't be nearer to the space than its own words in the space's vocabulary
-        near = np.flatnonzero((inner[ends] - inner[starts] >= COSINE**2 / 2 * energy) & (energy > 0))
+        near = np.flatnonzero((inner[ends] - inner[starts] >= 0.8 * COSINE**2 * energy) & (energy > 0))
         found: dict[int, list[tuple[int, float]]] = {}
         for a in range(0, len(near), 256):
             some = near[a : a + 256]
-            x = np.zeros((len(some), self.directions.shape[1]), dtype=np.float32)
-            length = np.empty(len(some))
-            for k, w in enumerate(some):
-                part = slice(starts[w], ends[w])
-                words, counts = np.unique(own[part], return_counts=True)
-                value = counts * self.idf[words]
-                length[k] = np.sqrt((value**2).sum())
-                known = self.place[words] >= 0
-                x[k] = value[known] @ self.directions[self.place[words[known]]]
-            cosine = x @ self.latent.T / length[:, None]
+            at = starts[some][:, None] + np.arange(WINDOW)
+            here = np.minimum(at, n - 1)
+            value = np.where((at < n) & (place[here] >= 0), weight[here], 0).astype(np.float32)
+            x = np.einsum("kw,kwr->kr", value, self.directions[np.maximum(place[here], 0)], optimize=True)
+            # a word that repeats makes the passage longer than this, so the cosine errs to the side of more candidates
+            cosine = x @ self.latent.T / np.sqrt(energy[some])[:, None]
             for k, item in zip(*np.nonzero(cosine >= COSINE)):
                 found.setdefault(int(item), []).append((int(starts[some[k]]), float(cosine[k, item])))
         return found

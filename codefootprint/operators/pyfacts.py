@@ -150,20 +150,22 @@ def parse_batch(texts: pa.Array) -> pa.Array:
     offsets, rows, errors = [0], [], []
     # Trees hold no reference cycles; without the collector's scans a batch takes a third less time.
     gc.disable()
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        for text in texts.to_pylist():
-            error = None
-            if text is not None:
-                try:
-                    rows += node_rows(text)
-                except SyntaxError as exc:
-                    error = exc.msg
-                except (ValueError, RecursionError, MemoryError) as exc:
-                    error = type(exc).__name__
-            offsets.append(len(rows))
-            errors.append(error)
-    gc.enable()
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            for text in texts.to_pylist():
+                error = None
+                if text is not None:
+                    try:
+                        rows += node_rows(text)
+                    except SyntaxError as exc:
+                        error = exc.msg
+                    except (ValueError, RecursionError, MemoryError) as exc:
+                        error = type(exc).__name__
+                offsets.append(len(rows))
+                errors.append(error)
+    finally:
+        gc.enable()
     columns = [pa.array([row.get(name) for row in rows], kind) for name, _, kind in _FIELDS]
     nodes = pa.StructArray.from_arrays(columns, [name for name, _, _ in _FIELDS])
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)

@@ -44,15 +44,20 @@ def _code_lines():
 
 
 def scan_files(
-    files: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, ignored_dirs: Iterable[str] | None = None
+    files: DataFrame,
+    rules: Iterable[Rule] = DEFAULT_RULES,
+    ignored_dirs: Iterable[str] | None = None,
+    max_text_bytes: int | None = None,
 ) -> DataFrame:
     """``repo_id, path, language, code_lines, bytes, findings, error`` per file of a ``files`` table.
 
+    Texts of any size are scanned, unless ``max_text_bytes`` says from where on they are only listed.
+
     Rows whose optional column ``scanned`` is false (see ``requested_files``) are read by the dependency rules only.
     A ``folder`` column is passed through.
     """
     rules = tuple(rules)
-    df = with_text(prune_ignored_dirs(files, ignored_dirs))
+    df = with_text(prune_ignored_dirs(files, ignored_dirs), max_text_bytes)
     assets = asset_columns(rules)
     if "scanned" in files.columns:
         df = df.withColumn("_text", F.expr("IF(scanned, _text, NULL)"))

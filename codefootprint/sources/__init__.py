@@ -3,7 +3,6 @@
 from .admission import admit_repos, admit_snippets, missing_repo_errors
 from .corpus import (
     FILES_SCHEMA,
-    MAX_TEXT_BYTES,
     decode_text,
     files_from_binary,
     prune_ignored_dirs,
@@ -16,7 +15,7 @@ from .listing import files_from_listing
 from .targets import normalize_targets
 
 __all__ = [
-    "FILES_SCHEMA", "MAX_TEXT_BYTES", "admit_repos", "admit_snippets", "decode_text", "files_from_binary", "files_from_listing",
+    "FILES_SCHEMA", "admit_repos", "admit_snippets", "decode_text", "files_from_binary", "files_from_listing",
     "missing_repo_errors", "normalize_targets", "prune_ignored_dirs", "read_corpus", "requested_files", "spread",
     "with_text",
 ]

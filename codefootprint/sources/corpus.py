@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,8 @@ from ..functions.text import universal_newlines_sql
 from ..operators.asset_rules import IS_ASSET
 from ..operators.manifest_rules import is_package_json_sql, is_requirements_sql
 
-# Fixed value: larger texts are listed but not scanned.
-MAX_TEXT_BYTES = 2 * 1024 * 1024
+# Scheme and slashes of a URI, which a path keeps only one slash of.
+_SCHEME = r"\A[a-z0-9]+:/{1,3}"
 FILES_SCHEMA = "repo_id string, path string, length bigint, content binary"
 
 
@@ -24,7 +25,7 @@ def read_corpus(spark: SparkSession, table: str) -> DataFrame:
 
 
 def files_from_binary(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
-    """Files read directly. ``root`` is the folder that holds one folder per repository.
+    """Files read directly. ``root`` is the folder that holds one folder per repository, as a path or URI.
 
     Spark's recursive listing hides names that start with a dot or an underscore; ``files_from_listing`` reads those
     too.
@@ -32,8 +33,8 @@ def files_from_binary(spark: SparkSession, paths: list[str], root: str) -> DataF
     loaded = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     )
-    below = F.regexp_replace(F.col("path"), r"\A[a-z0-9]+:/{1,3}", "/")
-    prefix = "/" + root.strip("/") + "/"
+    below = F.regexp_replace(F.col("path"), _SCHEME, "/")
+    prefix = "/" + re.sub(_SCHEME, "/", root).strip("/") + "/"
     inner = F.when(F.startswith(below, F.lit(prefix)), F.substring(below, F.lit(len(prefix) + 1), F.length(below)))
     return loaded.select(
         F.regexp_extract(inner, r"\A([^/]*)/", 1).alias("repo_id"),
@@ -90,17 +91,18 @@ def decode_text(content: str) -> Column:
     return F.expr(decode_text_sql(content))
 
 
-def text_columns() -> dict[str, str]:
-    """``_text`` and what it needs. Assets and oversized files keep a null text; assets have no language."""
+def text_columns(max_text_bytes: int | None = None) -> dict[str, str]:
+    """``_text`` and what it needs. Assets and files over the limit, if any, keep a null text; assets have no language."""
+    over = "" if max_text_bytes is None else f" OR length > {int(max_text_bytes)}"
     return {
         "_name": f"lower({base_name_sql('path')})",
         "_ext": extension_sql("path"),
         "_is_asset": IS_ASSET,
         "_language": f"IF(_is_asset, NULL, {language_of_name_sql('_name', '_ext')})",
-        "_text": f"IF(_is_asset OR length > {MAX_TEXT_BYTES}, NULL, {decode_text_sql('content')})",
+        "_text": f"IF(_is_asset{over}, NULL, {decode_text_sql('content')})",
     }
 
 
-def with_text(files: DataFrame) -> DataFrame:
+def with_text(files: DataFrame, max_text_bytes: int | None = None) -> DataFrame:
     """Adds ``language`` and ``_text``."""
-    return with_layers(files, text_columns()).withColumnRenamed("_language", "language")
+    return with_layers(files, text_columns(max_text_bytes)).withColumnRenamed("_language", "language")

@@ -144,7 +144,9 @@ def test_size_and_encoding_gates(files_of):
         "bad.py": b"print(1)\n\xff", "pic.png": b"x" * 512001, "small.PNG": b"x" * 512000,
         "lib.min.js": b"x" * 200000, "lib.mjs": b"x" * 153601, "edge.css": b"x" * 153600,
     })
-    scanned = cf.scan_files(files)
+    # without a limit every text is scanned
+    assert {r.path: r.code_lines for r in cf.file_stats(cf.scan_files(files)).collect()}["over.js"] == 1
+    scanned = cf.scan_files(files, max_text_bytes=2 * 1024 * 1024)
     stats = {r.path: (r.language, r.code_lines) for r in cf.file_stats(scanned).collect()}
     assert stats["at.py"] == ("python", 2)
     assert stats["over.js"] == ("javascript", 0)
@@ -253,3 +255,11 @@ def test_files_read_from_disk(spark, tmp_path):
 def test_deep_nesting_in_the_fold(found_in, lines):
     text = "".join(f"{'for(;;){'}\n" for _ in range(lines)) + "}" * lines
     assert found_in({"a.c": text}) == [("a.c", "GC001", i) for i in range(2, lines + 1)]
+
+
+def test_roots_may_be_uris(spark, tmp_path):
+    (tmp_path / "one" / "src").mkdir(parents=True)
+    (tmp_path / "one" / "src" / "a.py").write_text("print(1)\n")
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        rows = cf.files_from_binary(spark, [f"file://{tmp_path}"], root).collect()
+        assert [(r.repo_id, r.path) for r in rows] == [("one", "src/a.py")]

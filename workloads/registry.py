@@ -136,7 +136,7 @@ def decode_text(spark, sf_dir):
 
 def size_cutoff(spark, sf_dir):
     files = C.assets(spark, sf_dir).withColumn("content", F.lit("a\n\n  \nb\n"))
-    return cf.file_stats(cf.scan_files(files))
+    return cf.file_stats(cf.scan_files(files, max_text_bytes=2 * 1024 * 1024))
 
 
 def admit_repos(spark, sf_dir):

@@ -20,6 +20,16 @@ QUERY_LANGUAGES = (
 )
 PY, JS = ("python",), ("javascript", "typescript")
 
+# Per piece between semicolons: a head whose table has the last keyword's name, else the first head behind that keyword.
+_KEYWORD = r"\b(?:where|limit)\b"
+_KEYWORD_HEAD = r"\b(?:update\s++(?:where|limit)\s++set|delete\s++from\s++(?:where|limit))\b"
+_HEAD = r"\b(?:update\s++\w++\s++set|delete\s++from\s++\w++)\b"
+# Looked up before the group takes the text, as a group keeps what it took in an alternative that failed.
+_OPEN_STATEMENT = (
+    rf"(?=(?:\A|;)(?>[^;]*{_KEYWORD_HEAD})(?![^;]*{_KEYWORD}))((?:\A|;)[^;]*){_KEYWORD_HEAD}"
+    rf"|(?>((?:\A|;)(?>[^;]*{_KEYWORD})?+[^;]*?){_HEAD})"
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -27,7 +37,9 @@ class Rule:
 
     ``languages`` empty means every known language. ``hints`` are substrings of which every matching line
     holds at least one (lower case when ``ignore_case``); a file without any of them is not searched. They
-    only save work: leave them empty and the result is the same.
+    only save work: leave them empty and the result is the same. ``linear`` is a form of ``pattern`` with the same hits
+    for lines of any length: from one start per statement it looks ahead once, where the plain pattern does so from every
+    start. Its groups take the text before the start.
     """
 
     id: str
@@ -39,6 +51,7 @@ class Rule:
     pattern: str | None = None
     require_absent: str | None = None
     ignore_case: bool = False
+    linear: str | None = None
     hints: tuple[str, ...] = ()
     description: str = ""
     remediation: str = ""
@@ -114,11 +127,12 @@ DEFAULT_RULES: tuple[Rule, ...] = (
          remediation="Name the columns."),
     Rule("GC031", "Query without WHERE or LIMIT", "data", 2, languages=QUERY_LANGUAGES,
          pattern=r"select\s+.+\s+from\s+\w+\s*(;|\"|')", ignore_case=True, hints=("select",),
+         linear=r"\A(?>(.*?)select\s).+\sfrom\s++\w++\s*+[;\"']",
          description="The whole table is read.",
          remediation="Filter or limit the query."),
     Rule("GC032", "UPDATE or DELETE without WHERE", "data", 4, languages=QUERY_LANGUAGES,
          pattern=r"\b(update\s+\w+\s+set|delete\s+from\s+\w+)\b(?![^;\n]*(\bwhere\b|\blimit\b))",
-         ignore_case=True, hints=("update", "delete"),
+         ignore_case=True, hints=("update", "delete"), linear=_OPEN_STATEMENT,
          description="The whole table is rewritten.",
          remediation="Restrict the statement to the rows meant."),
     Rule("GC033", "LIKE with a leading wildcard", "data", 2, languages=QUERY_LANGUAGES,
@@ -159,6 +173,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
          remediation="Switch it by configuration and keep it off in production."),
     Rule("GC061", "Endless CSS animation", "energy", 2, languages=("css", "html"),
          pattern=r"animation(-iteration-count)?\s*:[^;]*\binfinite\b", ignore_case=True, hints=("infinite",),
+         linear=r"(?>((?:\A|;)[^;]*?)animation(?:-iteration-count)?\s*+:)[^;]*\binfinite\b",
          description="The renderer never rests.",
          remediation="Bound the number of iterations and honour reduced motion."),
     Rule("GC062", "Cryptomining script", "energy", 5,
@@ -214,6 +229,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
          languages=("python", "javascript", "typescript", "java", "php", "ruby", "go", "csharp", "html", "yaml",
                     "json", "ini"),
          pattern=r"cache[-_ ]?control\b[^\n]*\bno-store\b", ignore_case=True, hints=("no-store",),
+         linear=r"\A(?>(.*?)cache[-_ ]?control\b)[^\n]*\bno-store\b",
          description="Every request is computed and sent anew.",
          remediation="Cache what may be cached."),
     Rule("GC093", "Many fixed replicas", "sci", 1, languages=("yaml",),

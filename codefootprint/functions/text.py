@@ -6,6 +6,8 @@ Java's ``\s`` leaves out. The helpers below say so once.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ WHITESPACE = (
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-SNIPPET_CHARS = 200
 
 _LINE_END = rf"\r\n|[{LINE_BREAKS}]"
 
@@ -50,10 +51,6 @@ def count_nonblank_sql(lines: str) -> str:
     return f"size(filter({lines}, l -> trim(LEADING {quote(WHITESPACE)} FROM l) <> ''))"
 
 
-def snippet_sql(line: str) -> str:
-    return f"substring({strip_sql(line)}, 1, {SNIPPET_CHARS})"
-
-
 def universal_newlines_sql(text: str) -> str:
     r"""``\r\n`` and lone ``\r`` become ``\n``, as when a file is opened in text mode."""
     return (
@@ -72,6 +69,15 @@ def code_point_column_sql(line: str, pattern: str, ignore_case: bool = False) ->
     return f"length(regexp_extract({line}, {quote(rf'{flags}s)\A(.*?)(?:{body})')}, 1)) + 1"
 
 
+def skipping_column_sql(line: str, pattern: str, ignore_case: bool = False) -> str:
+    """1-based column of the first match in code points, for a pattern whose groups take the text before the start."""
+    found = quote(java_regex(pattern, ignore_case))
+    skipped = " + ".join(
+        f"length(regexp_extract({line}, {found}, {i}))" for i in range(1, re.compile(pattern).groups + 1)
+    )
+    return f"length(split({line}, {found}, 2)[0]) + {skipped} + 1"
+
+
 def split_lines(text: str) -> Column:
     return F.expr(split_lines_sql(text))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from ..catalog.rules import Rule
 from ..functions.paths import base_name_sql
 from ..functions.sqltext import in_list, quote, regex
-from ..functions.text import SNIPPET_CHARS, strip_sql
+from ..functions.text import strip_sql
 from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql
 
 # Image names and patterns of the Dockerfile rules.
@@ -29,7 +29,7 @@ def _instruction(line: str, word: str) -> str:
 
 
 def _found(rule_id: str, line: str, text: str, message: str) -> str:
-    return finding_sql(quote(rule_id), line, "0", f"substring({text}, 1, {SNIPPET_CHARS})", quote(message))
+    return finding_sql(quote(rule_id), line, "0", text, quote(message))
 
 
 def _from_rules() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..catalog.rules import C_LIKE
 from ..functions.scrub import mask_code_sql
 from ..functions.sqltext import in_list, quote, regex
-from ..functions.text import snippet_sql
+from ..functions.text import strip_sql
 from .finding import NO_FINDINGS, finding_sql
 
 _TOKENS = r"(?U)\b(?:for|while|foreach)\b|[(){};]|\n+"
@@ -41,7 +41,7 @@ def loop_columns(enabled: bool = True) -> dict[str, str]:
         return {"_loops": NO_FINDINGS}
     worth = f"{in_list('language', C_LIKE)} AND {regex('_text', _TWO_LOOPS)}"
     found = finding_sql(
-        "'GC001'", "at", "0", snippet_sql("coalesce(get(_lines, at - 1), '')"), "'Nested loops'"
+        "'GC001'", "at", "0", strip_sql("coalesce(get(_lines, at - 1), '')"), "'Nested loops'"
     )
     return {
         "_nested": f"IF({worth}, {nested_loop_lines_sql(mask_code_sql('_text', 'language'))}, NULL)",

@@ -15,7 +15,7 @@ from ..catalog.dimensions import HEAVY_DEPENDENCIES
 from ..catalog.rules import Rule
 from ..functions.layers import with_layers
 from ..functions.sqltext import in_list, map_of, quote, regex
-from ..functions.text import SNIPPET_CHARS, split_lines_sql, strip_sql, universal_newlines_sql
+from ..functions.text import split_lines_sql, strip_sql, universal_newlines_sql
 from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql
 
 # Manifest sections, version marks and open versions.
@@ -116,7 +116,7 @@ def entry_columns() -> dict[str, str]:
 
 def _entry_hits(condition: str | None, message: str, heavy: bool) -> str:
     """Findings of one entry ``e``: heavy by name, open by the given condition."""
-    text = f"substring(e.text, 1, {SNIPPET_CHARS})"
+    text = "e.text"
     note = f"concat('Heavy dependency \\'', e.name, '\\': ', element_at({map_of(HEAVY_DEPENDENCIES)}, e.name))"
     hits = []
     if heavy:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 
 from ..catalog.rules import Rule
 from ..functions.sqltext import in_list, map_of, quote
-from ..functions.text import snippet_sql
+from ..functions.text import strip_sql
 from .finding import NO_FINDINGS, finding_sql
 from .pyfacts import syntax_facts
 
@@ -81,7 +81,7 @@ def _report_sql(names: dict[str, str]) -> str:
         "WHEN n.name IS NOT NULL THEN concat(': ', n.name) ELSE '' END"
     )
     message = f"concat(element_at({map_of(names.items())}, rule_id), {subject})"
-    found = finding_sql("rule_id", "n.line", "n.col", snippet_sql("coalesce(get(_lines, n.line - 1), '')"), message)
+    found = finding_sql("rule_id", "n.line", "n.col", strip_sql("coalesce(get(_lines, n.line - 1), '')"), message)
     return f"flatten(transform(_facts.nodes, n -> transform({_fired_sql(set(names))}, rule_id -> {found})))"
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from ..catalog.rules import Rule
 from ..functions.scrub import strip_comments_sql
 from ..functions.sqltext import any_of, contains_any, in_list, quote, regex
-from ..functions.text import code_point_column_sql, java_regex, snippet_sql, split_lines_sql
+from ..functions.text import code_point_column_sql, java_regex, skipping_column_sql, split_lines_sql, strip_sql
 from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql
 
 
@@ -31,7 +31,9 @@ def _admits(rule: Rule) -> str:
 
 
 def _line_hits(rule: Rule) -> str:
-    hit = regex("line", java_regex(rule.pattern, rule.ignore_case))
+    pattern = rule.linear or rule.pattern
+    hit = regex("line", java_regex(pattern, rule.ignore_case))
+    column = skipping_column_sql if rule.linear else code_point_column_sql
     if rule.hints:
         # Most lines of an admitted file lack the hint too, and a substring search is cheaper than the pattern.
         hinted = contains_any("lower(line)" if rule.ignore_case else "line", rule.hints)
@@ -39,8 +41,8 @@ def _line_hits(rule: Rule) -> str:
     if rule.require_absent:
         hit += f" AND NOT {regex('line', java_regex(rule.require_absent, rule.ignore_case))}"
     found = finding_sql(
-        quote(rule.id), "i + 1", code_point_column_sql("line", rule.pattern, rule.ignore_case),
-        snippet_sql("coalesce(get(_lines, i), line)"), quote(rule.name),
+        quote(rule.id), "i + 1", column("line", pattern, rule.ignore_case),
+        strip_sql("coalesce(get(_lines, i), line)"), quote(rule.name),
     )
     return keep_hits_sql(f"transform(_scrubbed, (line, i) -> IF({hit}, {found}, NULL))")
 

@@ -29,6 +29,10 @@ def _finding_order() -> list:
     return [F.desc("severity"), F.asc("path"), F.asc("line"), F.asc("column"), F.asc("rule_id"), F.asc("snippet")]
 
 
+def _shown(name: str, chars: int | None):
+    return F.col(name) if chars is None else F.substring(name, 1, chars).alias(name)
+
+
 def label_violations(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
     """Findings with severity and category labels; unknown values show as they are."""
     spark = found.sparkSession
@@ -55,8 +59,9 @@ def sorted_violations(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -
     return with_severity(found, rules).orderBy(F.asc("repo_id"), *_finding_order())
 
 
-def top_violations(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, k: int = TOP_FINDINGS) -> DataFrame:
-    """The first ``k`` findings of each repository; unknown rules count as severity 0."""
+def top_violations(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, k: int = TOP_FINDINGS, snippet_chars: int | None = None) -> DataFrame:
+    """The first ``k`` findings of each repository; unknown rules count as severity 0. ``snippet_chars`` shortens lines
+    for display."""
     ranked = with_severity(found, rules, "left").withColumn("severity", F.coalesce("severity", F.lit(0)))
     window = Window.partitionBy("repo_id").orderBy(*_finding_order())
     return (
@@ -64,16 +69,17 @@ def top_violations(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, k: i
         .filter(F.col("rank") <= k)
         .select(
             "repo_id", "rank", "rule_id", "severity", location("path", "line").alias("location"),
-            F.substring("snippet", 1, 90).alias("snippet"),
+            _shown("snippet", snippet_chars),
         )
     )
 
 
-def top_rules(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, k: int = TOP_RULES) -> DataFrame:
+def top_rules(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, k: int = TOP_RULES, name_chars: int | None = None) -> DataFrame:
+    """The first ``k`` rules of each repository by penalty; ``name_chars`` shortens names for display."""
     return (
         rule_scores(found, rules)
         .filter(F.col("rank") <= k)
-        .select("repo_id", "rank", "rule_id", F.substring("name", 1, 46).alias("name"), "severity", "count", "penalty")
+        .select("repo_id", "rank", "rule_id", _shown("name", name_chars), "severity", "count", "penalty")
     )
 
 
@@ -95,7 +101,7 @@ def rule_catalog(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> Dat
     spark = found.sparkSession
     counts = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"))
     listed = (
-        F.broadcast(rules_df(spark, rules)).join(counts, "rule_id", "left")
+        rules_df(spark, rules).join(counts, "rule_id", "left")
         .join(F.broadcast(severities_df(spark)), "severity", "left")
         .na.fill(0, ["findings"])
     )

@@ -43,13 +43,28 @@ def _code_lines():
     return F.expr(f"IF(_lines IS NULL, 0, {count_nonblank_sql('_lines')})")
 
 
+def _status_sql(marked: bool, max_text_bytes: int | None) -> str:
+    cases = ["WHEN NOT scanned THEN 'manifest only'"] if marked else []
+    cases.append("WHEN _is_asset THEN 'asset'")
+    if max_text_bytes is not None:
+        cases.append(f"WHEN length > {int(max_text_bytes)} THEN 'over the limit'")
+    cases += [
+        "WHEN content IS NULL THEN 'no content'", "WHEN _text IS NULL THEN 'not UTF-8'",
+        "WHEN language IS NULL THEN 'unknown language'",
+    ]
+    return f"CASE {' '.join(cases)} ELSE 'scanned' END"
+
+
 def scan_files(
     files: DataFrame,
     rules: Iterable[Rule] = DEFAULT_RULES,
     ignored_dirs: Iterable[str] | None = None,
     max_text_bytes: int | None = None,
 ) -> DataFrame:
-    """``repo_id, path, language, code_lines, bytes, findings, error`` per file of a ``files`` table.
+    """``repo_id, path, language, code_lines, bytes, findings, error, status`` per file of a ``files`` table.
+
+    ``status`` says what was done with the text: ``scanned``, ``unknown language`` (only rules for any text apply),
+    ``asset``, ``over the limit``, ``not UTF-8``, ``no content``, or ``manifest only`` (see below).
 
     Texts of any size are scanned, unless ``max_text_bytes`` says from where on they are only listed.
 
@@ -69,6 +84,7 @@ def scan_files(
         F.col("length").cast("bigint").alias("bytes"),
         F.concat("_assets", "_docker", "_regex", "_loops", "_python", "_manifest").alias("findings"),
         F.col("_error").alias("error"),
+        F.expr(_status_sql("scanned" in files.columns, max_text_bytes)).alias("status"),
     )
 
 

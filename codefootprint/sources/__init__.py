@@ -8,7 +8,6 @@ from .corpus import (
     prune_ignored_dirs,
     read_corpus,
     requested_files,
-    spread,
     with_text,
 )
 from .listing import files_from_listing
@@ -16,6 +15,6 @@ from .targets import normalize_targets
 
 __all__ = [
     "FILES_SCHEMA", "admit_repos", "admit_snippets", "decode_text", "files_from_binary", "files_from_listing",
-    "missing_repo_errors", "normalize_targets", "prune_ignored_dirs", "read_corpus", "requested_files", "spread",
+    "missing_repo_errors", "normalize_targets", "prune_ignored_dirs", "read_corpus", "requested_files",
     "with_text",
 ]

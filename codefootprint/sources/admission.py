@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE
 
-# Limits of the admission checks.
+# Usual limits of the admission checks (none applies unless it is passed), languages of snippets.
 MAX_SNIPPET_BYTES = 200_000
 MAX_REPO_FILES = 6_000
 MAX_REPO_BYTES = 200 * 1024 * 1024
@@ -17,12 +17,18 @@ SNIPPET_LANGUAGES = (
 )
 
 
-def admit_snippets(snippets: DataFrame) -> DataFrame:
-    """``(name, source, language)`` rows that may be scanned: not blank, not too large, a known language."""
+def admit_snippets(snippets: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """All ``(name, source, language)`` rows with ``admitted`` and, if not, the ``reason``: blank (or null), or larger than
+    ``max_bytes`` where given. A language that can't be scanned becomes Python."""
     source, language = F.col("source"), F.btrim(F.coalesce("language", F.lit("python")), F.lit(WHITESPACE))
-    return snippets.filter((F.btrim(source, F.lit(WHITESPACE)) != "") & (F.octet_length(source) <= MAX_SNIPPET_BYTES)).withColumn(
-        "language", F.when(language.isin(*SNIPPET_LANGUAGES), language).otherwise("python")
-    )
+    reason = F.when(F.btrim(F.coalesce(source, F.lit("")), F.lit(WHITESPACE)) == "", "blank")
+    if max_bytes is not None:
+        reason = reason.when(F.octet_length(source) > max_bytes, "too large")
+    return snippets.withColumns({
+        "language": F.when(language.isin(*SNIPPET_LANGUAGES), language).otherwise("python"),
+        "admitted": reason.isNull(),
+        "reason": reason,
+    })
 
 
 def is_unsafe_path(path: Column) -> Column:
@@ -32,11 +38,11 @@ def is_unsafe_path(path: Column) -> Column:
 
 def admit_repos(
     files: DataFrame,
-    max_files: int = MAX_REPO_FILES,
-    max_bytes: int = MAX_REPO_BYTES,
-    max_archive_bytes: int = MAX_ARCHIVE_BYTES,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
+    max_archive_bytes: int | None = None,
 ) -> DataFrame:
-    """One row per repository: files and bytes of its safe regular files and whether it stays within limits.
+    """One row per repository: files and bytes of its safe regular files and whether it stays within the limits given.
 
     Optional columns ``is_regular`` (false for links and devices) and ``archive_bytes`` (compressed size of the
     repository) are used when present.
@@ -50,11 +56,13 @@ def admit_repos(
         F.coalesce(F.sum(F.when(safe, F.col("length"))), F.lit(0)).cast("bigint").alias("bytes"),
         archive.alias("_archive"),
     )
-    reason = (
-        F.when(F.col("_archive") > max_archive_bytes, "archive too large")
-        .when(F.col("files") > max_files, "too many files")
-        .when(F.col("bytes") > max_bytes, "too large")
+    limits = (
+        ("_archive", max_archive_bytes, "archive too large"), ("files", max_files, "too many files"),
+        ("bytes", max_bytes, "too large"),
     )
+    reason = F.coalesce(F.lit(None).cast("string"), *(
+        F.when(F.col(name) > limit, text) for name, limit, text in limits if limit is not None
+    ))
     return totals.select("repo_id", "files", "bytes", reason.isNull().alias("admitted"), reason.alias("reason"))
 
 

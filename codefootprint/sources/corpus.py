@@ -72,15 +72,6 @@ def requested_files(files: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Spreads a table that has fewer splits than there are cores, for rows that grow in the next step.
-
-    A table of normal size has more splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def decode_text_sql(content: str) -> str:
     raw = f"CAST({content} AS STRING)"
     return f"IF(is_valid_utf8({raw}), {universal_newlines_sql(raw)}, NULL)"

@@ -163,14 +163,23 @@ def test_admission(spark):
     files = spark.createDataFrame(
         [("ok", "a", 5), ("ok", "../b", 10**12), ("ok", "/c", 10**12), ("big", "a", 200 * 1024 * 1024 + 1), ("edge", "a..b", 200 * 1024 * 1024)],
         "repo_id string, path string, length bigint")
-    got = {r.repo_id: (r.files, r.admitted, r.reason) for r in cf.admit_repos(files).collect()}
+    got = {r.repo_id: (r.files, r.admitted, r.reason) for r in cf.admit_repos(files, max_bytes=200 * 1024 * 1024).collect()}
     assert got == {"ok": (1, True, None), "big": (1, False, "too large"), "edge": (1, True, None)}
+    assert cf.admit_repos(files).filter("admitted").count() == 3
     many = cf.admit_repos(files, max_files=0).filter("not admitted").count()
     assert many == 3
     snippets = spark.createDataFrame(
         [("a", " \n", "sql"), ("b", "x" * 200_000, "sql"), ("c", "é" * 100_001, "sql"), ("d", "x", "cobol"), ("e", "x", None)],
         "name string, source string, language string")
-    assert sorted((r.name, r.language) for r in cf.admit_snippets(snippets).collect()) == [("b", "sql"), ("d", "python"), ("e", "python")]
+    def reasons(**limits):
+        return {r.name: (r.language, r.admitted, r.reason) for r in cf.admit_snippets(snippets, **limits).collect()}
+
+    limited = reasons(max_bytes=200_000)
+    assert limited == {
+        "a": ("sql", False, "blank"), "b": ("sql", True, None), "c": ("sql", False, "too large"),
+        "d": ("python", True, None), "e": ("python", True, None),
+    }
+    assert reasons() == {**limited, "c": ("sql", True, None)}
     requested = spark.createDataFrame([("ok",), ("gone",)], "repo_id string")
     assert [r.repo_id for r in cf.missing_repo_errors(requested, files).collect()] == ["gone"]
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from codefootprint.catalog import DEFAULT_RULES
 from codefootprint.functions.sqltext import quote
-from codefootprint.sources import spread
 
 from .templates import TEMPLATES
 
@@ -35,7 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The named columns of the line items, for corpora whose rows grow from a few keys into files."""
-    return spread(table(spark, sf_dir, "lineitem").select(*columns))
+    return _spread(table(spark, sf_dir, "lineitem").select(*columns))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows that grow in the next step, over as many tasks as the session shuffles into."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pick(values, index: Column) -> Column:
@@ -83,7 +87,7 @@ def code_of(events: DataFrame) -> DataFrame:
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_of(spread(table(spark, sf_dir, "events").select("event_id", "user_id")))
+    return code_of(_spread(table(spark, sf_dir, "events").select("event_id", "user_id")))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,7 @@ def line_rule(rule) -> str:
             test += f" AND NOT regexp_matches(clean, {_sql_pattern(rule, rule.require_absent)})"
     return (
         f"SELECT repo_id, {lit(rule.id)} AS rule_id, path, CAST(line AS INTEGER) AS line, "
-        f"CAST(strpos(clean, {matched}) AS INTEGER) AS col, left(trim(raw), 200) AS snippet "
+        f"CAST(strpos(clean, {matched}) AS INTEGER) AS col, trim(raw) AS snippet "
         f"FROM code_lines WHERE {languages} AND {test}"
     )
 
@@ -346,11 +346,13 @@ SELECT p_partkey, CASE WHEN p_partkey % 10 = 9 THEN 'sub/' ELSE '' END, 'package
         "scan_source_table": f"WITH {CODE_CTES} {place} c2_all JOIN labels_t USING (t) "
                              f"UNION ALL {place} c2_all, {as_python} WHERE lang IS NULL",
         "admit_snippets": """WITH s AS (
-  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN repeat(text || 'è', 200) ELSE text END AS source
-  FROM documents)
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' || chr(10) || chr(9) || ' ' WHEN doc_id % 7 = 0 THEN repeat(text || 'è', 200) ELSE text END AS source
+  FROM documents),
+r AS (SELECT *, CASE WHEN trim(coalesce(source, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'blank'
+  WHEN octet_length(encode(source)) > 200000 THEN 'too large' END AS reason FROM s)
 SELECT doc_id AS name, (['python', 'sql', 'python', 'go', 'python'])[doc_id % 5 + 1] AS language,
-       CAST(octet_length(encode(source)) AS BIGINT) AS bytes
-FROM s WHERE source <> '' AND octet_length(encode(source)) <= 200000""",
+       CAST(octet_length(encode(source)) AS BIGINT) AS bytes,
+  reason IS NULL AS admitted, reason FROM r""",
         "missing_repo_errors": """SELECT DISTINCT s_suppkey * 3 AS repo_id, CAST(NULL AS VARCHAR) AS path,
   'No such repository: ' || (s_suppkey * 3) AS message
 FROM supplier WHERE s_suppkey * 3 NOT IN (SELECT l_suppkey FROM lineitem)""",
@@ -360,7 +362,9 @@ FROM supplier WHERE s_suppkey * 3 NOT IN (SELECT l_suppkey FROM lineitem)""",
   CASE ext WHEN '.js' THEN 'javascript' WHEN '.mjs' THEN 'javascript' WHEN '.min.js' THEN 'javascript'
            WHEN '.css' THEN 'css' WHEN '.ts' THEN 'typescript' END AS language,
   CAST(CASE WHEN ext IN ('.js', '.mjs', '.min.js', '.css', '.ts', '.txt') AND length <= 2097152 THEN 2 ELSE 0 END AS INTEGER) AS code_lines,
-  length AS bytes FROM c4""",
+  length AS bytes, CASE WHEN ext NOT IN ('.js', '.mjs', '.min.js', '.css', '.ts', '.txt') THEN 'asset'
+    WHEN length > 2097152 THEN 'over the limit' WHEN ext = '.txt' THEN 'unknown language' ELSE 'scanned' END AS status
+FROM c4""",
         "admit_repos": """WITH m AS (
   SELECT CASE WHEN l_linenumber <= 3 THEN 'big-' || l_returnflag
               ELSE 's' || l_suppkey || '-' || (l_partkey % (2 + l_suppkey % 2)) END AS repo_id,
@@ -465,7 +469,7 @@ UNION ALL SELECT 'guide without rule', rule_id, 0 FROM guides WHERE rule_id NOT
                                         "FROM c3 JOIN rules_t USING (rule_id)"),
         "top_violations": with_found(
             f"""SELECT repo_id, CAST(rank AS INTEGER) AS rank, rule_id, CAST(severity AS INTEGER) AS severity, {_LOCATION} AS location,
-  left(snippet, 90) AS snippet FROM (
+  snippet FROM (
     SELECT c3.*, coalesce(severity, 0) AS severity, row_number() OVER (
       PARTITION BY repo_id ORDER BY coalesce(severity, 0) DESC, path, line, col, rule_id, snippet) AS rank
     FROM c3 LEFT JOIN rules_t USING (rule_id)) WHERE rank <= 15"""

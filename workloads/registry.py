@@ -18,6 +18,7 @@ from codefootprint.functions import count_code_lines, detect_language, human_siz
 from codefootprint.operators.manifest_rules import package_entries, requirement_entries
 from codefootprint.operators.python_rules import PYTHON_RULE_IDS
 from codefootprint.operators.regex_rules import regex_rules
+from codefootprint.sources.admission import MAX_ARCHIVE_BYTES, MAX_REPO_BYTES, MAX_REPO_FILES, MAX_SNIPPET_BYTES
 from codefootprint.streaming import start_scan, start_usage_totals, usage_totals
 
 from . import corpora as C
@@ -113,7 +114,9 @@ def admit_snippets(spark, sf_dir):
     snippets = docs.select(
         F.col("doc_id").alias("name"), source.alias("source"), C.pick(SNIPPET_LANGUAGES, F.col("doc_id") % 5).alias("language")
     )
-    return cf.admit_snippets(snippets).select("name", "language", F.octet_length("source").cast("bigint").alias("bytes"))
+    return cf.admit_snippets(snippets, max_bytes=MAX_SNIPPET_BYTES).select(
+        "name", "language", F.octet_length("source").cast("bigint").alias("bytes"), "admitted", "reason"
+    )
 
 
 def missing_repo_errors(spark, sf_dir):
@@ -136,11 +139,13 @@ def decode_text(spark, sf_dir):
 
 def size_cutoff(spark, sf_dir):
     files = C.assets(spark, sf_dir).withColumn("content", F.lit("a\n\n  \nb\n"))
-    return cf.file_stats(cf.scan_files(files, max_text_bytes=2 * 1024 * 1024))
+    return cf.scan_files(files, max_text_bytes=2 * 1024 * 1024).select(
+        "repo_id", "path", "language", "code_lines", "bytes", "status"
+    )
 
 
 def admit_repos(spark, sf_dir):
-    return cf.admit_repos(C.archives(spark, sf_dir))
+    return cf.admit_repos(C.archives(spark, sf_dir), MAX_REPO_FILES, MAX_REPO_BYTES, MAX_ARCHIVE_BYTES)
 
 
 def normalize_targets(spark, sf_dir):

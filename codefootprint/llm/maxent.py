@@ -34,8 +34,11 @@ FEATURE_BUCKETS = 1 << 13
 #: Rounds of training over all training texts; in each, every STRIDE-th token of a text gives a gradient.
 ROUNDS = 2
 STRIDE = 12
-#: Tasks of a round whose weights are averaged, at most.
+#: Tasks of a round: as many as the texts have splits up to WORKERS, beyond that one for every SPLITS splits. Their weights
+#: are averaged in levels, FAN of them at a time.
 WORKERS = 32
+SPLITS = 8
+FAN = 32
 RATE = 0.5
 MINIBATCH = 2048
 END = b"\n"
@@ -190,12 +193,15 @@ def head_table(counts: DataFrame) -> HeadTable:
 
 
 def train(docs: DataFrame, head: HeadTable, rounds: int = ROUNDS, stride: int = STRIDE) -> Weights:
-    """Weights after rounds in which each of at most WORKERS tasks descends over its share of the texts.
+    """Weights after rounds in which each task descends over its share of the texts.
 
     The tasks start a round from the same weights and return theirs in blocks, which Spark averages, weighted by tokens.
-    The driver holds one copy of the weights (FEATURE_BUCKETS rows).
+    Tasks grow with the input, and no group has more than FAN blocks. The driver holds one copy of the weights
+    (FEATURE_BUCKETS rows).
     """
     spark = docs.sparkSession
+    splits = docs.rdd.getNumPartitions()
+    workers = min(splits, max(WORKERS, splits // SPLITS))
     weights = Weights.start()
     block = 256
     for number in range(rounds):
@@ -230,21 +236,22 @@ def train(docs: DataFrame, head: HeadTable, rounds: int = ROUNDS, stride: int =
             if n:
                 both = np.hstack([own.classes, own.words])
                 parts = range(0, FEATURE_BUCKETS, block)
+                task = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_pydict({
-                    "at": list(parts), "n": [n] * len(parts), "data": [(both[a : a + block] * np.float32(n)).tobytes() for a in parts],
+                    "at": list(parts), "task": [task] * len(parts), "n": [n] * len(parts), "data": [(both[a : a + block] * np.float32(n)).tobytes() for a in parts],
                 })
 
-        def average(key, table):
+        def add(key, table):
             n = sum(table.column("n").to_pylist())
-            total = sum(np.frombuffer(d.as_buffer(), dtype=np.float32).astype(np.float64) for d in table.column("data")) / n
-            return pa.table({"at": [key[0].as_py()], "data": [total.astype(np.float32).tobytes()]})
-
-        blocks = (
-            docs.select("text").coalesce(WORKERS).mapInArrow(descend, "at long, n long, data binary")
-            .groupBy("at").applyInArrow(average, "at long, data binary").collect()
-        )
-        for r in blocks:
-            both = np.frombuffer(bytes(r.data), dtype=np.float32).reshape(-1, CLASSES + CLASS_WORDS)
+            total = sum(np.frombuffer(d.as_buffer(), dtype=np.float32).astype(np.float64) for d in table.column("data"))
+            return pa.table({"at": [key[0].as_py()], "task": [key[1].as_py()], "n": [n], "data": [total.astype(np.float32).tobytes()]})
+
+        blocks, left = docs.select("text").coalesce(max(1, workers)).mapInArrow(descend, "at long, task long, n long, data binary"), workers
+        while left > 1:
+            left = -(-left // FAN)
+            blocks = blocks.withColumn("task", F.col("task") % left).groupBy("at", "task").applyInArrow(add, "at long, task long, n long, data binary")
+        for r in blocks.collect():
+            both = (np.frombuffer(bytes(r.data), dtype=np.float32) / np.float32(r.n)).reshape(-1, CLASSES + CLASS_WORDS)
             weights.classes[r["at"] : r["at"] + block] = both[:, :CLASSES]
             weights.words[r["at"] : r["at"] + block] = both[:, CLASSES:]
         held.unpersist()

@@ -141,6 +141,34 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _tables(counted: pa.Table) -> ToxicityModel | None:
+    """Model tables of a fixed size from run counts (kind, context, whole, n), column by column; None if a class has none."""
+    kind, context, whole, n = (counted.column(c).to_numpy() for c in ("kind", "context", "whole", "n"))
+    size = 1 << BUCKET_BITS
+    left = np.bincount(whole[kind == 3], minlength=size) + 0.1
+    at = np.flatnonzero(kind == 4)
+    around = np.bincount(context[at], weights=left[whole[at]], minlength=size)
+    continuation = np.full(size, 1e-3, dtype=np.float32)
+    continuation[whole[at]] = left[whole[at]] / around[context[at]]
+    del left, around
+    shares, backoffs = [], []
+    for k in KINDS:
+        at = np.flatnonzero(kind == k if k < 2 else kind < 2)
+        if not len(at):
+            return None
+        # in the shared model a run that both classes have is one run
+        keys, place = np.unique(context[at].astype(np.int64) << BUCKET_BITS | whole[at], return_inverse=True)
+        seen = np.bincount(place, weights=n[at])
+        before, run = keys >> BUCKET_BITS, keys & (size - 1)
+        totals = np.bincount(before, weights=seen, minlength=size)
+        kinds = np.bincount(before, minlength=size)
+        share = np.zeros(size, dtype=np.float32)
+        np.maximum.at(share, run, (np.maximum(seen - DISCOUNT, 0) / totals[before]).astype(np.float32))
+        shares.append(share)
+        backoffs.append(np.where(totals > 0, DISCOUNT * kinds / np.maximum(totals, 1), 1).astype(np.float32))
+    return ToxicityModel(continuation, shares, backoffs, np.zeros(7))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 42) -> ToxicityModel | None:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic 0 or 1); None if a class has no text.
 
@@ -188,26 +216,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 42) -> Toxicity
 
     table = (
         sample.where("not fits_layer").select("text", "toxic").mapInArrow(count, "kind int, context int, whole int, n long")
-        .groupBy("kind", "context", "whole").agg(F.sum("n").alias("n")).toPandas()
+        .groupBy("kind", "context", "whole").agg(F.sum("n").alias("n"))
     )
-    size = 1 << BUCKET_BITS
-    left = np.bincount(table.whole[table.kind == 3], minlength=size) + 0.1
-    runs = table[table.kind == 4]
-    around = np.bincount(runs.context, weights=left[runs.whole], minlength=size)
-    continuation = np.full(size, 1e-3, dtype=np.float32)
-    continuation[runs.whole] = left[runs.whole] / around[runs.context]
-    shares, backoffs = [], []
-    for kind in KINDS:
-        part = table[table.kind == kind] if kind < 2 else table[table.kind < 2].groupby(["context", "whole"], as_index=False).n.sum()
-        if not len(part):
-            return None
-        totals = np.bincount(part.context, weights=part.n, minlength=size)
-        kinds = np.bincount(part.context, minlength=size)
-        share = np.zeros(size)
-        np.maximum.at(share, part.whole.to_numpy(), np.maximum(part.n.to_numpy() - DISCOUNT, 0) / totals[part.context])
-        shares.append(share.astype(np.float32))
-        backoffs.append(np.where(totals > 0, DISCOUNT * kinds / np.maximum(totals, 1), 1).astype(np.float32))
-    model = ToxicityModel(continuation, shares, backoffs, np.zeros(7))
+    model = _tables(table.toArrow())
+    if model is None:
+        return None
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")

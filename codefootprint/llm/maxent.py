@@ -14,7 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,10 @@ MINIBATCH = 2048
 END = b"\n"
 SMOOTHING = 0.1
 FEATURES = 5
+#: Tokens before a text, one for each place that a feature looks back. No word is empty.
+NO_HISTORY = [b""] * 5
+#: Tokens whose codes a task keeps.
+REMEMBERED = 400_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -57,9 +61,13 @@ def spelling_class(token: bytes) -> int:
     return WORD_CLASSES + (token[-1] * 7 + (len(token) > 6) + 2 * (len(token) > 10)) % SPELLING_CLASSES
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _logits(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows' features less their largest, a feature at a time, so that what is summed stays in the cache."""
+    x = table[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        x += table[rows[:, k]]
+    x -= x.max(axis=1, keepdims=True)
+    return x
 
 
 @dataclass
@@ -72,31 +80,46 @@ class HeadTable:
     kinds: int
     class_total: np.ndarray
     class_kinds: np.ndarray
-    ids: dict[bytes, tuple[int, int]] = field(default_factory=dict)
-
-    def look(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Class or place (a place p of a frequent token is CLASSES + p) and feature hash of each token."""
-        known = self.ids
-        if len(known) > 400_000:
-            known.clear()
-        for t in set(tokens):
-            if t not in known:
-                place = self.places.get(t)
-                known[t] = (spelling_class(t) if place is None else CLASSES + place, zlib.crc32(t))
-        pairs = np.array([known[t] for t in tokens], dtype=np.int64)
-        return pairs[:, 0], pairs[:, 1]
-
-
-def feature_rows(hashes: np.ndarray) -> np.ndarray:
-    """Feature buckets of each token's history, FEATURES a token; places before the text count as one token."""
-    padded = np.concatenate([np.zeros(5, dtype=np.int64), hashes])
-    n = len(hashes)
-    back = lambda k: padded[5 - k : 5 - k + n]
-    raw = (
-        np.zeros(n, dtype=np.int64), back(1) * 3 + 1, (back(1) * 31 + back(2)) * 3 + 2, back(2) * 5 + 7,
-        (back(3) ^ (back(5) << 1)) * 11 + 5,
-    )
-    out = np.empty((n, FEATURES), dtype=np.int64)
+    def codes(self) -> Codes:
+        return Codes({t: (i, self.places.get(t)) for i, t in enumerate(self.counts)})
+
+
+class Codes(dict):
+    """What a task looks up for a token, in one number: hash (32 bits), class or place (10 bits; a place p of a frequent
+    token is CLASSES + p), and number among the HEAD most frequent tokens (HEAD for all others)."""
+
+    def __init__(self, head: dict[bytes, tuple[int, int | None]]):
+        super().__init__()
+        self._head = head
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        number, place = self._head.get(token, (HEAD, None))
+        kind = CLASSES + place if place is not None else spelling_class(token) if token else 0
+        code = self[token] = number << 42 | kind << 32 | zlib.crc32(token)
+        return code
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+
+def kinds_of(codes: np.ndarray) -> np.ndarray:
+    return codes >> 32 & 1023
+
+
+def feature_rows(codes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Feature buckets of the history of the tokens at the places ``at``, FEATURES a token; texts stand behind NO_HISTORY.
+
+    Without places, codes is one text alone and all its tokens are meant.
+    """
+    if at is None:
+        n = len(NO_HISTORY)
+        codes, at = np.concatenate([np.zeros(n, dtype=np.int64), codes]), np.arange(n, n + len(codes))
+    hashes = codes & 0xFFFFFFFF
+    one, two, three, five = (hashes[at - k] for k in (1, 2, 3, 5))
+    raw = (np.zeros(len(at), dtype=np.int64), one * 3 + 1, (one * 31 + two) * 3 + 2, two * 5 + 7, (three ^ (five << 1)) * 11 + 5)
+    out = np.empty((len(at), FEATURES), dtype=np.int64)
     for i, r in enumerate(raw):
         h = (r.astype(np.uint64) + np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)
         out[:, i] = (h >> np.uint64(64 - FEATURE_BUCKETS.bit_length() + 1)).astype(np.int64)
@@ -124,15 +147,19 @@ class Weights:
         kinds = np.where(place >= 0, place // CLASS_WORDS, ids)
         for a in range(0, len(ids), MINIBATCH):
             part = slice(a, a + MINIBATCH)
-            logits = self.classes[rows[part]].sum(axis=1)
-            out[part] = _log_softmax(logits)[np.arange(len(logits)), kinds[part]]
+            out[part] = self._log_share(self.classes, rows[part], kinds[part])
         at = np.flatnonzero(place >= 0)
         for a in range(0, len(at), MINIBATCH):
             some = at[a : a + MINIBATCH]
-            logits = self.words[self.word_rows(rows[some], kinds[some])].sum(axis=1)
-            out[some] += _log_softmax(logits)[np.arange(len(some)), place[some] % CLASS_WORDS]
+            out[some] += self._log_share(self.words, self.word_rows(rows[some], kinds[some]), place[some] % CLASS_WORDS)
         return out
 
+    @staticmethod
+    def _log_share(table: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        x = _logits(table, rows)
+        own = x[np.arange(len(x)), wanted]
+        return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], np.float32))
+
     def update(self, ids: np.ndarray, rows: np.ndarray, rate: float) -> None:
         """One gradient step on the tokens' log-likelihood."""
         place = ids - CLASSES
@@ -144,7 +171,9 @@ class Weights:
 
     @staticmethod
     def _step(table: np.ndarray, rows: np.ndarray, wanted: np.ndarray, rate: float) -> None:
-        grad = -np.exp(_log_softmax(table[rows].sum(axis=1)))
+        grad = _logits(table, rows)
+        np.exp(grad, out=grad)
+        grad /= -grad.sum(axis=1, keepdims=True)
         grad[np.arange(len(wanted)), wanted] += 1
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
@@ -209,25 +238,26 @@ def train(docs: DataFrame, head: HeadTable, rounds: int = ROUNDS, stride: int =
 
         def descend(batches: Iterator[pa.RecordBatch], held=held, number=number) -> Iterator[pa.RecordBatch]:
             head, start = held.value
-            own = Weights(start.classes.copy(), start.words.copy())
-            ids, rows, waiting, n = [], [], 0, 0
+            own, codes = Weights(start.classes.copy(), start.words.copy()), head.codes()
+            held_tokens, places, waiting, n = [], [], 0, 0
 
             def step() -> None:
                 nonlocal waiting, n
-                own.update(np.concatenate(ids), np.concatenate(rows), RATE / (1 + number))
+                found, at = codes.of(held_tokens), np.concatenate(places)
+                own.update(kinds_of(found[at]), feature_rows(found, at), RATE / (1 + number))
                 n += waiting
                 waiting = 0
-                ids.clear()
-                rows.clear()
+                held_tokens.clear()
+                places.clear()
 
             for batch in batches:
                 for text in batch.column(0):
                     tokens = tokens_of(text.as_py())
-                    found, hashes = head.look(tokens)
                     at = np.arange((zlib.crc32(tokens[0]) + number * 5) % stride, len(tokens), stride)
                     if len(at):
-                        ids.append(found[at])
-                        rows.append(feature_rows(hashes)[at])
+                        held_tokens += NO_HISTORY
+                        places.append(at + len(held_tokens))
+                        held_tokens += tokens
                         waiting += len(at)
                     if waiting >= MINIBATCH:
                         step()
@@ -276,38 +306,38 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, weights = held.value
         task, number = TaskContext.get().partitionId(), 0
-        base_of = {t: np.log10(c + SMOOTHING) for t, c in head.counts.items()}
-        known = head.counts
+        codes = head.codes()
+        base_of = np.log10(np.array([*head.counts.values()], dtype=np.float64) + SMOOTHING)
+        base_of = np.append(base_of, np.zeros(HEAD + 1 - len(base_of)))
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 docs_rows, tail = [], [[], [], []]
                 texts = [tokens_of(t.as_py()) for t in part.column(1)]
                 lengths = np.array([len(t) for t in texts])
-                looked = [head.look(t) for t in texts]
-                ids = np.concatenate([a for a, _ in looked])
-                rows = np.concatenate([feature_rows(h) for _, h in looked])
+                first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                found = codes.of([t for own in texts for t in (*NO_HISTORY, *own)])
+                at = np.arange(lengths.sum()) + len(NO_HISTORY) * np.repeat(np.arange(1, len(texts) + 1), lengths)
+                rows, found = feature_rows(found, at), found[at]
+                ids, number_in_head = kinds_of(found), found >> 42
                 logs = weights.log_probability(ids, rows) / np.log(10)
+                base = base_of[number_in_head]
                 # a token without a place also has a share of its class: (count + smoothing) / class_total
                 spelled = ids < CLASSES
-                logs[spelled] -= log_class[ids[spelled]]
-                sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-                for doc_id, tokens, model in zip(part.column(0).to_pylist(), texts, sums):
+                logs[spelled] += base[spelled] - log_class[ids[spelled]]
+                known = number_in_head < HEAD
+                sums = zip(*(np.add.reduceat(x, first).tolist() for x in (known.astype(np.int64), base, logs)))
+                rare = np.flatnonzero(~known)
+                borders = np.searchsorted(rare, [*first, lengths.sum()]).tolist()
+                for k, (doc_id, tokens, (n_known, score_base, model)) in enumerate(zip(part.column(0).to_pylist(), texts, sums)):
                     key = (task << 33) + number
                     number += 1
-                    n_known, base, shares = 0, 0.0, 0.0
-                    for token, n in Counter(tokens).items():
-                        value = base_of.get(token)
-                        if value is None:
-                            tail[0].append(key)
-                            tail[1].append(token)
-                            tail[2].append(n)
-                            continue
-                        n_known += n
-                        base += n * value
-                        if token not in head.places:
-                            shares += n * value
-                    docs_rows.append((key, doc_id, len(tokens), n_known, base, float(model) + shares))
+                    own = rare[borders[k] : borders[k + 1]] - first[k]
+                    for token, n in Counter(tokens[i] for i in own.tolist()).items():
+                        tail[0].append(key)
+                        tail[1].append(token)
+                        tail[2].append(n)
+                    docs_rows.append((key, doc_id, len(tokens), n_known, score_base, model))
                 n, k = len(docs_rows), len(tail[0])
                 columns = [list(c) for c in zip(*docs_rows)]
                 yield pa.RecordBatch.from_arrays(

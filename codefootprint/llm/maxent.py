@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,9 +46,8 @@ END = b"\n"
 SMOOTHING = 0.1
 FEATURES = 5
 #: Tokens before a text, one for each place that a feature looks back. No word is empty.
-NO_HISTORY = [b""] * 5
-#: Tokens whose codes a task keeps.
-REMEMBERED = 400_000
+LOOKS_BACK = (1, 2, 3, 5)
+NO_HISTORY = [b""] * max(LOOKS_BACK)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -84,42 +84,42 @@ class HeadTable:
         return Codes({t: (i, self.places.get(t)) for i, t in enumerate(self.counts)})
 
 
-class Codes(dict):
-    """What a task looks up for a token, in one number: hash (32 bits), class or place (10 bits; a place p of a frequent
-    token is CLASSES + p), and number among the HEAD most frequent tokens (HEAD for all others)."""
+def hashes_of(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, tokens), np.int64, len(tokens))
 
-    def __init__(self, head: dict[bytes, tuple[int, int | None]]):
-        super().__init__()
-        self._head = head
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        number, place = self._head.get(token, (HEAD, None))
-        kind = CLASSES + place if place is not None else spelling_class(token) if token else 0
-        code = self[token] = number << 42 | kind << 32 | zlib.crc32(token)
-        return code
+class Codes:
+    """What tasks look up for a token, in one number: class or place (10 bits; a place p of a frequent token is CLASSES + p),
+    and above it the number among the HEAD most frequent tokens (HEAD for all others)."""
+
+    def __init__(self, head: dict[bytes, tuple[int, int | None]]):
+        self._head = {t: i << 10 | (spelling_class(t) if p is None else CLASSES + p) for t, (i, p) in head.items()}
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        out = np.fromiter(map(self._head.get, tokens, repeat(-1)), np.int64, len(tokens))
+        rare = np.flatnonzero(out < 0)
+        if len(rare):
+            words = [tokens[i] for i in rare.tolist()]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            last = np.frombuffer(b"".join(words), np.uint8)[np.cumsum(lengths) - 1].astype(np.int64)
+            out[rare] = HEAD << 10 | WORD_CLASSES + (last * 7 + (lengths > 6) + 2 * (lengths > 10)) % SPELLING_CLASSES
+        return out
 
 
 def kinds_of(codes: np.ndarray) -> np.ndarray:
-    return codes >> 32 & 1023
+    return codes & 1023
 
 
-def feature_rows(codes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """Feature buckets of the history of the tokens at the places ``at``, FEATURES a token; texts stand behind NO_HISTORY.
+def feature_rows(hashes: np.ndarray) -> np.ndarray:
+    """Feature buckets of each token's history in one text, FEATURES a token; places before the text count as one token."""
+    padded = np.concatenate([np.zeros(len(NO_HISTORY), dtype=np.int64), hashes])
+    return history_rows(*(padded[len(NO_HISTORY) - k :][: len(hashes)] for k in LOOKS_BACK))
 
-    Without places, codes is one text alone and all its tokens are meant.
-    """
-    if at is None:
-        n = len(NO_HISTORY)
-        codes, at = np.concatenate([np.zeros(n, dtype=np.int64), codes]), np.arange(n, n + len(codes))
-    hashes = codes & 0xFFFFFFFF
-    one, two, three, five = (hashes[at - k] for k in (1, 2, 3, 5))
-    raw = (np.zeros(len(at), dtype=np.int64), one * 3 + 1, (one * 31 + two) * 3 + 2, two * 5 + 7, (three ^ (five << 1)) * 11 + 5)
-    out = np.empty((len(at), FEATURES), dtype=np.int64)
+
+def history_rows(one: np.ndarray, two: np.ndarray, three: np.ndarray, five: np.ndarray) -> np.ndarray:
+    """Feature buckets, FEATURES a token, from the hashes of the tokens that many places back (LOOKS_BACK)."""
+    raw = (np.zeros(len(one), dtype=np.int64), one * 3 + 1, (one * 31 + two) * 3 + 2, two * 5 + 7, (three ^ (five << 1)) * 11 + 5)
+    out = np.empty((len(one), FEATURES), dtype=np.int64)
     for i, r in enumerate(raw):
         h = (r.astype(np.uint64) + np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)
         out[:, i] = (h >> np.uint64(64 - FEATURE_BUCKETS.bit_length() + 1)).astype(np.int64)
@@ -243,8 +243,10 @@ def train(docs: DataFrame, head: HeadTable, rounds: int = ROUNDS, stride: int =
 
             def step() -> None:
                 nonlocal waiting, n
-                found, at = codes.of(held_tokens), np.concatenate(places)
-                own.update(kinds_of(found[at]), feature_rows(found, at), RATE / (1 + number))
+                at = np.concatenate(places)
+                pick = lambda some: [held_tokens[i] for i in some.tolist()]
+                rows = history_rows(*(hashes_of(pick(at - k)) for k in LOOKS_BACK))
+                own.update(kinds_of(codes.of(pick(at))), rows, RATE / (1 + number))
                 n += waiting
                 waiting = 0
                 held_tokens.clear()
@@ -312,40 +314,32 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                docs_rows, tail = [], [[], [], []]
                 texts = [tokens_of(t.as_py()) for t in part.column(1)]
                 lengths = np.array([len(t) for t in texts])
                 first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                found = codes.of([t for own in texts for t in (*NO_HISTORY, *own)])
-                at = np.arange(lengths.sum()) + len(NO_HISTORY) * np.repeat(np.arange(1, len(texts) + 1), lengths)
-                rows, found = feature_rows(found, at), found[at]
-                ids, number_in_head = kinds_of(found), found >> 42
+                tokens = [t for own in texts for t in own]
+                hashes = hashes_of([t for own in texts for t in (*NO_HISTORY, *own)])
+                at = np.arange(len(tokens)) + len(NO_HISTORY) * np.repeat(np.arange(1, len(texts) + 1), lengths)
+                rows, found = history_rows(*(hashes[at - k] for k in LOOKS_BACK)), codes.of(tokens)
+                ids, number_in_head = kinds_of(found), found >> 10
                 logs = weights.log_probability(ids, rows) / np.log(10)
                 base = base_of[number_in_head]
                 # a token without a place also has a share of its class: (count + smoothing) / class_total
                 spelled = ids < CLASSES
                 logs[spelled] += base[spelled] - log_class[ids[spelled]]
                 known = number_in_head < HEAD
-                sums = zip(*(np.add.reduceat(x, first).tolist() for x in (known.astype(np.int64), base, logs)))
+                sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, logs)]
+                keys = (task << 33) + number + np.arange(len(texts))
+                number += len(texts)
                 rare = np.flatnonzero(~known)
-                borders = np.searchsorted(rare, [*first, lengths.sum()]).tolist()
-                for k, (doc_id, tokens, (n_known, score_base, model)) in enumerate(zip(part.column(0).to_pylist(), texts, sums)):
-                    key = (task << 33) + number
-                    number += 1
-                    own = rare[borders[k] : borders[k + 1]] - first[k]
-                    for token, n in Counter(tokens[i] for i in own.tolist()).items():
-                        tail[0].append(key)
-                        tail[1].append(token)
-                        tail[2].append(n)
-                    docs_rows.append((key, doc_id, len(tokens), n_known, score_base, model))
-                n, k = len(docs_rows), len(tail[0])
-                columns = [list(c) for c in zip(*docs_rows)]
+                n, k = len(texts), len(rare)
+                whole = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(k, kind)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(columns[0] + tail[0], pa.int64()), pa.array(columns[1] + [None] * k, pa.int64()),
-                        pa.array(columns[2] + tail[2], pa.int64()), pa.array(columns[3] + [None] * k, pa.int64()),
-                        pa.array(columns[4] + [None] * k, pa.float64()), pa.array(columns[5] + [None] * k, pa.float64()),
-                        pa.array([None] * n + tail[1], pa.binary()),
+                        pa.array(np.append(keys, np.repeat(keys, lengths)[rare]), pa.int64()),
+                        whole(part.column(0).to_pylist(), pa.int64()), whole(lengths, pa.int64()), whole(sums[0], pa.int64()),
+                        whole(sums[1], pa.float64()), whole(sums[2], pa.float64()),
+                        pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([tokens[i] for i in rare.tolist()], pa.binary())]),
                     ],
                     names=["key", "doc_id", "n", "n_known", "base", "model", "token"],
                 )
@@ -354,10 +348,10 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
         docs.select("doc_id", "text").mapInArrow(score, "key long, doc_id long, n long, n_known long, base double, model double, token binary"), "parts"
     )
     tail = (
-        parts.where("token is not null").select("key", "token", "n")
+        parts.where("token is not null").select("key", "token")
         .join(counts, "token", "left")
-        .withColumn("log", F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING) * F.col("n"))
-        .groupBy("key").agg(F.sum("log").alias("log"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("more"))
+        .withColumn("log", F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING))
+        .groupBy("key").agg(F.sum("log").alias("log"), F.count(F.when(F.col("c") > 0, 1)).alias("more"))
     )
     whole = float(np.log10(head.total + SMOOTHING * (head.kinds + 1)))
     added = F.coalesce("log", F.lit(0.0))

@@ -58,15 +58,61 @@ def universal_newlines_sql(text: str) -> str:
     )
 
 
+_TOKEN = re.compile(
+    r"\\U[0-9a-fA-F]{8}|\\[1-9][0-9]?|\\.|\(\?P<\w+>|\(\?P=\w+\)|\(\?\(|\{,(?=[0-9]+\})|\{[0-9]+(?:,[0-9]*)?\}|.", re.S
+)
+_ESCAPES = {r"\s": r"[\s\x1f]", r"\S": r"[^\s\x1f]", r"\Z": r"\z"}
+_CLASS_ESCAPES = {r"\s": r"\s\x1f", r"\b": r"\x08"}
+
+
+def translate_regex(pattern: str, groups_before: int = 0) -> str:
+    r"""A pattern in Java's dialect, token by token: back-references, named groups, literal braces, ``[`` and ``&`` in
+    classes, and ``\s`` with the unit separator. References count ``groups_before`` groups put in front.
+
+    Raises ``ValueError`` for a pattern that is wrong in its own dialect or has no counterpart.
+    """
+    try:
+        numbers = re.compile(pattern).groupindex
+    except re.error as exc:
+        raise ValueError(f"wrong pattern {pattern!r}: {exc}") from exc
+    out, opened = [], None
+    for at, token in ((m.start(), m[0]) for m in _TOKEN.finditer(pattern)):
+        if token.startswith("\\U"):
+            out.append(rf"\x{{{token[2:]}}}")
+        elif opened is not None:
+            first = at == opened + 1 or (at == opened + 2 and pattern[opened + 1] == "^")
+            if token == "]" and not first:
+                opened = None
+                out.append(token)
+            elif token in ("[", "&") or token == "]":
+                out.append("\\" + token)
+            else:
+                out.append(_CLASS_ESCAPES.get(token, token))
+        elif token == "[":
+            opened = at
+            out.append(token)
+        elif token[0] == "\\":
+            out.append(rf"(?:\{int(token[1:]) + groups_before})" if token[1] in "123456789" else _ESCAPES.get(token, token))
+        elif token.startswith("(?P<"):
+            out.append("(")
+        elif token.startswith("(?P="):
+            out.append(rf"(?:\{numbers[token[4:-1]] + groups_before})")
+        elif token == "(?(":
+            raise ValueError(f"conditional groups have no counterpart: {pattern!r}")
+        else:
+            out.append({"{,": "{0,", "{": r"\{"}.get(token, token))
+    return "".join(out)
+
+
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    r"""A rule pattern for ``RLIKE``: Unicode classes as in the rule's dialect, ``\s`` with the unit separator."""
-    return ("(?iU)" if ignore_case else "(?U)") + pattern.replace(r"\s", r"[\s\x1f]")
+    """A rule pattern for ``RLIKE``, with Unicode classes as in the rule's dialect."""
+    return ("(?iU)" if ignore_case else "(?U)") + translate_regex(pattern)
 
 
 def code_point_column_sql(line: str, pattern: str, ignore_case: bool = False) -> str:
     """1-based column of the first match in code points (``regexp_instr`` counts UTF-16 units)."""
-    flags, body = java_regex(pattern, ignore_case).split(")", 1)
-    return f"length(regexp_extract({line}, {quote(rf'{flags}s)\A(.*?)(?:{body})')}, 1)) + 1"
+    flags = "(?iUs)" if ignore_case else "(?Us)"
+    return f"length(regexp_extract({line}, {quote(rf'{flags}\A(.*?)(?:{translate_regex(pattern, 1)})')}, 1)) + 1"
 
 
 def skipping_column_sql(line: str, pattern: str, ignore_case: bool = False) -> str:

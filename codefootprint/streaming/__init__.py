@@ -1,5 +1,5 @@
 """Structured Streaming: running totals and incremental scans."""
 
-from .jobs import scan_stream, start_scan, start_usage_totals, usage_totals
+from .jobs import current_totals, scan_stream, start_scan, start_usage_totals, usage_totals
 
-__all__ = ["scan_stream", "start_scan", "start_usage_totals", "usage_totals"]
+__all__ = ["current_totals", "scan_stream", "start_scan", "start_usage_totals", "usage_totals"]

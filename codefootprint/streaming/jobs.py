@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,10 +28,15 @@ def usage_totals(analyses: DataFrame) -> DataFrame:
 
 
 def start_usage_totals(analyses: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Runs the totals over what has arrived; after each batch ``output`` holds the one current row."""
+    """Runs the totals over what has arrived. Each batch writes its row to a folder of its own below ``output``, so a batch
+    that runs again replaces its own row only, and readers always find the last complete one (:func:`current_totals`).
+    Zeros stand there before the first event."""
+    spark = analyses.sparkSession
+    zeros = spark.range(1).select(F.lit(0).cast("bigint").alias("repos"), F.lit(0.0).alias("kwh"))
+    zeros.coalesce(1).write.mode("ignore").parquet(f"{output}/batch=-1")
 
     def publish(totals: DataFrame, batch: int) -> None:
-        totals.write.mode("overwrite").parquet(output)
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{output}/batch={batch}")
 
     return (
         usage_totals(analyses).writeStream.outputMode("complete").foreachBatch(publish)
@@ -39,6 +44,12 @@ def start_usage_totals(analyses: DataFrame, output: str, checkpoint: str) -> Str
     )
 
 
+def current_totals(spark: SparkSession, output: str) -> DataFrame:
+    """The row of the highest complete batch that :func:`start_usage_totals` wrote."""
+    rows = spark.read.schema("repos bigint, kwh double, batch bigint").parquet(output)
+    return rows.orderBy(F.desc("batch")).limit(1).drop("batch")
+
+
 def scan_stream(files: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
     """The scan of :func:`scan_files` on arriving files. It is a projection, so the stream keeps no state."""
     return scan_files(files, rules)

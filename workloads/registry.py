@@ -19,7 +19,7 @@ from codefootprint.operators.manifest_rules import package_entries, requirement_
 from codefootprint.operators.python_rules import PYTHON_RULE_IDS
 from codefootprint.operators.regex_rules import regex_rules
 from codefootprint.sources.admission import MAX_ARCHIVE_BYTES, MAX_REPO_BYTES, MAX_REPO_FILES, MAX_SNIPPET_BYTES
-from codefootprint.streaming import start_scan, start_usage_totals, usage_totals
+from codefootprint.streaming import current_totals, start_scan, start_usage_totals, usage_totals
 
 from . import corpora as C
 
@@ -409,7 +409,7 @@ def usage_totals_stream(spark, sf_dir):
     folder = work_folder(spark, "usage")
     query = start_usage_totals(C.analyses_of(event_stream(spark, sf_dir)), f"{folder}/totals", f"{folder}/checkpoint")
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/totals").withColumn("kwh", F.round("kwh", 2))
+    return current_totals(spark, f"{folder}/totals").withColumn("kwh", F.round("kwh", 2))
 
 
 def stream_scan(spark, sf_dir):

@@ -24,15 +24,23 @@ _SCHEMA = pa.schema([
 ])
 
 
+def _read_file(uri: str) -> bytes | None:
+    try:
+        system, name = pafs.FileSystem.from_uri(uri)
+        with system.open_input_stream(name) as stream:
+            return stream.read()
+    except OSError:
+        return None
+
+
 def _read_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
     for batch in batches:
         for item in batch.to_pylist():
-            system, name = pafs.FileSystem.from_uri(item["uri"])
-            with system.open_input_stream(name) as stream:
-                content = stream.read()
-            rows.append({"repo_id": item["repo_id"], "path": item["path"], "length": len(content), "content": content})
-            held += len(content)
+            content = _read_file(item["uri"])
+            length = None if content is None else len(content)
+            rows.append({"repo_id": item["repo_id"], "path": item["path"], "length": length, "content": content})
+            held += length or 0
             if held >= _BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
                 rows, held = [], 0
@@ -41,6 +49,10 @@ def _read_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def files_from_listing(listing: DataFrame) -> DataFrame:
-    """A ``files`` table from ``(repo_id, path, uri)`` rows. Partition the listing to spread the reading."""
+    """A ``files`` table from ``(repo_id, path, uri)`` rows. Partition the listing to spread the reading.
+
+    A file that is gone or can't be read keeps its row, with null length and content; a scan gives it the status
+    ``no content``.
+    """
     rows = listing.selectExpr("CAST(repo_id AS STRING) AS repo_id", "path", "uri")
     return rows.mapInArrow(_read_listed, "repo_id string, path string, length bigint, content binary")

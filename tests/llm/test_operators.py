@@ -184,6 +184,30 @@ def test_simhash_links_close_fingerprints(spark):
     assert {f: got.get(f, f) for f in fps} == root
 
 
+def test_near_copies_of_the_stage_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        base = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(30, 300))]
+        for changes in (0, 0, 1, 2, 3, 5, 8):
+            copy = list(base)
+            for k in rng.integers(0, len(base), changes):
+                copy[k] = f"x{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    sets = {d: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    root = {d: d for d in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in range(8):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    fps = {d: simhash_of(t) for d, t in rows}
+    assert sum((fps[a] ^ fps[b]).bit_count() > 4 for a, b in near) > 50
+    kept = {r.doc_id for r in simhash.keep_one_of_each(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert kept == {d for d in root if root[d] == d}
+
+
 def lines_deleted(rows, least=5):
     """Brute force: lines in any run of ``least`` words that also starts earlier."""
     runs, out = {}, collections.defaultdict(set)

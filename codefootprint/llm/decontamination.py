@@ -1,13 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval, with word-sequence and answer checks of what it finds.
 
-Benchmark texts and passages of documents (windows of WINDOW words at every STRIDE-th word) are TF-IDF vectors over hashed
+Benchmark texts and passages of documents (windows of WINDOW words that overlap) are TF-IDF vectors over hashed
 words, with document frequencies of the whole corpus. A randomised singular value decomposition of the benchmark's
 vectors, summed up by Spark over their partitions, gives a latent space; passages are projected into it and compared with
 every benchmark text by cosine. Candidates are then checked word by word: the longest common subsequence with the
 benchmark text must cover most of it, or a good part of it and the answer (its last words) as well.
 
-The benchmark is a stated query set: it is taken in blocks of BLOCK_ITEMS texts, so what tasks hold of it is bounded, and
-every document is compared with every block.
+A block of texts has a space of its own with as many directions as texts (RANK at most), so the space holds them whole; what
+the iteration still loses of a text is measured and added to its cosines, which so never fall below the true ones.
+
+The benchmark is a stated query set: it is taken in groups of about GROUP_ITEMS texts, so what tasks hold of it is bounded,
+and every document is compared with every block of every group.
 """
 
 from __future__ import annotations
@@ -17,17 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefootprint.llm.words import word_hashes
 
 WINDOW = 32
-STRIDE = 8
+#: A window begins at every STEPS-th part of its length.
+STEPS = 4
 WORD_BITS = 18
 RANK = 224
 POWER_ROUNDS = 2
-BLOCK_ITEMS = 4096
+GROUP_ITEMS = 4096
 #: Cosine from which a passage is a candidate; shares of the benchmark text that the common subsequence must cover, alone
 #: or together with a found answer; words of the answer.
 COSINE = 0.45
@@ -103,43 +107,68 @@ def fit_space(items: DataFrame, idf: np.ndarray, place: np.ndarray, width: int,
     return q
 
 
+@dataclass
+class Block:
+    """Some of the benchmark's texts: latent score of each word for each text (a last row of zeros for all other words), what
+    the space loses of each text, the cosine from which it is a candidate, and its number among the group's items."""
+
+    place: np.ndarray
+    scores: np.ndarray
+    lost: np.ndarray
+    cutoffs: np.ndarray
+    owners: np.ndarray
+    window: int
+
+    def hits(self, own: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """First words, item numbers and cosines of the windows that are near a text of the block in the latent space."""
+        n, stride, steps = len(own), self.window // STEPS, STEPS
+        place = self.place[own]
+        blocks = max(1, -(-n // stride) - steps + 1)
+        pad = np.zeros((blocks + steps - 1) * stride - n)
+        of = lambda x: np.concatenate([[0], np.cumsum(np.append(x, pad).reshape(-1, stride).sum(axis=1))])
+        energy, inner = (x[steps:] - x[:-steps] for x in (of(weight**2), of(np.where(place >= 0, weight**2, 0))))
+        least = max(0.0, float((self.cutoffs - self.lost).min()))
+        # a passage can't be nearer to the space than its own words in the space's vocabulary; half, as words may repeat
+        near = (inner >= least**2 / 2 * energy) & (energy > 0)
+        value = np.append(np.where(place >= 0, weight, 0), pad).astype(np.float32)
+        place = np.append(place, np.full(len(pad), -1))
+        for a in range(0, blocks, 64):
+            b = min(a + 64, blocks)
+            if not near[a:b].any():
+                continue
+            words = slice(a * stride, (b + steps - 1) * stride)
+            sums = (self.scores[place[words]] * value[words, None]).reshape(-1, stride, self.scores.shape[1]).sum(axis=1)
+            x = sums[: b - a].copy()
+            for k in range(1, steps):
+                x += sums[k : k + b - a]
+            # a word that repeats makes the passage longer than this, so the cosine errs to the side of more candidates
+            cosine = x / np.sqrt(np.maximum(energy[a:b], 1e-12))[:, None].astype(np.float32) + self.lost
+            k, text = np.nonzero((cosine >= self.cutoffs) & near[a:b, None])
+            if len(k):
+                yield (a + k) * stride, self.owners[text], cosine[k, text]
+
+
 @dataclass
 class Searcher:
-    """A block of the benchmark: word weights, latent directions of its words, latent vectors and word sequences of its texts."""
+    """A group of the benchmark: word weights, blocks of its texts, ids and word sequences of its items."""
 
     idf: np.ndarray
-    place: np.ndarray
-    directions: np.ndarray
+    blocks: list[Block]
     ids: list[int]
-    latent: np.ndarray
     words: list[list[bytes]]
 
     def candidates(self, own: np.ndarray) -> dict[int, list[tuple[int, float]]]:
         """Windows (first word, cosine) of a text, by item, that are near the item in the latent space."""
-        n = len(own)
-        if not n or not self.ids:
+        if not len(own) or not self.ids:
             return {}
         weight = self.idf[own]
-        place = self.place[own]
-        sums = np.concatenate([[0], np.cumsum(weight**2)])
-        inner = np.concatenate([[0], np.cumsum(np.where(place >= 0, weight**2, 0))])
-        starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
-        ends = np.minimum(starts + WINDOW, n)
-        energy = sums[ends] - sums[starts]
-        # a passage can't be nearer to the space than its own words in the space's vocabulary
-        near = np.flatnonzero((inner[ends] - inner[starts] >= 0.8 * COSINE**2 * energy) & (energy > 0))
-        found: dict[int, list[tuple[int, float]]] = {}
-        for a in range(0, len(near), 256):
-            some = near[a : a + 256]
-            at = starts[some][:, None] + np.arange(WINDOW)
-            here = np.minimum(at, n - 1)
-            value = np.where((at < n) & (place[here] >= 0), weight[here], 0).astype(np.float32)
-            x = np.einsum("kw,kwr->kr", value, self.directions[np.maximum(place[here], 0)], optimize=True)
-            # a word that repeats makes the passage longer than this, so the cosine errs to the side of more candidates
-            cosine = x @ self.latent.T / np.sqrt(energy[some])[:, None]
-            for k, item in zip(*np.nonzero(cosine >= COSINE)):
-                found.setdefault(int(item), []).append((int(starts[some[k]]), float(cosine[k, item])))
-        return found
+        parts = [hit for block in self.blocks for hit in block.hits(own, weight)]
+        if not parts:
+            return {}
+        first, item, cosine = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(item, kind="stable")
+        borders = np.flatnonzero(np.diff(item[order])) + 1
+        return {int(item[at[0]]): list(zip(first[at].tolist(), cosine[at].tolist())) for at in np.split(order, borders)}
 
     def search(self, text: str | None) -> list[tuple[int, float, float, bool]]:
         """(item_id, similarity, cosine, answer_found) of each benchmark text that a text leaks."""
@@ -152,6 +181,9 @@ class Searcher:
             best = (0.0, False)
             for first, last in _spans(windows, len(own)):
                 passage = words[max(0, first) : last]
+                # no more words can be common than stand in the passage at all
+                if sum(map(set(passage).__contains__, own)) < COVERED_WITH_ANSWER * len(own):
+                    continue
                 share = common_words(own, passage) / len(own)
                 if share >= COVERED_WITH_ANSWER:
                     answer = own[-ANSWER_WORDS:]
@@ -186,26 +218,64 @@ def common_words(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - rest.bit_count()
 
 
+def pieces(words: list[bytes]) -> list[tuple[int, list[bytes]]]:
+    """What of an item is compared with windows, each with the length of those windows."""
+    return [(WINDOW, words)]
+
+
+def cutoff(length: int, window: int) -> float:
+    """Cosine from which a window is a candidate for a piece of so many words."""
+    return COSINE
+
+
+def _block(spark: SparkSession, idf: np.ndarray, window: int, texts: list[tuple[int, bytes]]) -> Block:
+    """Space and scores of at most RANK texts (number of the item, words)."""
+    own = [buckets(t) for _, t in texts]
+    known = np.unique(np.concatenate(own))
+    place = np.full(1 << WORD_BITS, -1, dtype=np.int64)
+    place[known] = np.arange(len(known))
+    rows = spark.createDataFrame([(t.decode("utf-8", "replace"),) for _, t in texts], "text string")
+    directions = fit_space(rows, idf, place, len(known))
+    vectors = [_vector(b, idf, place) for b in own]
+    latent = np.stack([w @ directions[at] for at, w in vectors])
+    lost = np.sqrt([max(0.0, (w**2).sum() - (x**2).sum()) for (_, w), x in zip(vectors, latent)])
+    scores = np.vstack([directions @ latent.T, np.zeros(len(texts))]).astype(np.float32)
+    cutoffs = np.array([cutoff(len(t.split()), window) for _, t in texts])
+    return Block(place.astype(np.int32), scores, lost.astype(np.float32), cutoffs.astype(np.float32), np.array([i for i, _ in texts]), window)
+
+
 def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
-    """A searcher for each block of the benchmark, fitted with the document frequencies of docs."""
+    """A searcher for each group of the benchmark, fitted with the document frequencies of docs."""
     df, n = document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.1
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        rows = sorted({(r.item_id, r.text) for r in block.collect()})
-        own = [(i, plain(t)) for i, t in rows]
-        own = [(i, p, buckets(p)) for i, p in own if p.split()]
-        known = np.unique(np.concatenate([b for _, _, b in own])) if own else np.zeros(0, dtype=np.int64)
-        place = np.full(1 << WORD_BITS, -1, dtype=np.int64)
-        place[known] = np.arange(len(known))
+    ids, words, waiting, blocks, size = [], [], {}, [], 0
+
+    def close() -> Searcher:
+        nonlocal ids, words, waiting, blocks, size
+        blocks += [_block(docs.sparkSession, idf, w, texts) for w, texts in waiting.items() if texts]
+        out = Searcher(idf, blocks, ids, words)
+        ids, words, waiting, blocks, size = [], [], {}, [], 0
+        return out
+
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    given = False
+    for r in items.orderBy("item_id", "text").toLocalIterator():
+        own = plain(r.text).split()
         if not own:
-            yield Searcher(idf, place, np.zeros((0, 0)), [], np.zeros((0, 0)), [])
             continue
-        directions = fit_space(block, idf, place, len(known))
-        latent = np.stack([w @ directions[at] for at, w in (_vector(b, idf, place) for _, _, b in own)])
-        yield Searcher(idf, place, directions, [i for i, _, _ in own], latent, [p.split() for _, p, _ in own])
+        for window, piece in pieces(own):
+            texts = waiting.setdefault(window, [])
+            texts.append((len(ids), b" ".join(piece)))
+            size += 1
+            if len(texts) == RANK:
+                blocks.append(_block(docs.sparkSession, idf, window, waiting.pop(window)))
+        ids.append(r.item_id)
+        words.append(own)
+        if size >= GROUP_ITEMS:
+            given = True
+            yield close()
+    if ids or not given:
+        yield close()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

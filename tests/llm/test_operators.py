@@ -311,6 +311,34 @@ def test_leaks_against_brute_force(docs, spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {None, 1, 2, 3, 4, 5, 9, 10}
 
 
+def leaks_between(spark, rows, items):
+    """Pairs found, and pairs by brute force: the common subsequence covers 0.8 of the item, or 0.6 and its last words."""
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
+    want = set()
+    for d, text in rows:
+        for i, item in items:
+            own, passage = item.encode().split(), text.encode().split()
+            if len(set(own) & set(passage)) < 0.5 * len(set(own)):
+                continue
+            share = decontamination.common_words(own, passage) / len(own)
+            if share >= 0.8 or share >= 0.6 and decontamination.common_words(own[-6:], passage) == len(own[-6:]):
+                want.add((d, i))
+    return got, want
+
+
+def prose(rng, n):
+    return [f"w{int(k)}" for k in np.minimum(rng.zipf(1.2, n), 3000 + rng.integers(0, 3000, n))]
+
+
+def test_large_benchmarks_lose_no_copies(spark):
+    rng = np.random.default_rng(11)
+    items = [(i, " ".join(prose(rng, 40))) for i in range(1500)]
+    rows = [(d, " ".join([*prose(rng, 50), items[int(i)][1], *prose(rng, 50)])) for d, i in enumerate(rng.choice(1500, 200, replace=False))]
+    got, want = leaks_between(spark, rows, items)
+    assert len(want) >= 200 and got == want
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = np.random.default_rng(6)
     for _ in range(100):

@@ -32,9 +32,10 @@ WORD_BITS = 18
 RANK = 224
 POWER_ROUNDS = 2
 GROUP_ITEMS = 4096
-#: Cosine from which a passage is a candidate; shares of the benchmark text that the common subsequence must cover, alone
-#: or together with a found answer; words of the answer.
-COSINE = 0.45
+#: Part of the cosine that a passage of the accepted share reaches with words of even weight, from which it is a candidate
+#: (changed words may be rare and the common ones frequent); shares of the benchmark text that the common subsequence must
+#: cover, alone or together with a found answer; words of the answer.
+SLACK = 0.25
 COVERED = 0.8
 COVERED_WITH_ANSWER = 0.6
 ANSWER_WORDS = 6
@@ -109,8 +110,7 @@ def fit_space(items: DataFrame, idf: np.ndarray, place: np.ndarray, width: int,
 
 @dataclass
 class Block:
-    """Some of the benchmark's texts: latent score of each word for each text (a last row of zeros for all other words), what
-    the space loses of each text, the cosine from which it is a candidate, and its number among the group's items."""
+    """Some of the benchmark's texts: latent score of each word for each text, what the space loses of each text, the cosine from which it is a candidate, and its number among the group's items."""
 
     place: np.ndarray
     scores: np.ndarray
@@ -130,17 +130,17 @@ class Block:
         least = max(0.0, float((self.cutoffs - self.lost).min()))
         # a passage can't be nearer to the space than its own words in the space's vocabulary; half, as words may repeat
         near = (inner >= least**2 / 2 * energy) & (energy > 0)
-        value = np.append(np.where(place >= 0, weight, 0), pad).astype(np.float32)
-        place = np.append(place, np.full(len(pad), -1))
+        known = np.flatnonzero(place >= 0)
+        place, value, part = place[known], weight[known].astype(np.float32), known // stride
         for a in range(0, blocks, 64):
             b = min(a + 64, blocks)
             if not near[a:b].any():
                 continue
-            words = slice(a * stride, (b + steps - 1) * stride)
-            sums = (self.scores[place[words]] * value[words, None]).reshape(-1, stride, self.scores.shape[1]).sum(axis=1)
-            x = sums[: b - a].copy()
-            for k in range(1, steps):
-                x += sums[k : k + b - a]
+            some = slice(*np.searchsorted(part, (a, b + steps - 1)))
+            different, which = np.unique(place[some], return_inverse=True)
+            rows = b - a + steps - 1
+            sums = np.bincount((part[some] - a) * len(different) + which, value[some], rows * len(different)).reshape(rows, -1).astype(np.float32)
+            x = sum(sums[k : k + b - a] for k in range(steps)) @ self.scores[different]
             # a word that repeats makes the passage longer than this, so the cosine errs to the side of more candidates
             cosine = x / np.sqrt(np.maximum(energy[a:b], 1e-12))[:, None].astype(np.float32) + self.lost
             k, text = np.nonzero((cosine >= self.cutoffs) & near[a:b, None])
@@ -224,8 +224,12 @@ def pieces(words: list[bytes]) -> list[tuple[int, list[bytes]]]:
 
 
 def cutoff(length: int, window: int) -> float:
-    """Cosine from which a window is a candidate for a piece of so many words."""
-    return COSINE
+    """Cosine from which a window is a candidate for a piece of so many words.
+
+    A stretch of a window's length that covers the share COVERED_WITH_ANSWER evenly has that share of the shorter one's
+    words in common, so its cosine is about the share times the root of the shorter by the longer.
+    """
+    return SLACK * COVERED_WITH_ANSWER * (min(length, window) / max(length, window)) ** 0.5
 
 
 def _block(spark: SparkSession, idf: np.ndarray, window: int, texts: list[tuple[int, bytes]]) -> Block:
@@ -239,7 +243,7 @@ def _block(spark: SparkSession, idf: np.ndarray, window: int, texts: list[tuple[
     vectors = [_vector(b, idf, place) for b in own]
     latent = np.stack([w @ directions[at] for at, w in vectors])
     lost = np.sqrt([max(0.0, (w**2).sum() - (x**2).sum()) for (_, w), x in zip(vectors, latent)])
-    scores = np.vstack([directions @ latent.T, np.zeros(len(texts))]).astype(np.float32)
+    scores = (directions @ latent.T).astype(np.float32)
     cutoffs = np.array([cutoff(len(t.split()), window) for _, t in texts])
     return Block(place.astype(np.int32), scores, lost.astype(np.float32), cutoffs.astype(np.float32), np.array([i for i, _ in texts]), window)
 

@@ -339,6 +339,21 @@ def test_large_benchmarks_lose_no_copies(spark):
     assert len(want) >= 200 and got == want
 
 
+def test_shortened_and_reworded_items_are_found(spark):
+    rng = np.random.default_rng(12)
+    items = [(i, " ".join(prose(rng, rng.integers(15, 60)))) for i in range(100)]
+    rows = []
+    for d in range(600):
+        own = items[d % 100][1].split()
+        free = rng.permutation(len(own) - 6)[: int(len(own) * rng.uniform(0.15, 0.39))]
+        reworded = d % 2
+        kept = [prose(rng, 1)[0] if k in free else w for k, w in enumerate(own) if reworded or k not in free]
+        rows.append((d, " ".join([*prose(rng, rng.integers(0, 90)), *kept, *prose(rng, rng.integers(0, 90))])))
+    got, want = leaks_between(spark, rows, items)
+    planted = {(d, d % 100) for d, _ in rows} & want
+    assert len(planted) >= 550 and planted <= got <= want
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = np.random.default_rng(6)
     for _ in range(100):

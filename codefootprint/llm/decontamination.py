@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval, with word-sequence and answer checks of what it finds.
 
-Benchmark texts and passages of documents (windows of WINDOW words that overlap) are TF-IDF vectors over hashed
+Benchmark texts and passages of documents (windows of WINDOWS words that overlap) are TF-IDF vectors over hashed
 words, with document frequencies of the whole corpus. A randomised singular value decomposition of the benchmark's
 vectors, summed up by Spark over their partitions, gives a latent space; passages are projected into it and compared with
 every benchmark text by cosine. Candidates are then checked word by word: the longest common subsequence with the
@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 
 from codefootprint.llm.words import word_hashes
 
-WINDOW = 32
+#: Lengths of windows; an item is compared with those next to its own length, a longer one than LONGEST in passages of the
+#: last length that overlap by half.
+WINDOWS = (4, 8, 16, 32)
+LONGEST = 48
 #: A window begins at every STEPS-th part of its length.
 STEPS = 4
 WORD_BITS = 18
@@ -197,8 +200,8 @@ def _spans(windows: list[tuple[int, float]], length: int) -> list[tuple[int, int
     """Stretches of words around windows, with room for the whole item; those that overlap become one, if it stays short."""
     out: list[tuple[int, int]] = []
     for first, _ in sorted(windows):
-        a, b = first - length, first + WINDOW + length
-        if out and a < out[-1][1] - length and b - out[-1][0] <= 6 * length + WINDOW:
+        a, b = first - length, first + WINDOWS[-1] + length
+        if out and a < out[-1][1] - length and b - out[-1][0] <= 6 * length + WINDOWS[-1]:
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
@@ -219,8 +222,15 @@ def common_words(a: list[bytes], b: list[bytes]) -> int:
 
 
 def pieces(words: list[bytes]) -> list[tuple[int, list[bytes]]]:
-    """What of an item is compared with windows, each with the length of those windows."""
-    return [(WINDOW, words)]
+    """What of an item is compared with windows, each with the length of those windows.
+
+    Of a long item that a document covers by some share, one passage at least is covered by that share.
+    """
+    n = len(words)
+    if n <= LONGEST:
+        return [(min(WINDOWS, key=lambda w: max(w, n) / min(w, n)), words)]
+    width = WINDOWS[-1]
+    return [(width, words[a : a + width]) for a in [*range(0, n - width, width // 2), n - width]]
 
 
 def cutoff(length: int, window: int) -> float:

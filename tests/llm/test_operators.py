@@ -354,6 +354,16 @@ def test_shortened_and_reworded_items_are_found(spark):
     assert len(planted) >= 550 and planted <= got <= want
 
 
+def test_items_of_any_length_are_found(spark):
+    rng = np.random.default_rng(13)
+    lengths = (2, 3, 5, 6, 9, 12, 24, 47, 49, 80, 150, 300, 700)
+    items = [(i, " ".join(f"w{k}" for k in rng.integers(0, 4000, n))) for i, n in enumerate(lengths * 4)]
+    rows = [(d, " ".join([*prose(rng, 200 + d), text, *prose(rng, 200)])) for d, text in items]
+    got, want = leaks_between(spark, rows, items)
+    planted = {(d, d) for d, _ in rows}
+    assert planted <= got <= want
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = np.random.default_rng(6)
     for _ in range(100):

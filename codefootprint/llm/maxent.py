@@ -32,9 +32,10 @@ WORD_CLASSES = 16
 SPELLING_CLASSES = 48
 CLASSES = WORD_CLASSES + SPELLING_CLASSES
 FEATURE_BUCKETS = 1 << 13
-#: Rounds of training over all training texts; in each, every STRIDE-th token of a text gives a gradient.
+#: Rounds of training over all training texts; in each, every STRIDE-th token of a text gives a gradient, so that over the
+#: rounds every token gives one.
 ROUNDS = 2
-STRIDE = 12
+STRIDE = 2
 #: Tasks of a round: as many as the texts have splits up to WORKERS, beyond that one for every SPLITS splits. Their weights
 #: are averaged in levels, FAN of them at a time.
 WORKERS = 32
@@ -183,6 +184,11 @@ class Weights:
         table[keys] += (rate / np.sqrt(n)[:, None] * sums / np.sqrt(n)[:, None] * np.minimum(1, n / 4)[:, None]).astype(np.float32)
 
 
+def gradient_places(tokens: list[bytes], number: int, stride: int = STRIDE) -> np.ndarray:
+    """Places of the tokens that give a gradient in a round; any ``stride`` rounds in a row have all of them."""
+    return np.arange((zlib.crc32(tokens[0]) + number) % stride, len(tokens), stride)
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """token (binary), c: how often each token stands in the texts; partial sums leave the tasks."""
 
@@ -255,7 +261,7 @@ def train(docs: DataFrame, head: HeadTable, rounds: int = ROUNDS, stride: int =
             for batch in batches:
                 for text in batch.column(0):
                     tokens = tokens_of(text.as_py())
-                    at = np.arange((zlib.crc32(tokens[0]) + number * 5) % stride, len(tokens), stride)
+                    at = gradient_places(tokens, number, stride)
                     if len(at):
                         held_tokens += NO_HISTORY
                         places.append(at + len(held_tokens))

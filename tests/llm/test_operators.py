@@ -123,6 +123,13 @@ def test_maxent_base_and_normalisation(docs):
     assert np.exp(weights.log_probability(ids, np.repeat(rows, len(ids), axis=0))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_maxent_learns_from_every_token():
+    for text in (None, "one", "two words", "a b c d e f g h i j k l m n o p q", LONG):
+        tokens = maxent.tokens_of(text)
+        places = np.concatenate([maxent.gradient_places(tokens, number, maxent.STRIDE) for number in range(maxent.ROUNDS)])
+        assert sorted(places) == list(range(len(tokens)))
+
+
 def test_mix_meets_targets(docs):
     rows = mixing.mix_sources(docs).collect()
     assert sorted(r.size for r in rows) == sorted(len(words(t)) for _, t, *_ in ROWS)

@@ -1,7 +1,7 @@
 """Toxicity: class-conditional Kneser-Ney models of words, compared by length-normalised likelihood.
 
-A word is spelled from its start, byte by byte: each byte's probability depends on all the word's bytes before it, up to
-LONGEST of them. A toxic and an ordinary model have counts of their own class; what they discount goes to one shared model
+A word is spelled from its start, byte by byte: each byte's probability depends on all the word's bytes before it, beyond
+LONGEST of them on the last ones (a sliding run of LONGEST bytes), so every byte counts. A toxic and an ordinary model have counts of their own class; what they discount goes to one shared model
 of both classes' counts, and what that discounts to continuation counts (distinct left neighbours) of three-byte runs. So
 an expression that is rare in either class is smoothed alike in both. The log-likelihood difference of a word, and that of
 a text by the number of its words and bytes, are compared; a logistic layer fitted on texts that gave no counts turns them
@@ -10,6 +10,8 @@ into a probability.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from codefootprint.llm.words import mixed
 
-#: Bytes of a word that are spelled (its end counts as one), and the order of the continuation counts.
+#: Bytes of the longest run (a word's end counts as one), and the order of the continuation counts.
 LONGEST = 12
 SHARED_ORDER = 3
 DISCOUNT = 0.75
@@ -37,11 +39,15 @@ PREDICT_AT = 0.7
 _BYTES = np.full(256, ord(" "), dtype=np.uint8)
 _BYTES[128:] = np.arange(128, 256)
 _BYTES[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
+#: Punctuation, symbols and spaces beyond ASCII: borders of words like those within it.
+_BORDERS = re.compile("[" + "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c)[0] in "PSZ") + "]")
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def letters(text: str) -> np.ndarray:
     """Lower-cased UTF-8 bytes of the text's words, each word behind one space, one space at the end."""
+    if not text.isascii():
+        text = _BORDERS.sub(" ", text)
     data = _BYTES[np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), dtype=np.uint8)]
     space = data == ord(" ")
     return data[~(space & np.concatenate([[False], space[:-1]]))]
@@ -64,7 +70,10 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def spelled(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each step of spelling: the words that reach it, the place of its byte, and the buckets before and behind it."""
+    """For each step of spelling: the words that reach it, the place of its byte, and the buckets before and behind it.
+
+    The last step has all bytes beyond LONGEST, so a word may stand in it more than once.
+    """
     starts = np.flatnonzero(data == ord(" "))
     if len(starts) < 2:
         return
@@ -82,6 +91,17 @@ def spelled(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         whole = _bucket(h)
         yield words, at, before, whole
         before = whole
+    lengths = ends - starts[:-1]
+    over = np.maximum(lengths - LONGEST, 0)
+    if over.any():
+        words = np.repeat(np.arange(len(over)), over)
+        at = np.arange(len(words)) - np.repeat(np.cumsum(over) - over, over) + (starts[:-1] + LONGEST + 1)[words]
+        yield words, at, byte_runs(data, LONGEST - 1)[at - LONGEST + 1], byte_runs(data, LONGEST)[at - LONGEST + 1]
+
+
+def at_in_word(starts: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Place of each byte in its word, from 1."""
+    return at - starts[words]
 
 
 @dataclass
@@ -94,7 +114,7 @@ class ToxicityModel:
     weights: np.ndarray
 
     def word_ratios(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-likelihood difference (toxic less ordinary) summed over each word's bytes; the words' lengths and buckets."""
+        """Log-likelihood difference (toxic less ordinary) summed over each word's bytes; the words' lengths and names (sums of buckets by place)."""
         starts = np.flatnonzero(data == ord(" "))
         sums = np.zeros(max(0, len(starts) - 1))
         names = np.zeros(len(sums), dtype=np.int64)
@@ -104,8 +124,8 @@ class ToxicityModel:
         for words, at, before, whole in spelled(data):
             both = self.shares[2][whole] + self.backoffs[2][before] * low[at]
             ordinary, toxic = (self.shares[k][whole] + self.backoffs[k][before] * both for k in (0, 1))
-            sums[words] += np.log(toxic / ordinary)
-            names[words] = whole
+            np.add.at(sums, words, np.log(toxic / ordinary))
+            np.add.at(names, words, whole * at_in_word(starts, words, at))
         return sums, np.diff(starts).astype(np.float64), names
 
     def features(self, text: str | None) -> np.ndarray:

@@ -299,6 +299,18 @@ def test_toxicity_learns(spark):
     assert {i for i in got if got[i].held_out} == {i for i in got if zlib.crc32(str(i).encode()) % 3 == 1}
 
 
+def test_toxicity_spells_every_byte():
+    for text in ("short words and averyveryverylongcompoundword", "字" * 40, "full，width。marks", "a" * 12, ""):
+        data = toxicity.letters(text)
+        steps = list(toxicity.spelled(data))
+        places = np.sort(np.concatenate([at for _, at, _, _ in steps])) if steps else np.zeros(0, int)
+        assert places.tolist() == list(range(1, len(data)))
+        assert all((toxicity.letters(text)[at] >= 0).all() and len(b) == len(w) == len(at) for _, at, b, w in steps)
+    ends = [np.concatenate([w for _, _, _, w in toxicity.spelled(toxicity.letters(t))]) for t in ("donaudampfschiffkind", "donaudampfschiffhund")]
+    assert (ends[0] != ends[1]).any()
+    assert toxicity.letters("full，width。marks").tobytes() == b" full width marks "
+
+
 def test_language_learns(spark):
     rng = np.random.default_rng(4)
     syllables = {"xa": ["ka", "lo", "mi"], "yb": ["stru", "gne", "pfo"]}

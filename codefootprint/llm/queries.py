@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codefootprint.llm import decontamination, language, linededup, maxent, mixing, quality, simhash, substrings, tokencounts, toxicity
+from codefootprint.llm import (
+    centroids, decontamination, language, linededup, maxent, mixing, quality, simhash, substrings, tokencounts, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    numbers = F.transform("centroid", lambda x: x.cast("string"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(numbers, ","), 256).alias("centroid_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_maxent": op2_maxent,
@@ -63,9 +75,11 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op12_centroids": op12_centroids,
 }
 
 ORACLES = {
     "op3_mix_sources": mixing.MIX_SQL,
     "op5_line_dedup": linededup.LINE_SQL,
+    "op12_centroids": centroids.CLUSTER_SQL,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefootprint.llm import (
-    centroids, decontamination, language, linededup, maxent, mixing, quality, simhash, substrings, tokencounts, toxicity,
+    boosting, centroids, decontamination, language, linededup, maxent, mixing, quality, simhash, substrings, tokencounts, toxicity,
 )
 
 
@@ -64,6 +64,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosting.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_maxent": op2_maxent,
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
     "op12_centroids": op12_centroids,
+    "op13_quality_trees": op13_quality_trees,
 }
 
 ORACLES = {

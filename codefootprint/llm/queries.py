@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefootprint.llm import (
-    boosting, centroids, decontamination, language, linededup, maxent, mixing, quality, simhash, substrings, tokencounts, toxicity,
+    boosting, centroids, decontamination, language, linededup, maxent, mixing, phrases, quality, simhash, substrings, tokencounts, toxicity,
 )
 
 
@@ -55,6 +55,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
     numbers = F.transform("centroid", lambda x: x.cast("string"))
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_collocations": op11_collocations,
     "op12_centroids": op12_centroids,
     "op13_quality_trees": op13_quality_trees,
 }
@@ -86,5 +91,6 @@ QUERIES = {
 ORACLES = {
     "op3_mix_sources": mixing.MIX_SQL,
     "op5_line_dedup": linededup.LINE_SQL,
+    "op11_collocations": phrases.PHRASE_SQL,
     "op12_centroids": centroids.CLUSTER_SQL,
 }

@@ -12,11 +12,13 @@ so every phrase that has a count has the count of one full circle; what does not
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,9 +135,11 @@ def _next_border(data: np.ndarray, start: int) -> int:
     return len(data) - 1
 
 
-def _scan(texts: DataFrame, scan: int, shards: int, active: list[np.ndarray], longest: int) -> DataFrame:
-    """Counts of the phrases that are active in this scan of one shard; since: the phrase's first scan."""
-    held = texts.sparkSession.sparkContext.broadcast(active)
+def _scan(texts: DataFrame, scan: int, shards: int, held: Broadcast, longest: int) -> DataFrame:
+    """Counts of the phrases that are active in this scan of one shard; since: the phrase's first scan.
+
+    held: the slot tables of lengths 1 and up, compressed.
+    """
 
     def rows(lang: str, size: int, phrases: pa.Array, since: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -147,6 +151,7 @@ def _scan(texts: DataFrame, scan: int, shards: int, active: list[np.ndarray], lo
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        active = [np.frombuffer(zlib.decompress(table), dtype=np.uint8) for table in held.value]
         for lang, data in _chunks(batches):
             pieces = Pieces(lang, data)
             for size in range(1, longest + 1):
@@ -154,7 +159,7 @@ def _scan(texts: DataFrame, scan: int, shards: int, active: list[np.ndarray], lo
                 if size == 1:
                     since = np.zeros(len(at), dtype=np.int64)
                 else:
-                    began = held.value[size - 2]
+                    began = active[size - 2]
                     since = np.maximum(began[pieces.slots(at, size - 1)], began[pieces.slots(at + 1, size - 1)]).astype(np.int64)
                 now = (since <= scan) & (scan < since + shards) & (since != NEVER)
                 if now.any():
@@ -200,7 +205,8 @@ def count_phrases(
     active = [np.full(1 << SLOT_BITS, NEVER, dtype=np.uint8) for _ in range(longest - 1)]
     finished, open_, words, scan, last = [], None, None, 0, shards - 1
     while scan <= last:
-        fresh = _scan(texts, scan, shards, active, longest)
+        held = spark.sparkContext.broadcast([zlib.compress(table.tobytes(), 1) for table in active])
+        fresh = _scan(texts, scan, shards, held, longest)
         if open_ is not None:
             fresh = fresh.withColumn("held", F.lit(0).cast("long")).unionByName(open_.withColumn("held", F.col("n")))
         else:
@@ -208,6 +214,7 @@ def count_phrases(
         over = F.col("since") + shards - 1 <= scan
         summed = fresh.groupBy("lang", "size", "phrase", "since").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
         counted = store.put(summed, "counted")
+        held.destroy()
         if open_ is not None:
             store.drop(open_)
         if scan == shards - 1:

@@ -48,8 +48,13 @@ class Store:
 def with_row(docs: DataFrame) -> DataFrame:
     """docs with row_, a number that tells repeated rows apart.
 
-    docs must be a stored table, which reads the same each time: the number is made of a row's split and place in it.
+    docs must be a stored table, which reads the same each time: the number is made of a row's split and place in it. Spark
+    cuts files by the cores it sees when a query is planned, so that figure is fixed for the session before the first
+    number is given (``spark.sql.files.minPartitionNum``, where unset): executors that come or go change no number.
     """
+    spark = docs.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
     return docs.withColumn("row_", F.monotonically_increasing_id())
 
 

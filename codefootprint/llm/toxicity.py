@@ -10,7 +10,7 @@ into a probability.
 
 from __future__ import annotations
 
-import re
+import functools
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,15 +39,19 @@ PREDICT_AT = 0.7
 _BYTES = np.full(256, ord(" "), dtype=np.uint8)
 _BYTES[128:] = np.arange(128, 256)
 _BYTES[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
-#: Punctuation, symbols and spaces beyond ASCII: borders of words like those within it.
-_BORDERS = re.compile("[" + "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c)[0] in "PSZ") + "]")
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
+@functools.cache
+def borders() -> dict[int, str]:
+    """Punctuation, symbols and spaces beyond ASCII, which are borders of words like those within it."""
+    return dict.fromkeys((c for c in range(128, 0x110000) if unicodedata.category(chr(c))[0] in "PSZ"), " ")
+
+
 def letters(text: str) -> np.ndarray:
     """Lower-cased UTF-8 bytes of the text's words, each word behind one space, one space at the end."""
     if not text.isascii():
-        text = _BORDERS.sub(" ", text)
+        text = text.translate(borders())
     data = _BYTES[np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), dtype=np.uint8)]
     space = data == ord(" ")
     return data[~(space & np.concatenate([[False], space[:-1]]))]
@@ -124,8 +128,12 @@ class ToxicityModel:
         for words, at, before, whole in spelled(data):
             both = self.shares[2][whole] + self.backoffs[2][before] * low[at]
             ordinary, toxic = (self.shares[k][whole] + self.backoffs[k][before] * both for k in (0, 1))
-            np.add.at(sums, words, np.log(toxic / ordinary))
-            np.add.at(names, words, whole * at_in_word(starts, words, at))
+            sums += np.bincount(words, weights=np.log(toxic / ordinary), minlength=len(sums))
+            place = whole * at_in_word(starts, words, at)
+            if at[0] - starts[words[0]] <= LONGEST:  # a step in which each word stands once
+                names[words] += place
+            else:
+                np.add.at(names, words, place)
         return sums, np.diff(starts).astype(np.float64), names
 
     def features(self, text: str | None) -> np.ndarray:

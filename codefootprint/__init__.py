@@ -14,9 +14,9 @@ from .plans import *  # noqa: F403
 from .plans import __all__ as _plans
 from .sources import *  # noqa: F403
 from .sources import __all__ as _sources
-from .streaming import current_totals, scan_stream, start_scan, start_usage_totals, usage_totals
+from .streaming import *  # noqa: F403
+from .streaming import __all__ as _streaming
 
 __all__ = [
-    "DEFAULT_RULES", "FIX_GUIDES", "FixGuide", "Rule", "select_rules", "scan_stream", "start_scan",
-    "current_totals", "start_usage_totals", "usage_totals", *_plans, *_sources,
+    "DEFAULT_RULES", "FIX_GUIDES", "FixGuide", "Rule", "select_rules", *_plans, *_sources, *_streaming,
 ]

@@ -12,6 +12,7 @@ from .reports import (
     top_violations,
     violations_with_fix,
     write_report,
+    write_run,
 )
 from .scan import errors, file_stats, python_nodes, scan_files, scan_sources, violations, write_tables
 from .scoring import (
@@ -31,5 +32,5 @@ __all__ = [
     "label_violations", "language_breakdown", "python_nodes", "quality_gate", "repo_scores", "repo_stats",
     "report_documents", "report_findings", "rule_catalog", "rule_scores", "scan_files", "scan_scores",
     "scan_sources", "sorted_violations", "top_per_rule", "top_rules", "top_violations", "violations",
-    "violations_with_fix", "write_report", "write_tables",
+    "violations_with_fix", "write_report", "write_run", "write_tables",
 ]

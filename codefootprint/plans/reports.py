@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..catalog.dimensions import categories_df, fix_guides_df, rules_df, severities_df
 from ..catalog.rules import DEFAULT_RULES, Rule
 from ..functions.values import exact_round, location
-from .scan import write_bucketed
+from .scan import Outputs, scan_tables
 from .scoring import category_scores, finish_scores, language_breakdown, repo_stats, rule_counts, rule_scores, with_severity
 
 TOP_FINDINGS = 15
@@ -197,16 +197,36 @@ def report_findings(found: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) ->
     return joined.select("repo_id", F.to_json(line, {"ignoreNullFields": "false"}).alias("finding"))
 
 
-def write_report(
-    stats: DataFrame, found: DataFrame, errors: DataFrame, path: str, rules: Iterable[Rule] = DEFAULT_RULES,
-    k: float = 1.0, buckets: int = 64,
-) -> None:
-    """Writes ``repositories``, ``findings`` and ``errors`` below ``path`` as JSON lines."""
+def _report_outputs(
+    stats: DataFrame, found: DataFrame, errors: DataFrame, rules: Iterable[Rule], k: float
+) -> dict[str, DataFrame]:
     rules = tuple(rules)
-    outputs = {
+    return {
         "repositories": report_documents(stats, found, rules, k),
         "findings": report_findings(found, rules),
-        "errors": errors.select("repo_id", F.to_json(F.struct("path", "message")).alias("error")),
+        "report_errors": errors.select("repo_id", F.to_json(F.struct("path", "message")).alias("error")),
     }
-    for name, rows in outputs.items():
-        write_bucketed(rows, f"{path}/{name}", buckets, "json")
+
+
+def write_report(
+    stats: DataFrame, found: DataFrame, errors: DataFrame, path: str, rules: Iterable[Rule] = DEFAULT_RULES,
+    k: float = 1.0, buckets: int = 64,
+) -> int:
+    """Writes ``repositories``, ``findings`` and ``report_errors`` below ``path`` as JSON lines and commits them together;
+    returns the version. The three inputs should be stored tables: each output reads them again (:func:`write_run` stores
+    the scan itself). Read an output with ``read_committed(spark, path, name, fmt="json")``."""
+    outputs = Outputs(stats.sparkSession, path, buckets)
+    outputs.write(_report_outputs(stats, found, errors, rules, k), "json")
+    return outputs.commit()
+
+
+def write_run(
+    scanned: DataFrame, path: str, rules: Iterable[Rule] = DEFAULT_RULES, k: float = 1.0, buckets: int = 64
+) -> int:
+    """All outputs of one scan below ``path``, visible at once: the tables of ``write_tables`` as Parquet and those of
+    :func:`write_report` as JSON lines. A lazy scan runs once, and every output is made from what it stored."""
+    outputs = Outputs(scanned.sparkSession, path, buckets)
+    tables = scan_tables(outputs.store("scanned", scanned))
+    outputs.write(tables)
+    outputs.write(_report_outputs(*tables.values(), rules, k), "json")
+    return outputs.commit()

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..catalog.rules import DEFAULT_RULES, Rule
 from ..functions.layers import with_layers
@@ -24,6 +25,7 @@ from ..operators.manifest_rules import manifest_columns
 from ..operators.pyfacts import syntax_facts
 from ..operators.python_rules import python_columns
 from ..operators.regex_rules import regex_columns
+from ..sources.commits import Commits
 from ..sources.corpus import prune_ignored_dirs, with_text
 
 
@@ -69,7 +71,7 @@ def scan_files(
     Texts of any size are scanned, unless ``max_text_bytes`` says from where on they are only listed.
 
     Rows whose optional column ``scanned`` is false (see ``requested_files``) are read by the dependency rules only.
-    A ``folder`` column is passed through.
+    The columns ``folder``, ``version`` and ``deleted`` are passed through.
     """
     rules = tuple(rules)
     df = with_text(prune_ignored_dirs(files, ignored_dirs), max_text_bytes)
@@ -79,7 +81,7 @@ def scan_files(
         assets = {"_assets": f"IF(scanned, {assets['_assets']}, {NO_FINDINGS})"}
     df = with_layers(df, {**assets, **manifest_columns(rules), **_text_columns(rules)})
     return df.select(
-        *(name for name in ("repo_id", "folder", "path", "scanned", "language") if name in df.columns),
+        *(name for name in ("repo_id", "folder", "path", "version", "deleted", "scanned", "language") if name in df.columns),
         _code_lines().alias("code_lines"),
         F.col("length").cast("bigint").alias("bytes"),
         F.concat("_assets", "_docker", "_regex", "_loops", "_python", "_manifest").alias("findings"),
@@ -146,17 +148,52 @@ def write_bucketed(rows: DataFrame, path: str, buckets: int = 64, fmt: str = "pa
 
     The rebalance hint gathers each bucket into few files; a bucket with a hot repository is split again.
     """
-    bucket = F.pmod(F.xxhash64(F.col("repo_id").cast("string")), F.lit(buckets)).cast("int")
-    rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy(
+    rows.withColumn("bucket", repo_bucket(buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy(
         "bucket"
     ).format(fmt).save(path)
 
 
-def write_tables(scanned: DataFrame, path: str, buckets: int = 64) -> None:
-    """Writes ``file_stats``, ``violations`` and ``errors`` as Parquet below ``path``. The scan is written once
-    first and the tables are taken from it, so the sources are read once."""
-    scanned.write.mode("overwrite").parquet(f"{path}/scanned")
-    stored = scanned.sparkSession.read.parquet(f"{path}/scanned")
-    write_bucketed(file_stats(stored), f"{path}/file_stats", buckets)
-    write_bucketed(violations(stored), f"{path}/violations", buckets)
-    write_bucketed(errors(stored), f"{path}/errors", buckets)
+def repo_bucket(buckets: int):
+    return F.pmod(F.xxhash64(F.col("repo_id").cast("string")), F.lit(buckets)).cast("int")
+
+
+class Outputs:
+    """Tables of one run, each written into a folder of its own and visible only after ``commit``."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int):
+        self.spark, self.commits, self.buckets = spark, Commits(spark, path), buckets
+        self._folders: dict[str, list[str]] = {}
+        self._schemas: dict[str, dict] = {}
+
+    def _note(self, name: str, schema: StructType) -> str:
+        folder = self.commits.folder(name)
+        self._folders[name], self._schemas[name] = [folder], schema.jsonValue()
+        return folder
+
+    def store(self, name: str, rows: DataFrame) -> DataFrame:
+        """Writes rows and reads them back, so what follows doesn't compute them again."""
+        folder = self._note(name, rows.schema)
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
+    def write(self, tables: dict[str, DataFrame], fmt: str = "parquet") -> None:
+        """Writes tables in folders by repository bucket."""
+        for name, rows in tables.items():
+            folder = self._note(name, StructType([*rows.schema.fields, StructField("bucket", IntegerType())]))
+            write_bucketed(rows, folder, self.buckets, fmt)
+
+    def commit(self) -> int:
+        return self.commits.commit(self._folders, {"schemas": self._schemas})
+
+
+def scan_tables(stored: DataFrame) -> dict[str, DataFrame]:
+    return {"file_stats": file_stats(stored), "violations": violations(stored), "errors": errors(stored)}
+
+
+def write_tables(scanned: DataFrame, path: str, buckets: int = 64) -> int:
+    """Writes ``scanned``, ``file_stats``, ``violations`` and ``errors`` as Parquet below ``path`` and commits them
+    together; returns the version. The scan is written first and the tables are taken from it, so the sources are read once.
+    Read a table with ``read_committed(spark, path, name)``."""
+    outputs = Outputs(scanned.sparkSession, path, buckets)
+    outputs.write(scan_tables(outputs.store("scanned", scanned)))
+    return outputs.commit()

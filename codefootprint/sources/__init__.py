@@ -1,6 +1,7 @@
 """Inputs: corpora of files, single files, snippets, requested repositories and targets."""
 
 from .admission import admit_repos, admit_snippets, missing_repo_errors
+from .commits import Commits, read_committed
 from .corpus import (
     FILES_SCHEMA,
     decode_text,
@@ -14,7 +15,7 @@ from .listing import files_from_listing
 from .targets import normalize_targets
 
 __all__ = [
-    "FILES_SCHEMA", "admit_repos", "admit_snippets", "decode_text", "files_from_binary", "files_from_listing",
-    "missing_repo_errors", "normalize_targets", "prune_ignored_dirs", "read_corpus", "requested_files",
+    "Commits", "FILES_SCHEMA", "admit_repos", "admit_snippets", "decode_text", "files_from_binary", "files_from_listing",
+    "missing_repo_errors", "normalize_targets", "prune_ignored_dirs", "read_committed", "read_corpus", "requested_files",
     "with_text",
 ]

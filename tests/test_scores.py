@@ -92,17 +92,17 @@ def test_report_documents_and_files(spark, tmp_path):
     found = findings(spark, [("r", "GC001", "a", 1), ("r", "GC040", "a", 2), ("r", "NONE", "a", 3)])
     errors = spark.createDataFrame([("r", "b.py", "bad")], "repo_id string, path string, message string")
     cf.write_report(files, found, errors, str(tmp_path / "report"))
-    documents = {r.repo_id: json.loads(r.document) for r in spark.read.json(str(tmp_path / "report/repositories")).collect()}
+    documents = {r.repo_id: json.loads(r.document) for r in cf.read_committed(spark, str(tmp_path / "report"), "repositories", fmt="json").collect()}
     index = documents["r"]["index"]
     assert (index["score"], index["grade"], index["penalty"], index["total_violations"]) == (73.3, "C", 4, 3)
     assert [c["category"] for c in index["categories"]] == ["compute", "observability"]
     assert [c["percent_of_penalty"] for c in index["categories"]] == [75.0, 25.0]
     assert documents["r"]["stats"]["language_breakdown"] == {"python": 100, "go": 50}
     assert documents["clean"]["index"]["categories"] == [] and documents["clean"]["index"]["score"] == 100.0
-    lines = [json.loads(r.finding) for r in spark.read.json(str(tmp_path / "report/findings")).collect()]
+    lines = [json.loads(r.finding) for r in cf.read_committed(spark, str(tmp_path / "report"), "findings", fmt="json").collect()]
     unknown = next(x for x in lines if x["rule_id"] == "NONE")
     assert len(lines) == 3 and unknown["rule_name"] == "NONE" and unknown["category"] is None and unknown["severity"] is None
-    assert spark.read.json(str(tmp_path / "report/errors")).count() == 1
+    assert cf.read_committed(spark, str(tmp_path / "report"), "report_errors", fmt="json").count() == 1
 
 
 SAMPLE = {

@@ -90,6 +90,31 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_of(_spread(table(spark, sf_dir, "events").select("event_id", "user_id")))
 
 
+def revised(template: int, version: int) -> int:
+    """The template of a file's later version: the next ones with the same extension."""
+    alike = [i for i, x in enumerate(TEMPLATES) if x.ext == TEMPLATES[template].ext]
+    return alike[(alike.index(template) + version) % len(alike)]
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code corpus as it changes: a third of the files come twice, a ninth three times, and of these a third is deleted
+    at last. wave is when a version arrives; some come in reversed order."""
+    last = F.when(F.col("event_id") % 9 == 0, 2).when(F.col("event_id") % 3 == 0, 1).otherwise(0)
+    versions = code(spark, sf_dir).withColumn("event_id", F.regexp_extract("path", r"/f(\d+)", 1).cast("bigint"))
+    versions = versions.withColumn("version", F.explode(F.sequence(F.lit(0), last)))
+    t = F.col("event_id") % len(TEMPLATES)
+    content = F.when(F.col("version") == 0, F.col("content"))
+    for version in (1, 2):
+        later = pick([TEMPLATES[revised(i, version)].content for i in range(len(TEMPLATES))], t)
+        content = content.when(F.col("version") == version, later)
+    deleted = (F.col("event_id") % 27 == 0) & (F.col("version") == 2)
+    late = F.when(F.col("event_id") % 45 == 0, 2 - F.col("version")).otherwise(F.col("version"))
+    return versions.withColumn("content", F.when(~deleted, content)).select(
+        "repo_id", "path", F.octet_length("content").cast("bigint").alias("length"), "content",
+        F.col("version").cast("bigint").alias("version"), deleted.alias("deleted"), late.alias("wave"),
+    )
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ready findings, one per line item. Every 45th part has a rule id outside the catalogue."""
     rule = pick((*RULE_IDS, "GC999"), F.col("l_partkey") % 45)

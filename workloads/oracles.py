@@ -320,6 +320,18 @@ def _totals(source: str) -> str:
     )
 
 
+def _revised(version: int) -> str:
+    return pick([C.revised(i, version) for i in range(N)], f"event_id % {N}")
+
+
+# The last version of every file, by its labels; the path keeps the first version's extension, which later ones share.
+REVISED = f"""{TPL}, {LABELS}, c2 AS (
+  SELECT e.user_id AS repo_id, tpl.t, tpl.lang, tpl.code_lines, 'src' || (event_id % 7) || '/f' || event_id || ext AS path
+  FROM (SELECT *, CASE WHEN event_id % 9 = 0 THEN {_revised(2)} WHEN event_id % 3 = 0 THEN {_revised(1)}
+                       ELSE event_id % {N} END AS last FROM events) e
+  JOIN tpl ON tpl.t = e.last WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 27 <> 0)"""
+
+
 def build() -> dict[str, str]:
     by_id = {r.id: r for r in DEFAULT_RULES}
     place = "SELECT repo_id, rule_id, path, CAST(line AS INTEGER) AS line FROM"
@@ -505,6 +517,11 @@ FROM scores LEFT JOIN c USING (repo_id) LEFT JOIN r USING (repo_id) LEFT JOIN g
         "usage_totals": _totals("events"),
         "usage_totals_stream": _totals("events"),
         "stream_scan": labelled(everything),
+        "stream_scores": f"WITH {REVISED}, {_CODE_AS_FOUND}, {_scores(1.0)} SELECT repo_id, total_files, code_files, "
+                         f"total_code_lines, total_violations, penalty, round(density, 6) AS density, score, "
+                         f"{_band('score', 0)} AS grade FROM scores",
+        "stream_files": f"WITH {REVISED} SELECT repo_id, rule_id, path, CAST(line AS INTEGER) AS line "
+                        "FROM c2 JOIN labels_t USING (t)",
     }
     return sql
 

@@ -42,9 +42,12 @@ SNIPPET_LANGUAGES = ("python", "sql", "cobol", " go ", None)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder, which the cluster shares. Only where none is configured, as
-    in tests, it lies in the working directory."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/checkpoints"
+    """A new folder below the session's checkpoint folder, which the cluster shares. Only where none is configured and
+    Spark runs in one process, as in tests, it lies in the working directory."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or "spark-warehouse/checkpoints"
     return f"{shared.rstrip('/')}/codefootprint/{name}-{uuid.uuid4().hex}"
 
 
@@ -390,7 +393,7 @@ def tabular_sink(spark, sf_dir):
     """Writes the scan of the code corpus in repository buckets and reads the scores back from the tables."""
     folder = work_folder(spark, "tables")
     cf.write_tables(cf.scan_files(C.code(spark, sf_dir)), folder, buckets=8)
-    stats, found = (spark.read.parquet(f"{folder}/{name}") for name in ("file_stats", "violations"))
+    stats, found = (cf.read_committed(spark, folder, name) for name in ("file_stats", "violations"))
     return cf.repo_scores(stats, found).select("repo_id", "total_files", "total_violations", "penalty", "score", "grade")
 
 
@@ -419,6 +422,29 @@ def stream_scan(spark, sf_dir):
     return places(cf.violations(spark.read.parquet(f"{folder}/scanned")))
 
 
+def _revised(spark: SparkSession, sf_dir: str) -> str:
+    """Output folder of a stream over the changing code corpus: every wave is a batch, the second one comes once more."""
+    folder = work_folder(spark, "revisions")
+    arrivals = C.arrivals(spark, sf_dir)
+    schema = arrivals.drop("wave").schema
+    for k, wave in enumerate((0, 1, 2, 1)):
+        arrivals.filter(F.col("wave") == wave).drop("wave").coalesce(1).write.parquet(f"{folder}/in/{k}")
+        files = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        cf.start_scores(files, f"{folder}/out", f"{folder}/checkpoint", compact_every=2, buckets=4).awaitTermination()
+    return f"{folder}/out"
+
+
+def stream_scores(spark, sf_dir):
+    return cf.current_scores(spark, _revised(spark, sf_dir)).select(
+        "repo_id", "total_files", "code_files", "total_code_lines", "total_violations", "penalty",
+        F.round("density", 6).alias("density"), "score", "grade",
+    )
+
+
+def stream_files(spark, sf_dir):
+    return places(cf.violations(cf.current_files(spark, _revised(spark, sf_dir))))
+
+
 QUERIES: dict[str, Query] = {
     "scan_corpus": scan_corpus,
     "prune_ignored_dirs": prune_ignored_dirs,
@@ -487,6 +513,8 @@ QUERIES: dict[str, Query] = {
     "usage_totals": usage_totals_query,
     "usage_totals_stream": usage_totals_stream,
     "stream_scan": stream_scan,
+    "stream_scores": stream_scores,
+    "stream_files": stream_files,
 }
 
 HEAVY_NAMES = tuple(name for name, _ in HEAVY_DEPENDENCIES)

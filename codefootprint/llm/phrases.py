@@ -27,7 +27,7 @@ from codefootprint.llm.store import Store
 from codefootprint.llm.words import Rolling, mixed
 
 #: Shards of the corpus; slots of each length's table of active phrases; bytes of text that a task counts at a time.
-SHARDS = 3
+SHARDS = 2
 SLOT_BITS = 23
 CHUNK = 1 << 23
 NEVER = 255
@@ -204,17 +204,21 @@ def count_phrases(
     )
     active = [np.full(1 << SLOT_BITS, NEVER, dtype=np.uint8) for _ in range(longest - 1)]
     finished, open_, words, scan, last = [], None, None, 0, shards - 1
+    nothing_held = F.lit(0).cast("long").alias("held")
     while scan <= last:
         held = spark.sparkContext.broadcast([zlib.compress(table.tobytes(), 1) for table in active])
-        fresh = _scan(texts, scan, shards, held, longest)
+        # phrases of the last length activate nothing, so their sums can wait for the end
+        scanned = store.put(_scan(texts, scan, shards, held, longest), "scanned")
+        held.destroy()
+        finished.append(scanned.where(F.col("size") == longest).select("lang", "phrase", "n"))
+        fresh = scanned.where(F.col("size") < longest).select("lang", "phrase", "size", "since", "n", nothing_held)
         if open_ is not None:
-            fresh = fresh.withColumn("held", F.lit(0).cast("long")).unionByName(open_.withColumn("held", F.col("n")))
-        else:
-            fresh = fresh.withColumn("held", F.lit(0).cast("long"))
-        over = F.col("since") + shards - 1 <= scan
-        summed = fresh.groupBy("lang", "size", "phrase", "since").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+            fresh = fresh.unionByName(open_.withColumn("held", F.col("n")))
+        # a task's rows are sums already, so they go to their phrase's partition at once
+        summed = fresh.repartition("lang", "phrase").groupBy("lang", "phrase").agg(
+            F.first("size").alias("size"), F.first("since").alias("since"), F.sum("n").alias("n"), F.sum("held").alias("held")
+        )
         counted = store.put(summed, "counted")
-        held.destroy()
         if open_ is not None:
             store.drop(open_)
         if scan == shards - 1:
@@ -225,17 +229,20 @@ def count_phrases(
             active[size - 1][first] = scan + 1
             if first.any():
                 last = max(last, scan + shards)
-        finished.append(store.put(counted.where(over & (F.col("n") >= threshold)).select("lang", "size", "phrase", "n"), "finished"))
+        over = F.col("since") + shards - 1 <= scan
+        finished.append(store.put(counted.where(over & (F.col("n") >= threshold)).select("lang", "phrase", "n"), "finished"))
         open_ = counted.where(~over).drop("held")
         open_.stored_at = counted.stored_at
         scan += 1
+        if scan >= NEVER:
+            raise ValueError("too many scans for the slot tables")
     store.drop(open_)
-    if len(finished) > NEVER:
-        raise ValueError("too many scans for the slot tables")
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
-    return out, words
+    summed = out.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
+    sized = summed.select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "n")
+    return store.put(sized, "phrases"), words
 
 
 def mine_phrases(

@@ -1,66 +1,93 @@
 """Line patterns on comment-free source.
 
-A file is first admitted per rule: the rule must cover its language and one of the rule's hint substrings must
-occur in the text. Only files admitted by some rule are scrubbed and cut into lines, and only the admitting
-rules look at the lines, so most files cost a few substring searches.
+All rules share one dictionary of literals: each rule names some of which every line it hits holds one (its hints, or what its
+pattern requires). A text is searched once for any of them; only then it is scrubbed and cut into lines, each line is searched once
+for the literals in it, and a rule looks only at the lines with one of its own. So the cost of a text grows with its size
+and its candidates, not with the number of rules.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from ..catalog.rules import Rule
+from ..functions.literals import any_literal, first_characters, required_literals
 from ..functions.scrub import strip_comments_sql
-from ..functions.sqltext import any_of, contains_any, in_list, quote, regex
+from ..functions.sqltext import any_of, in_list, quote, regex
 from ..functions.text import code_point_column_sql, java_regex, skipping_column_sql, split_lines_sql, strip_sql
 from .finding import NO_FINDINGS, concat_sql, finding_sql, keep_hits_sql
 
+Enabled = Callable[[Rule], str]
+
 
 def regex_rules(rules: Sequence[Rule]) -> list[Rule]:
     return [r for r in rules if r.detector == "regex" and r.pattern]
 
 
-def _admits(rule: Rule) -> str:
-    covered = in_list("language", rule.languages) if rule.languages else "language IS NOT NULL"
-    if not rule.hints:
-        return covered
-    if not rule.ignore_case:
-        return f"{covered} AND {contains_any('_text', rule.hints)}"
-    # Beyond ASCII, letters fold in ways a search in the lower-cased text does not see.
-    return f"{covered} AND (NOT _ascii OR {contains_any('_lower', rule.hints)})"
+def literals_of(rule: Rule) -> tuple[str, ...]:
+    """Lower-cased ASCII literals of which every line the rule hits holds one; none if the rule has to see every line."""
+    if not rule.ignore_case and re.compile(rule.pattern).flags & re.IGNORECASE:
+        return ()  # folds letters beyond ASCII too, which the catalogue doesn't know of
+    words = tuple(h.lower() for h in rule.hints) or required_literals(rule.pattern)
+    return words if all(w and w.isascii() for w in words) else ()
+
+
+def _covers(rule: Rule) -> str:
+    return in_list("language", rule.languages) if rule.languages else "language IS NOT NULL"
+
+
+def _words_sql(words: Sequence[str]) -> str:
+    return f"array({', '.join(map(quote, words))})"
 
 
-def _line_hits(rule: Rule) -> str:
+def _rule_hits(rule: Rule, dictionary: Sequence[str], enabled: Enabled | None) -> str:
+    """The rule's findings in ``_hot``. Beyond ASCII, letters fold in ways a search in the lower-cased text does not see, so
+    there a rule that ignores case sees all lines."""
     pattern = rule.linear or rule.pattern
-    hit = regex("line", java_regex(pattern, rule.ignore_case))
+    hit = regex("h.line", java_regex(pattern, rule.ignore_case))
     column = skipping_column_sql if rule.linear else code_point_column_sql
-    if rule.hints:
-        # Most lines of an admitted file lack the hint too, and a substring search is cheaper than the pattern.
-        hinted = contains_any("lower(line)" if rule.ignore_case else "line", rule.hints)
-        hit = f"(NOT _ascii OR {hinted}) AND {hit}" if rule.ignore_case else f"{hinted} AND {hit}"
+    admitted = _covers(rule) if enabled is None else f"{_covers(rule)} AND {enabled(rule)}"
+    words = literals_of(rule)
+    if words:
+        # a line tells the longest literal at each place, which stands for those it begins with
+        own = _words_sql([w for w in dictionary if w.startswith(words)])
+        known = "" if not rule.ignore_case else "NOT _ascii OR "
+        admitted += f" AND ({known}arrays_overlap(_literals, {own}))"
+        hit = f"({known}arrays_overlap(h.found, {own})) AND {hit}"
     if rule.require_absent:
-        hit += f" AND NOT {regex('line', java_regex(rule.require_absent, rule.ignore_case))}"
+        hit += f" AND NOT {regex('h.line', java_regex(rule.require_absent, rule.ignore_case))}"
     found = finding_sql(
-        quote(rule.id), "i + 1", column("line", pattern, rule.ignore_case),
-        strip_sql("coalesce(get(_lines, i), line)"), quote(rule.name),
+        quote(rule.id), "h.i + 1", column("h.line", pattern, rule.ignore_case),
+        strip_sql("coalesce(get(_lines, h.i), h.line)"), quote(rule.name),
     )
-    return keep_hits_sql(f"transform(_scrubbed, (line, i) -> IF({hit}, {found}, NULL))")
+    return f"IF({admitted}, {keep_hits_sql(f'transform(_hot, h -> IF({hit}, {found}, NULL))')}, {NO_FINDINGS})"
 
 
-def regex_columns(rules: Sequence[Rule]) -> dict[str, str]:
-    """``_regex`` and what it needs, from ``language``, ``_text``, ``_plain`` and ``_lines``."""
+def regex_columns(rules: Sequence[Rule], enabled: Enabled | None = None) -> dict[str, str]:
+    """``_regex`` and what it needs, from ``language``, ``_text``, ``_plain`` and ``_lines``. ``enabled`` gives the condition under
+    which a rule holds for a row, true for all where there is none."""
     active = regex_rules(rules)
     if not active:
         return {"_regex": NO_FINDINGS}
-    flags = [f"r{i}" for i in range(len(active))]
-    fields = ", ".join(f"'{flag}', coalesce({_admits(rule)}, false)" for flag, rule in zip(flags, active))
-    some = any_of(f"_admit.{flag}" for flag in flags)
-    hits = [f"IF(_admit.{flag}, {_line_hits(rule)}, {NO_FINDINGS})" for flag, rule in zip(flags, active)]
+    words = [literals_of(rule) for rule in active]
+    dictionary = sorted({w for own in words for w in own})
+    covered = any_of(sorted({_covers(rule) for rule in active}))
+    folding = any(rule.ignore_case for rule in active)
+    worth, found = "true", "CAST(array() AS ARRAY<STRING>)"
+    if dictionary:
+        found = f"array_distinct(regexp_extract_all(lower(line), {quote(f'(?={first_characters(dictionary)})(?=({any_literal(dictionary)}))')}, 1))"
+    if all(words):
+        worth = f"({'NOT _ascii OR ' if folding else ''}{regex('_lower', any_literal(dictionary))})"
+    kept = "true" if not all(words) else f"{'NOT _ascii OR ' if folding else ''}size(h.found) > 0"
+    lines = f"transform(_scrubbed, (line, i) -> named_struct('i', i, 'line', line, 'found', {found}))"
     return {
         "_lower": "IF(language IS NOT NULL, lower(_text), NULL)",
         "_ascii": "octet_length(_text) = char_length(_text)",
-        "_admit": f"named_struct({fields})",
-        "_clean": f"IF({some}, {strip_comments_sql('_text', 'language')}, NULL)",
-        "_scrubbed": f"IF({some}, {split_lines_sql('_clean', '_plain')}, NULL)",
-        "_regex": f"IF({some}, {concat_sql(hits)}, {NO_FINDINGS})",
+        "_worth": f"coalesce({covered} AND {worth}, false)",
+        "_clean": f"IF(_worth, {strip_comments_sql('_text', 'language')}, NULL)",
+        "_scrubbed": f"IF(_worth, {split_lines_sql('_clean', '_plain')}, NULL)",
+        "_hot": f"IF(_worth, filter({lines}, h -> {kept}), NULL)",
+        "_literals": "IF(_worth, array_distinct(flatten(transform(_hot, h -> h.found))), NULL)",
+        "_regex": f"IF(size(_hot) > 0, {concat_sql([_rule_hits(r, dictionary, enabled) for r in active])}, {NO_FINDINGS})",
     }

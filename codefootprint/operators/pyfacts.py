@@ -14,6 +14,7 @@ import ast
 import gc
 import sys
 import warnings
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -43,14 +44,15 @@ _FIELDS = (
     ("arg0_kind", "string", pa.string()),
     ("in_literal_seq", "boolean", pa.bool_()),
     ("decorators", "array<string>", pa.list_(pa.string())),
-    ("calls_enclosing", "array<int>", pa.list_(pa.int32())),
+    ("sleeps_below", "int", pa.int32()),
+    ("self_calls", "int", pa.int32()),
 )
-NODE = "struct<" + ",".join(f"{name}:{sql}" for name, sql, _ in _FIELDS) + ">"
-FACTS = f"struct<nodes:array<{NODE}>,error:string>"
+FIELDS = tuple(name for name, _, _ in _FIELDS)
 
 _LOOPS = {ast.For, ast.AsyncFor, ast.While}
 _FUNCTIONS = {ast.FunctionDef, ast.AsyncFunctionDef}
 _REPORTED = _LOOPS | _FUNCTIONS | {ast.Call, ast.Compare, ast.AugAssign}
+KINDS = tuple(sorted(kind.__name__ for kind in _REPORTED))
 # Nodes with nothing to report below them, and fields that hold no nodes worth entering.
 _LEAVES = {
     ast.Name, ast.Constant, ast.alias, ast.Import, ast.ImportFrom, ast.Global, ast.Nonlocal, ast.Pass, ast.Break,
@@ -79,17 +81,15 @@ def _is_text(node):
     return False
 
 
-def _describe(node, functions):
-    """The facts of one node that depend on the node itself and on the functions around it."""
+def _describe(node):
+    """The facts of one node that depend on the node alone."""
     if isinstance(node, ast.Call):
         callee = node.func
-        plain = isinstance(callee, ast.Name)
         return {
             "call_root": _last_name(callee.value) if isinstance(callee, ast.Attribute) else "",
             "call_attr": _last_name(callee),
-            "func_is_name": plain,
+            "func_is_name": isinstance(callee, ast.Name),
             "arg0_kind": type(node.args[0]).__name__ if node.args else None,
-            "calls_enclosing": [pre for name, pre in functions if plain and name == callee.id] or None,
         }
     if type(node) in _FUNCTIONS:
         names = [_last_name(d.func if isinstance(d, ast.Call) else d) for d in node.decorator_list]
@@ -106,15 +106,22 @@ def _describe(node, functions):
     return {}
 
 
-def node_rows(source: str) -> list[dict]:
-    """Facts of all reported nodes in tree order; raises what the parser raises."""
-    rows, number = [], 0
+def node_rows(source: str, kinds=frozenset(KINDS)) -> list[dict]:
+    """Facts of the nodes of some kinds in tree order; raises what the parser raises.
+
+    What lies below a node is counted on the way: a loop knows how many attribute calls of ``sleep`` came before it and how
+    many until its subtree is done, and a call of a plain name adds to the functions of that name around it. So no node
+    is ever compared with all others, however many a file has.
+    """
+    rows, number, sleeps = [], 0, 0
     # Entries: a node to enter with its surroundings, or a row whose subtree is done.
     todo = [(ast.parse(source), None, None, 0, None, ())]
     while todo:
         item = todo.pop()
         if type(item) is dict:
             item["post"] = number
+            if "sleeps_below" in item:
+                item["sleeps_below"] += sleeps
             continue
         node, field, parent, depth, in_async, functions = item
         kind = type(node)
@@ -123,16 +130,27 @@ def node_rows(source: str) -> list[dict]:
             row = {
                 "pre": number, "parent_pre": parent, "kind": kind.__name__, "field": field,
                 "line": node.lineno, "col": node.col_offset, "loop_depth": depth, "async_scope": in_async,
-                **_describe(node, functions),
             }
-            rows.append(row)
+            if row["kind"] in kinds:
+                row.update(_describe(node))
+                rows.append(row)
             todo.append(row)
             parent = number
             if kind in _LOOPS:
                 depth += 1
+                row["sleeps_below"] = -sleeps
             elif kind in _FUNCTIONS:
                 in_async = kind is ast.AsyncFunctionDef
-                functions = (*functions, (node.name, number))
+                row["self_calls"] = 0
+                functions = (*functions, (node.name, row))
+            elif kind is ast.Call:
+                callee = node.func
+                if type(callee) is ast.Name:
+                    for name, around in functions:
+                        if name == callee.id:
+                            around["self_calls"] += 1
+                elif type(callee) is ast.Attribute and callee.attr == "sleep":
+                    sleeps += 1
         below = []
         for name in node._fields:
             if name in _PLAIN_FIELDS:
@@ -146,7 +164,7 @@ def node_rows(source: str) -> list[dict]:
     return rows
 
 
-def parse_batch(texts: pa.Array) -> pa.Array:
+def parse_batch(texts: pa.Array, kinds=frozenset(KINDS), fields=FIELDS) -> pa.Array:
     offsets, rows, errors = [0], [], []
     # Trees hold no reference cycles; without the collector's scans a batch takes a third less time.
     gc.disable()
@@ -157,7 +175,7 @@ def parse_batch(texts: pa.Array) -> pa.Array:
                 error = None
                 if text is not None:
                     try:
-                        rows += node_rows(text)
+                        rows += node_rows(text, kinds)
                     except SyntaxError as exc:
                         error = exc.msg
                     except (ValueError, RecursionError, MemoryError) as exc:
@@ -166,16 +184,29 @@ def parse_batch(texts: pa.Array) -> pa.Array:
                 errors.append(error)
     finally:
         gc.enable()
-    columns = [pa.array([row.get(name) for row in rows], kind) for name, _, kind in _FIELDS]
-    nodes = pa.StructArray.from_arrays(columns, [name for name, _, _ in _FIELDS])
+    columns = [pa.array([row.get(name) for row in rows], kind) for name, _, kind in _FIELDS if name in fields]
+    nodes = pa.StructArray.from_arrays(columns, [name for name in FIELDS if name in fields])
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
     return pa.StructArray.from_arrays([lists, pa.array(errors, pa.string())], ["nodes", "error"])
 
 
-def syntax_facts() -> Column:
-    """The facts of a row's ``_text``; only Python texts cross to the parser.
+def facts_type(fields: Iterable[str] = FIELDS) -> str:
+    node = ",".join(f"{name}:{sql}" for name, sql, _ in _FIELDS if name in fields)
+    return f"struct<nodes:array<struct<{node}>>,error:string>"
+
+
+def syntax_facts(kinds: Iterable[str] = KINDS, fields: Iterable[str] = FIELDS) -> Column:
+    """The facts of a row's ``_text``; only Python texts cross to the parser, and only nodes of the kinds asked for, with the
+    fields asked for, come back.
 
     Declared nondeterministic so that the optimizer neither repeats the parse nor moves a filter onto it.
     """
-    parse = F.arrow_udf(parse_batch, FACTS).asNondeterministic()
-    return parse(F.expr("IF(language = 'python', _text, NULL)"))
+    kinds, fields = frozenset(kinds), tuple(fields)
+    if unknown := (kinds - set(KINDS)) | (set(fields) - set(FIELDS)):
+        raise ValueError(f"no such node kinds or fields: {sorted(unknown)}")
+
+    def parse(texts: pa.Array) -> pa.Array:
+        return parse_batch(texts, kinds, fields)
+
+    udf = F.arrow_udf(parse, facts_type(fields)).asNondeterministic()
+    return udf(F.expr("IF(language = 'python', _text, NULL)"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 
@@ -40,17 +41,16 @@ _QUERY = (
 _CACHED = f"arrays_overlap(n.decorators, array({', '.join(map(quote, CACHE_DECORATORS))}))"
 _CALL = ("Call",)
 
-# Rule id -> node kinds it looks at and its condition on a node ``n``. ``_sleeps`` and ``_self_calls`` hold node
-# numbers of the same file: attribute calls of sleep, and functions named by calls inside them.
+# Rule id -> node kinds it looks at and its condition on a node ``n``.
 CONDITIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "GC001": (LOOP_KINDS, _IN_LOOP),
     "GC002": (("AugAssign",), f"{_IN_LOOP} AND n.is_add AND n.string_like"),
-    "GC003": (("While",), "n.const_true AND exists(_sleeps, at -> at > n.pre AND at <= n.post)"),
+    "GC003": (("While",), "n.const_true AND n.sleeps_below > 0"),
     "GC004": (_CALL, f"{_IN_LOOP} AND n.call_root = 're' AND {in_list('n.call_attr', RE_METHODS)}"),
     "GC005": (_CALL, "n.call_root = 'time' AND n.call_attr = 'sleep' AND n.async_scope"),
     "GC007": (_CALL, f"{_IN_LOOP} AND ((n.func_is_name AND n.call_attr = 'sorted') OR n.call_attr = 'sort')"),
     "GC008": (("Compare",), f"{_IN_LOOP} AND n.in_literal_seq"),
-    "GC009": (FUNCTION_KINDS, f"NOT {_CACHED} AND size(filter(_self_calls, at -> at = n.pre)) >= 2"),
+    "GC009": (FUNCTION_KINDS, f"NOT {_CACHED} AND n.self_calls >= 2"),
     "GC011": (_CALL, "n.func_is_name AND n.call_attr = 'open' AND n.field <> 'context_expr'"),
     "GC012": (_CALL, "n.arg0_kind = 'ListComp' AND ((n.func_is_name AND "
                      f"{in_list('n.call_attr', REDUCERS)}) OR n.call_attr = 'join')"),
@@ -75,24 +75,39 @@ def _fired_sql(enabled: set[str]) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def _report_sql(names: dict[str, str]) -> str:
-    subject = (
-        "CASE WHEN n.kind = 'Call' THEN concat(': ', IF(n.call_root <> '', concat(n.call_root, '.'), ''), n.call_attr) "
-        "WHEN n.name IS NOT NULL THEN concat(': ', n.name) ELSE '' END"
-    )
+def _needed(enabled: Iterable[str]) -> tuple[set[str], set[str]]:
+    """Node kinds and fields that the conditions and the report of some rules read."""
+    conditions = [CONDITIONS[rule_id] for rule_id in enabled]
+    kinds = {kind for own, _ in conditions for kind in own}
+    fields = {"kind", "line", "col"}.union(*(re.findall(r"\bn\.(\w+)", text) for _, text in conditions))
+    if "Call" in kinds:
+        fields |= {"call_root", "call_attr"}
+    if kinds & set(FUNCTION_KINDS):
+        fields.add("name")
+    return kinds, fields
+
+
+def _report_sql(names: dict[str, str], fields: set[str]) -> str:
+    subject = "''"
+    if "name" in fields:
+        subject = "IF(n.name IS NOT NULL, concat(': ', n.name), '')"
+    if "call_root" in fields:
+        subject = (
+            "IF(n.kind = 'Call', concat(': ', IF(n.call_root <> '', concat(n.call_root, '.'), ''), n.call_attr), "
+            f"{subject})"
+        )
     message = f"concat(element_at({map_of(names.items())}, rule_id), {subject})"
     found = finding_sql("rule_id", "n.line", "n.col", strip_sql("coalesce(get(_lines, n.line - 1), '')"), message)
     return f"flatten(transform(_facts.nodes, n -> transform({_fired_sql(set(names))}, rule_id -> {found})))"
 
 
 def python_columns(rules: Sequence[Rule]) -> dict[str, str | Column]:
-    """``_python``, ``_error`` and what they need, from ``language``, ``_text`` and ``_lines``."""
+    """``_python``, ``_error`` and what they need, from ``language``, ``_text`` and ``_lines``. Without a rule the texts
+    are still parsed for their errors, but no node comes back."""
     names = {r.id: r.name for r in rules if r.id in CONDITIONS}
+    kinds, fields = _needed(names)
     return {
-        "_facts": syntax_facts(),
-        "_sleeps": "transform(filter(_facts.nodes, n -> n.call_attr = 'sleep' AND NOT n.func_is_name), n -> n.pre)",
-        "_self_calls": "flatten(transform("
-                       "filter(_facts.nodes, n -> n.calls_enclosing IS NOT NULL), n -> n.calls_enclosing))",
-        "_python": f"IF(size(_facts.nodes) > 0, {_report_sql(names)}, {NO_FINDINGS})" if names else NO_FINDINGS,
+        "_facts": syntax_facts(kinds, fields),
+        "_python": f"IF(size(_facts.nodes) > 0, {_report_sql(names, fields)}, {NO_FINDINGS})" if names else NO_FINDINGS,
         "_error": "concat('Python syntax error (', _facts.error, ')')",
     }

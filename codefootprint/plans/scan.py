@@ -22,7 +22,7 @@ from ..operators.docker_rules import docker_columns
 from ..operators.finding import NO_FINDINGS
 from ..operators.loops import loop_columns
 from ..operators.manifest_rules import manifest_columns
-from ..operators.pyfacts import syntax_facts
+from ..operators.pyfacts import FIELDS, KINDS, syntax_facts
 from ..operators.python_rules import python_columns
 from ..operators.regex_rules import regex_columns
 from ..sources.commits import Commits
@@ -134,10 +134,12 @@ def errors(scanned: DataFrame) -> DataFrame:
     return scanned.filter(F.col("error").isNotNull()).select("repo_id", "path", F.col("error").alias("message"))
 
 
-def python_nodes(files: DataFrame, ignored_dirs: Iterable[str] | None = None) -> DataFrame:
-    """The syntax facts as a table, one row per node."""
+def python_nodes(
+    files: DataFrame, ignored_dirs: Iterable[str] | None = None, kinds: Iterable[str] = KINDS, fields: Iterable[str] = FIELDS
+) -> DataFrame:
+    """The syntax facts as a table, one row per node; only the kinds and fields asked for leave the parser."""
     df = with_text(prune_ignored_dirs(files, ignored_dirs)).filter("language = 'python'")
-    rows = df.select("repo_id", "path", syntax_facts().alias("_facts"))
+    rows = df.select("repo_id", "path", syntax_facts(kinds, fields).alias("_facts"))
     return rows.select("repo_id", "path", F.explode_outer("_facts.nodes").alias("n")).filter("n IS NOT NULL").select(
         "repo_id", "path", "n.*"
     )

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ from codefootprint.llm.words import Rolling, mixed
 #: Shards of the corpus; slots of each length's table of active phrases; bytes of text that a task counts at a time.
 SHARDS = 2
 SLOT_BITS = 23
-CHUNK = 1 << 23
+CHUNK = 5 << 20
 NEVER = 255
 #: A byte that no UTF-8 text has: the border of pieces.
 BORDER = 0xFF
@@ -58,7 +58,7 @@ class Pieces:
         words = pa.Array.from_buffers(
             pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
         ).dictionary_encode()
-        self.ids = words.indices.to_numpy().astype(np.int64)
+        self.ids = words.indices.to_numpy()
         self.words = words.dictionary
         _, bounds, raw = self.words.buffers()
         bounds = np.frombuffer(bounds, dtype=np.int64, count=len(self.words) + 1) if len(self.words) else np.zeros(1, np.int64)
@@ -81,11 +81,11 @@ class Pieces:
             h = self.hashes[self.ids[at]]
             for k in range(1, size):
                 h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + self.hashes[self.ids[at + k]])
-        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
 
     def counted(self, at: np.ndarray, size: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Different phrases among the runs at these places, how often each stands there, and one place of each."""
-        key = self.ids[at]
+        key = self.ids[at].astype(np.int64)
         for k in range(1, size):
             if k > 1:  # so that keys stay small
                 key = np.unique(key, return_inverse=True)[1]
@@ -157,11 +157,11 @@ def _scan(texts: DataFrame, scan: int, shards: int, held: Broadcast, longest: in
             for size in range(1, longest + 1):
                 at = pieces.starts(size)
                 if size == 1:
-                    since = np.zeros(len(at), dtype=np.int64)
+                    since = np.zeros(len(at), dtype=np.uint8)
                 else:
                     began = active[size - 2]
-                    since = np.maximum(began[pieces.slots(at, size - 1)], began[pieces.slots(at + 1, size - 1)]).astype(np.int64)
-                now = (since <= scan) & (scan < since + shards) & (since != NEVER)
+                    since = np.maximum(began[pieces.slots(at, size - 1)], began[pieces.slots(at + 1, size - 1)])
+                now = (since <= scan) & (since > scan - shards)
                 if now.any():
                     phrases, n, one = pieces.counted(at[now], size)
                     yield rows(lang, size, phrases, since[np.searchsorted(at, one)], n)
@@ -170,6 +170,11 @@ def _scan(texts: DataFrame, scan: int, shards: int, held: Broadcast, longest: in
     return part.mapInArrow(count, _COUNTS)
 
 
+def of_size(size: int) -> Column:
+    """Whether a phrase has so many words."""
+    return F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) == size - 1
+
+
 def _reached(counted: DataFrame, size: int) -> np.ndarray:
     """Slots of the phrases of one length in counted, as bits; the driver gets bitmaps of all slots at most."""
 
@@ -178,10 +183,10 @@ def _reached(counted: DataFrame, size: int) -> np.ndarray:
             for lang in pc.unique(batch.column(0)).to_pylist():
                 own = batch.filter(pc.equal(batch.column(0), lang)).column(1).cast(pa.binary()).to_pylist()
                 pieces = Pieces(lang, np.frombuffer(bytes([BORDER]).join(own), dtype=np.uint8))
-                found = np.unique(pieces.slots(pieces.starts(size), size))
+                found = np.unique(pieces.slots(pieces.starts(size), size)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found)], names=["slot"])
 
-    found = counted.where(F.col("size") == size).select("lang", "phrase").mapInArrow(slots, "slot long")
+    found = counted.where(of_size(size)).select("lang", "phrase").mapInArrow(slots, "slot long")
     maps = found.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )
@@ -211,18 +216,18 @@ def count_phrases(
         scanned = store.put(_scan(texts, scan, shards, held, longest), "scanned")
         held.destroy()
         finished.append(scanned.where(F.col("size") == longest).select("lang", "phrase", "n"))
-        fresh = scanned.where(F.col("size") < longest).select("lang", "phrase", "size", "since", "n", nothing_held)
+        fresh = scanned.where(F.col("size") < longest).select("lang", "phrase", "since", "n", nothing_held)
         if open_ is not None:
             fresh = fresh.unionByName(open_.withColumn("held", F.col("n")))
         # a task's rows are sums already, so they go to their phrase's partition at once
         summed = fresh.repartition("lang", "phrase").groupBy("lang", "phrase").agg(
-            F.first("size").alias("size"), F.first("since").alias("since"), F.sum("n").alias("n"), F.sum("held").alias("held")
+            F.first("since").alias("since"), F.sum("n").alias("n"), F.sum("held").alias("held")
         )
         counted = store.put(summed, "counted")
         if open_ is not None:
             store.drop(open_)
         if scan == shards - 1:
-            words = store.put(counted.where("size = 1").groupBy("lang").agg(F.sum("n").alias("words")), "words")
+            words = store.put(counted.where(of_size(1)).groupBy("lang").agg(F.sum("n").alias("words")), "words")
         for size in range(1, longest):
             new = counted.where((F.col("n") >= threshold) & (F.col("held") < threshold))
             first = _reached(new, size) & (active[size - 1] == NEVER)

@@ -41,9 +41,10 @@ def loop_columns(enabled: bool = True) -> dict[str, str]:
         return {"_loops": NO_FINDINGS}
     worth = f"{in_list('language', C_LIKE)} AND {regex('_text', _TWO_LOOPS)}"
     found = finding_sql(
-        "'GC001'", "at", "0", strip_sql("coalesce(get(_lines, at - 1), '')"), "'Nested loops'"
+        "'GC001'", "at", "0", strip_sql("coalesce(get(lines, at - 1), '')"), "'Nested loops'"
     )
     return {
         "_nested": f"IF({worth}, {nested_loop_lines_sql(mask_code_sql('_text', 'language'))}, NULL)",
-        "_loops": f"coalesce(transform(_nested, at -> {found}), {NO_FINDINGS})",
+        # the outer transform keeps the lines from being cut anew for every finding
+        "_loops": f"coalesce(transform(array(_lines), lines -> transform(_nested, at -> {found}))[0], {NO_FINDINGS})",
     }

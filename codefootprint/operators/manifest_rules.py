@@ -25,7 +25,7 @@ VERSION_MARK = r"==|~=|>=|<=|>|<"
 OPEN_VERSIONS = ("*", "x", "latest")
 
 _MANIFEST = "array<struct<" + ",".join(f"{name}:map<string,string>" for name in SECTIONS) + ">>"
-_ENTRY = "STRUCT<section: STRING, key: STRING, name: STRING, version: STRING, line: INT>"
+_ENTRY = "STRUCT<section: STRING, key: STRING, name: STRING, version: STRING>"
 
 
 def is_requirements_sql(path: str) -> str:
@@ -56,31 +56,71 @@ def _requirements_sql(lines: str) -> str:
 
 
 def _last_of_each_sql(entries: str) -> str:
-    """Entries of a section, the last one of a repeated key, as JSON readers keep it."""
-    keys = f"transform({entries}, e -> e.key)"
-    later = f"array_position(slice({keys}, i + 2, size({entries})), e.key)"
-    return (
-        f"IF(size(array_distinct({keys})) = size({entries}), {entries}, filter({entries}, (e, i) -> {later} = 0))"
-    )
+    """Entries of a section, the last one of a repeated key, as JSON readers keep it, in their order.
+
+    Sorted by key, an entry is the last one where the next has another key. Without a repeated key nothing is sorted.
+    """
+    placed = f"array_sort(transform({entries}, (e, i) -> named_struct('key', e.key, 'at', i, 'value', e.value)))"
+    last = f"transform(array({placed}), a -> filter(a, (e, i) -> NOT (get(a, i + 1).key <=> e.key)))[0]"
+    in_order = f"array_sort(transform({last}, e -> named_struct('at', e.at, 'key', e.key, 'value', e.value)))"
+    kept = f"transform({in_order}, e -> named_struct('key', e.key, 'value', e.value))"
+    return f"IF(size(array_distinct(transform({entries}, e -> e.key))) = size({entries}), {entries}, {kept})"
 
 
 def _section_sql(section: str) -> str:
-    """Entries of one section. ``line`` is the first line that starts with the quoted key and a colon, anywhere in
-    the file, else 0. Keys with a quote inside cannot be told from the line alone, so they are compared in full."""
-    quoted = "concat('\"', e.key, '\"')"
-    in_full = (
-        f"array_position(transform(_stripped, s -> startswith(s, {quoted}) AND "
-        f"{regex(f'substring(s, length({quoted}) + 1)', r'(?U)^[\s\x1f]*:')}), true)"
-    )
-    line = f"IF(contains(e.key, '\"'), {in_full}, array_position(_line_keys, e.key))"
+    """Entries of one section, the last one of each key, without their lines."""
     entry = (
         f"named_struct('section', {quote(section)}, 'key', e.key, 'name', lower(e.key), "
-        f"'version', lower({strip_sql("coalesce(e.value, 'none')")}), 'line', CAST({line} AS INT))"
+        f"'version', lower({strip_sql("coalesce(e.value, 'none')")}))"
     )
     entries = _last_of_each_sql(f"map_entries(_parsed.{section})")
     return f"coalesce(transform({entries}, e -> {entry}), CAST(array() AS ARRAY<{_ENTRY}>))"
 
 
+def _line_keys_sql() -> str:
+    """The keys that lines begin with, each with its first line (from 1): a quoted text and a colon.
+
+    A line has one such text without a quote inside. Only where a dependency's name holds a quote, the longer ones of
+    each line count as well.
+    """
+    colon = r"(?U)^[\s\x1f]*:"
+    short = (
+        f"array(IF({regex('s', r'(?U)^"[^"]*"[\s\x1f]*:')}, regexp_extract(s, {quote(r'^"([^"]*)"')}, 1), NULL))"
+    )
+    # cut at quotes, the text up to a cut is a key if a colon follows there
+    every = (
+        "IF(startswith(s, '\"'), transform(array(split(s, '\"')), cut -> transform(filter(sequence(3, greatest(size(cut), 3)), "
+        f"at -> coalesce({regex('get(cut, at - 1)', colon)}, false)), at -> array_join(slice(cut, 2, at - 2), '\"')))[0], "
+        "CAST(array() AS ARRAY<STRING>))"
+    )
+    quoted = "exists(_entries, e -> contains(e.key, '\"'))"
+    listed, simple = (
+        f"transform(_stripped, (s, i) -> transform({keys}, k -> named_struct('key', k, 'line', i + 1)))" for keys in (every, short)
+    )
+    placed = f"array_sort(filter(flatten(IF({quoted}, {listed}, {simple})), x -> x.key IS NOT NULL))"
+    return f"transform(array({placed}), a -> filter(a, (x, i) -> i = 0 OR a[greatest(i - 1, 0)].key <> x.key))[0]"
+
+
+def _entry_lines_sql() -> str:
+    """The line of each of ``_entries``, 0 where no line begins with its key, by one sorted merge of both lists.
+
+    A key has at most one line and one entry a section, so its line stands at most that many places before its entries.
+    """
+    merged = (
+        "array_sort(concat(transform(_line_keys, x -> named_struct('key', x.key, 'entry', -1, 'line', x.line)), "
+        "transform(_entries, (e, i) -> named_struct('key', e.key, 'entry', i, 'line', 0))))"
+    )
+    before = ", ".join(
+        f"IF(get(a, i - {k}).key = x.key AND get(a, i - {k}).entry = -1, get(a, i - {k}).line, NULL)"
+        for k in range(1, len(SECTIONS) + 1)
+    )
+    found = (
+        f"transform(array({merged}), a -> filter(transform(a, (x, i) -> named_struct('entry', x.entry, 'line', "
+        f"coalesce({before}, 0))), x -> x.entry >= 0))[0]"
+    )
+    return f"transform(array_sort({found}), x -> x.line)"
+
+
 def entry_columns() -> dict[str, str]:
     """``_requirements`` and ``_packages`` and what they need, from ``path`` and ``content`` (null for other files).
 
@@ -92,14 +132,10 @@ def entry_columns() -> dict[str, str]:
         f"from_json(concat('[', _manifest_text, ']'), '{_MANIFEST}', "
         "map('allowSingleQuotes', 'false', 'mode', 'PERMISSIVE'))"
     )
-    key = (
-        f"IF({regex('s', r'(?U)^"[^"]*"[\s\x1f]*:')}, regexp_extract(s, {quote(r'^"([^"]*)"')}, 1), NULL)"
-    )
-    text = "IF(e.line > 0, get(_stripped, e.line - 1), e.key)"
-    entries = f"concat({', '.join(map(_section_sql, SECTIONS))})"
+    line = "get(_entry_lines, i)"
     with_line = (
-        f"transform({entries}, e -> named_struct('section', e.section, 'key', e.key, 'name', e.name, "
-        f"'version', e.version, 'line', e.line, 'text', {text}))"
+        "transform(_entries, (e, i) -> named_struct('section', e.section, 'key', e.key, 'name', e.name, "
+        f"'version', e.version, 'line', CAST({line} AS INT), 'text', IF({line} > 0, get(_stripped, {line} - 1), e.key)))"
     )
     text_of_manifest = f"IF({requirements} OR {package}, {manifest_text_sql('content')}, NULL)"
     return {
@@ -108,8 +144,10 @@ def entry_columns() -> dict[str, str]:
         "_stripped": f"transform({split_lines_sql('_manifest_text')}, l -> {strip_sql('l')})",
         "_requirements": f"IF({requirements}, {_requirements_sql('_stripped')}, NULL)",
         "_sections": f"IF({package}, {parsed}, NULL)",
-        "_line_keys": f"IF({package}, transform(_stripped, s -> {key}), NULL)",
         "_parsed": "IF(size(_sections) = 1, _sections[0], NULL)",
+        "_entries": f"IF(_parsed IS NOT NULL, concat({', '.join(map(_section_sql, SECTIONS))}), NULL)",
+        "_line_keys": f"IF(size(_entries) > 0, {_line_keys_sql()}, NULL)",
+        "_entry_lines": f"IF(size(_entries) > 0, {_entry_lines_sql()}, NULL)",
         "_packages": f"IF(_parsed IS NOT NULL, {with_line}, NULL)",
     }
 

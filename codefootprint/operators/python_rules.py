@@ -97,8 +97,11 @@ def _report_sql(names: dict[str, str], fields: set[str]) -> str:
             f"{subject})"
         )
     message = f"concat(element_at({map_of(names.items())}, rule_id), {subject})"
-    found = finding_sql("rule_id", "n.line", "n.col", strip_sql("coalesce(get(_lines, n.line - 1), '')"), message)
-    return f"flatten(transform(_facts.nodes, n -> transform({_fired_sql(set(names))}, rule_id -> {found})))"
+    found = finding_sql("rule_id", "n.line", "n.col", strip_sql("coalesce(get(lines, n.line - 1), '')"), message)
+    hits = f"flatten(transform(_facts.nodes, n -> transform({_fired_sql(set(names))}, rule_id -> {found})))"
+    # The outer transform gives the lines a name: a column read once is replaced by its expression, which inside the inner one
+    # would cut the text anew for every node.
+    return f"transform(array(_lines), lines -> {hits})[0]"
 
 
 def python_columns(rules: Sequence[Rule]) -> dict[str, str | Column]:

@@ -59,7 +59,7 @@ def _rule_hits(rule: Rule, dictionary: Sequence[str], enabled: Enabled | None) -
         hit += f" AND NOT {regex('h.line', java_regex(rule.require_absent, rule.ignore_case))}"
     found = finding_sql(
         quote(rule.id), "h.i + 1", column("h.line", pattern, rule.ignore_case),
-        strip_sql("coalesce(get(_lines, h.i), h.line)"), quote(rule.name),
+        strip_sql("h.raw"), quote(rule.name),
     )
     return f"IF({admitted}, {keep_hits_sql(f'transform(_hot, h -> IF({hit}, {found}, NULL))')}, {NO_FINDINGS})"
 
@@ -79,15 +79,21 @@ def regex_columns(rules: Sequence[Rule], enabled: Enabled | None = None) -> dict
         found = f"array_distinct(regexp_extract_all(lower(line), {quote(f'(?={first_characters(dictionary)})(?=({any_literal(dictionary)}))')}, 1))"
     if all(words):
         worth = f"({'NOT _ascii OR ' if folding else ''}{regex('_lower', any_literal(dictionary))})"
-    kept = "true" if not all(words) else f"{'NOT _ascii OR ' if folding else ''}size(h.found) > 0"
-    lines = f"transform(_scrubbed, (line, i) -> named_struct('i', i, 'line', line, 'found', {found}))"
+    kept = "true" if not all(words) else f"{'NOT x.ascii OR ' if folding else ''}size(h.found) > 0"
+    # The outer transforms give columns a name: one that is read once is replaced by its expression, which in the inner
+    # one would run for every line.
+    cut = f"(line, i) -> named_struct('i', i, 'line', line, 'raw', coalesce(get(raw, i), line), 'found', {found})"
+    lines = (
+        f"transform(array(named_struct('raw', _lines, 'ascii', _ascii)), x -> filter(transform(array(x.raw), raw -> "
+        f"transform(_scrubbed, {cut}))[0], h -> {kept}))[0]"
+    )
     return {
         "_lower": "IF(language IS NOT NULL, lower(_text), NULL)",
         "_ascii": "octet_length(_text) = char_length(_text)",
         "_worth": f"coalesce({covered} AND {worth}, false)",
         "_clean": f"IF(_worth, {strip_comments_sql('_text', 'language')}, NULL)",
         "_scrubbed": f"IF(_worth, {split_lines_sql('_clean', '_plain')}, NULL)",
-        "_hot": f"IF(_worth, filter({lines}, h -> {kept}), NULL)",
+        "_hot": f"IF(_worth, {lines}, NULL)",
         "_literals": "IF(_worth, array_distinct(flatten(transform(_hot, h -> h.found))), NULL)",
         "_regex": f"IF(size(_hot) > 0, {concat_sql([_rule_hits(r, dictionary, enabled) for r in active])}, {NO_FINDINGS})",
     }

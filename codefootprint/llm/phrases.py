@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from codefootprint.llm.store import Store
 from codefootprint.llm.words import Rolling, mixed
 
-#: Shards of the corpus; slots of each length's table of active phrases; bytes of text that a task counts at a time.
+#: Shards of the corpus; slots of each length's table of active phrases; bytes of text that a task counts at a time, and rows
+#: it sends at a time.
 SHARDS = 2
 SLOT_BITS = 23
-CHUNK = 5 << 20
+CHUNK = 6 << 20
+ROWS = 1 << 16
 NEVER = 255
 #: A byte that no UTF-8 text has: the border of pieces.
 BORDER = 0xFF
@@ -40,7 +42,7 @@ _FOLD[list(b".,;:!?\n\x0b\x0c\r")] = BORDER
 _IS_GAP = np.zeros(256, dtype=bool)
 _IS_GAP[[ord(" "), ord("\t"), BORDER]] = True
 
-_COUNTS = "lang string, size int, phrase string, since int, n long"
+_COUNTS = "lang string, phrase string, since int, n long"
 
 
 class Pieces:
@@ -141,14 +143,16 @@ def _scan(texts: DataFrame, scan: int, shards: int, held: Broadcast, longest: in
     held: the slot tables of lengths 1 and up, compressed.
     """
 
-    def rows(lang: str, size: int, phrases: pa.Array, since: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int8)), pa.array([lang])).cast(pa.string()),
-                pa.array(np.full(len(n), size, np.int32)), phrases, pa.array(since.astype(np.int32)), pa.array(n.astype(np.int64)),
-            ],
-            names=["lang", "size", "phrase", "since", "n"],
-        )
+    def rows(lang: str, phrases: pa.Array, since: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(n), ROWS):  # the JVM holds a batch at a time
+            part = phrases.slice(k, ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.repeat(pa.scalar(lang), len(part)), part, pa.array(since[k : k + ROWS].astype(np.int32)),
+                    pa.array(n[k : k + ROWS].astype(np.int64)),
+                ],
+                names=["lang", "phrase", "since", "n"],
+            )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active = [np.frombuffer(zlib.decompress(table), dtype=np.uint8) for table in held.value]
@@ -164,7 +168,9 @@ def _scan(texts: DataFrame, scan: int, shards: int, held: Broadcast, longest: in
                 now = (since <= scan) & (since > scan - shards)
                 if now.any():
                     phrases, n, one = pieces.counted(at[now], size)
-                    yield rows(lang, size, phrases, since[np.searchsorted(at, one)], n)
+                    yield from rows(lang, phrases, since[np.searchsorted(at, one)], n)
+            pieces = at = since = now = None
+            pa.default_memory_pool().release_unused()
 
     part = texts.where(F.col("shard") == scan % shards).select("lang", "text")
     return part.mapInArrow(count, _COUNTS)
@@ -208,24 +214,18 @@ def count_phrases(
         "shard", F.pmod(F.xxhash64("text"), F.lit(shards))
     )
     active = [np.full(1 << SLOT_BITS, NEVER, dtype=np.uint8) for _ in range(longest - 1)]
-    finished, open_, words, scan, last = [], None, None, 0, shards - 1
-    nothing_held = F.lit(0).cast("long").alias("held")
+    parts, open_, words, scan, last = [], None, None, 0, shards - 1
+    whole = of_size(longest)
     while scan <= last:
         held = spark.sparkContext.broadcast([zlib.compress(table.tobytes(), 1) for table in active])
-        # phrases of the last length activate nothing, so their sums can wait for the end
-        scanned = store.put(_scan(texts, scan, shards, held, longest), "scanned")
-        held.destroy()
-        finished.append(scanned.where(F.col("size") == longest).select("lang", "phrase", "n"))
-        fresh = scanned.where(F.col("size") < longest).select("lang", "phrase", "since", "n", nothing_held)
+        fresh = _scan(texts, scan, shards, held, longest).withColumn("held", F.lit(0).cast("long"))
         if open_ is not None:
             fresh = fresh.unionByName(open_.withColumn("held", F.col("n")))
-        # a task's rows are sums already, so they go to their phrase's partition at once
-        summed = fresh.repartition("lang", "phrase").groupBy("lang", "phrase").agg(
+        summed = fresh.groupBy("lang", "phrase").agg(
             F.first("since").alias("since"), F.sum("n").alias("n"), F.sum("held").alias("held")
         )
         counted = store.put(summed, "counted")
-        if open_ is not None:
-            store.drop(open_)
+        held.destroy()
         if scan == shards - 1:
             words = store.put(counted.where(of_size(1)).groupBy("lang").agg(F.sum("n").alias("words")), "words")
         for size in range(1, longest):
@@ -235,17 +235,16 @@ def count_phrases(
             if first.any():
                 last = max(last, scan + shards)
         over = F.col("since") + shards - 1 <= scan
-        finished.append(store.put(counted.where(over & (F.col("n") >= threshold)).select("lang", "phrase", "n"), "finished"))
-        open_ = counted.where(~over).drop("held")
-        open_.stored_at = counted.stored_at
+        # phrases of the last length activate nothing, so their sums wait for the end instead of going round
+        parts.append(counted.where(whole | (over & (F.col("n") >= threshold))).select("lang", "phrase", "n"))
+        open_ = counted.where(~whole & ~over).drop("held")
         scan += 1
         if scan >= NEVER:
             raise ValueError("too many scans for the slot tables")
-    store.drop(open_)
-    out = finished[0]
-    for more in finished[1:]:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
-    summed = out.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
+    summed = out.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
     sized = summed.select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "n")
     return store.put(sized, "phrases"), words
 

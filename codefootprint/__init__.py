@@ -9,7 +9,7 @@ Typical use::
     scan_scores(spark.read.parquet("s3a://lake/scanned"))
 """
 
-from .catalog import DEFAULT_RULES, FIX_GUIDES, FixGuide, Rule, select_rules
+from .catalog import DEFAULT_RULES, FIX_GUIDES, FixGuide, Rule, rules_from_table, select_rules
 from .plans import *  # noqa: F403
 from .plans import __all__ as _plans
 from .sources import *  # noqa: F403
@@ -18,5 +18,5 @@ from .streaming import *  # noqa: F403
 from .streaming import __all__ as _streaming
 
 __all__ = [
-    "DEFAULT_RULES", "FIX_GUIDES", "FixGuide", "Rule", "select_rules", *_plans, *_sources, *_streaming,
+    "DEFAULT_RULES", "FIX_GUIDES", "FixGuide", "Rule", "rules_from_table", "select_rules", *_plans, *_sources, *_streaming,
 ]

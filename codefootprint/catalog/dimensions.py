@@ -57,13 +57,14 @@ HEAVY_DEPENDENCIES = (
 def rules_df(spark: SparkSession, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
     rows = [
         (r.id, r.name, r.category, r.severity, r.detector, list(r.languages), r.pattern, r.require_absent,
-         r.ignore_case, r.description, r.remediation)
+         r.ignore_case, r.linear, list(r.hints), r.description, r.remediation)
         for r in rules
     ]
     return spark.createDataFrame(
         rows,
         "rule_id string, name string, category string, severity int, detector string, languages array<string>, "
-        "pattern string, require_absent string, ignore_case boolean, description string, remediation string",
+        "pattern string, require_absent string, ignore_case boolean, linear string, hints array<string>, "
+        "description string, remediation string",
     )
 
 

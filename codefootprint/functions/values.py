@@ -49,8 +49,9 @@ def human_size(size: str) -> Column:
     return F.expr(human_size_sql(size))
 
 
-def clamp_score(density: Column, k: float = DEFAULT_K) -> Column:
-    return exact_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - F.lit(float(k)) * density)), 1)
+def clamp_score(density: Column, k: float | Column = DEFAULT_K) -> Column:
+    weight = k if isinstance(k, Column) else F.lit(float(k))
+    return exact_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - weight * density)), 1)
 
 
 def grade_columns(score: Column) -> dict[str, Column]:

@@ -1,5 +1,6 @@
 """Whole-corpus plans: scan, scores and reports."""
 
+from .profiles import profile_scores, scan_profiles
 from .reports import (
     catalog_integrity,
     label_violations,
@@ -29,8 +30,8 @@ from .scoring import (
 
 __all__ = [
     "catalog_integrity", "category_scores", "errors", "file_stats", "grade_scores", "impact_estimate",
-    "label_violations", "language_breakdown", "python_nodes", "quality_gate", "repo_scores", "repo_stats",
-    "report_documents", "report_findings", "rule_catalog", "rule_scores", "scan_files", "scan_scores",
+    "label_violations", "language_breakdown", "profile_scores", "python_nodes", "quality_gate", "repo_scores", "repo_stats",
+    "report_documents", "report_findings", "rule_catalog", "rule_scores", "scan_files", "scan_profiles", "scan_scores",
     "scan_sources", "sorted_violations", "top_per_rule", "top_rules", "top_violations", "violations",
     "violations_with_fix", "write_report", "write_run", "write_tables",
 ]

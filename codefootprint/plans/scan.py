@@ -16,6 +16,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..catalog.rules import DEFAULT_RULES, Rule
 from ..functions.layers import with_layers
 from ..functions.paths import detect_language
+from ..functions.sqltext import quote
 from ..functions.text import count_nonblank_sql, plain_line_ends_sql, split_lines_sql
 from ..operators.asset_rules import asset_columns
 from ..operators.docker_rules import docker_columns
@@ -29,18 +30,44 @@ from ..sources.commits import Commits
 from ..sources.corpus import prune_ignored_dirs, with_text
 
 
-def _text_columns(rules: Sequence[Rule]) -> dict:
+#: Column of a row's enabled rules, as bits in the order of the catalogue; null: all.
+ENABLED = "_enabled_rules"
+
+
+def keep_enabled(findings: str, rules: Sequence[Rule]) -> str:
+    """The findings of enabled rules."""
+    places = ", ".join(f"{quote(r.id)}, {n}" for n, r in enumerate(rules))
+    if not places:
+        return findings
+    bit = (
+        f"transform(array(element_at(map({places}), f.rule_id)), n -> "
+        f"(shiftright(x[CAST(floor(n / 64) AS INT)], n % 64) & 1L) = 1L)[0]"
+    )
+    # the outer transform names the bitmap, so that it is no expression of its own for every finding
+    return f"transform(array({ENABLED}), x -> IF(x IS NULL, {findings}, filter({findings}, f -> {bit})))[0]"
+
+
+def _text_columns(rules: Sequence[Rule], profiled: bool = False) -> dict:
     """The columns of all detectors that read the text: they need ``language`` and ``_text``."""
+    place = {r.id: n for n, r in enumerate(rules)}
+
+    def enabled(rule: Rule) -> str:
+        n = place[rule.id]
+        return f"({ENABLED} IS NULL OR (shiftright({ENABLED}[{n // 64}], {n % 64}) & 1L) = 1L)"
+
     return {
         "_plain": plain_line_ends_sql("_text"),
         "_lines": split_lines_sql("_text", "_plain"),
         **docker_columns(rules),
-        **regex_columns(rules),
+        **regex_columns(rules, enabled if profiled else None),
         **loop_columns(any(r.id == "GC001" for r in rules)),
         **python_columns(rules),
     }
 
 
+_DETECTED = ("_assets", "_docker", "_regex", "_loops", "_python", "_manifest")
+
+
 def _code_lines():
     return F.expr(f"IF(_lines IS NULL, 0, {count_nonblank_sql('_lines')})")
 
@@ -79,12 +106,18 @@ def scan_files(
     if "scanned" in files.columns:
         df = df.withColumn("_text", F.expr("IF(scanned, _text, NULL)"))
         assets = {"_assets": f"IF(scanned, {assets['_assets']}, {NO_FINDINGS})"}
-    df = with_layers(df, {**assets, **manifest_columns(rules), **_text_columns(rules)})
+    profiled = ENABLED in files.columns
+    df = with_layers(df, {**assets, **manifest_columns(rules), **_text_columns(rules, profiled)})
+    if profiled:
+        df = df.withColumn("_found", F.concat(*_DETECTED))
+        found = F.expr(keep_enabled("_found", rules))
+    else:
+        found = F.concat(*_DETECTED)
     return df.select(
         *(name for name in ("repo_id", "folder", "path", "version", "deleted", "scanned", "language") if name in df.columns),
         _code_lines().alias("code_lines"),
         F.col("length").cast("bigint").alias("bytes"),
-        F.concat("_assets", "_docker", "_regex", "_loops", "_python", "_manifest").alias("findings"),
+        found.alias("findings"),
         F.col("_error").alias("error"),
         F.expr(_status_sql("scanned" in files.columns, max_text_bytes)).alias("status"),
     )

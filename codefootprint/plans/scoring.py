@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog.dimensions import categories_df, rules_df
@@ -57,7 +57,7 @@ def _penalties(found: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     )
 
 
-def finish_scores(totals: DataFrame, k: float = DEFAULT_K) -> DataFrame:
+def finish_scores(totals: DataFrame, k: float | Column = DEFAULT_K) -> DataFrame:
     """Adds density, score, grade and impact to per-repository totals."""
     lines = F.greatest(F.col("total_code_lines"), F.lit(1))
     kloc = F.greatest(lines / F.lit(1000.0), F.lit(MIN_KLOC))
@@ -87,6 +87,16 @@ def scan_scores(
 
     ``requested`` repositories that have no file are scored too (100, as nothing was found).
     """
+    totals = scan_totals(scanned, rules)
+    if requested is not None:
+        totals = requested.select("repo_id").distinct().join(totals, "repo_id", "left").na.fill(
+            0, ["total_files", "code_files", "total_code_lines", "total_violations", "penalty"]
+        )
+    return finish_scores(totals, k)
+
+
+def scan_totals(scanned: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
+    """Per repository: files, code lines, findings and the severity sum of those with a known rule."""
     weights = {r.id: r.severity for r in rules}
     table = F.create_map(*(F.lit(v) for pair in weights.items() for v in pair))
     penalty = F.aggregate(
@@ -94,16 +104,11 @@ def scan_scores(
         F.lit(0).cast("bigint"),
         lambda total, f: total + F.coalesce(F.try_element_at(table, f["rule_id"]), F.lit(0)),
     )
-    totals = (
+    return (
         scanned.select("repo_id", "language", "code_lines", F.size("findings").alias("_n"), penalty.alias("_p"))
         .groupBy("repo_id")
         .agg(*_stats_aggregates(), F.sum("_n").alias("total_violations"), F.sum("_p").alias("penalty"))
     )
-    if requested is not None:
-        totals = requested.select("repo_id").distinct().join(totals, "repo_id", "left").na.fill(
-            0, ["total_files", "code_files", "total_code_lines", "total_violations", "penalty"]
-        )
-    return finish_scores(totals, k)
 
 
 def rule_counts(found: DataFrame) -> DataFrame:

@@ -262,7 +262,7 @@ _CODE_SQL = "('javascript','typescript','java','c','cpp','csharp','go','rust','k
             "'python','ruby','sql','css','html','dockerfile')"
 
 
-def _scores(k: float) -> str:
+def _scores(k: float | str) -> str:
     """Per repository totals and score; needs ``stats``, ``c3`` and ``rules_t``."""
     return f"""file_totals AS (
   SELECT repo_id, count(*) AS total_files, count(*) FILTER (language IN {_CODE_SQL}) AS code_files,
@@ -276,7 +276,7 @@ raw_scores AS (
          coalesce(penalty, 0)::DOUBLE / greatest(greatest(total_code_lines, 1)::DOUBLE / 1000.0::DOUBLE, 0.1::DOUBLE) AS density
   FROM file_totals f LEFT JOIN found_totals USING (repo_id)),
 scores AS (
-  SELECT *, CAST(format('{{:.1f}}', greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE - {k!r}::DOUBLE * density))) AS DOUBLE) AS score,
+  SELECT *, CAST(format('{{:.1f}}', greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE - ({k})::DOUBLE * density))) AS DOUBLE) AS score,
          penalty * 0.05::DOUBLE AS kwh, penalty * 0.05::DOUBLE * 0.3::DOUBLE AS kg_co2
   FROM raw_scores)"""
 
@@ -331,6 +331,21 @@ REVISED = f"""{TPL}, {LABELS}, c2 AS (
                        ELSE event_id % {N} END AS last FROM events) e
   JOIN tpl ON tpl.t = e.last WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 27 <> 0)"""
 
+# Findings of every repository's own rules: labels of the catalogue's, and a plain search for the two custom ones.
+def _profiled() -> str:
+    custom = ", ".join(lit(r.id) for r in R.CUSTOM_RULES)
+    chosen = ", ".join(lit(r.id) for r in DEFAULT_RULES if r.category in R.PROFILE_CATEGORIES)
+    return f"""{CODE_CTES}, open_dirs AS (SELECT * FROM c2), lines_t AS ({_custom_lines(every=True)}),
+every_t AS (
+  SELECT repo_id, rule_id, path, CAST(line AS INTEGER) AS line FROM c2 JOIN labels_t USING (t)
+  UNION ALL SELECT repo_id, 'XX001', path, CAST(line AS INTEGER) FROM lines_t
+  WHERE lang = 'python' AND regexp_matches(clean, '\\bfor\\s+\\w+\\s+in\\b')
+  UNION ALL SELECT repo_id, 'XX002', path, CAST(line AS INTEGER) FROM lines_t
+  WHERE lang IS NOT NULL AND contains(clean, '*') AND NOT contains(clean, 'import')),
+profiled AS (
+  SELECT * FROM every_t WHERE CASE WHEN repo_id % 5 = 0 OR repo_id % 4 = 0 THEN TRUE
+    WHEN repo_id % 4 = 1 THEN rule_id IN ({chosen}) WHEN repo_id % 4 = 2 THEN rule_id IN ({custom}) ELSE FALSE END)"""
+
 
 def build() -> dict[str, str]:
     by_id = {r.id: r for r in DEFAULT_RULES}
@@ -438,6 +453,15 @@ WHERE lang = 'python' AND regexp_matches(clean, '\\bfor\\s+\\w+\\s+in\\b')
 UNION ALL
 SELECT repo_id, 'XX002', path, CAST(line AS INTEGER) FROM ({_custom_lines()})
 WHERE lang IS NOT NULL AND contains(clean, '*') AND NOT contains(clean, 'import')""",
+        "profiled_violations": f"WITH {_profiled()} SELECT * FROM profiled",
+        "profiled_violations_joined": f"WITH {_profiled()} SELECT * FROM profiled",
+        "profiled_scores": f"WITH {_profiled()}, "
+                           + "rules_t AS " + values([(r.id, r.severity) for r in (*DEFAULT_RULES, *R.CUSTOM_RULES)], "rule_id, severity")
+                           + f", c3 AS (SELECT repo_id, rule_id FROM profiled), "
+                           f"stats AS (SELECT repo_id, lang AS language, code_lines FROM c2), "
+                           + _scores("CASE WHEN repo_id % 5 = 0 THEN 1.0 ELSE 1 + repo_id % 3 * 0.5 END")
+                           + f" SELECT repo_id, total_files, total_violations, penalty, round(density, 6) AS density, score, "
+                           f"{_band('score', 0)} AS grade FROM scores",
         "all_violations": labelled(everything),
         "code_file_stats": with_code(
             "SELECT repo_id, path, lang AS language, CAST(code_lines AS INTEGER) AS code_lines, "
@@ -526,11 +550,11 @@ FROM scores LEFT JOIN c USING (repo_id) LEFT JOIN r USING (repo_id) LEFT JOIN g
     return sql
 
 
-def _custom_lines() -> str:
-    """Comment-free lines of the corpus when only the folder ``src3`` and hidden folders are left out."""
+def _custom_lines(every: bool = False) -> str:
+    """Comment-free lines of the corpus when only the folder ``src3`` and hidden folders are left out, or of every folder."""
     cut = "string_split(rtrim(content, chr(10)), chr(10))"
     return f"""SELECT *, CASE WHEN lang IN ('python', 'yaml', 'dockerfile') THEN regexp_replace(raw, '#.*$', '')
     WHEN lang IN ('javascript', 'go') THEN regexp_replace(regexp_replace(raw, '/\\*.*\\*/', ''), '//.*$', '')
     WHEN lang = 'sql' THEN regexp_replace(raw, '--.*$', '') ELSE raw END AS clean
   FROM (SELECT repo_id, path, lang, unnest({cut}) AS raw, generate_subscripts({cut}, 1) AS line FROM open_dirs
-        WHERE path NOT LIKE '%src3/%')"""
+        WHERE {every} OR path NOT LIKE '%src3/%')"""

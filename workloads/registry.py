@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import codefootprint as cf
-from codefootprint.catalog import DEFAULT_RULES, HEAVY_DEPENDENCIES, Rule, select_rules
+from codefootprint.catalog import DEFAULT_RULES, HEAVY_DEPENDENCIES, Rule, rules_df, rules_from_table, select_rules
 from codefootprint.functions import count_code_lines, detect_language, human_size, mask_code, split_lines, strip_comments
 from codefootprint.operators.manifest_rules import package_entries, requirement_entries
 from codefootprint.operators.python_rules import PYTHON_RULE_IDS
@@ -34,6 +34,7 @@ CUSTOM_RULES = (
     Rule("XX001", "Bare except value", "compute", 5, languages=("python",), pattern=r"\bfor\s+\w+\s+in\b"),
     Rule("XX002", "Anything with a star", "other", 2, pattern=r"\*", require_absent=r"import"),
 )
+PROFILE_CATEGORIES = ("network", "data")
 PATHS = (
     "Dockerfile", "api.Dockerfile", "Dockerfile.dev", ".env", "prod.env", "a.tar.gz", ".bashrc.py", "MAIN.PY",
     "page.Vue", "style.scss", "notes", "a.b.tsx", "x.", "dockerfile.d/readme", "k.kt", "conf.cfg",
@@ -264,6 +265,35 @@ def custom_rules(spark, sf_dir):
     return places(cf.violations(cf.scan_files(C.code(spark, sf_dir), CUSTOM_RULES, ignored_dirs={"src3"})))
 
 
+def profiles(spark, sf_dir):
+    """Rules and weight of the repositories whose owner chose some: all, two categories, own rules only, or none."""
+    chosen = [r.id for r in DEFAULT_RULES if r.category in PROFILE_CATEGORIES]
+    own = [r.id for r in CUSTOM_RULES]
+    ids = lambda names: F.array(*(F.lit(n) for n in names)).cast("array<string>")
+    users = C.table(spark, sf_dir, "events").select(F.col("user_id").alias("repo_id")).distinct().filter("repo_id % 5 <> 0")
+    rule_ids = F.when(F.col("repo_id") % 4 == 1, ids(chosen)).when(F.col("repo_id") % 4 == 2, ids([*own, "GC999"]))
+    return users.select(
+        "repo_id", rule_ids.when(F.col("repo_id") % 4 == 3, ids([])).alias("rule_ids"), (1 + F.col("repo_id") % 3 * 0.5).alias("k")
+    )
+
+
+def profile_scan(broadcast: int, spark, sf_dir):
+    rules = rules_from_table(rules_df(spark, DEFAULT_RULES + CUSTOM_RULES))
+    chosen = profiles(spark, sf_dir)
+    return rules, chosen, cf.scan_profiles(C.code(spark, sf_dir), chosen, rules, broadcast_profiles=broadcast)
+
+
+def profiled_violations(broadcast: int, spark, sf_dir):
+    return places(cf.violations(profile_scan(broadcast, spark, sf_dir)[2]))
+
+
+def profiled_scores(spark, sf_dir):
+    rules, chosen, scanned = profile_scan(10_000, spark, sf_dir)
+    return cf.profile_scores(scanned, chosen, rules).select(
+        "repo_id", "total_files", "total_violations", "penalty", F.round("density", 6).alias("density"), "score", "grade"
+    )
+
+
 def scan_requested(spark, sf_dir):
     """Scores of requested repositories, with and without files."""
     requested = C.table(spark, sf_dir, "events").select((F.col("user_id") * 2).alias("repo_id"))
@@ -486,6 +516,9 @@ QUERIES: dict[str, Query] = {
     "gc072": partial(asset_findings, "GC072"),
     "subset_rules": partial(code_findings, SUBSET, places),
     "custom_rules": custom_rules,
+    "profiled_violations": partial(profiled_violations, 10_000),
+    "profiled_violations_joined": partial(profiled_violations, 0),
+    "profiled_scores": profiled_scores,
     "all_violations": all_violations,
     "code_file_stats": code_file_stats,
     "scan_scores": scan_scores,

@@ -66,6 +66,27 @@ def admit_repos(
     return totals.select("repo_id", "files", "bytes", reason.isNull().alias("admitted"), reason.alias("reason"))
 
 
+def admitted_files(
+    files: DataFrame, max_files: int | None = None, max_bytes: int | None = None, max_archive_bytes: int | None = None,
+    broadcast_repos: int = 500_000,
+) -> DataFrame:
+    """The safe regular files of the repositories that :func:`admit_repos` lets in, as rows of ``files``.
+
+    The verdicts come from names and lengths alone. Up to ``broadcast_repos`` admitted repositories are broadcast, so contents
+    are read where they lie, those of other repositories not at all, and none is shuffled. Beyond that Spark joins both
+    sides; then pass a listing (``list_tree``), whose rows are narrow, and read the files of the result.
+    """
+    names = [c for c in ("repo_id", "path", "length", "is_regular", "archive_bytes") if c in files.columns]
+    verdicts = admit_repos(files.select(*names), max_files, max_bytes, max_archive_bytes)
+    admitted = verdicts.filter("admitted").select("repo_id")
+    if admitted.limit(broadcast_repos + 1).count() <= broadcast_repos:
+        admitted = F.broadcast(admitted)
+    safe = ~is_unsafe_path(F.col("path"))
+    if "is_regular" in files.columns:
+        safe = safe & F.col("is_regular")
+    return files.filter(safe).join(admitted, "repo_id", "left_semi").select(*files.columns)
+
+
 def missing_repo_errors(requested: DataFrame, files: DataFrame) -> DataFrame:
     """An error row per requested repository that has no file.
 

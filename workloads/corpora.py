@@ -236,6 +236,23 @@ def dockerfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes a ``files`` table as files, one folder per repository, by the tasks that hold the rows."""
+    import pyarrow.fs as pafs
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, name = pafs.FileSystem.from_uri(f"{root}/{row['repo_id']}/{row['path']}")
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(name) as out:
+                    out.write(row["content"].encode())
+            yield batch.slice(0, 0)
+
+    narrow = files.select(text(F.col("repo_id")).alias("repo_id"), "path", "content")
+    narrow.mapInArrow(write, narrow.schema).write.format("noop").mode("overwrite").save()
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page address as it is and in the shapes users type."""
     pages = table(spark, sf_dir, "pages").select(

@@ -402,6 +402,18 @@ t AS (SELECT repo_id, count(*) FILTER (safe) AS files, CAST(coalesce(sum(length)
 r AS (SELECT *, CASE WHEN archive > 31457280 THEN 'archive too large' WHEN files > 6000 THEN 'too many files'
                      WHEN bytes > 209715200 THEN 'too large' END AS reason FROM t)
 SELECT repo_id, files, bytes, reason IS NULL AS admitted, reason FROM r""",
+        "scan_listing": with_code(
+            "SELECT repo_id, path, lang AS language, CAST(code_lines AS INTEGER) AS code_lines, "
+            "CAST(octet_length(encode(content)) AS BIGINT) AS bytes FROM c2"
+        ),
+        "admitted_files": """WITH m AS (
+  SELECT CASE WHEN l_linenumber <= 3 THEN 'big-' || l_returnflag
+              ELSE 's' || l_suppkey || '-' || (l_partkey % (2 + l_suppkey % 2)) END AS repo_id, 'x/' || l_orderkey AS path,
+         l_partkey % 17 <> 0 AND l_partkey % 19 <> 0 AND l_partkey % 23 <> 0 AS safe,
+         CAST(round(l_extendedprice * l_quantity) AS BIGINT) AS length, l_suppkey % 40 * 1000000 AS archive FROM lineitem),
+t AS (SELECT repo_id FROM m GROUP BY repo_id HAVING max(archive) <= 31457280 AND count(*) FILTER (safe) <= 6000
+      AND coalesce(sum(length) FILTER (safe), 0) <= 209715200)
+SELECT repo_id, path, length, md5('text of ' || path) AS digest FROM m JOIN t USING (repo_id) WHERE safe""",
         "normalize_targets": """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages),
 s AS (SELECT page_id, host, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS shape FROM p)
 SELECT page_id, CAST(shape AS INTEGER) AS shape, CASE WHEN shape BETWEEN 1 AND 4 THEN host END AS owner,

@@ -5,6 +5,7 @@ Queries read whole tables. Their DuckDB counterparts are in :mod:`workloads.orac
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 from functools import partial
@@ -94,6 +95,23 @@ def prune_ignored_dirs(spark, sf_dir):
     return cf.prune_ignored_dirs(C.code(spark, sf_dir)).select("repo_id", "path", "length")
 
 
+def scan_listing(spark, sf_dir):
+    """The code corpus written as a tree of files, hidden and ignored folders included, then listed, read and scanned."""
+    folder = work_folder(spark, "tree")
+    root = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    C.write_tree(C.code(spark, sf_dir), f"{root}/files")
+    files = cf.files_from_tree(spark, f"{root}/files", f"{root}/work", pack_bytes=1 << 20)
+    stats = cf.file_stats(cf.scan_files(files))
+    return stats.withColumn("repo_id", F.col("repo_id").cast("bigint"))
+
+
+def admitted_files(spark, sf_dir):
+    """Members of the repositories within the limits, with their contents."""
+    members = C.archives(spark, sf_dir).withColumn("content", F.concat(F.lit("text of "), "path"))
+    kept = cf.admitted_files(members, MAX_REPO_FILES, MAX_REPO_BYTES, MAX_ARCHIVE_BYTES)
+    return kept.select("repo_id", "path", "length", F.md5("content").alias("digest"))
+
+
 def scan_single_file(spark, sf_dir):
     files = C.manifests(spark, sf_dir)
     requests = files.filter(F.col("path").contains("package")).select("repo_id", "path")
@@ -478,6 +496,8 @@ def stream_files(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "scan_corpus": scan_corpus,
     "prune_ignored_dirs": prune_ignored_dirs,
+    "scan_listing": scan_listing,
+    "admitted_files": admitted_files,
     "scan_single_file": scan_single_file,
     "scan_source_table": scan_source_table,
     "admit_snippets": admit_snippets,

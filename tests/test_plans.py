@@ -63,8 +63,7 @@ def test_no_cross_joins(spark, sf_dir, name):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(registry.QUERIES) - set(oracles.build()) == {"py_nodes"}
-    assert set(oracles.build()) <= set(registry.QUERIES)
+    assert set(registry.QUERIES) == set(oracles.build())
 
 
 def test_one_hot_repository_gives_the_same_scores(spark):

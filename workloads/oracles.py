@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from codefootprint.catalog import CATEGORIES, DEFAULT_RULES, FIX_GUIDES, GRADE_BANDS, HEAVY_DEPENDENCIES, SEVERITIES
 
 from . import corpora as C
+from . import nodes
 from . import registry as R
 from .templates import TEMPLATES
 
@@ -60,6 +61,15 @@ C2 = f"""c2_all AS (
 c2 AS (SELECT * FROM c2_all WHERE event_id % 11 <> 0 AND event_id % 13 <> 0)"""
 CODE_CTES = f"{TPL}, {LABELS}, {C2}"
 
+_NODE_TYPES = {"BOOLEAN": ("async_scope", "func_is_name", "const_true", "is_add", "string_like", "in_literal_seq"),
+               "VARCHAR": ("kind", "field", "call_root", "call_attr", "name", "arg0_kind", "decorators")}
+_NODE_TYPE = {c: kind for kind, names in _NODE_TYPES.items() for c in names}
+NODES = (
+    "nodes_t AS (SELECT CAST(t AS INTEGER) AS t, "
+    + ", ".join(f'CAST("{c}" AS {_NODE_TYPE.get(c, "INTEGER")}) AS "{c}"' for c in nodes.COLUMNS)
+    + f" FROM {values(nodes.rows(), ', '.join(['t', *(chr(34) + c + chr(34) for c in nodes.COLUMNS)]))})"
+)
+
 RULES = "rules_t AS " + values(
     [(r.id, r.name, r.category, r.severity) for r in DEFAULT_RULES], "rule_id, name, category, severity"
 )
@@ -439,6 +449,7 @@ SELECT page_id, CAST(shape AS INTEGER) AS shape, CASE WHEN shape BETWEEN 1 AND 4
         **{i.lower(): line_rules([by_id[i]]) for i in R.REGEX_IDS},
         "gc001_clike": labelled(("GC001",), "lang <> 'python'"),
         "gc001_py": labelled(("GC001",), "lang = 'python'"),
+        "py_nodes": f"WITH {CODE_CTES}, {NODES} SELECT repo_id, path, n.* EXCLUDE (t) FROM c2 JOIN nodes_t n USING (t)",
         "py_node_stats": with_code(
             "SELECT path, CAST(loops AS BIGINT) AS loops, CAST(calls AS BIGINT) AS calls, "
             "CAST(functions AS BIGINT) AS functions FROM c2 WHERE lang = 'python' AND loops + calls + functions > 0"

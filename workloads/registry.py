@@ -224,7 +224,8 @@ def impact_estimate(spark, sf_dir):
 
 # ------------------------------------------------------------------ Python facts
 def py_nodes(spark, sf_dir):
-    return cf.python_nodes(C.code(spark, sf_dir))
+    nodes = cf.python_nodes(C.code(spark, sf_dir))
+    return nodes.withColumn("decorators", F.array_join("decorators", ","))
 
 
 def py_node_stats(spark, sf_dir):

@@ -476,6 +476,14 @@ WHERE lang = 'python' AND regexp_matches(clean, '\\bfor\\s+\\w+\\s+in\\b')
 UNION ALL
 SELECT repo_id, 'XX002', path, CAST(line AS INTEGER) FROM ({_custom_lines()})
 WHERE lang IS NOT NULL AND contains(clean, '*') AND NOT contains(clean, 'import')""",
+        "free_text_rules": f"WITH {C1}, {C1_LINES}, t AS (SELECT repo_id, path, unnest(lines) AS x, "
+                           "generate_subscripts(lines, 1) AS line FROM c1_lines WHERE language = 'html') "
+                           + " UNION ALL ".join(
+                               f"SELECT repo_id, {lit(r.id)} AS rule_id, path, CAST(line AS INTEGER) AS line, "
+                               f"CAST(strpos(x, regexp_extract(x, {_sql_pattern(r, r.pattern)})) AS INTEGER) AS col FROM t "
+                               f"WHERE regexp_matches(x, {_sql_pattern(r, r.pattern)})"
+                               + (f" AND NOT regexp_matches(x, {_sql_pattern(r, r.require_absent)})" if r.require_absent else "")
+                               for r in R.FREE_TEXT_RULES),
         "profiled_violations": f"WITH {_profiled()} SELECT * FROM profiled",
         "profiled_violations_joined": f"WITH {_profiled()} SELECT * FROM profiled",
         "profiled_scores": f"WITH {_profiled()}, "

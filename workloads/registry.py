@@ -35,6 +35,15 @@ CUSTOM_RULES = (
     Rule("XX001", "Bare except value", "compute", 5, languages=("python",), pattern=r"\bfor\s+\w+\s+in\b"),
     Rule("XX002", "Anything with a star", "other", 2, pattern=r"\*", require_absent=r"import"),
 )
+#: Line rules on prose and web pages, with and without a literal in their patterns.
+FREE_TEXT_RULES = tuple(
+    Rule(f"FT{i:03}", name, "other", 1, languages=("html",), pattern=pattern, require_absent=absent, ignore_case=fold)
+    for i, (name, pattern, absent, fold) in enumerate((
+        ("Noun in tion", r"[a-z]tion[ .,<]", None, False), ("Link", r"<a +href", None, True), ("Long number", r"[0-9]{3,}", r"http", False),
+        ("Run of symbols", r"[#$%&*]{3}", None, False), ("Mail address", r"[a-z0-9.]+@[a-z0-9]+[.][a-z]+", None, True),
+        ("Umlaut before e", r"[äöüß]e", None, True), ("Sentence in one word", r"^ *[A-Z][a-z]+[.]", None, False),
+    ), 1)
+)
 PROFILE_CATEGORIES = ("network", "data")
 PATHS = (
     "Dockerfile", "api.Dockerfile", "Dockerfile.dev", ".env", "prod.env", "a.tar.gz", ".bashrc.py", "MAIN.PY",
@@ -268,6 +277,12 @@ def all_violations(spark, sf_dir):
     return places(cf.violations(cf.scan_files(C.code(spark, sf_dir))))
 
 
+def free_text_rules(spark, sf_dir):
+    """Line rules over the whole texts of documents and pages."""
+    found = cf.violations(cf.scan_files(C.text_volume(spark, sf_dir), FREE_TEXT_RULES))
+    return found.select("repo_id", "rule_id", "path", "line", F.col("column").alias("col"))
+
+
 def code_file_stats(spark, sf_dir):
     return cf.file_stats(cf.scan_files(C.code(spark, sf_dir)))
 
@@ -537,6 +552,7 @@ QUERIES: dict[str, Query] = {
     "gc072": partial(asset_findings, "GC072"),
     "subset_rules": partial(code_findings, SUBSET, places),
     "custom_rules": custom_rules,
+    "free_text_rules": free_text_rules,
     "profiled_violations": partial(profiled_violations, 10_000),
     "profiled_violations_joined": partial(profiled_violations, 0),
     "profiled_scores": profiled_scores,

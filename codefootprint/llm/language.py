@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codefootprint.llm.store import unused_name
+
 BUCKETS = 1 << 12
 DIMENSIONS = 16
 #: Bounds of the training sample: rows of one language (a limit that Spark applies before it shuffles), and languages (the
@@ -164,7 +166,8 @@ def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("found_", predict("text")).select(*(F.col(f"`{c}`") for c in kept), "found_.lang_pred", "found_.score")
+    found = unused_name(docs, "found")
+    return docs.withColumn(found, predict("text")).select(*(F.col(f"`{c}`") for c in kept), f"{found}.lang_pred", f"{found}.score")
 
 
 def identify_languages(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> DataFrame:

@@ -198,7 +198,9 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     the new text.
     """
     store = Store(docs.sparkSession, "linededup")
-    marked = _marked(with_row(docs), store, min_words)
+    # the other columns travel in one, so their names meet none of ours
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others")
+    marked = _marked(with_row(docs.select("doc_id", "text", others)), store, min_words)
 
     @F.pandas_udf("string")
     def kept(texts, spans):
@@ -211,11 +213,13 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
         return pd.Series(out, dtype="object")
 
     touched = F.col("spans").isNotNull()
-    marked = marked.withColumn("left_", F.when(touched, kept("text", "spans"))).where(~touched | F.col("left_").isNotNull())
-    marked = marked.withColumn("text", F.when(touched, F.col("left_")).otherwise(F.col("text")))
+    marked = marked.withColumn("left", F.when(touched, kept("text", "spans"))).where(~touched | F.col("left").isNotNull())
+    text = F.when(touched, F.col("left")).otherwise(F.col("text"))
+    columns = {c: text if c == "text" else F.col(f"others.`{c}`") for c in docs.columns}
     if "n_chars" in docs.columns:
-        marked = marked.withColumn("n_chars", F.when(touched, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return marked.select(*(F.col(f"`{c}`") for c in docs.columns))
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(touched, F.length("left")).otherwise(columns["n_chars"]).cast(kind)
+    return marked.select(*(value.alias(c) for c, value in columns.items()))
 
 
 #: DuckDB statement for the query (with MIN_WORDS 5): every run of 1 to 5 lines is spelled out.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codefootprint.llm.store import Store, numbered, with_row
+from codefootprint.llm.store import Store, numbered, unused_name, with_row
 from codefootprint.llm.words import WORD_PATTERN
 
 #: Documents of a source are dealt to 16**BUCKET_DIGITS buckets by their seeded digest; only one of them is ever ordered.
@@ -127,11 +127,12 @@ def mix_documents(docs: DataFrame, **settings) -> DataFrame:
 
     settings as for ``mix_sources``; columns of these names in docs are replaced.
     """
-    rows = with_row(docs)
-    mixed = mix_sources(rows.select(F.col("row_").alias("doc_id"), "text", "source"), **settings).where("taken > 0")
-    mixed = mixed.drop("source").withColumnRenamed("doc_id", "row_")
+    row = unused_name(docs, "row")
+    rows = with_row(docs, row)
+    mixed = mix_sources(rows.select(F.col(row).alias("doc_id"), "text", "source"), **settings).where("taken > 0")
+    mixed = mixed.drop("source").withColumnRenamed("doc_id", row)
     kept = [c for c in docs.columns if c not in mixed.columns]
-    return rows.select("row_", *(F.col(f"`{c}`") for c in kept)).join(mixed.hint("merge"), "row_").drop("row_")
+    return rows.select(row, *(F.col(f"`{c}`") for c in kept)).join(mixed.hint("merge"), row).drop(row)
 
 
 #: DuckDB statement for the rows of the query; the closed form of the water level replaces the rounds.

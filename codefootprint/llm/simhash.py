@@ -9,11 +9,6 @@ references alone can't be joined on: they all lie within a few units of 32, so n
 
 Dense groups are linked through neighbours in sorted order first; then only pairs whose groups still differ are compared,
 so a large group of near copies never meets as all its pairs.
-
-The pipeline's stage has settings of its own: near copies share NEAR_SHARE of their shingles of NEAR_SHINGLE words. At that
-share fingerprints differ in some ten bits, which exact runs can't find, so candidates meet under keys of smallest hashes
-(a pair at 0.8 shares none of the BANDS keys with probability 3e-6), the tables of distances discard with a wide reach, and
-the rest is verified on the shingle sets.
 """
 
 from __future__ import annotations
@@ -28,8 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefootprint.llm.components import connected_components
-from codefootprint.llm.store import Store, with_row
-from codefootprint.llm.words import mixed, word_hashes
+from codefootprint.llm.store import Store, unused_name, with_row
 
 BITS = 64
 SHINGLE = 4
@@ -41,16 +35,6 @@ SEGMENTS = 7
 CHECKED = (0, 8, 16, 24, 32, 40, 48, 56)
 SEED = 42
 
-#: The stage's near copies: words of a shingle, share of the shingles (as a fraction), and the bits of their fingerprints that
-#: may differ: pairs at the share differ in 10 with a standard deviation of 3.
-NEAR_SHINGLE = 5
-NEAR_SHARE = (4, 5)
-NEAR_REACH = 28
-#: Keys of a text, and smallest hashes in a key.
-BANDS = 32
-BAND_ROWS = 5
-_FLIPS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the whole text; 0 for null and for texts without words."""
@@ -157,145 +141,21 @@ def near_duplicates(docs: DataFrame, reach: int = REACH, n_segments: int = SEGME
     return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted hashes of the different runs of NEAR_SHINGLE words of the whole text; a shorter text is one run."""
-    words = word_hashes((text or "").encode("utf-8", "replace").lower())[0]
-    n = len(words)
-    if not n:
-        return words
-    width = min(NEAR_SHINGLE, n)
-    h = np.full(n - width + 1, width, dtype=np.uint64)
-    for k in range(width):
-        h = mixed(h ^ words[k : n - width + 1 + k])
-    return np.unique(h)
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key a band: the smallest values of the set under the band's BAND_ROWS hash functions."""
-    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for a in range(0, len(hashes), 1024):
-            low = np.minimum(low, ((hashes[a : a + 1024] ^ _FLIPS) * _FACTORS).min(axis=1))
-        key = np.arange(BANDS, dtype=np.uint64)
-        for column in low.reshape(BANDS, BAND_ROWS).T:
-            key = mixed(key * np.uint64(31) ^ column)
-    return key.view(np.int64)
-
-
-def set_fingerprint(hashes: np.ndarray) -> int:
-    """SimHash of a set of hashes as a signed long."""
-    ones = np.zeros(BITS, dtype=np.int64)
-    for a in range(0, len(hashes), 65536):
-        part = hashes[a : a + 65536].astype("<u8", copy=False)
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
-
-
-def with_sets(docs: DataFrame) -> DataFrame:
-    """row_, id_, n (different shingles), digest (equal for equal sets), fp and keys of each row; a text without words has n 0."""
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([set_fingerprint(h) for h in sets], pa.int64()),
-                    pa.array([band_keys(h) if len(h) else [] for h in sets], pa.list_(pa.int64())),
-                ],
-                names=["row_", "id_", "n", "digest", "fp", "keys"],
-            )
-
-    kind = docs.schema["id_"].dataType.simpleString()
-    return docs.select("row_", "id_", "text").mapInArrow(describe, f"row_ long, id_ {kind}, n long, digest binary, fp long, keys array<bigint>")
-
-
-def are_near(a: str | None, b: str | None) -> bool:
-    """Whether two texts share NEAR_SHARE (a whole fraction) or more of their different shingles."""
-    x, y = shingle_set(a), shingle_set(b)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return NEAR_SHARE[1] * both >= NEAR_SHARE[0] * (len(x) + len(y) - both)
-
-
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of rows (row_, text) whose texts are near copies, by their shingle sets."""
-
-    @F.pandas_udf("boolean")
-    def near(left, right):
-        import pandas as pd
-
-        return pd.Series([are_near(a, b) for a, b in zip(left, right)], dtype="bool")
-
-    for side in ("a", "b"):
-        pairs = pairs.join(rows.select(F.col("row_").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
-    return pairs.where(near("text_a", "text_b")).select("a", "b")
-
-
-def link_near_copies(store: Store, unique: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b: links that connect exactly those texts that are near copies, transitively; within a connected group further pairs
-    are left out.
-
-    unique: v (a row_ of rows), n, fp and keys, one row for each different set. Pairs that share a key are candidates; those
-    whose sizes or pivot tables rule the share out are discarded before their texts are compared.
-    """
-    keyed = store.put(unique.select(F.explode("keys").alias("key"), "v", "n", "fp"), "keys")
-    above, below = NEAR_SHARE
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            held = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if last is not None:
-                held = [np.append(a, b) for a, b in zip(last, held)]
-            keys, fps, vs, ns = held
-            if len(keys):
-                last = [c[-1:] for c in held]
-                near = (keys[1:] == keys[:-1]) & (np.bitwise_count(fps[1:] ^ fps[:-1]) <= NEAR_REACH)
-                near &= below * np.minimum(ns[1:], ns[:-1]) >= above * np.maximum(ns[1:], ns[:-1])
-                x, y = vs[:-1][near], vs[1:][near]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    order = ("key", "fp", "v")
-    ordered = keyed.select(*order, "n").repartitionByRange(*order).sortWithinPartitions(*order)
-    near = store.put(ordered.mapInArrow(neighbours, "a long, b long").distinct(), "neighbours")
-    near = store.put(verified(near, rows), "near")
-    groups = connected_components(store, near, "groups")
-
-    labelled = keyed.join(groups, "v", "left").select("key", "v", "n", "fp", F.coalesce("root", "v").alias("root"))
-    labelled = store.put(labelled, "labelled")
-    # only keys under which two groups meet still need a look
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    table = [d.alias(f"d{j}") for j, d in zip(CHECKED, distances(F.col("fp")))]
-    met = store.put(labelled.join(store.put(open_keys, "open"), "key").select("*", *table), "met")
-    x, y = met.alias("x"), met.alias("y")
-    apart = F.greatest(*(F.abs(F.col(f"x.d{j}") - F.col(f"y.d{j}")) for j in CHECKED))
-    pairs = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))
-        & (below * F.least("x.n", "y.n") >= above * F.greatest("x.n", "y.n")) & (apart <= NEAR_REACH)
-        & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= NEAR_REACH),
-    ).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
-    pairs = store.put(pairs.distinct(), "far")
-    return near.union(store.put(verified(pairs, rows), "linked"))
-
-
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs (a stored table) with only the first document (smallest doc_id) of each group of near copies; all columns stay.
+def keep_one_of_each(docs: DataFrame, reach: int = REACH, n_segments: int = SEGMENTS) -> DataFrame:
+    """docs (a stored table) with only the first document (smallest doc_id) of each component of :func:`near_duplicates`; all
+    columns stay.
 
-    Near copies share NEAR_SHARE of their five-word shingles; groups are their connected components. Texts without words
-    are no copies of each other and stay. Of rows with the same id and text one stays; of rows with the same id and
-    different texts those stay whose id is the smallest of their group.
+    Texts without words have fingerprint zero, which links like any other, so one of them stays. Of rows with the same
+    doc_id, null ids last, one that is its component's first stays.
     """
     store = Store(docs.sparkSession, "keepone")
-    rows = with_row(docs)
-    sets = store.put(with_sets(rows.select("row_", F.col("doc_id").alias("id_"), "text")), "sets")
-    first = F.min(F.struct(F.col("id_").isNull(), "id_", "row_")).alias("first")
-    unique = store.put(sets.where("n > 0").groupBy("digest").agg(first).select(F.col("first.row_").alias("v"), "first"), "unique")
-    described = sets.select(F.col("row_").alias("v"), "n", "fp", "keys").join(unique.select("v").hint("merge"), "v", "left_semi")
-    links = link_near_copies(store, described, rows.select("row_", "text"))
-    roots = connected_components(store, links, "components")
-    joined = unique.join(roots, "v", "left").select("first", F.coalesce("root", "v").alias("root"))
-    stay = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_").alias("row_"))
-    stay = store.put(stay.union(sets.where("n = 0").select("row_")), "stay")
+    row = unused_name(docs, "row")
+    rows = with_row(docs, row)
+    ids = rows.select(F.col(row).alias("r"), F.col("doc_id").alias("id"))
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), reach, n_segments)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("first")
+    stay = found.select(F.col("doc_id").alias("r"), "component_id").join(ids, "r").groupBy("component_id").agg(first)
+    stay = store.put(stay.select(F.col("first.r").alias(row)), "stay")
     # a merge join at every size: the plan, and what it moves, follows the input evenly
-    return rows.join(stay.hint("merge"), "row_", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = rows.join(stay.hint("merge"), row, "left_semi")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

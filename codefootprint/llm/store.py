@@ -45,8 +45,16 @@ class Store:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """docs with row_, a number that tells repeated rows apart.
+def unused_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in whatever case Spark compares names."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row(docs: DataFrame, name: str = "row_") -> DataFrame:
+    """docs with a number that tells repeated rows apart, in a column of the given name (see :func:`unused_name`).
 
     docs must be a stored table, which reads the same each time: the number is made of a row's split and place in it. Spark
     cuts files by the cores it sees when a query is planned, so that figure is fixed for the session before the first
@@ -55,7 +63,7 @@ def with_row(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     if not spark.conf.get("spark.sql.files.minPartitionNum", None):
         spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
-    return docs.withColumn("row_", F.monotonically_increasing_id())
+    return docs.withColumn(name, F.monotonically_increasing_id())
 
 
 def numbered(store: Store, df: DataFrame, name: str, *order: str) -> DataFrame:

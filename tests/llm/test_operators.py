@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codefootprint.llm import decontamination, language, linededup, maxent, mixing, quality, simhash, substrings, tokencounts, toxicity
 from codefootprint.llm.components import connected_components
-from codefootprint.llm.store import Store
+from codefootprint.llm.store import Store, with_row
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, words int"
@@ -191,28 +192,74 @@ def test_simhash_links_close_fingerprints(spark):
     assert {f: got.get(f, f) for f in fps} == root
 
 
-def test_near_copies_of_the_stage_against_brute_force(spark, tmp_path):
+def test_one_of_each_component_stays(spark, tmp_path):
+    """The stage keeps the smallest id of every component of fingerprints within 4 bits, as op4 has them."""
     rng = np.random.default_rng(8)
-    rows = []
+    rows = [(None, "no id but a text of its own"), (7, None), (6, ""), (400, "no id but a text of its own")]
     for i in range(40):
         base = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(30, 300))]
         for changes in (0, 0, 1, 2, 3, 5, 8):
             copy = list(base)
             for k in rng.integers(0, len(base), changes):
                 copy[k] = f"x{rng.integers(0, 5000)}"
-            rows.append((len(rows), " ".join(copy)))
-    rows = [rows[k] for k in rng.permutation(len(rows))]
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
-    sets = {d: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
-    root = {d: d for d in sets}
-    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+            rows.append((1000 + len(rows), " ".join(copy)))
+    rows = [rows[k] for k in rng.permutation(len(rows))] + [(6, "")]
+    docs = [(d, t, d, "x", t) for d, t in rows]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(docs, "doc_id long, text string, row long, row_ string, component_id string").repartition(3).write.parquet(path)
+    fps = [simhash_of(t) for _, t in rows]
+    root = list(range(len(rows)))
+    near = [(a, b) for a in root for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
     for _ in range(8):
         for a, b in near:
             root[a] = root[b] = min(root[a], root[b])
-    fps = {d: simhash_of(t) for d, t in rows}
-    assert sum((fps[a] ^ fps[b]).bit_count() > 4 for a, b in near) > 50
-    kept = {r.doc_id for r in simhash.keep_one_of_each(spark.read.parquet(str(tmp_path / "t"))).collect()}
-    assert kept == {d for d in root if root[d] == d}
+    groups = collections.defaultdict(list)
+    for k, r in enumerate(root):
+        groups[r].append((rows[k][0] is None, rows[k][0]))
+    kept = simhash.keep_one_of_each(spark.read.parquet(path))
+    assert kept.columns == ["doc_id", "text", "row", "row_", "component_id"]
+    got = kept.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((n, i or 0) for n, i in map(min, groups.values()))
+    assert all(r.row == r.doc_id and r.row_ == "x" and r.component_id == r.text for r in got)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, row_ string, row string, spans string, left_ int, left int, others string, found_ int, found int, start long, size long"
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(i, f"{PASSAGE} {i}\nsome line of its own {i}\n{PASSAGE}", "en", "a", "r", "s", "p", i, i, "o", i, i, 5, 6) for i in range(6)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, CLASHING).write.parquet(path)
+    table = spark.read.parquet(path)
+    model = language.fit_language(table)
+    for out in (linededup.delete_repeated_lines(table), simhash.keep_one_of_each(table), language.with_language(table, model), mixing.mix_documents(table)):
+        assert set(table.columns) <= set(out.columns) and len(out.columns) == len(set(out.columns))
+        for r in out.collect():
+            assert (r.row_, r.row, r.spans, r.others, r.start) == ("r", "s", "p", "o", 5) and r.left_ == r.left == r.found_ == r.found == r.doc_id
+
+
+def test_row_numbers_do_not_follow_the_cores(spark, tmp_path):
+    """Planned for one core and then for many, every row has the same number."""
+    path = str(tmp_path / "t")
+    spark.range(40_000).selectExpr("id AS doc_id", "repeat('x', 20) AS text").repartition(2).write.parquet(path)
+    before = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    seen = []
+    try:
+        for cores in ("1", "64"):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+            seen.append(sorted(map(tuple, with_row(spark.read.parquet(path)).select("doc_id", "row_").collect())))
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if before is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+    assert seen[0] == seen[1] and len({r for _, r in seen[0]}) == 40_000
+
+
+def test_borders_of_words_beyond_ascii():
+    """Every character that is punctuation, a symbol or a space is a border, and no other."""
+    old = re.compile("[" + "".join(c for c in map(chr, range(128, 0x10000)) if unicodedata.category(c)[0] in "PSZ") + "]")
+    every = "".join(c for c in map(chr, range(1, 0x10000)) if not 0xD800 <= ord(c) <= 0xDFFF)
+    assert every.translate(toxicity.borders()) == old.sub(" ", every)
+    high = "".join(map(chr, range(0x10000, 0x110000)))
+    assert all((b == " ") == (unicodedata.category(a)[0] in "PSZ") for a, b in zip(high, high.translate(toxicity.borders())))
 
 
 def lines_deleted(rows, least=5):

@@ -42,7 +42,10 @@ _FOLD[list(b".,;:!?\n\x0b\x0c\r")] = BORDER
 _IS_GAP = np.zeros(256, dtype=bool)
 _IS_GAP[[ord(" "), ord("\t"), BORDER]] = True
 
-_COUNTS = "lang string, phrase string, since int, n long"
+#: Rows of a scan: the phrase, a line end and its language in one column (no phrase holds a line end); its first scan, plus LAST
+#: for phrases of the last length.
+_COUNTS = "key string, since int, n long"
+LAST = 1000
 
 
 class Pieces:
@@ -145,13 +148,12 @@ def _scan(texts: DataFrame, scan: int, shards: int, held: Broadcast, longest: in
 
     def rows(lang: str, phrases: pa.Array, since: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(n), ROWS):  # the JVM holds a batch at a time
-            part = phrases.slice(k, ROWS)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.repeat(pa.scalar(lang), len(part)), part, pa.array(since[k : k + ROWS].astype(np.int32)),
-                    pa.array(n[k : k + ROWS].astype(np.int64)),
+                    pc.binary_join_element_wise(phrases.slice(k, ROWS), pa.scalar(lang), pa.scalar("\n")),
+                    pa.array(since[k : k + ROWS].astype(np.int32)), pa.array(n[k : k + ROWS].astype(np.int64)),
                 ],
-                names=["lang", "phrase", "since", "n"],
+                names=["key", "since", "n"],
             )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +170,8 @@ def _scan(texts: DataFrame, scan: int, shards: int, held: Broadcast, longest: in
                 now = (since <= scan) & (since > scan - shards)
                 if now.any():
                     phrases, n, one = pieces.counted(at[now], size)
-                    yield from rows(lang, phrases, since[np.searchsorted(at, one)], n)
+                    first = since[np.searchsorted(at, one)].astype(np.int32)
+                    yield from rows(lang, phrases, first + LAST if size == longest else first, n)
             pieces = at = since = now = None
             pa.default_memory_pool().release_unused()
 
@@ -176,9 +179,17 @@ def _scan(texts: DataFrame, scan: int, shards: int, held: Broadcast, longest: in
     return part.mapInArrow(count, _COUNTS)
 
 
+def phrase_of(key: str) -> Column:
+    return F.substring_index(key, "\n", 1)
+
+
+def lang_of(key: str) -> Column:
+    return F.substr(F.col(key), F.length(phrase_of(key)) + 2)
+
+
 def of_size(size: int) -> Column:
-    """Whether a phrase has so many words."""
-    return F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) == size - 1
+    """Whether a key's phrase has so many words."""
+    return F.size(F.split(phrase_of("key"), " ")) == size
 
 
 def _reached(counted: DataFrame, size: int) -> np.ndarray:
@@ -192,7 +203,7 @@ def _reached(counted: DataFrame, size: int) -> np.ndarray:
                 found = np.unique(pieces.slots(pieces.starts(size), size)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found)], names=["slot"])
 
-    found = counted.where(of_size(size)).select("lang", "phrase").mapInArrow(slots, "slot long")
+    found = counted.where(of_size(size)).select(lang_of("key").alias("lang"), phrase_of("key").alias("phrase")).mapInArrow(slots, "slot long")
     maps = found.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )
@@ -215,38 +226,36 @@ def count_phrases(
     )
     active = [np.full(1 << SLOT_BITS, NEVER, dtype=np.uint8) for _ in range(longest - 1)]
     parts, open_, words, scan, last = [], None, None, 0, shards - 1
-    whole = of_size(longest)
+    whole = F.col("since") >= LAST
     while scan <= last:
         held = spark.sparkContext.broadcast([zlib.compress(table.tobytes(), 1) for table in active])
-        fresh = _scan(texts, scan, shards, held, longest).withColumn("held", F.lit(0).cast("long"))
+        fresh = _scan(texts, scan, shards, held, longest)
         if open_ is not None:
-            fresh = fresh.unionByName(open_.withColumn("held", F.col("n")))
-        summed = fresh.groupBy("lang", "phrase").agg(
-            F.first("since").alias("since"), F.sum("n").alias("n"), F.sum("held").alias("held")
-        )
-        counted = store.put(summed, "counted")
+            fresh = fresh.unionByName(open_)
+        counted = store.put(fresh.groupBy("key").agg(F.max("since").alias("since"), F.sum("n").alias("n")), "counted")
         held.destroy()
+        often = ~whole & (F.col("n") >= threshold)
         if scan == shards - 1:
-            words = store.put(counted.where(of_size(1)).groupBy("lang").agg(F.sum("n").alias("words")), "words")
+            single = counted.where(~whole & of_size(1)).groupBy(lang_of("key").alias("lang"))
+            words = store.put(single.agg(F.sum("n").alias("words")), "words")
         for size in range(1, longest):
-            new = counted.where((F.col("n") >= threshold) & (F.col("held") < threshold))
-            first = _reached(new, size) & (active[size - 1] == NEVER)
+            first = _reached(counted.where(often), size) & (active[size - 1] == NEVER)
             active[size - 1][first] = scan + 1
             if first.any():
                 last = max(last, scan + shards)
         over = F.col("since") + shards - 1 <= scan
         # phrases of the last length activate nothing, so their sums wait for the end instead of going round
-        parts.append(counted.where(whole | (over & (F.col("n") >= threshold))).select("lang", "phrase", "n"))
-        open_ = counted.where(~whole & ~over).drop("held")
+        parts.append(counted.where(whole | (over & often)).select("key", "n"))
+        open_ = counted.where(~whole & ~over)
         scan += 1
         if scan >= NEVER:
             raise ValueError("too many scans for the slot tables")
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    summed = out.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
-    sized = summed.select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "n")
-    return store.put(sized, "phrases"), words
+    summed = out.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
+    found = summed.select(lang_of("key").alias("lang"), phrase_of("key").alias("phrase"), "n")
+    return store.put(found.withColumn("size", F.size(F.split("phrase", " "))), "phrases"), words
 
 
 def mine_phrases(

@@ -87,7 +87,7 @@ def test_shared_slots_lose_no_phrase(spark, monkeypatch):
     few = lambda self, at, size, plain=phrases.Pieces.slots: plain(self, at, size) & 3
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     monkeypatch.setattr(phrases.Pieces, "slots", few)
-    want = {(la, len(p), " ".join(p), n) for (la, p), n in counts_of(rows)[0].items() if n >= 10}
+    want = {(la, " ".join(p), n, len(p)) for (la, p), n in counts_of(rows)[0].items() if n >= 10}
     assert {tuple(r) for r in phrases.count_phrases(docs, Store(spark, "t"))[0].collect()} == want
 
 
@@ -98,9 +98,9 @@ def test_longer_phrases_start_after_their_parts(spark):
     active = [np.full(1 << phrases.SLOT_BITS, phrases.NEVER, dtype=np.uint8) for _ in range(2)]
     told = lambda: spark.sparkContext.broadcast([zlib.compress(t.tobytes()) for t in active])
     first = phrases._scan(docs, 0, 3, told(), 3)
-    sized = lambda df: {(len(r.phrase.split(" ")), r.since) for r in df.collect()}
+    sized = lambda df: {(len(r.key.split("\n")[0].split(" ")), r.since) for r in df.collect()}
     assert sized(first) == {(1, 0)}
-    active[0][phrases._reached(first.groupBy("lang", "phrase").sum("n").where("`sum(n)` >= 5"), 1)] = 1
+    active[0][phrases._reached(first.groupBy("key").sum("n").where("`sum(n)` >= 5"), 1)] = 1
     assert sized(phrases._scan(docs, 1, 3, told(), 3)) == {(1, 0), (2, 1)}
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codefootprint.llm.store import unused_name
+from codefootprint.llm.store import small_batches, unused_name
 
 BUCKETS = 1 << 12
 DIMENSIONS = 16
@@ -157,6 +157,7 @@ def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Null texts and texts without a letter get ``und`` and 0, and so does every text if nothing was learned. Rows, order of
     columns and other columns stay; a column of the same name is replaced.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -187,6 +188,7 @@ def keep_identified(docs: DataFrame, wanted: list[str] | None = None) -> DataFra
     Learns from all rows that have a language. Rejected are null texts, texts without a letter and texts below the
     threshold, and, if ``wanted`` is given, texts of other languages. If nothing could be learned, all rows stay.
     """
+    small_batches(docs.sparkSession)
     model = fit_language(docs)
     if not model.languages:
         return docs

@@ -21,10 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows that Spark sends to a Python worker at a time, unless the session says otherwise: its default of ten thousand texts of some
+#: kilobytes is held several times over by the executor and its workers.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS for the session where Spark's default still holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 class Store:
     """Writes tables below one folder of a run and reads them back, so that a lost executor costs a read, not a rerun."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0

@@ -6,6 +6,9 @@ vectors, summed up by Spark over their partitions, gives a latent space; passage
 every benchmark text by cosine. Candidates are then checked word by word: the longest common subsequence with the
 benchmark text must cover most of it, or a good part of it and the answer (its last words) as well.
 
+A document is compared with the texts of which it holds one of the rarest words: a passage with the accepted share of a text lacks
+so few of its words that it must hold one of those, so this loses nothing that the checks would accept.
+
 A block of texts has a space of its own with as many directions as texts (RANK at most), so the space holds them whole; what
 the iteration still loses of a text is measured and added to its cosines, which so never fall below the true ones.
 
@@ -113,42 +116,52 @@ def fit_space(items: DataFrame, idf: np.ndarray, place: np.ndarray, width: int,
 
 @dataclass
 class Block:
-    """Some of the benchmark's texts: latent score of each word for each text, what the space loses of each text, the cosine from which it is a candidate, and its number among the group's items."""
+    """Some of the benchmark's texts: latent score of each word for each text, which words are among a text's rarest, what the space
+    loses of each text, the cosine from which it is a candidate, and its number among the group's items."""
 
     place: np.ndarray
     scores: np.ndarray
+    rare: np.ndarray
     lost: np.ndarray
     cutoffs: np.ndarray
     owners: np.ndarray
     window: int
 
-    def hits(self, own: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """First words, item numbers and cosines of the windows that are near a text of the block in the latent space."""
-        n, stride, steps = len(own), self.window // STEPS, STEPS
+    def hits(self, own: np.ndarray, weight: np.ndarray, different: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """First words, item numbers and cosines of the windows that are near a text of the block in the latent space.
+
+        Only texts of which the document holds one of the rarest words are looked at; no other can pass the later checks.
+        """
+        place = self.place[different]
+        texts = np.flatnonzero(self.rare[place[place >= 0]].any(axis=0))
+        if not len(texts):
+            return
+        n, stride = len(own), self.window // STEPS
         place = self.place[own]
-        blocks = max(1, -(-n // stride) - steps + 1)
-        pad = np.zeros((blocks + steps - 1) * stride - n)
-        of = lambda x: np.concatenate([[0], np.cumsum(np.append(x, pad).reshape(-1, stride).sum(axis=1))])
-        energy, inner = (x[steps:] - x[:-steps] for x in (of(weight**2), of(np.where(place >= 0, weight**2, 0))))
-        least = max(0.0, float((self.cutoffs - self.lost).min()))
-        # a passage can't be nearer to the space than its own words in the space's vocabulary; half, as words may repeat
-        near = (inner >= least**2 / 2 * energy) & (energy > 0)
         known = np.flatnonzero(place >= 0)
-        place, value, part = place[known], weight[known].astype(np.float32), known // stride
-        for a in range(0, blocks, 64):
-            b = min(a + 64, blocks)
-            if not near[a:b].any():
-                continue
-            some = slice(*np.searchsorted(part, (a, b + steps - 1)))
-            different, which = np.unique(place[some], return_inverse=True)
-            rows = b - a + steps - 1
-            sums = np.bincount((part[some] - a) * len(different) + which, value[some], rows * len(different)).reshape(rows, -1).astype(np.float32)
-            x = sum(sums[k : k + b - a] for k in range(steps)) @ self.scores[different]
+        energy = np.concatenate([[0], np.cumsum(weight**2)])
+        windows = max(1, -(-n // stride) - STEPS + 1)
+        for a in range(0, windows, 256):
+            first = np.arange(a, min(a + 256, windows)) * stride
+            last = np.minimum(first + self.window, n)
+            low, high = np.searchsorted(known, first), np.searchsorted(known, last)
+            some = known[low[0] : high[-1]]
+            part = self.scores[np.ix_(place[some], texts)] * weight[some, None]
+            sums = np.vstack([np.zeros(len(texts)), np.cumsum(part, axis=0)])
+            inner = sums[high - low[0]] - sums[low - low[0]]
+            size = energy[last] - energy[first]
             # a word that repeats makes the passage longer than this, so the cosine errs to the side of more candidates
-            cosine = x / np.sqrt(np.maximum(energy[a:b], 1e-12))[:, None].astype(np.float32) + self.lost
-            k, text = np.nonzero((cosine >= self.cutoffs) & near[a:b, None])
+            cosine = inner / np.sqrt(np.maximum(size, 1e-12))[:, None] + self.lost[texts]
+            k, text = np.nonzero((cosine >= self.cutoffs[texts]) & (size > 0)[:, None])
             if len(k):
-                yield (a + k) * stride, self.owners[text], cosine[k, text]
+                yield first[k], self.owners[texts[text]], cosine[k, text]
+
+
+def rarest(own: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Words of which a passage that covers the share COVERED_WITH_ANSWER of a text holds one at least: the rarest of them, one
+    more than the passage may lack."""
+    lacks = len(own) - int(np.ceil(COVERED_WITH_ANSWER * len(own) - 1e-9))
+    return own[np.argsort(-idf[own], kind="stable")[: lacks + 1]]
 
 
 @dataclass
@@ -165,7 +178,8 @@ class Searcher:
         if not len(own) or not self.ids:
             return {}
         weight = self.idf[own]
-        parts = [hit for block in self.blocks for hit in block.hits(own, weight)]
+        different = np.unique(own)
+        parts = [hit for block in self.blocks for hit in block.hits(own, weight, different)]
         if not parts:
             return {}
         first, item, cosine = (np.concatenate(x) for x in zip(*parts))
@@ -255,7 +269,10 @@ def _block(spark: SparkSession, idf: np.ndarray, window: int, texts: list[tuple[
     lost = np.sqrt([max(0.0, (w**2).sum() - (x**2).sum()) for (_, w), x in zip(vectors, latent)])
     scores = (directions @ latent.T).astype(np.float32)
     cutoffs = np.array([cutoff(len(t.split()), window) for _, t in texts])
-    return Block(place.astype(np.int32), scores, lost.astype(np.float32), cutoffs.astype(np.float32), np.array([i for i, _ in texts]), window)
+    rare = np.zeros(scores.shape, dtype=bool)
+    for k, b in enumerate(own):
+        rare[place[rarest(b, idf)], k] = True
+    return Block(place.astype(np.int32), scores, rare, lost.astype(np.float32), cutoffs.astype(np.float32), np.array([i for i, _ in texts]), window)
 
 
 def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:

@@ -70,8 +70,10 @@ class Revisions:
     """The tables of one output folder. ``files`` keeps every version until it is compacted, ``changes`` sums to the counts."""
 
     def __init__(self, spark: SparkSession, output: str, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
+        self.spark = spark
         self.commits = Commits(spark, output)
+        # files are looked up by bucket, so the first run's number holds for good
+        self.buckets = self._info().get("buckets", buckets)
 
     def _table(self, name: str, schema: str, tables: dict[str, list[str]] | None = None) -> DataFrame:
         return _load(self.spark, (self.commits.read() if tables is None else tables).get(name, []), schema)
@@ -150,8 +152,8 @@ def start_scores(
     """Keeps the scans and counts of a stream of files up to date below ``output``.
 
     A file is known by ``repo_id`` and ``path``; the row with the highest ``version`` holds, whenever it arrives, and of
-    equal versions the one that arrives last. A row with ``deleted`` takes the file out. ``buckets`` must stay the same for
-    one output. After ``compact_every`` batches the tables are written anew. Read with :func:`current_scores`,
+    equal versions the one that arrives last. A row with ``deleted`` takes the file out. ``buckets`` is that of the first
+    run. After ``compact_every`` batches the tables are written anew. Read with :func:`current_scores`,
     :func:`current_counts` and :func:`current_files`.
     """
     rules = tuple(rules)

@@ -72,8 +72,8 @@ def test_a_batch_that_fails_half_way_is_not_seen(spark, tmp_path, monkeypatch, e
         with pytest.raises(ZeroDivisionError):
             revisions.apply(batch_of(spark, ARRIVALS[1]), cf.DEFAULT_RULES, "q", 1)
     assert state(spark, output) == before
-    for number, rows in enumerate(ARRIVALS[1:], 1):
-        revisions.apply(batch_of(spark, rows), cf.DEFAULT_RULES, "q", number)
+    for number, rows in enumerate(ARRIVALS[1:], 1):  # another number of buckets is asked for, the first one holds
+        Revisions(spark, output, buckets=5).apply(batch_of(spark, rows), cf.DEFAULT_RULES, "q", number)
     assert state(spark, output) == expected
 
 

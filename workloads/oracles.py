@@ -569,6 +569,9 @@ FROM scores LEFT JOIN c USING (repo_id) LEFT JOIN r USING (repo_id) LEFT JOIN g
                                       "message, snippet FROM c3 LEFT JOIN rules_t USING (rule_id)"),
         "tabular_sink": f"WITH {CODE_CTES}, {_CODE_AS_FOUND}, {_scores(1.0)} SELECT repo_id, total_files, total_violations, "
                         f"penalty, score, {_band('score', 0)} AS grade FROM scores",
+        "run_outputs": f"WITH {CODE_CTES}, {_CODE_AS_FOUND}, {_scores(1.0)}, bad AS (SELECT repo_id, count(*) AS n FROM c2 WHERE error "
+                       "GROUP BY repo_id) SELECT repo_id, score, total_violations, total_violations AS violations, "
+                       "total_violations AS findings, coalesce(bad.n, 0) AS report_errors FROM scores LEFT JOIN bad USING (repo_id)",
         "usage_totals": _totals("events"),
         "usage_totals_stream": _totals("events"),
         "stream_scan": labelled(everything),

@@ -461,6 +461,25 @@ def tabular_sink(spark, sf_dir):
     return cf.repo_scores(stats, found).select("repo_id", "total_files", "total_violations", "penalty", "score", "grade")
 
 
+def run_outputs(spark, sf_dir):
+    """One run over the code corpus with all its outputs, read back from the commit and held against each other."""
+    folder = work_folder(spark, "run")
+    cf.write_run(cf.scan_files(C.code(spark, sf_dir)), folder, buckets=4)
+
+    def lines(name: str) -> DataFrame:
+        rows = cf.read_committed(spark, folder, name, fmt="json")
+        return rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias(name))
+
+    document = cf.read_committed(spark, folder, "repositories", fmt="json")
+    table = cf.read_committed(spark, folder, "violations").groupBy("repo_id").agg(F.count(F.lit(1)).alias("violations"))
+    joined = document.join(lines("findings"), "repo_id", "left").join(lines("report_errors"), "repo_id", "left")
+    return joined.join(table, "repo_id", "left").na.fill(0, ["findings", "report_errors", "violations"]).select(
+        "repo_id", F.get_json_object("document", "$.index.score").cast("double").alias("score"),
+        F.get_json_object("document", "$.index.total_violations").cast("bigint").alias("total_violations"),
+        "violations", "findings", "report_errors",
+    )
+
+
 # ------------------------------------------------------------------ streams
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = C.table(spark, sf_dir, "events").schema
@@ -580,6 +599,7 @@ QUERIES: dict[str, Query] = {
     "report_json": report_json,
     "report_findings": report_findings,
     "tabular_sink": tabular_sink,
+    "run_outputs": run_outputs,
     "usage_totals": usage_totals_query,
     "usage_totals_stream": usage_totals_stream,
     "stream_scan": stream_scan,

@@ -116,12 +116,14 @@ def fit_space(items: DataFrame, idf: np.ndarray, place: np.ndarray, width: int,
 
 @dataclass
 class Block:
-    """Some of the benchmark's texts: latent score of each word for each text, which words are among a text's rarest, what the space
-    loses of each text, the cosine from which it is a candidate, and its number among the group's items."""
+    """Some of the benchmark's texts: latent score of each word for each text, which words are among a text's rarest, how often
+    each stands in it and how many of its words a document must hold, what the space loses of each text, the cosine from which it is a candidate, and its number among the group's items."""
 
     place: np.ndarray
     scores: np.ndarray
     rare: np.ndarray
+    counts: np.ndarray
+    needed: np.ndarray
     lost: np.ndarray
     cutoffs: np.ndarray
     owners: np.ndarray
@@ -133,7 +135,10 @@ class Block:
         Only texts of which the document holds one of the rarest words are looked at; no other can pass the later checks.
         """
         place = self.place[different]
-        texts = np.flatnonzero(self.rare[place[place >= 0]].any(axis=0))
+        place = place[place >= 0]
+        texts = np.flatnonzero(self.rare[place].any(axis=0))
+        # nor can one of which the document holds too few words
+        texts = texts[self.counts[np.ix_(place, texts)].sum(axis=0, dtype=np.int32) >= self.needed[texts]]
         if not len(texts):
             return
         n, stride = len(own), self.window // STEPS
@@ -157,11 +162,15 @@ class Block:
                 yield first[k], self.owners[texts[text]], cosine[k, text]
 
 
+def least_words(length: int) -> int:
+    """Words of a text of this length that a passage must have to cover the share COVERED_WITH_ANSWER."""
+    return int(np.ceil(COVERED_WITH_ANSWER * length - 1e-9))
+
+
 def rarest(own: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Words of which a passage that covers the share COVERED_WITH_ANSWER of a text holds one at least: the rarest of them, one
     more than the passage may lack."""
-    lacks = len(own) - int(np.ceil(COVERED_WITH_ANSWER * len(own) - 1e-9))
-    return own[np.argsort(-idf[own], kind="stable")[: lacks + 1]]
+    return own[np.argsort(-idf[own], kind="stable")[: len(own) - least_words(len(own)) + 1]]
 
 
 @dataclass
@@ -269,10 +278,12 @@ def _block(spark: SparkSession, idf: np.ndarray, window: int, texts: list[tuple[
     lost = np.sqrt([max(0.0, (w**2).sum() - (x**2).sum()) for (_, w), x in zip(vectors, latent)])
     scores = (directions @ latent.T).astype(np.float32)
     cutoffs = np.array([cutoff(len(t.split()), window) for _, t in texts])
-    rare = np.zeros(scores.shape, dtype=bool)
+    rare, counts = np.zeros(scores.shape, dtype=bool), np.zeros(scores.shape, dtype=np.uint16)
     for k, b in enumerate(own):
         rare[place[rarest(b, idf)], k] = True
-    return Block(place.astype(np.int32), scores, rare, lost.astype(np.float32), cutoffs.astype(np.float32), np.array([i for i, _ in texts]), window)
+        np.add.at(counts[:, k], place[b], 1)
+    needed = np.array([least_words(len(b)) for b in own])
+    return Block(place.astype(np.int32), scores, rare, counts, needed, lost.astype(np.float32), cutoffs.astype(np.float32), np.array([i for i, _ in texts]), window)
 
 
 def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:

@@ -1,4 +1,4 @@
-"""Syntax nodes of the Python templates, read off the sources by hand.
+"""Syntax nodes of the Python templates, fixed as literals: listed by the walk once, then compared with the sources by reading.
 
 A node is ``pre-post parent kind field line:col depth`` and then what is known of it. ``@`` is a coroutine's scope, ``@@`` that of
 a function inside one. A call has its root (``.`` for none), its name, whether that is a plain one, and the kind of its first

@@ -241,18 +241,52 @@ def write_tree(files: DataFrame, root: str) -> None:
     import pyarrow.fs as pafs
 
     def write(batches):
+        system, base = pafs.FileSystem.from_uri(root)
+        made = None
         for batch in batches:
             for row in batch.to_pylist():
-                system, name = pafs.FileSystem.from_uri(f"{root}/{row['repo_id']}/{row['path']}")
-                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(name) as out:
+                folder, _, name = f"{base}/{row['repo_id']}/{row['path']}".rpartition("/")
+                if folder != made:
+                    system.create_dir(folder, recursive=True)
+                    made = folder
+                with system.open_output_stream(f"{folder}/{name}") as out:
                     out.write(row["content"].encode())
             yield batch.slice(0, 0)
 
+    system, base = pafs.FileSystem.from_uri(root)
+    system.create_dir(base, recursive=True)  # a tree without files is one too
     narrow = files.select(text(F.col("repo_id")).alias("repo_id"), "path", "content")
     narrow.mapInArrow(write, narrow.schema).write.format("noop").mode("overwrite").save()
 
 
+def wave_of(repo: str, waves: int) -> Column:
+    """Numbers from 0 that deal repositories to about equal waves, each repository whole."""
+    return F.pmod(F.xxhash64(repo), F.lit(waves))
+
+
+def remove_tree(files: DataFrame, root: str, following: str) -> None:
+    """Removes the tree that :func:`write_tree` wrote of these files, by tasks that take some of its repositories each, and makes
+    the empty root of the ``following`` one. That is made inside this one and moved out: file systems lay files near their
+    folder, and some search long for room among files that were just removed."""
+    import pyarrow.fs as pafs
+
+    def remove(batches):
+        system, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for repo in batch.column("repo_id").to_pylist():
+                if system.get_file_info(f"{base}/{repo}").type != pafs.FileType.NotFound:  # a task may run again
+                    system.delete_dir(f"{base}/{repo}")
+            yield batch.slice(0, 0)
+
+    tasks = files.sparkSession.sparkContext.defaultParallelism * 2
+    repos = files.select(text(F.col("repo_id")).alias("repo_id")).distinct().repartition(tasks)
+    system, base = pafs.FileSystem.from_uri(root)
+    system.create_dir(f"{base}/.following")
+    system.move(f"{base}/.following", pafs.FileSystem.from_uri(following)[1])
+    repos.mapInArrow(remove, repos.schema).write.format("noop").mode("overwrite").save()
+    system.delete_dir(base)
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page address as it is and in the shapes users type."""
     pages = table(spark, sf_dir, "pages").select(

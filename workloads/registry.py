@@ -45,6 +45,8 @@ FREE_TEXT_RULES = tuple(
     ), 1)
 )
 PROFILE_CATEGORIES = ("network", "data")
+#: Files whose trees are on the disk at once, and the waves from which on trees grow instead, as each reads all keys.
+WAVE_FILES, TREE_WAVES = 125_000, 48
 PATHS = (
     "Dockerfile", "api.Dockerfile", "Dockerfile.dev", ".env", "prod.env", "a.tar.gz", ".bashrc.py", "MAIN.PY",
     "page.Vue", "style.scss", "notes", "a.b.tsx", "x.", "dockerfile.d/readme", "k.kt", "conf.cfg",
@@ -105,12 +107,22 @@ def prune_ignored_dirs(spark, sf_dir):
 
 
 def scan_listing(spark, sf_dir):
-    """The code corpus written as a tree of files, hidden and ignored folders included, then listed, read and scanned."""
+    """The code corpus written as a tree of files, hidden and ignored folders included, then listed, read and scanned.
+
+    A file takes a block of the disk however small it is, so the trees of all repositories at once would take many times
+    their bytes. Repositories come in waves; what a wave's scan found is stored and its tree removed before the next.
+    """
     folder = work_folder(spark, "tree")
     root = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
-    C.write_tree(C.code(spark, sf_dir), f"{root}/files")
-    files = cf.files_from_tree(spark, f"{root}/files", f"{root}/work", pack_bytes=1 << 20)
-    stats = cf.file_stats(cf.scan_files(files))
+    files = C.code(spark, sf_dir)
+    waves = min(TREE_WAVES, 1 + files.count() // WAVE_FILES)
+    for k in range(waves):
+        wave = files.filter(C.wave_of("repo_id", waves) == k).repartition(spark.sparkContext.defaultParallelism * 2)
+        C.write_tree(wave, f"{root}/files/{k}")
+        read = cf.files_from_tree(spark, f"{root}/files/{k}", f"{root}/work/{k}", pack_bytes=1 << 20)
+        cf.file_stats(cf.scan_files(read)).write.parquet(f"{folder}/stats/{k}")
+        C.remove_tree(wave, f"{root}/files/{k}", f"{root}/files/{k + 1}")
+    stats = spark.read.parquet(*(f"{folder}/stats/{k}" for k in range(waves)))
     return stats.withColumn("repo_id", F.col("repo_id").cast("bigint"))
 
 

@@ -35,3 +35,12 @@ def test_a_tree_is_on_the_disk_a_wave_at_a_time(spark, tmp_path, monkeypatch):
     assert len(seen) == 7 and sum(own for own, _, _ in seen) == 400
     assert all(own == there for own, there, _ in seen), "an earlier wave's tree is still there"
     assert in_folder(seen[0][2]) == 0
+
+
+def test_arriving_files_are_written_by_many_tasks(spark, tmp_path):
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/codefootprint/revisions-*"))
+    found = registry.stream_files(spark, events(spark, tmp_path)).collect()
+    (folder,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/codefootprint/revisions-*")) - before
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [len(glob.glob(f"{folder}/in/{k}/*.parquet")) for k in range(4)] == [parts] * 4
+    assert found

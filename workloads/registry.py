@@ -523,7 +523,7 @@ def _revised(spark: SparkSession, sf_dir: str) -> str:
     arrivals = C.arrivals(spark, sf_dir)
     schema = arrivals.drop("wave").schema
     for k, wave in enumerate((0, 1, 2, 1)):
-        arrivals.filter(F.col("wave") == wave).drop("wave").coalesce(1).write.parquet(f"{folder}/in/{k}")
+        arrivals.filter(F.col("wave") == wave).drop("wave").write.parquet(f"{folder}/in/{k}")
         files = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
         cf.start_scores(files, f"{folder}/out", f"{folder}/checkpoint", compact_every=2, buckets=4).awaitTermination()
     return f"{folder}/out"

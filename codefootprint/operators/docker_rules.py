@@ -33,9 +33,9 @@ def _found(rule_id: str, line: str, text: str, message: str) -> str:
 
 
 def _from_rules() -> dict[str, str]:
-    """Findings on the FROM lines: ``f`` has the line, its text, the image and the image's last path part."""
-    name, tag = "lower(split(f.base, ':')[0])", "lower(coalesce(get(split(f.base, ':'), 1), ''))"
-    floating = "contains(f.image, ':latest') OR NOT contains(f.base, ':')"
+    """Findings on the FROM lines: ``f`` has the line, its text, the image and the parts of the image's last path part."""
+    name, tag = "lower(f.parts[0])", "lower(coalesce(get(f.parts, 1), ''))"
+    floating = "contains(f.image, ':latest') OR size(f.parts) = 1"
     full = f"{in_list(name, FULL_IMAGES)} AND NOT contains({tag}, 'slim') AND NOT contains({tag}, 'alpine')"
     return {
         rule_id: f"transform(filter(_froms, f -> {condition}), f -> {_found(rule_id, 'f.line', 'f.text', message)})"
@@ -79,7 +79,7 @@ def docker_columns(rules: Sequence[Rule]) -> dict[str, str]:
         f"transform(_steps, (l, i) -> IF({_instruction('l', 'FROM')}, "
         f"named_struct('line', i + 1, 'text', l, 'image', {image}), NULL))"
     )
-    with_base = f"transform({froms}, f -> named_struct('line', f.line, 'text', f.text, 'image', f.image, 'base', {base_name_sql('f.image')}))"
+    with_base = f"transform({froms}, f -> named_struct('line', f.line, 'text', f.text, 'image', f.image, 'parts', split({base_name_sql('f.image')}, ':')))"
     parts = [found for rule_id, found in _from_rules().items() if rule_id in enabled]
     cases = [case for rule_id, case in _line_rules().items() if rule_id in enabled]
     if cases:

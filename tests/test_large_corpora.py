@@ -44,3 +44,8 @@ def test_arriving_files_are_written_by_many_tasks(spark, tmp_path):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert [len(glob.glob(f"{folder}/in/{k}/*.parquet")) for k in range(4)] == [parts] * 4
     assert found
+
+
+def test_rows_that_grow_are_dealt_without_a_sort(spark, tmp_path):
+    plan = corpora.code(spark, events(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan and "Exchange hashpartitioning" in plan

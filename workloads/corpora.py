@@ -38,8 +38,9 @@ def items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Narrow rows that grow in the next step, over as many tasks as the session shuffles into."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Narrow rows that grow in the next step, over as many tasks as the session shuffles into. They are dealt by all their
+    values: without keys Spark would sort every row first, to deal them alike when a task runs again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns)
 
 
 def pick(values, index: Column) -> Column:

@@ -224,9 +224,9 @@ def write_run(
     scanned: DataFrame, path: str, rules: Iterable[Rule] = DEFAULT_RULES, k: float = 1.0, buckets: int = 64
 ) -> int:
     """All outputs of one scan below ``path``, visible at once: the tables of ``write_tables`` as Parquet and those of
-    :func:`write_report` as JSON lines. A lazy scan runs once, and every output is made from what it stored."""
+    :func:`write_report` as JSON lines. A lazy scan runs once, and every output is made from what it stored: the reports from
+    the flat tables, of which each reads a few columns, where the stored scan would give whole findings."""
     outputs = Outputs(scanned.sparkSession, path, buckets)
-    tables = scan_tables(outputs.store("scanned", scanned))
-    outputs.write(tables)
+    tables = outputs.write(scan_tables(outputs.store("scanned", scanned)))
     outputs.write(_report_outputs(*tables.values(), rules, k), "json")
     return outputs.commit()

@@ -211,11 +211,15 @@ class Outputs:
         rows.write.parquet(folder)
         return self.spark.read.schema(rows.schema).parquet(folder)
 
-    def write(self, tables: dict[str, DataFrame], fmt: str = "parquet") -> None:
-        """Writes tables in folders by repository bucket."""
+    def write(self, tables: dict[str, DataFrame], fmt: str = "parquet") -> dict[str, DataFrame]:
+        """Writes tables in folders by repository bucket and reads them back."""
+        stored = {}
         for name, rows in tables.items():
-            folder = self._note(name, StructType([*rows.schema.fields, StructField("bucket", IntegerType())]))
+            schema = StructType([*rows.schema.fields, StructField("bucket", IntegerType())])
+            folder = self._note(name, schema)
             write_bucketed(rows, folder, self.buckets, fmt)
+            stored[name] = self.spark.read.format(fmt).schema(schema).load(folder).select(*rows.columns)
+        return stored
 
     def commit(self) -> int:
         return self.commits.commit(self._folders, {"schemas": self._schemas})

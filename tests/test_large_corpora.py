@@ -5,6 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
+import codefootprint as cf
+from codefootprint.plans import reports
 from workloads import corpora, registry
 
 
@@ -49,3 +51,18 @@ def test_arriving_files_are_written_by_many_tasks(spark, tmp_path):
 def test_rows_that_grow_are_dealt_without_a_sort(spark, tmp_path):
     plan = corpora.code(spark, events(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning" not in plan and "Exchange hashpartitioning" in plan
+
+
+def test_reports_of_a_run_are_made_from_its_flat_tables(spark, files_of, tmp_path, monkeypatch):
+    seen, outputs = [], reports._report_outputs
+
+    def noted(*tables):
+        seen.extend({f.split("/")[-4] if "/bucket=" in f else f.split("/")[-3] for f in t.inputFiles()} for t in tables[:3])
+        return outputs(*tables)
+
+    monkeypatch.setattr(reports, "_report_outputs", noted)
+    path = str(tmp_path / "run")
+    cf.write_run(cf.scan_files(files_of({"a.py": "print(1)\n", "b.py": "def broken(:\n"})), path, buckets=2)
+    assert seen == [{"file_stats"}, {"violations"}, {"errors"}]
+    assert cf.read_committed(spark, path, "findings", fmt="json").count() == 1
+    assert cf.read_committed(spark, path, "report_errors", fmt="json").count() == 1

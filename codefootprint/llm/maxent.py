@@ -12,13 +12,12 @@ frequent tokens and the weights (fixed sizes) are broadcast.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ WORD_CLASSES = 16
 SPELLING_CLASSES = 48
 CLASSES = WORD_CLASSES + SPELLING_CLASSES
 FEATURE_BUCKETS = 1 << 13
+#: Tokens of a bucket, within a step, up to which their gradients are added beside those of other buckets.
+FEW = 8
 #: Rounds of training over all training texts; in each, every STRIDE-th token of a text gives a gradient, so that over the
 #: rounds every token gives one.
 ROUNDS = 2
@@ -43,12 +44,18 @@ SPLITS = 8
 FAN = 32
 RATE = 0.5
 MINIBATCH = 2048
+#: Texts whose tokens a task looks up at a time, and their bytes at most (or one text); rows of counts that it adds up at a time.
+CHUNK_TEXTS = 256
+CHUNK_BYTES = 1 << 22
+COUNT_ROWS = 2_000_000
 END = b"\n"
 SMOOTHING = 0.1
 FEATURES = 5
 #: Tokens before a text, one for each place that a feature looks back. No word is empty.
 LOOKS_BACK = (1, 2, 3, 5)
-NO_HISTORY = [b""] * max(LOOKS_BACK)
+NO_HISTORY = np.zeros(max(LOOKS_BACK), np.int64)
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+SOLID = np.array([not bytes([b]).isspace() for b in range(256)])
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -58,19 +65,80 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
+def tokens_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What ``tokens_of`` gives for each text, one after the other in one binary array, and how many are each text's."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    n = len(texts)
+    borders = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    raw = LOWER[np.frombuffer(data, np.uint8)[borders[0] : borders[-1]]] if data is not None else LOWER[:0]
+    borders -= borders[0]
+    solid = SOLID[raw]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    edges = borders[:-1][borders[:-1] < len(raw)]
+    begins[edges] = solid[edges]
+    at = np.flatnonzero(begins)
+    before = np.concatenate([[0], np.cumsum(solid, dtype=np.int64)])
+    words, ends = np.searchsorted(at, borders), before[borders[1:]]
+    lengths = np.diff(words)
+    body = np.insert(raw[solid], ends, END[0])
+    low = np.insert(before[at] + np.repeat(np.arange(n), lengths), words[1:], ends + np.arange(n))
+    offsets = np.append(low, len(body)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(offsets), pa.py_buffer(body)]), lengths + 1
+
+
+def chunks_of(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of up to CHUNK_TEXTS texts with up to CHUNK_BYTES bytes, or of one text, each with the place of its first."""
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(texts):
+        fitting = int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + CHUNK_BYTES, "right")) - low
+        n = max(1, min(fitting, CHUNK_TEXTS))
+        yield low, texts.slice(low, n)
+        low += n
+
+
 def spelling_class(token: bytes) -> int:
     return WORD_CLASSES + (token[-1] * 7 + (len(token) > 6) + 2 * (len(token) > 10)) % SPELLING_CLASSES
 
 
 def _logits(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of the rows' features less their largest, a feature at a time, so that what is summed stays in the cache."""
-    x = table[rows[:, 0]]
+    x = table.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        x += table[rows[:, k]]
+        x += table.take(rows[:, k], axis=0)
     x -= x.max(axis=1, keepdims=True)
     return x
 
 
+def sums_by_bucket(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets that stand in ``rows`` (one row per token), the sums of their tokens' gradients, and how many those are.
+
+    Most buckets have few tokens: up to FEW they are added for all buckets at once, one token of each at a time. Only the
+    others go through numpy's reduction, which is slow on short runs.
+    """
+    flat = rows.astype(np.uint16).ravel()
+    order = np.argsort(flat, kind="stable")
+    held, source = flat[order], order // rows.shape[1]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    n = np.diff(first, append=len(held))
+    by = np.argsort(np.minimum(n, FEW + 1).astype(np.uint8), kind="stable")[::-1]
+    n, first = n[by], first[by]
+    many = np.count_nonzero(n > FEW)
+    sums = grad.take(source[first], axis=0)
+    rest = grad.take(source[first[many : np.count_nonzero(n > 1)] + 1], axis=0)
+    for k in range(2, FEW):
+        some = first[many : np.count_nonzero(n > k)]
+        rest[: len(some)] += grad.take(source[some + k], axis=0)
+    sums[many : many + len(rest)] += rest
+    if many:
+        starts = np.cumsum(n[:many]) - n[:many]
+        at = np.arange(n[:many].sum()) + np.repeat(first[:many] - starts, n[:many])
+        sums[:many] = np.add.reduceat(np.ascontiguousarray(grad.take(source[at], axis=0).T), starts, axis=1).T
+    return held[first], sums, n
+
+
 @dataclass
 class HeadTable:
     """What tasks know of the frequent tokens, and the sums of all training counts."""
@@ -81,6 +149,7 @@ class HeadTable:
     kinds: int
     class_total: np.ndarray
     class_kinds: np.ndarray
+
     def codes(self) -> Codes:
         return Codes({t: (i, self.places.get(t)) for i, t in enumerate(self.counts)})
 
@@ -90,30 +159,41 @@ def hashes_of(tokens: list[bytes]) -> np.ndarray:
 
 
 class Codes:
-    """What tasks look up for a token, in one number: class or place (10 bits; a place p of a frequent token is CLASSES + p),
-    and above it the number among the HEAD most frequent tokens (HEAD for all others)."""
+    """What tasks look up for a token, in one number: its hash (32 bits), class or place (10 bits; a place p of a frequent
+    token is CLASSES + p), and above them the number among the HEAD most frequent tokens (HEAD for all others)."""
 
     def __init__(self, head: dict[bytes, tuple[int, int | None]]):
-        self._head = {t: i << 10 | (spelling_class(t) if p is None else CLASSES + p) for t, (i, p) in head.items()}
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self._head.get, tokens, repeat(-1)), np.int64, len(tokens))
-        rare = np.flatnonzero(out < 0)
+        kinds = [i << 10 | (spelling_class(t) if p is None else CLASSES + p) for t, (i, p) in head.items()]
+        self._head, self._codes = pa.array(head, pa.binary()), np.array(kinds, np.int64) << 32 | hashes_of([*head])
+
+    def of(self, tokens: pa.Array) -> np.ndarray:
+        found = pc.index_in(tokens, self._head)
+        out = np.empty(len(tokens), np.int64)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        out[known] = self._codes[found.drop_null().to_numpy()]
+        rare = np.flatnonzero(~known)
         if len(rare):
-            words = [tokens[i] for i in rare.tolist()]
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            last = np.frombuffer(b"".join(words), np.uint8)[np.cumsum(lengths) - 1].astype(np.int64)
-            out[rare] = HEAD << 10 | WORD_CLASSES + (last * 7 + (lengths > 6) + 2 * (lengths > 10)) % SPELLING_CLASSES
+            words = tokens.take(pa.array(rare))
+            ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+            data, lengths = words.buffers()[2].to_pybytes(), np.diff(ends)
+            last = np.frombuffer(data, np.uint8)[ends[1:] - 1].astype(np.int64)
+            kinds = WORD_CLASSES + (last * 7 + (lengths > 6) + 2 * (lengths > 10)) % SPELLING_CLASSES
+            cut = ends.tolist()
+            out[rare] = (HEAD << 10 | kinds) << 32 | hashes_of([data[a:b] for a, b in zip(cut, cut[1:])])
         return out
 
 
 def kinds_of(codes: np.ndarray) -> np.ndarray:
-    return codes & 1023
+    return codes >> 32 & 1023
+
+
+def token_hashes(codes: np.ndarray) -> np.ndarray:
+    return codes & 0xFFFFFFFF
 
 
 def feature_rows(hashes: np.ndarray) -> np.ndarray:
     """Feature buckets of each token's history in one text, FEATURES a token; places before the text count as one token."""
-    padded = np.concatenate([np.zeros(len(NO_HISTORY), dtype=np.int64), hashes])
+    padded = np.concatenate([NO_HISTORY, hashes])
     return history_rows(*(padded[len(NO_HISTORY) - k :][: len(hashes)] for k in LOOKS_BACK))
 
 
@@ -176,36 +256,43 @@ class Weights:
         np.exp(grad, out=grad)
         grad /= -grad.sum(axis=1, keepdims=True)
         grad[np.arange(len(wanted)), wanted] += 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        keys, first, n = np.unique(flat[order], return_index=True, return_counts=True)
-        sums = np.add.reduceat(grad[order // rows.shape[1]], first, axis=0)
-        # a bucket's step is its mean gradient, larger the more tokens agree on it
-        table[keys] += (rate / np.sqrt(n)[:, None] * sums / np.sqrt(n)[:, None] * np.minimum(1, n / 4)[:, None]).astype(np.float32)
+        keys, sums, n = sums_by_bucket(rows, grad)
+        # a bucket's step is its mean gradient, less where fewer than four tokens agree on it
+        sums *= np.float32(rate)
+        sums /= np.maximum(n, 4).astype(np.float32)[:, None]
+        sums += table.take(keys, axis=0)
+        table[keys] = sums
 
 
 def gradient_places(tokens: list[bytes], number: int, stride: int = STRIDE) -> np.ndarray:
     """Places of the tokens that give a gradient in a round; any ``stride`` rounds in a row have all of them."""
-    return np.arange((zlib.crc32(tokens[0]) + number) % stride, len(tokens), stride)
+    return places_after(zlib.crc32(tokens[0]), len(tokens), number, stride)
+
+
+def places_after(first: int, length: int, number: int, stride: int) -> np.ndarray:
+    """gradient_places of a text by its first token's hash and its number of tokens."""
+    return np.arange((first + number) % stride, length, stride)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """token (binary), c: how often each token stands in the texts; partial sums leave the tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, rows = [], 0
 
-        def pack() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
-            held.clear()
-            return out
+        def pack() -> list[pa.RecordBatch]:
+            return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("c", "sum")]).rename_columns(["token", "c"]).to_batches()
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(tokens_of(text.as_py()))
-                if len(held) > 500_000:
-                    yield pack()
-        yield pack()
+            for _, texts in chunks_of(batch.column(0)):
+                counts = tokens_in(texts)[0].value_counts()
+                held.append(pa.table({"token": counts.field("values"), "c": counts.field("counts")}))
+                rows += len(counts)
+                if rows > COUNT_ROWS:
+                    yield from pack()
+                    held, rows = [], 0
+        if held:
+            yield from pack()
 
     return docs.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -237,38 +324,41 @@ def train(docs: DataFrame, head: HeadTable, rounds: int = ROUNDS, stride: int =
     spark = docs.sparkSession
     splits = docs.rdd.getNumPartitions()
     workers = min(splits, max(WORKERS, splits // SPLITS))
-    weights = Weights.start()
+    weights, codes = Weights.start(), head.codes()
     block = 256
     for number in range(rounds):
-        held = spark.sparkContext.broadcast((head, weights))
+        held = spark.sparkContext.broadcast((codes, weights))
 
         def descend(batches: Iterator[pa.RecordBatch], held=held, number=number) -> Iterator[pa.RecordBatch]:
-            head, start = held.value
-            own, codes = Weights(start.classes.copy(), start.words.copy()), head.codes()
-            held_tokens, places, waiting, n = [], [], 0, 0
+            codes, start = held.value
+            own = Weights(start.classes.copy(), start.words.copy())
+            waiting_codes, places, size, waiting, n = [], [], 0, 0, 0
 
             def step() -> None:
-                nonlocal waiting, n
-                at = np.concatenate(places)
-                pick = lambda some: [held_tokens[i] for i in some.tolist()]
-                rows = history_rows(*(hashes_of(pick(at - k)) for k in LOOKS_BACK))
-                own.update(kinds_of(codes.of(pick(at))), rows, RATE / (1 + number))
+                nonlocal size, waiting, n
+                at, found = np.concatenate(places), np.concatenate(waiting_codes)
+                hashes = token_hashes(found)
+                own.update(kinds_of(found[at]), history_rows(*(hashes[at - k] for k in LOOKS_BACK)), RATE / (1 + number))
                 n += waiting
-                waiting = 0
-                held_tokens.clear()
+                size = waiting = 0
+                waiting_codes.clear()
                 places.clear()
 
             for batch in batches:
-                for text in batch.column(0):
-                    tokens = tokens_of(text.as_py())
-                    at = gradient_places(tokens, number, stride)
-                    if len(at):
-                        held_tokens += NO_HISTORY
-                        places.append(at + len(held_tokens))
-                        held_tokens += tokens
-                        waiting += len(at)
-                    if waiting >= MINIBATCH:
-                        step()
+                for _, texts in chunks_of(batch.column(0)):
+                    tokens, lengths = tokens_in(texts)
+                    found = codes.of(tokens)
+                    ends = np.cumsum(lengths)
+                    firsts = token_hashes(found[ends - lengths])
+                    for first, length, end in zip(firsts.tolist(), lengths.tolist(), ends.tolist()):
+                        at = places_after(first, length, number, stride)
+                        if len(at):
+                            places.append(at + size + len(NO_HISTORY))
+                            waiting_codes += [NO_HISTORY, found[end - length : end]]
+                            size += len(NO_HISTORY) + length
+                            waiting += len(at)
+                        if waiting >= MINIBATCH:
+                            step()
             if waiting:
                 step()
             if n:
@@ -308,26 +398,24 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     counts = store.put(count_tokens(training), "counts")
     head = head_table(counts)
     weights = train(training, head)
-    held = docs.sparkSession.sparkContext.broadcast((head, weights))
+    base_of = np.zeros(HEAD + 1)
+    base_of[: len(head.counts)] = np.log10(np.array([*head.counts.values()], dtype=np.float64) + SMOOTHING)
+    held = docs.sparkSession.sparkContext.broadcast((head.codes(), base_of, weights))
     log_class = np.log10(head.class_total + SMOOTHING * (head.class_kinds + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, weights = held.value
+        codes, base_of, weights = held.value
         task, number = TaskContext.get().partitionId(), 0
-        codes = head.codes()
-        base_of = np.log10(np.array([*head.counts.values()], dtype=np.float64) + SMOOTHING)
-        base_of = np.append(base_of, np.zeros(HEAD + 1 - len(base_of)))
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                texts = [tokens_of(t.as_py()) for t in part.column(1)]
-                lengths = np.array([len(t) for t in texts])
-                first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                tokens = [t for own in texts for t in own]
-                hashes = hashes_of([t for own in texts for t in (*NO_HISTORY, *own)])
+            for low, texts in chunks_of(batch.column(1)):
+                tokens, lengths = tokens_in(texts)
+                first = np.cumsum(lengths) - lengths
+                found = codes.of(tokens)
                 at = np.arange(len(tokens)) + len(NO_HISTORY) * np.repeat(np.arange(1, len(texts) + 1), lengths)
-                rows, found = history_rows(*(hashes[at - k] for k in LOOKS_BACK)), codes.of(tokens)
-                ids, number_in_head = kinds_of(found), found >> 10
+                hashes = np.zeros(len(tokens) + len(NO_HISTORY) * len(texts), np.int64)
+                hashes[at] = token_hashes(found)
+                rows = history_rows(*(hashes[at - k] for k in LOOKS_BACK))
+                ids, number_in_head = kinds_of(found), found >> 42
                 logs = weights.log_probability(ids, rows) / np.log(10)
                 base = base_of[number_in_head]
                 # a token without a place also has a share of its class: (count + smoothing) / class_total
@@ -343,9 +431,9 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.append(keys, np.repeat(keys, lengths)[rare]), pa.int64()),
-                        whole(part.column(0).to_pylist(), pa.int64()), whole(lengths, pa.int64()), whole(sums[0], pa.int64()),
+                        pa.concat_arrays([batch.column(0).slice(low, n), pa.nulls(k, pa.int64())]), whole(lengths, pa.int64()), whole(sums[0], pa.int64()),
                         whole(sums[1], pa.float64()), whole(sums[2], pa.float64()),
-                        pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([tokens[i] for i in rare.tolist()], pa.binary())]),
+                        pa.concat_arrays([pa.nulls(n, pa.binary()), tokens.take(pa.array(rare))]),
                     ],
                     names=["key", "doc_id", "n", "n_known", "base", "model", "token"],
                 )

@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import re
+import time
 import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -131,6 +133,98 @@ def test_maxent_learns_from_every_token():
         assert sorted(places) == list(range(len(tokens)))
 
 
+ODD_TEXTS = [t for _, t, *_ in ROWS] + ["\n", " lead", "trail ", "Tab\tA\x0bB\x0cC\r\nD", "\x1c\x1f \x85 \u2003X", "ß", "I\u0307 \u212a", "z" * 5000, None, ""]
+
+
+def test_maxent_cuts_many_texts_as_one():
+    texts, want = pa.array(ODD_TEXTS, pa.string()), [maxent.tokens_of(t) for t in ODD_TEXTS]
+    for low, high in ((0, len(want)), (3, 9), (1, 2), (4, 4)):
+        for kind in (pa.string(), pa.large_string()):
+            tokens, lengths = maxent.tokens_in(texts.cast(kind).slice(low, high - low))
+            assert tokens.to_pylist() == [t for own in want[low:high] for t in own] and lengths.tolist() == [len(own) for own in want[low:high]]
+    runs = [*maxent.chunks_of(pa.array(ODD_TEXTS * 40, pa.string()))]
+    assert [at for at, _ in runs] == [sum(len(t) for _, t in runs[:k]) for k in range(len(runs))]
+    assert [t for _, run in runs for t in run.to_pylist()] == ODD_TEXTS * 40 and max(len(run) for _, run in runs) == maxent.CHUNK_TEXTS
+
+
+def test_maxent_codes_of_frequent_and_rare_tokens():
+    tokens = [t for text in ODD_TEXTS for t in maxent.tokens_of(text)]
+    head = {t: (i, i if i < 3 else None) for i, t in enumerate(sorted({t for t in tokens if len(t) < 5}))}
+    found = maxent.Codes(head).of(pa.array(tokens, pa.binary()))
+    assert maxent.token_hashes(found).tolist() == [zlib.crc32(t) for t in tokens]
+    assert (found >> 42).tolist() == [head.get(t, (maxent.HEAD,))[0] for t in tokens]
+    place = [head.get(t, (None, None))[1] for t in tokens]
+    assert maxent.kinds_of(found).tolist() == [maxent.spelling_class(t) if p is None else maxent.CLASSES + p for t, p in zip(tokens, place)]
+
+
+def plain_step(table, rows, wanted, rate):
+    """What a gradient step is, with one sum over all buckets by numpy's reduction."""
+    x = sum(table[rows[:, k]] for k in range(rows.shape[1]))
+    grad = np.exp(x - x.max(axis=1, keepdims=True))
+    grad /= -grad.sum(axis=1, keepdims=True)
+    grad[np.arange(len(wanted)), wanted] += 1
+    order = np.argsort(rows.ravel(), kind="stable")
+    keys, first, n = np.unique(rows.ravel()[order], return_index=True, return_counts=True)
+    sums = np.add.reduceat(grad[order // rows.shape[1]], first, axis=0)
+    table[keys] += (rate * sums / n[:, None] * np.minimum(1, n / 4)[:, None]).astype(np.float32)
+
+
+def test_maxent_step_is_the_plain_step_in_less_time():
+    rng = np.random.default_rng(3)
+    rows = np.minimum(rng.zipf(1.4, (maxent.MINIBATCH, maxent.FEATURES)), 10**9) * 2654435761 % maxent.FEATURE_BUCKETS
+    rows[:, 0], rows[:, 2] = 0, rng.integers(0, maxent.FEATURE_BUCKETS, len(rows))
+    wanted = rng.integers(0, maxent.CLASSES, len(rows))
+    start = rng.normal(size=(maxent.FEATURE_BUCKETS, maxent.CLASSES)).astype(np.float32)
+    for some in (1, 2, 9, 100, len(rows)):
+        got, want = start.copy(), start.copy()
+        maxent.Weights._step(got, rows[:some], wanted[:some], 0.5)
+        plain_step(want, rows[:some], wanted[:some], 0.5)
+        np.testing.assert_allclose(got, want, rtol=1e-4, atol=1e-5)
+
+    def seconds(step):
+        took = []
+        for _ in range(9):
+            began = time.thread_time()
+            step(start, rows, wanted, 0.5)
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert seconds(maxent.Weights._step) < 0.75 * seconds(plain_step)
+
+
+def test_maxent_training_is_plain_descent(spark, docs):
+    one = docs.select("text").coalesce(1)
+    counts = maxent.count_tokens(one)
+    texts = [maxent.tokens_of(r.text) for r in one.collect()]
+    assert {bytes(r.token): r.c for r in counts.collect()} == collections.Counter(t for own in texts for t in own)
+    head = maxent.head_table(counts)
+    got, want = maxent.train(one, head), maxent.Weights.start()
+    for number in range(maxent.ROUNDS):
+        waiting = []
+
+        def step(rate=maxent.RATE / (1 + number), waiting=waiting):
+            ids = np.array([t for t, _ in waiting])
+            rows = np.array([r for _, r in waiting])
+            at = np.flatnonzero(ids >= maxent.CLASSES)
+            kinds = np.where(ids >= maxent.CLASSES, (ids - maxent.CLASSES) // maxent.CLASS_WORDS, ids)
+            plain_step(want.classes, rows, kinds, rate)
+            if len(at):
+                plain_step(want.words, want.word_rows(rows[at], kinds[at]), (ids[at] - maxent.CLASSES) % maxent.CLASS_WORDS, rate)
+            waiting.clear()
+
+        for own in texts:
+            rows = maxent.feature_rows(maxent.hashes_of(own))
+            for k in maxent.gradient_places(own, number):
+                place = head.places.get(own[k])
+                waiting.append((maxent.spelling_class(own[k]) if place is None else maxent.CLASSES + place, rows[k]))
+            if len(waiting) >= maxent.MINIBATCH:
+                step()
+        if waiting:
+            step()
+    np.testing.assert_allclose(got.classes, want.classes, rtol=1e-3, atol=1e-4)
+    np.testing.assert_allclose(got.words, want.words, rtol=1e-3, atol=1e-4)
+
+
 def test_mix_meets_targets(docs):
     rows = mixing.mix_sources(docs).collect()
     assert sorted(r.size for r in rows) == sorted(len(words(t)) for _, t, *_ in ROWS)

@@ -116,7 +116,7 @@ def sums_by_bucket(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.n
     """Buckets that stand in ``rows`` (one row per token), the sums of their tokens' gradients, and how many those are.
 
     Most buckets have few tokens: up to FEW they are added for all buckets at once, one token of each at a time. Only the
-    others go through numpy's reduction, which is slow on short runs.
+    others go through numpy's reduction, which is slow on short runs; they come first, the rest by falling number of tokens.
     """
     flat = rows.astype(np.uint16).ravel()
     order = np.argsort(flat, kind="stable")
@@ -135,8 +135,8 @@ def sums_by_bucket(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.n
     if many:
         starts = np.cumsum(n[:many]) - n[:many]
         at = np.arange(n[:many].sum()) + np.repeat(first[:many] - starts, n[:many])
-        sums[:many] = np.add.reduceat(np.ascontiguousarray(grad.take(source[at], axis=0).T), starts, axis=1).T
-    return held[first], sums, n
+        sums[:many] = np.add.reduceat(grad.take(source[at], axis=0), starts, axis=0)
+    return held[first].astype(np.int64), sums, n
 
 
 @dataclass
@@ -258,8 +258,9 @@ class Weights:
         grad[np.arange(len(wanted)), wanted] += 1
         keys, sums, n = sums_by_bucket(rows, grad)
         # a bucket's step is its mean gradient, less where fewer than four tokens agree on it
-        sums *= np.float32(rate)
-        sums /= np.maximum(n, 4).astype(np.float32)[:, None]
+        sums *= np.float32(rate / 4)
+        more = np.count_nonzero(n > 4)
+        sums[:more] /= (n[:more] / 4).astype(np.float32)[:, None]
         sums += table.take(keys, axis=0)
         table[keys] = sums
 

@@ -36,16 +36,19 @@ def _read_file(uri: str) -> bytes | None:
 def _read_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
     for batch in batches:
-        for item in batch.to_pylist():
-            content = _read_file(item["uri"])
-            length = None if content is None else len(content)
-            rows.append({"repo_id": item["repo_id"], "path": item["path"], "length": length, "content": content})
-            held += length or 0
+        for repo_id, path, uri in zip(*(column.to_pylist() for column in batch.columns)):
+            content = _read_file(uri)
+            rows.append((repo_id, path, None if content is None else len(content), content))
+            held += len(content or b"")
             if held >= _BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                yield _batch(rows)
                 rows, held = [], 0
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, f.type) for values, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
 
 def files_from_listing(listing: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ of the table gathers rows anywhere. DuckDB builds the same rows in :mod:`workloa
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,26 +240,34 @@ def dockerfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_tree(files: DataFrame, root: str) -> None:
-    """Writes a ``files`` table as files, one folder per repository, by the tasks that hold the rows."""
+    """Writes a ``files`` table as files, one folder per repository. A folder's files are written by one task, one after the
+    other: each folder is made once, and no tasks wait for each other at its lock."""
     import pyarrow.fs as pafs
 
     def write(batches):
         system, base = pafs.FileSystem.from_uri(root)
         made = None
         for batch in batches:
-            for row in batch.to_pylist():
-                folder, _, name = f"{base}/{row['repo_id']}/{row['path']}".rpartition("/")
+            for repo, path, content in zip(*(column.to_pylist() for column in batch.columns)):
+                folder, _, name = f"{base}/{repo}/{path}".rpartition("/")
                 if folder != made:
                     system.create_dir(folder, recursive=True)
                     made = folder
                 with system.open_output_stream(f"{folder}/{name}") as out:
-                    out.write(row["content"].encode())
+                    out.write(content.encode())
             yield batch.slice(0, 0)
 
     system, base = pafs.FileSystem.from_uri(root)
     system.create_dir(base, recursive=True)  # a tree without files is one too
     narrow = files.select(text(F.col("repo_id")).alias("repo_id"), "path", "content")
-    narrow.mapInArrow(write, narrow.schema).write.format("noop").mode("overwrite").save()
+    by_folder(narrow).mapInArrow(write, narrow.schema).write.format("noop").mode("overwrite").save()
+
+
+def by_folder(files: DataFrame) -> DataFrame:
+    """The files of a folder in one task, one after the other."""
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(tasks, "repo_id", folder).sortWithinPartitions("repo_id", folder)
 
 
 def wave_of(repo: str, waves: int) -> Column:
@@ -265,27 +275,51 @@ def wave_of(repo: str, waves: int) -> Column:
     return F.pmod(F.xxhash64(repo), F.lit(waves))
 
 
-def remove_tree(files: DataFrame, root: str, following: str) -> None:
-    """Removes the tree that :func:`write_tree` wrote of these files, by tasks that take some of its repositories each, and makes
-    the empty root of the ``following`` one. That is made inside this one and moved out: file systems lay files near their
-    folder, and some search long for room among files that were just removed."""
+def remove_files(spark: SparkSession, root: str) -> None:
+    """Removes the files of a tree and leaves its folders, by tasks that take some of its repositories each."""
+    import pyarrow as pa
     import pyarrow.fs as pafs
 
+    def listed(batches):
+        system, base = pafs.FileSystem.from_uri(root)
+        for _ in batches:
+            names = [info.base_name for info in system.get_file_info(pafs.FileSelector(base))]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
     def remove(batches):
         system, base = pafs.FileSystem.from_uri(root)
         for batch in batches:
-            for repo in batch.column("repo_id").to_pylist():
-                if system.get_file_info(f"{base}/{repo}").type != pafs.FileType.NotFound:  # a task may run again
-                    system.delete_dir(f"{base}/{repo}")
+            folders = [f"{base}/{name}" for name in batch.column("name").to_pylist()]
+            while folders:
+                for info in system.get_file_info(pafs.FileSelector(folders.pop())):
+                    if info.type == pafs.FileType.Directory:
+                        folders.append(info.path)
+                    else:
+                        with suppress(FileNotFoundError):  # a task may run twice
+                            system.delete_file(info.path)
             yield batch.slice(0, 0)
 
-    tasks = files.sparkSession.sparkContext.defaultParallelism * 2
-    repos = files.select(text(F.col("repo_id")).alias("repo_id")).distinct().repartition(tasks)
+    repos = spark.range(1).coalesce(1).mapInArrow(listed, "name string")
+    dealt = repos.repartition(spark.sparkContext.defaultParallelism, "name")
+    dealt.mapInArrow(remove, repos.schema).write.format("noop").mode("overwrite").save()
+
+
+def remove_folders(root: str) -> None:
+    """Removes a tree whose files are gone, with one call to its file system."""
+    import pyarrow.fs as pafs
+
+    system, base = pafs.FileSystem.from_uri(root)
+    system.delete_dir(base)
+
+
+def next_root(root: str, following: str) -> None:
+    """Makes the empty root of the tree that follows this one. It is made inside this one and moved out: file systems lay files
+    near their folder, and some search long for room among files that were just removed."""
+    import pyarrow.fs as pafs
+
     system, base = pafs.FileSystem.from_uri(root)
     system.create_dir(f"{base}/.following")
     system.move(f"{base}/.following", pafs.FileSystem.from_uri(following)[1])
-    repos.mapInArrow(remove, repos.schema).write.format("noop").mode("overwrite").save()
-    system.delete_dir(base)
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:

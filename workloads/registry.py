@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,20 +111,30 @@ def scan_listing(spark, sf_dir):
     """The code corpus written as a tree of files, hidden and ignored folders included, then listed, read and scanned.
 
     A file takes a block of the disk however small it is, so the trees of all repositories at once would take many times
-    their bytes. Repositories come in waves; what a wave's scan found is stored and its tree removed before the next.
+    their bytes. Repositories come in waves; what was read of a wave's tree is stored and its files removed before the next.
+    Its empty folders are removed while the next is written and read, as that only waits for the file system.
+    All that was read is scanned at once, as the plan of a scan takes longer to make than a wave's files to scan.
     """
     folder = work_folder(spark, "tree")
     root = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
     files = C.code(spark, sf_dir)
     waves = min(TREE_WAVES, 1 + files.count() // WAVE_FILES)
-    for k in range(waves):
-        wave = files.filter(C.wave_of("repo_id", waves) == k).repartition(spark.sparkContext.defaultParallelism * 2)
-        C.write_tree(wave, f"{root}/files/{k}")
-        read = cf.files_from_tree(spark, f"{root}/files/{k}", f"{root}/work/{k}", pack_bytes=1 << 20)
-        cf.file_stats(cf.scan_files(read)).write.parquet(f"{folder}/stats/{k}")
-        C.remove_tree(wave, f"{root}/files/{k}", f"{root}/files/{k + 1}")
-    stats = spark.read.parquet(*(f"{folder}/stats/{k}" for k in range(waves)))
-    return stats.withColumn("repo_id", F.col("repo_id").cast("bigint"))
+    with ThreadPoolExecutor(1) as behind:
+        removed = None
+        for k in range(waves):
+            tree = f"{root}/files/{k}"
+            C.write_tree(files.filter(C.wave_of("repo_id", waves) == k), tree)
+            read = cf.files_from_tree(spark, tree, f"{root}/work/{k}", pack_bytes=1 << 20)
+            read.write.parquet(f"{folder}/read/{k}")
+            if k + 1 < waves:
+                C.next_root(tree, f"{root}/files/{k + 1}")
+            C.remove_files(spark, tree)
+            if removed:
+                removed.result()  # the folders of two trees at most
+            removed = behind.submit(C.remove_folders, tree)
+        removed.result()
+    read = spark.read.parquet(*(f"{folder}/read/{k}" for k in range(waves)))
+    return cf.file_stats(cf.scan_files(read)).withColumn("repo_id", F.col("repo_id").cast("bigint"))
 
 
 def admitted_files(spark, sf_dir):
